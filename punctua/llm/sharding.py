@@ -11,6 +11,7 @@ from punctua.llm.common import never_null, ranked, unit, written
 
 #: Rows of one rank bucket, the most that must meet in a task.
 BUCKET_ROWS = 64
+SALTS = 64
 
 
 def interleave(rows: DataFrame, id_col: str, source_col: str, n_shards: int, seed: str = "interleave", ties: tuple[str, ...] = ()) -> DataFrame:
@@ -26,9 +27,11 @@ def interleave(rows: DataFrame, id_col: str, source_col: str, n_shards: int, see
     n = rows.count()
     digest = F.md5(F.concat_ws("|", F.lit(seed), never_null(F.col(id_col))))
     rows = rows.withColumn("__source", never_null(F.col(source_col))).withColumn("__digest", digest)
-    sizes = rows.groupBy("__source").agg(F.count(F.lit(1)).alias("__size"))
+    # sources' sizes, a row for each salt, so that a hot source meets its size in many tasks where the table is too large to broadcast
+    sizes = written(rows.groupBy("__source").agg(F.count(F.lit(1)).alias("__size")), "shard-sizes")
+    sizes = sizes.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     order = [F.col("__digest"), *(F.col(c) for c in ties)]
-    rows = rows.join(sizes, "__source").withColumn("__b1", F.floor(unit(F.col("__digest")) * F.ceil(F.col("__size") / BUCKET_ROWS)))
+    rows = rows.withColumn("__salt", F.pmod(F.xxhash64("__digest"), F.lit(SALTS)).cast("int")).join(sizes, ["__source", "__salt"]).drop("__salt").withColumn("__b1", F.floor(unit(F.col("__digest")) * F.ceil(F.col("__size") / BUCKET_ROWS)))
     chunk = max(1, math.isqrt(n // BUCKET_ROWS))
     rows = ranked(rows, ["__source"], "__b1", order, "__rank", chunk)
     offset = unit(F.md5(F.concat_ws("|", F.lit(f"{seed} offset"), F.col("__source"))))
