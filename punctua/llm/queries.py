@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from punctua.llm import language, licenses, mixing, near_duplicates, packing, quality, secrets, sharding, topk
+from punctua.llm import fingerprints, language, licenses, mixing, near_duplicates, packing, quality, secrets, sharding, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,7 @@ QUERIES = {
     "op2_quality": lambda spark, d: quality.score_documents(table(spark, d, "documents"), table(spark, d, "labels")),
     "op3_near_duplicates": lambda spark, d: near_duplicates.near_duplicates(table(spark, d, "documents")),
     "op4_secrets": lambda spark, d: secrets.scan_documents(table(spark, d, "documents")),
+    "op5_fingerprints": lambda spark, d: fingerprints.fingerprint_documents(table(spark, d, "documents")),
     "op6_mixing": lambda spark, d: mixing.mix_documents(table(spark, d, "documents")),
     "op7_language": lambda spark, d: language.identify_documents(table(spark, d, "documents")),
     "op8_topk": lambda spark, d: topk.search(table(spark, d, "embeddings")),
