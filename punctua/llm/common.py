@@ -40,6 +40,16 @@ def dropped(*frames: DataFrame) -> None:
             folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: A written table is broadcast up to this number of rows; beyond it the same join shuffles.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, name: str) -> DataFrame:
+    """A table of ids or the like, written, with a broadcast hint if its counted rows are within the bound."""
+    df = written(df, name)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def never_null(c: Column) -> Column:
     """A string key that tells null from every value."""
     return F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), c.cast("string")))

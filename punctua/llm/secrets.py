@@ -10,6 +10,8 @@ from re import _parser as re_parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from punctua.llm.common import small
+
 
 
 @dataclass(frozen=True)
@@ -36,6 +38,8 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 #: Documents of one index block, the most ids of a posting list.
 BLOCK_ROWS = 2048
+#: Small character classes are spelled out up to so many readings of a run of literals.
+MOST_ALTERNATIVES = 8
 
 # A query is a trigram, ("and", queries), ("or", queries), or None, which every text meets.
 
@@ -56,22 +60,24 @@ def trigrams(literal: str) -> list[str]:
 
 def derived(items) -> object:
     """The Boolean trigram query of a parsed pattern: what each text that it matches must hold, in lower case."""
-    found, run = [], ""
+    found, runs = [], [""]  # runs: what the last literals may read
     for op, value in items:
         if op is re_kind.LITERAL:
-            run += chr(value).lower()
+            runs = [r + chr(value).lower() for r in runs]
             continue
-        if op is re_kind.MAX_REPEAT and value[0] == value[1] == 1:
-            op, value = re_kind.SUBPATTERN, (None, 0, 0, value[2])
-        found += trigrams(run)
-        run = ""
+        if op is re_kind.IN and len(value) <= MOST_ALTERNATIVES and all(kind is re_kind.LITERAL for kind, _ in value):
+            runs = list(dict.fromkeys(r + chr(c).lower() for r in runs for _, c in value))
+            if len(runs) <= MOST_ALTERNATIVES:
+                continue
+        found.append(any_of([all_of(trigrams(r)) for r in runs]))
+        runs = [""]
         if op is re_kind.SUBPATTERN:
             found.append(derived(value[3]))
         elif op is re_kind.BRANCH:
             found.append(any_of([derived(x) for x in value[1]]))
         elif op in (re_kind.MAX_REPEAT, re_kind.MIN_REPEAT) and value[0] > 0:
             found.append(derived(value[2]))
-    return all_of(found + trigrams(run))
+    return all_of([*found, any_of([all_of(trigrams(r)) for r in runs])])
 
 
 def query_of(rule: Rule) -> object:
@@ -90,9 +96,9 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], key: str = "doc_id") ->
     """
     queries = {r.kind: q for r in rules if (q := query_of(r)) is not None}
     grams = sorted(set().union(*map(named, queries.values())))
-    text = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    hits = F.array_compact(F.array(*(F.when(F.contains(text, F.lit(g)), F.lit(i)) for i, g in enumerate(grams))))
-    held = docs.select(F.col(key).alias("key"), hits.alias("hits")).where(F.size("hits") > 0)
+    hits = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(i)) for i, g in enumerate(grams))))
+    lowered = docs.select(F.col(key).alias("key"), F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("low"))
+    held = lowered.select("key", hits.alias("hits")).where(F.size("hits") > 0)
     # the number of blocks follows the number of documents
     block = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-docs.count() // BLOCK_ROWS))))
     postings = held.select("key", block.alias("block"), F.explode("hits").alias("gram")).groupBy("block", "gram").agg(F.collect_set("key").alias("keys"))
@@ -155,7 +161,7 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", rules: tuple[Rule, ...] =
     own text, so repeated or null keys give right results too.
     """
     slim = docs.select(key, "text")
-    found = candidates(slim, rules, key)
+    found = small(candidates(slim, rules, key), "candidates")
     rows = docs.join(found, docs[key].eqNullSafe(found["key"]), "left").drop("key")
     text, parts = F.coalesce(F.col("text"), F.lit("")), []
     nothing = F.array().cast("array<struct<start:bigint,order:int,end:bigint,kind:string>>")
@@ -183,12 +189,16 @@ def scan_documents(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with each secret in text replaced by `[kind]`; columns and rows stay, texts without a secret are untouched.
+    """docs with each secret in text replaced by `[kind]`, and n_chars counted anew there; columns and rows stay, other texts are untouched.
 
     Overlapping spans count as one, under the first kind. Null texts stay null.
     """
-    rows = find_secrets(docs).withColumn("text", redacted(F.col("text"), F.col("secrets")))
-    return rows.select(*docs.columns)
+    rows = find_secrets(docs)
+    changed = rows.withColumn("text", redacted(F.col("text"), F.col("secrets")))
+    if "n_chars" in docs.columns:
+        count = F.length("text").cast(docs.schema["n_chars"].dataType)
+        changed = changed.withColumn("n_chars", F.when(F.size("secrets") > 0, count).otherwise(F.col("n_chars")))
+    return changed.select(*docs.columns)
 
 
 def redacted(text: Column, secrets: Column) -> Column:
