@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from punctua.llm.common import WORD, never_null, ranked, unit, written
+from punctua.llm.common import WORD, never_null, ranked, small, unit, written
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -104,7 +104,8 @@ def mix(rows: DataFrame, seed: str = "mix", weights: tuple[float, ...] = WEIGHTS
     # ranks of a cell's documents in the order of a seeded digest
     digest = F.md5(F.concat_ws("|", F.lit(seed), never_null(F.col("doc_id"))))
     rows = rows.withColumn("__digest", digest).join(cells, ["source_key", "size"])
-    rows = rows.withColumn("__b", F.floor(unit(F.col("__digest")) * F.ceil(F.col("n") / BUCKET_ROWS)))
+    # written, so that the join may split a hot cell: what follows deals the rows out by finer keys
+    rows = written(rows.withColumn("__b", F.floor(unit(F.col("__digest")) * F.ceil(F.col("n") / BUCKET_ROWS))), "mix-rows")
     rows = ranked(rows, ["source_key", "size"], "__b", [F.col("__digest")], "__rank", max(1, math.isqrt(n // BUCKET_ROWS)))
     offset = unit(F.md5(F.concat_ws("|", F.lit(f"{seed} offset"), F.col("source_key"))))
     at = lambda k: F.floor(F.col("__sofar") + F.col("rate") * (F.col("__rank") + k) + offset)
@@ -112,6 +113,14 @@ def mix(rows: DataFrame, seed: str = "mix", weights: tuple[float, ...] = WEIGHTS
     return rows.withColumn("copies", copies.cast("long")).drop("source_key", "n", "__sofar", "__digest", "__b", "__rank")
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """docs with each row as often as the mix takes it; columns stay. Rows of equal id share the copies of the first of them."""
+    chosen = mix(written(docs.select("doc_id", "source", words_of(F.col("text")).alias("size")), "mix-input"))
+    copies = small(chosen.groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies")), "mix-copies")
+    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__id"])).where("__copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+
+
 def words_of(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
