@@ -169,6 +169,19 @@ def identify(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     return docs.select(*kept, predict(F.col("text")).alias("__p")).select(*kept, "__p.*")
 
 
+def accepted(docs: DataFrame) -> DataFrame:
+    """docs without those of no determined or of an ambiguous language; columns stay."""
+    held_out = F.coalesce(crc_mod(4) == 2, F.lit(False))
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, held_out))
+
+    @F.pandas_udf(SCHEMA)
+    def predict(texts: pd.Series) -> pd.DataFrame:
+        return predicted(model.value, texts)
+
+    judged = docs.withColumn("__p", predict(F.col("text")))
+    return judged.where((F.col("__p.lang_pred") != UNDETERMINED) & ~F.col("__p.ambiguous")).select(*docs.columns)
+
+
 def identify_documents(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, ambiguous."""
     held_out = F.coalesce(crc_mod(4) == 2, F.lit(False))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from punctua.llm.common import dropped, written
+from punctua.llm.common import dropped, small, written
 from punctua.llm.shingles import in_slices, mixed, set_key
 
 #: Two sets link when SIMILAR percent of their union is shared.
@@ -263,7 +263,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, the one of the smallest id; columns stay. Repeated rows of that document become one."""
-    found = near_duplicates(docs).groupBy("doc_id").agg(F.min("component_id").alias("__component"))
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("__component"))).select(F.col("doc_id").alias("__id"))
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__id"]), "left_semi").dropDuplicates(["doc_id"])
+    """docs with one document of each component, the one of the smallest id; columns stay. Repeated rows (equal id and text) become one."""
+    found = written(near_duplicates(docs), "components")
+    away = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    repeated = small(found.groupBy(F.col("doc_id").alias("__twice")).count().where("count > 1").select("__twice"), "repeated")
+    away = small(away, "away")
+    kept = docs.join(away, docs["doc_id"].eqNullSafe(away["__id"]), "left_anti")
+    if repeated.isEmpty():
+        return kept
+    same = docs["doc_id"].eqNullSafe(repeated["__twice"])
+    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
