@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from punctua.llm import fingerprints, language, licenses, mixing, near_duplicates, packing, quality, secrets, sharding, topk
+from punctua.llm.oracles import ORACLE_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,4 +24,5 @@ QUERIES = {
     "op9_licenses": lambda spark, d: licenses.scan_documents(table(spark, d, "documents")),
     "op10_packing": lambda spark, d: packing.pack_documents(table(spark, d, "documents")),
 }
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from punctua.llm.common import never_null, ranked, unit, written
 
+N_SHARDS = 24
 #: Rows of one rank bucket, the most that must meet in a task.
 BUCKET_ROWS = 64
 SALTS = 64
@@ -45,7 +46,7 @@ def interleave(rows: DataFrame, id_col: str, source_col: str, n_shards: int, see
     return rows.drop("__source", "__digest", "__size", "__b1", "__rank", "__frac", "__b2", "__at")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 24) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law (`rows`), shard, slot, grown_shard (null under this law), source.
 
     Texts are reduced to their size and checksum in the scan and never shuffled. Null text counts as empty (size 8, checksum 0).
