@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "flagship"
+from punctua.plans import rollup_queries
+
+QUERIES = {**rollup_queries.QUERIES}
+ORACLE_SQL = {**rollup_queries.ORACLE_SQL}
+FLAGSHIP = "t40_route_delay_spine"
