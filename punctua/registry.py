@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from punctua.plans import rollup_queries
+from punctua.plans import read_queries, rollup_queries
 
-QUERIES = {**rollup_queries.QUERIES}
-ORACLE_SQL = {**rollup_queries.ORACLE_SQL}
-FLAGSHIP = "t40_route_delay_spine"
+CATALOGS = (rollup_queries, read_queries)
+QUERIES = {name: query for c in CATALOGS for name, query in c.QUERIES.items()}
+ORACLE_SQL = {name: text for c in CATALOGS for name, text in c.ORACLE_SQL.items()}
+FLAGSHIP = "flagship"
