@@ -11,7 +11,7 @@ def joined(texts: list[bytes], pad: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts with spaces between, and for each byte the number of its text."""
     sizes = np.fromiter((len(t) + pad for t in texts), dtype=np.int64, count=len(texts))
     data = np.frombuffer((b" " * pad).join(texts) + b" " * pad, dtype=np.uint8)
-    return data, np.repeat(np.arange(len(texts)), sizes)
+    return data, np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
 
 
 def gram_counts(data: np.ndarray, owner: np.ndarray, n_owners: int, bins: int, orders: tuple[int, ...] = (1, 2, 3)) -> np.ndarray:

@@ -12,9 +12,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from punctua.llm.common import unit
 from punctua.llm.grams import gram_counts, joined, pieces_of
 
 BINS = 4096
+#: Bytes of a slice of a batch that is encoded at a time; a document counts 20,000 besides its text for its row of counts.
+SLICE = 1_500_000
 #: Bound of the training sample: documents of one language.
 SAMPLE_PER_LANGUAGE = 400
 #: Bound of the training sample: languages, the most frequent ones.
@@ -108,7 +111,8 @@ def sample(docs: DataFrame, eligible: Column, label: str, per_label: int, most_l
     slim = docs.where(eligible & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("__label"))
     common = slim.groupBy("__label").count().orderBy(F.desc("count"), "__label").limit(most_labels)
     digest = F.md5(F.concat(F.lit("sample "), F.col("doc_id").cast("string")))
-    slim = slim.join(common.select("__label"), "__label", "left_semi").dropDuplicates(["doc_id"])
+    # a label's first digests lie under a small bound: only some times the wanted rows of each label are dealt out
+    slim = slim.join(F.broadcast(common), "__label").where(unit(digest) * F.col("count") < 4 * per_label).dropDuplicates(["doc_id"])
     first = slim.withColumn("__at", F.row_number().over(Window.partitionBy("__label").orderBy(digest, "doc_id"))).where(F.col("__at") <= per_label)
     return docs.join(F.broadcast(first.select("doc_id", "__label")), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "__label")
 
@@ -125,7 +129,8 @@ def learn(docs: DataFrame, held_out: Column) -> Model | None:
         for batch in batches:
             usable = batch[[has_letter(t) for t in batch["text"]]]
             if len(usable):
-                x = features(list(usable["text"])).astype(np.float16)
+                values = usable["text"].to_numpy()
+                x = np.concatenate([features(list(values[part])).astype(np.float16) for part in pieces_of(np.array([len(v) + 20_000 for v in values]), SLICE)])
                 yield pd.DataFrame({"doc_id": usable["doc_id"].to_numpy(), "label": usable["__label"].to_numpy(), "x": [v.tobytes() for v in x]})
 
     rows = chosen.mapInPandas(encode, "doc_id long, label string, x binary").toPandas().sort_values("doc_id")
@@ -143,7 +148,7 @@ def predicted(model: Model | None, texts: pd.Series) -> pd.DataFrame:
         return out
     values = texts.to_numpy()[where]
     names = np.array(model.languages, dtype=object)
-    for part in pieces_of(np.array([len(v) + 20_000 for v in values]), 8_000_000):
+    for part in pieces_of(np.array([len(v) + 20_000 for v in values]), SLICE):
         best, score, unsure = model.predict(features(list(values[part])))
         out.loc[where[part], "lang_pred"] = names[best]
         out.loc[where[part], "score"] = score

@@ -18,6 +18,8 @@ BINS = 128
 #: Bound of the training sample: labelled documents.
 SAMPLE = 5000
 THRESHOLD = 0.3
+#: Bytes of a slice of a batch that is encoded at a time.
+SLICE = 1_000_000
 HIDDEN, GATE = 24, 16
 #: Classes of bytes whose shares a passage is described by: lower, upper, digit, space, newline, beyond ASCII, then each sign.
 SIGNS = b".,;:!?'\"()[]{}<>|*#$%&@+-=/_~^`\\"
@@ -120,8 +122,10 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: Column) -> AttentionMode
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x, owner = passages(list(batch["text"]))
-            cuts = np.split(x.astype(np.float16), np.flatnonzero(np.diff(owner)) + 1) if len(batch) else []
+            values, cuts = batch["text"].to_numpy(), []
+            for part in pieces_of(np.array([len(v or "") + 600 for v in values]), SLICE) if len(batch) else []:
+                x, owner = passages(list(values[part]))
+                cuts += np.split(x.astype(np.float16), np.flatnonzero(np.diff(owner)) + 1)
             yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "label": batch["quality"].to_numpy(), "x": [c.tobytes() for c in cuts]})
 
     got = rows.mapInPandas(encode, "doc_id long, label int, x binary").toPandas().sort_values("doc_id")
@@ -144,7 +148,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def score(texts: pd.Series) -> pd.Series:
         out = np.full(len(texts), 0.5)
         values = texts.to_numpy()
-        for part in pieces_of(np.array([len(v or "") + 600 for v in values]), 4_000_000) if model.value is not None and len(values) else []:
+        for part in pieces_of(np.array([len(v or "") + 600 for v in values]), SLICE) if model.value is not None and len(values) else []:
             x, owner = passages(list(values[part]))
             out[part] = model.value.forward(x, owner)["y"]
         return pd.Series(out)
