@@ -98,10 +98,11 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], key: str = "doc_id") ->
     grams = sorted(set().union(*map(named, queries.values())))
     hits = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(i)) for i, g in enumerate(grams))))
     lowered = docs.select(F.col(key).alias("key"), F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("low"))
-    held = lowered.select("key", hits.alias("hits")).where(F.size("hits") > 0)
+    # an outer explode, as a filter on the hits would be pushed below the lower-casing and repeat it for each trigram
+    held = lowered.select("key", F.explode_outer(hits).alias("gram")).where("gram IS NOT NULL")
     # the number of blocks follows the number of documents
     block = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-docs.count() // BLOCK_ROWS))))
-    postings = held.select("key", block.alias("block"), F.explode("hits").alias("gram")).groupBy("block", "gram").agg(F.collect_set("key").alias("keys"))
+    postings = held.select("key", block.alias("block"), "gram").groupBy("block", "gram").agg(F.collect_set("key").alias("keys"))
     lists = postings.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("gram", "keys"))).alias("lists"))
     none = F.array().cast(docs.select(F.array(key).alias("a")).schema["a"].dataType)
 
