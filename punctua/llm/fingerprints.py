@@ -112,7 +112,7 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
 def differences(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """keys, side (1: of a only, -1: of b only), digest: what the digest sets a and b of each pair do not share, from their sketches.
 
-    Needs keys, a, b (arrays of longs), cells (of one table) and seed. Cells of a less cells of b: what both hold cancels. Peeling
+    Needs keys (not named cell, n, x, k or found), a, b (arrays of longs), cells (of one table) and seed. Cells of a less cells of b: what both hold cancels. Peeling
     goes over the tables in turn: a cell of count 1 or -1 whose check fits holds one digest, which then leaves its other cells. A
     digest stands in one cell of a table, so no pass recovers it twice. A pair that is not empty after PASSES keeps rows with a null
     side. All passes keep the partitioning by keys, so nothing is shuffled after the first exchange.

@@ -154,16 +154,16 @@ def spans_of(text: Column, rule: Rule) -> Column:
     return F.transform(good, lambda m: F.struct((m["before"] + m["gap"]).alias("start"), (m["before"] + m["gap"] + m["len"]).alias("end")))
 
 
-def find_secrets(docs: DataFrame, key: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with `secrets`: array<struct<start, order, end, kind>> by start, then the rules' order. Columns of docs stay.
+def find_secrets(docs: DataFrame, key: str = "doc_id", rules: tuple[Rule, ...] = RULES, name: str = "secrets") -> DataFrame:
+    """docs with a column `name`: array<struct<start, order, end, kind>> by start, then the rules' order. Columns of docs stay, but for one of that name.
 
     Candidates of a rule come from the index and are verified on the text with its pattern; rules without a mandatory trigram (hex)
     scan every text. Null texts have no secret. Candidates are looked up by key; rows that share a key are each verified on their
     own text, so repeated or null keys give right results too.
     """
     slim = docs.select(key, "text")
-    found = small(candidates(slim, rules, key), "candidates")
-    rows = docs.join(found, docs[key].eqNullSafe(found["key"]), "left").drop("key")
+    found = small(candidates(slim, rules, key).select(F.col("key").alias("__key"), F.col("rules").alias("__rules")), "candidates")
+    rows = docs.join(found, docs[key].eqNullSafe(found["__key"]), "left").drop("__key")
     text, parts = F.coalesce(F.col("text"), F.lit("")), []
     nothing = F.array().cast("array<struct<start:bigint,order:int,end:bigint,kind:string>>")
 
@@ -172,9 +172,9 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", rules: tuple[Rule, ...] =
 
     for i, rule in enumerate(rules):
         scan_all = query_of(rule) is None
-        wanted = F.rlike(text, F.lit(rule.pattern)) if scan_all else F.coalesce(F.array_contains("rules", rule.kind), F.lit(False))
+        wanted = F.rlike(text, F.lit(rule.pattern)) if scan_all else F.coalesce(F.array_contains("__rules", rule.kind), F.lit(False))
         parts.append(F.when(wanted, F.transform(spans_of(text, rule), placed(i, rule.kind))).otherwise(nothing))
-    return rows.withColumn("secrets", F.array_sort(F.concat(*parts))).drop("rules")
+    return rows.withColumn(name, F.array_sort(F.concat(*parts))).drop("__rules")
 
 
 def said(spans: Column) -> Column:
@@ -194,11 +194,11 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Overlapping spans count as one, under the first kind. Null texts stay null.
     """
-    rows = find_secrets(docs)
-    changed = rows.withColumn("text", redacted(F.col("text"), F.col("secrets")))
+    rows = find_secrets(docs, name="__secrets")
+    changed = rows.withColumn("text", redacted(F.col("text"), F.col("__secrets")))
     if "n_chars" in docs.columns:
         count = F.length("text").cast(docs.schema["n_chars"].dataType)
-        changed = changed.withColumn("n_chars", F.when(F.size("secrets") > 0, count).otherwise(F.col("n_chars")))
+        changed = changed.withColumn("n_chars", F.when(F.size("__secrets") > 0, count).otherwise(F.col("n_chars")))
     return changed.select(*docs.columns)
 
 
