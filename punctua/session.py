@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +23,20 @@ def session(master: str = "local[*]", **more: str) -> SparkSession:
     for key, value in (settings | more).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+SHIPPED: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors, once in an application, so that Python tasks find it wherever they run."""
+    application = spark.sparkContext.applicationId
+    if application not in SHIPPED:
+        SHIPPED.add(application)
+        package = Path(__file__).resolve().parent
+        target = Path(os.path.realpath(tempfile.mkdtemp(prefix="punctua-"))) / "punctua.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for source in sorted(package.rglob("*.py")):
+                z.write(source, source.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(target))
+    return spark

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from punctua.session import shipped
+
 #: Field numbers of the public feed format.
 ENTITY, HEADER = 2, 1
 TRIP_UPDATE, VEHICLE = 3, 4
@@ -76,6 +78,8 @@ def decoded(captures: DataFrame) -> DataFrame:
     """captures (provider_id, rt_feed_snapshot_id, content) as one row an entity. Messages are parsed in Arrow batches on the executors."""
     names = ["entity_index", "entity_id", "kind", "is_deleted", "trip_id", "route_id", "direction_id", "start_date", "schedule_relationship", "vehicle_id", "stop_time_updates", "latitude", "longitude", "bearing", "speed", "occupancy_status", "timestamp"]
 
+    shipped(captures.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for provider, snapshot, content in zip(batch["provider_id"], batch["rt_feed_snapshot_id"], batch["content"], strict=True):
