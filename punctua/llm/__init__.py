@@ -1,10 +1 @@
-"""Operators for training-data corpora. Nothing outside this subpackage imports it.
-
-Functions that run in Python tasks are pickled by value, so that executors need no copy of the package.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Operators for training-data corpora. Nothing outside this subpackage imports it."""

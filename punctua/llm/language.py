@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from punctua.llm.common import unit
 from punctua.llm.grams import gram_counts, joined, pieces_of
+from punctua.session import shipped
 
 BINS = 4096
 #: Bytes of a slice of a batch that is encoded at a time; a document counts 20,000 besides its text for its row of counts.
@@ -123,6 +124,7 @@ def crc_mod(n: int) -> Column:
 
 def learn(docs: DataFrame, held_out: Column) -> Model | None:
     """The model of a bounded sample of rows that are not held out; None without any. Features are computed by the executors."""
+    shipped(docs.sparkSession)
     chosen = sample(docs.select("doc_id", "text", "lang"), ~held_out, "lang", SAMPLE_PER_LANGUAGE, MOST_LANGUAGES)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

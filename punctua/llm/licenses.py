@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from punctua.session import shipped
+
 #: The base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Short notices, as words after lower-casing, and the labels the search adds.
@@ -125,4 +127,5 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     characters, within whole words, with their spans in words. score is 1 with a base place, else the best notice's likeness, else
     0. Null and empty texts have no word. One pass over the scan, no shuffle.
     """
+    shipped(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(scan_batches, SCHEMA)

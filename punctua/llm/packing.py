@@ -12,6 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from punctua.session import shipped
+
 WINDOW = 1024
 END_ID = 0
 VOCABULARY = "byte_bpe_50k"
@@ -144,5 +146,6 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCA
     (documents may be cut freely), so that a partition leaves one short window at most. Sequence ids hold the partition's number in
     their upper bits. Null text is empty: one piece, the end id alone. Repeated rows are packed each; an empty table gives no row.
     """
+    shipped(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInPandas(lambda batches: packed(batches, window, vocabulary), PIECE_SCHEMA)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from punctua.llm.grams import gram_counts, pieces_of
 from punctua.llm.language import crc_mod
+from punctua.session import shipped
 
 #: Bytes of a passage; a text is cut into passages from its start to its end.
 PASSAGE = 512
@@ -112,6 +113,7 @@ class AttentionModel:
 
 def learn(docs: DataFrame, labels: DataFrame, held_out: Column) -> AttentionModel | None:
     """The model of a bounded sample of labelled documents that are not held out; None without any. Passages are encoded by the executors."""
+    shipped(docs.sparkSession)
     marks = labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality"))
     # a document with several marks has their least
     marks = marks.groupBy("doc_id").agg(F.min("quality").alias("quality"))

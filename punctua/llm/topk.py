@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from punctua.session import shipped
+
 #: Vectors of one index block, and queries that meet it at a time.
 BLOCK_ROWS = 8192
 QUERY_ROWS = 512
@@ -124,6 +126,7 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     |floor(1024 x)| must be under 2 ** 26. Equal vectors are indexed once with their k + 1 least ids, which loses no result. Blocks of
     the index meet blocks of queries; each pair of blocks answers k rows a query, of which a window takes the best.
     """
+    shipped(vectors.sparkSession)
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     v = v.where(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0)).where(F.forall("e", finite))
