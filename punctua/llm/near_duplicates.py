@@ -3,25 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from punctua.llm.common import dropped, small, written
-from punctua.llm.shingles import in_slices, mixed, set_key
+from punctua.llm.shingles import in_slices, mixed, ordered, set_keys
+from punctua.session import shipped
 
 #: Two sets link when SIMILAR percent of their union is shared.
 SIMILAR = 80
 #: A shingle is frequent when more prefixes hold it.
-FREQUENT = 48
+FREQUENT = 8
 #: Sets of fewer shingles index single frequent shingles, larger ones pairs.
 PAIRS_FROM = 64
 #: Bits of a broadcast bitmap: for each key, and at most (32 MB).
 BITS_A_KEY, MOST_BITS = 16, 1 << 28
 #: How far beyond its prefix a set's shingles are counted when frequent ones are sought.
-REGION = 1.5
+REGION = 1.25
+#: Rounds in which sets with many frequent shingles are counted whole.
+ROUNDS = 4
+#: Sets that a task remembers, so that it does not repeat them.
+MOST_SEEN = 1_000_000
 
 #: Bands of set sizes: sets that may link lie in one band or in neighbouring ones.
 EDGES = [1]
@@ -60,8 +66,8 @@ def bitmap_of(df: DataFrame, column: str) -> Bitmap:
     return Bitmap(bits, words)
 
 
-def signatures(s: np.ndarray, frequent: Bitmap) -> np.ndarray:
-    """What a set is indexed under, such that any two linked sets share one.
+def signatures(s: np.ndarray, frequent: Bitmap) -> tuple[np.ndarray, int, int]:
+    """What a set is indexed under, such that any two linked sets share one; how many of these are rare shingles; how many frequent shingles the set has.
 
     Shingles stand in one global order: rare ones by hash, then frequent ones by hash. With enough rare ones the prefix is those
     alone, each a signature. Otherwise it is extended over frequent shingles, which count only as members of pairs: they are dealt
@@ -72,7 +78,7 @@ def signatures(s: np.ndarray, frequent: Bitmap) -> np.ndarray:
     often = frequent.holds(s)
     rare = s[~often]
     if len(rare) >= need:
-        return rare[:need]
+        return rare[:need], need, int(often.sum())
     left, held = need - len(rare), s[often]
     band = int(np.searchsorted(BANDS, len(s), side="right")) - 1
     found = [rare]
@@ -94,81 +100,122 @@ def signatures(s: np.ndarray, frequent: Bitmap) -> np.ndarray:
             if not same.any():
                 break
             found.append(mixed((taken[:-gap][same] * np.uint64(3) + mixed(taken[gap:][same])) ^ tag))
-    return np.concatenate(found)
+    return np.concatenate(found), len(rare), len(held)
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, n, node (a key of the set; null without words), region (the first shingles by hash, prefix and beyond)."""
+    """doc_id, n, node (a key of the set; null without words), region (the first shingles by hash, prefix and beyond, as ascending longs)."""
+    schema = "doc_id long, n long, node long, region array<long>"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch["doc_id"].astype("Int64"), batch["text"].to_numpy()
-            for part, sets in in_slices(texts):
-                rows = [(len(s), set_key(s) if len(s) else None, s[: int(need_of(len(s)) * REGION)].view(np.int64)) for s in sets]
-                out = pd.DataFrame(rows, columns=["n", "node", "region"])
-                out["node"] = pd.array([r[1] for r in rows], dtype="Int64")
-                out.insert(0, "doc_id", ids[part].array)
-                yield out
+            texts, ids = batch["text"].to_numpy(zero_copy_only=False), batch["doc_id"]
+            for part, values, edges in in_slices(texts):
+                n = np.diff(edges)
+                take = np.minimum(n, ((n * (100 - SIMILAR) // 100 + 1) * REGION).astype(np.int64))
+                spot = np.arange(len(values)) - np.repeat(edges[:-1], n)
+                region = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(take)]).astype(np.int32), pa.array(ordered(values[spot < np.repeat(take, n)])))
+                yield pa.RecordBatch.from_arrays([ids[part], pa.array(n), pa.array(set_keys(values, edges), mask=n == 0), region], ["doc_id", "n", "node", "region"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n long, node long, region array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+
+
+def short_sets(table: DataFrame, frequent: Bitmap) -> DataFrame:
+    """node: sets whose region holds too few rare shingles, so that their prefix reaches beyond it."""
+    shared = table.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            region, n = batch["region"], batch["n"].to_numpy()
+            edges = region.offsets.to_numpy()
+            before = np.concatenate([[0], np.cumsum(~shared.value.holds(region.values.to_numpy()))])
+            rare = before[edges[1:]] - before[edges[:-1]]
+            short = (rare < n * (100 - SIMILAR) // 100 + 1) & (np.diff(edges) < n)
+            yield batch.select(["node"]).filter(pa.array(short))
+
+    return table.select("node", "n", "region").mapInArrow(run, "node long").distinct()
+
+
+def frequent_shingles(docs: DataFrame, table: DataFrame) -> Bitmap:
+    """The shingles that more than FREQUENT sets may be indexed under, counted over all sets.
+
+    Prefixes lie in the counted regions, but for sets that hold many frequent shingles. Those sets are counted whole, which may find
+    more frequent shingles and so more such sets, until there are none (or ROUNDS are over: lists may then be longer, never wrong)."""
+    often = written(table.select(F.explode("region").alias("s")).groupBy("s").count().where(F.col("count") > FREQUENT).select("s"), "frequent")
+    frequent, known = bitmap_of(often, "s"), 0
+    for _ in range(ROUNDS):
+        short = written(short_sets(table, frequent), "short")
+        marks = bitmap_of(short, "node")
+        n = short.count()
+        if n <= known:
+            break
+        known = n
+        whole = sets_of(docs, marks).select(F.explode("shingles").alias("s")).groupBy("s").count().where(F.col("count") > FREQUENT).select("s")
+        often = written(often.union(whole).distinct(), "frequent")
+        frequent = bitmap_of(often, "s")
+    return frequent
+
+
+def once(values: np.ndarray, edges: np.ndarray, seen: set[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers and keys of a slice's sets that are not empty and were not seen in this partition before."""
+    keys, kept = set_keys(values, edges), []
+    for i in np.flatnonzero(np.diff(edges)):
+        if int(keys[i]) not in seen:
+            kept.append(i)
+            if len(seen) < MOST_SEEN:
+                seen.add(int(keys[i]))
+    return np.array(kept, dtype=np.int64), keys
 
 
 def index_of(docs: DataFrame, frequent: Bitmap) -> DataFrame:
-    """sig, node, n: the signatures of each distinct set."""
+    """sig, node, n, most: the signatures of each distinct set, once in each partition.
+
+    most: what the set can share with one that it meets under this signature alone. Sets that index frequent shingles index all their
+    rare ones too; two of them that share no rare one have only frequent ones in common."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for _, sets in in_slices(batch["text"].to_numpy()):
-                sigs, nodes, sizes = [], [], []
-                for s in sets:
-                    node = set_key(s) if len(s) else None
-                    if node is None or node in seen:
-                        continue
-                    if len(seen) < 1_000_000:
-                        seen.add(node)
-                    sigs.append(signatures(s, shared.value).view(np.int64))
-                    nodes.append(node)
-                    sizes.append(len(s))
-                if sigs:
-                    each = [len(x) for x in sigs]
-                    yield pd.DataFrame({"sig": np.concatenate(sigs), "node": np.repeat(np.array(nodes, dtype=np.int64), each), "n": np.repeat(np.array(sizes, dtype=np.int64), each)})
-
-    return docs.select("text").mapInPandas(run, "sig long, node long, n long")
-
-
-def kept_by(df: DataFrame, column: str, marks: Bitmap) -> DataFrame:
-    """Rows whose key a bitmap holds: a filter before a shuffle."""
+            for _, values, edges in in_slices(batch["text"].to_numpy(zero_copy_only=False)):
+                kept, keys = once(values, edges, seen)
+                found = [signatures(values[edges[i] : edges[i + 1]], shared.value) for i in kept]
+                if found:
+                    each = np.array([len(sigs) for sigs, _, _ in found])
+                    n = np.diff(edges)[kept]
+                    most = np.concatenate([np.repeat([size, often], [rare, len(sigs) - rare]) for size, (sigs, rare, often) in zip(n, found, strict=True)])
+                    columns = [ordered(np.concatenate([sigs for sigs, _, _ in found])), np.repeat(keys[kept], each), np.repeat(n, each), most]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "node", "n", "most"])
+
+    return docs.select("text").mapInArrow(run, "sig long, node long, n long, most long")
+
+
+def kept_by(df: DataFrame, columns: tuple[str, ...], marks: Bitmap) -> DataFrame:
+    """Rows of which a bitmap holds one of the key columns: a filter before a shuffle."""
     shared = df.sparkSession.sparkContext.broadcast(marks)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch[shared.value.holds(batch[column].to_numpy())]
+            yield batch.filter(pa.array(np.logical_or.reduce([shared.value.holds(batch[c].fill_null(0).to_numpy()) for c in columns])))
 
-    return df.mapInPandas(run, df.schema)
+    return df.mapInArrow(run, df.schema)
 
 
 def sets_of(docs: DataFrame, nodes: Bitmap) -> DataFrame:
-    """node, shingles: the whole sets of the nodes that a bitmap holds."""
+    """node, shingles: the whole sets of the nodes that a bitmap holds, once in each partition."""
     shared = docs.sparkSession.sparkContext.broadcast(nodes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for _, sets in in_slices(batch["text"].to_numpy()):
-                found = []
-                for s in sets:
-                    node = set_key(s) if len(s) else None
-                    if node is None or node in seen or not shared.value.holds(np.array([node]))[0]:
-                        continue
-                    if len(seen) < 1_000_000:
-                        seen.add(node)
-                    found.append((node, s.view(np.int64)))
-                if found:
-                    yield pd.DataFrame(found, columns=["node", "shingles"])
+            for _, values, edges in in_slices(batch["text"].to_numpy(zero_copy_only=False)):
+                kept, keys = once(values, edges, seen)
+                kept = kept[shared.value.holds(keys[kept])] if len(kept) else kept
+                if len(kept):
+                    rows = pa.array([ordered(values[edges[i] : edges[i + 1]]) for i in kept], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[kept]), rows], ["node", "shingles"])
 
-    return docs.select("text").mapInPandas(run, "node long, shingles array<long>")
+    return docs.select("text").mapInArrow(run, "node long, shingles array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -192,12 +239,24 @@ def components(edges: DataFrame) -> DataFrame:
         edges = fresh
 
 
+def likely(pairs: DataFrame, lows: DataFrame) -> DataFrame:
+    """The pairs (a, b) that may still link by the least hashes of both sets: what these share, and at most all of the rest of the smaller rest."""
+    side = lambda k, v: lows.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("low").alias(v))
+    rows = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    rows = rows.where(F.least("n_a", "n_b") * 100 >= SIMILAR * F.greatest("n_a", "n_b"))
+    # up to the lesser of the last hashes both sets are known whole
+    upto = F.least(F.element_at("x", -1), F.element_at("y", -1))
+    known = lambda v: F.size(F.filter(v, lambda h: h <= upto))
+    most = F.size(F.array_intersect("x", "y")) + F.least(F.col("n_a") - known("x"), F.col("n_b") - known("y"))
+    return rows.where(most * (100 + SIMILAR) >= SIMILAR * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
 def linked_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b, n_a, n_b) whose sets link, by counting what their whole sets share."""
+    """The pairs (a, b) whose whole sets link."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").where(both * 100 >= SIMILAR * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(both * 100 >= SIMILAR * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -206,56 +265,70 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Two documents link when 80 % of the union of their sets of five-word shingles is shared. Equal sets are one node. Lists of the
     index are not expanded into pairs: first each list's nodes are compared with one hub, then with a hub drawn for each list, and
     only what is still apart is compared with all, so a large group of copies costs its size and not its square, while no link
-    between components is missed. Documents without words link with nothing. Rows with equal ids are judged by their own texts;
-    null ids never name a component unless all of its ids are null.
+    between components is missed. Pairs are first held against the least hashes of both sets, then verified on whole sets.
+    Documents without words link with nothing. Rows with equal ids are judged by their own texts; null ids never name a component
+    unless all of its ids are null.
     """
+    shipped(docs.sparkSession)
     table = written(described(docs), "sets")
-    often = table.select(F.explode("region").alias("s")).groupBy("s").count().where(F.col("count") > FREQUENT)
-    frequent = bitmap_of(written(often.select("s"), "frequent"), "s")
-    index = written(index_of(docs, frequent), "index")
-    lists = index.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("__last"), F.min_by("node", F.xxhash64("sig", "node")).alias("other"))
-    lists = written(lists.where("hub <> __last").drop("__last"), "lists")
-    postings = written(kept_by(index, "sig", bitmap_of(lists, "sig")).join(lists, "sig").select("sig", "node", "n", "hub", "other"), "postings")
+    index = written(index_of(docs, frequent_shingles(docs, table)), "index")
+    # the hub of a list is a node with the fewest rare shingles, which in a group of copies is the nearest to their common text
+    bits = F.lit((1 << 40) - 1)
+    central = (F.col("n") - F.col("most")) * (1 << 40)
+    orders = {"hub": central + F.col("node").bitwiseAND(bits), "other": central + F.col("node").bitwiseXOR(F.col("sig")).bitwiseAND(bits)}
+    chosen = [F.min_by(c, o).alias(f"{h}_{c}") for h, o in orders.items() for c in ("node", "n", "most")]
+    lists = index.groupBy("sig").agg(F.min("node").alias("__a"), F.max("node").alias("__z"), F.min("n").alias("least"), *chosen)
+    lists = written(lists.where("__a <> __z").drop("__a", "__z"), "lists")
+    postings = written(kept_by(index, ("sig",), bitmap_of(lists, "sig")).join(lists, "sig").distinct(), "postings")
     dropped(index)
+    low = F.slice("region", F.lit(1), (F.floor(F.col("n") * (100 - SIMILAR) / 100) + 1).cast("int"))
     nodes = postings.select("node").distinct()
-    sets = written(sets_of(docs, bitmap_of(written(nodes, "nodes"), "node")).dropDuplicates(["node"]).join(nodes, "node", "left_semi"), "whole")
-    sizes = written(postings.select("node", "n").distinct(), "sizes")
+    lows = kept_by(table.where(F.col("node").isNotNull()), ("node",), bitmap_of(nodes, "node"))
+    lows = written(lows.select("node", "n", low.alias("low")).dropDuplicates(["node"]), "lows")
+    links, tried = [], []
 
-    def close(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs of different nodes whose sizes allow a link."""
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Components by all links so far and those among the pairs (a, b, not yet tried)."""
         pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
-        return pairs.where(F.least("n_a", "n_b") * 100 >= SIMILAR * F.greatest("n_a", "n_b"))
-
-    # first round: the same hub for all lists of a group
-    tried = written(close(postings.select(F.col("hub").alias("a"), F.col("node").alias("b"))), "pairs")
-    links = written(linked_pairs(tried, sets), "links")
-    groups = components(links)
-
-    def placed(rows: DataFrame, *columns: str) -> DataFrame:
+        for earlier in tried:
+            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
+        pairs = written(pairs, "pairs")
+        near = written(likely(pairs, lows), "likely")
+        wanted = written(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+        whole = written(sets_of(docs, bitmap_of(wanted, "node")), "whole").dropDuplicates(["node"])
+        tried.append(pairs)
+        links.append(written(linked_pairs(near, whole), "links"))
+        return components(reduce(DataFrame.union, links))
+
+    def placed(rows: DataFrame, groups: DataFrame, *columns: str) -> DataFrame:
         """rows with the component of each of the columns' nodes; a node without links is its own."""
         for c in columns:
             found = groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_group"))
             rows = rows.join(found, c, "left").withColumn(f"{c}_group", F.coalesce(f"{c}_group", c))
         return rows
 
-    # second round: a hub drawn for each list, for nodes that are still apart from it
-    apart = placed(postings, "node", "other").where("node_group <> other_group")
-    pairs = written(close(apart.select(F.col("other").alias("a"), F.col("node").alias("b"))).join(tried, ["a", "b"], "left_anti"), "pairs")
-    tried = tried.union(pairs)
-    links = links.union(written(linked_pairs(pairs, sets), "links"))
-    groups = components(links)
+    def may(n: str, most: str, m: str, also: str) -> Column:
+        """Sizes and what the two sets can share at most allow a link."""
+        a, b = F.col(n), F.col(m)
+        return (F.least(a, b) * 100 >= SIMILAR * F.greatest(a, b)) & (F.least(most, also) * (100 + SIMILAR) >= SIMILAR * (a + b))
+
+    def met(rows: DataFrame, hub: str) -> DataFrame:
+        """Each row's node beside the list's hub."""
+        return rows.where(may("n", "most", f"{hub}_n", f"{hub}_most")).select(F.col(f"{hub}_node").alias("a"), F.col("node").alias("b"))
+
+    # first round: the same hub for all lists of a group; second: a hub drawn for each list, for nodes that are still apart from it
+    groups = verified(met(postings, "hub"))
+    groups = verified(met(placed(postings, groups, "node", "other_node").where("node_group <> other_node_group"), "other"))
     # last round: within each list all pairs of nodes that are still in different components
-    rows = placed(postings.select("sig", "node", "n"), "node")
+    alone = F.greatest("least", F.ceil(F.col("n") * SIMILAR / 100))
+    hopeful = postings.where(F.col("most") * (100 + SIMILAR) >= SIMILAR * (F.col("n") + alone))
+    rows = placed(hopeful.select("sig", "node", "n", "most"), groups, "node")
     mixed_lists = rows.groupBy("sig").agg(F.min("node_group").alias("x"), F.max("node_group").alias("y")).where("x <> y").select("sig")
-    rows = written(rows.join(mixed_lists, "sig", "left_semi").distinct(), "apart")
-    other = rows.select("sig", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("node_group").alias("b_group"))
-    meet = rows.join(other, "sig").where((F.col("node") < F.col("b")) & (F.col("node_group") != F.col("b_group")))
-    meet = meet.where(F.least("n", "n_b") * 100 >= SIMILAR * F.greatest("n", "n_b"))
-    pairs = meet.select(F.col("node").alias("a"), "b", F.col("n").alias("n_a"), "n_b").distinct().join(tried, ["a", "b"], "left_anti")
-    links = links.union(written(linked_pairs(written(pairs, "pairs"), sets), "links"))
-    groups = components(links)
-    members = placed(table.select("doc_id", "n", "node"), "node")
+    rows = written(rows.join(mixed_lists, "sig", "left_semi"), "apart")
+    other = rows.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("most").alias("also"), F.col("node_group").alias("b_group"))
+    meet = rows.join(other, "sig").where((F.col("node") < F.col("b")) & (F.col("node_group") != F.col("b_group")) & may("n", "most", "m", "also"))
+    groups = verified(meet.select(F.col("node").alias("a"), "b"))
+    members = placed(table.select("doc_id", "n", "node"), groups, "node")
     names = members.where(F.col("node").isNotNull()).groupBy("node_group").agg(F.min("doc_id").alias("component_id"))
     named = members.join(names, "node_group", "left")
     label = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
 
 from punctua.llm.grams import pieces_of
 
 WIDTH = 5
-SPACE = np.zeros(256, dtype=bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+SPACES = [9, 10, 11, 12, 13, 32]
+#: A random odd value for each byte; white space counts nothing.
 BYTE_VALUE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-STEP, FOLD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+BYTE_VALUE[SPACES] = 0
+STEP, FOLD = 0x9E3779B97F4A7C15, np.uint64(0xD1342543DE82EF95)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -21,51 +25,74 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+@lru_cache(2)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of STEP and of its inverse (modulo 2 ** 64) up to n."""
+    both = []
+    for base in (STEP, pow(STEP, -1, 1 << 64)):
+        steps = np.full(n, base, dtype=np.uint64)
+        steps[0] = 1
+        both.append(np.cumprod(steps))
+    return both[0], both[1]
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts in order, and the number of each word's text. Words are runs of anything but ASCII white space, A-Z lower-cased."""
+    """64-bit hashes of the words of all texts in order, and the number of words before each text. Words are runs of anything but ASCII white space, A-Z lower-cased.
+
+    A word's hash is a polynomial in its bytes: summed with the powers of their places in the batch, then divided by that of its start."""
     sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
     data = np.frombuffer(b" ".join(texts).translate(LOWER) + b" ", dtype=np.uint8)
-    inside = ~SPACE[data]
-    starts = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]]))
+    values = BYTE_VALUE[data]
+    inside = values != 0
+    starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+    if inside[0]:
+        starts = np.concatenate([[0], starts])
+    up, down = powers(1 << max(20, int(len(data) - 1).bit_length()))
+    edges = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
     if not len(starts):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    spot = np.arange(len(data)) - np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(data)]])))
-    longest = int(spot[inside].max()) + 1
-    powers = np.cumprod(np.full(longest, STEP, dtype=np.uint64))
-    parts = np.where(inside, BYTE_VALUE[data] * powers[np.minimum(spot, longest - 1)], np.uint64(0))
-    owner = np.repeat(np.arange(len(texts)), sizes)[starts]
-    return mixed(np.add.reduceat(parts, starts)), owner
-
-
-def shingle_sets(texts: list) -> list[np.ndarray]:
-    """For each text the sorted distinct hashes of its five-word shingles; of its whole sequence if it has fewer words; none without words."""
-    words, owner = word_hashes([(t or "").encode("utf-8", "surrogatepass") for t in texts])
-    edges = np.searchsorted(owner, np.arange(len(texts) + 1))
-    rolled = np.zeros(max(0, len(words) - WIDTH + 1), dtype=np.uint64)
+        return np.empty(0, np.uint64), edges
+    return mixed(np.add.reduceat(values * up[: len(data)], starts) * down[starts]), edges
+
+
+def shingle_sets(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct hashes of each text's five-word shingles (of its whole sequence if it has fewer words, none without words), one text after the other, and the edges between texts."""
+    words, edges = word_hashes([(t or "").encode("utf-8", "surrogatepass") for t in texts])
+    counts = np.diff(edges)
+    rolled = np.zeros(len(words), dtype=np.uint64)
+    whole = max(0, len(words) - WIDTH + 1)
     for j in range(WIDTH):
-        rolled = rolled * FOLD + words[j : len(words) - WIDTH + 1 + j] if len(rolled) else rolled
+        rolled[:whole] = rolled[:whole] * FOLD + words[j : j + whole]
     rolled = mixed(rolled)
-    out = []
-    for a, b in zip(edges, edges[1:], strict=False):
+    keep = np.zeros(len(words), dtype=bool)
+    for i in np.flatnonzero(counts):
+        a, b = edges[i], edges[i + 1]
         if b - a >= WIDTH:
-            out.append(np.unique(rolled[a : b - WIDTH + 1]))
-        elif b > a:
-            h = np.uint64(b - a)
-            for w in words[a:b]:
-                h = np.uint64((int(h) * int(FOLD) + int(w)) & 0xFFFFFFFFFFFFFFFF)
-            out.append(mixed(np.array([h ^ np.uint64(0x5BF03635)], dtype=np.uint64)))
+            part = rolled[a : b - WIDTH + 1]
+            part.sort()
+            keep[a] = True
+            np.not_equal(part[1:], part[:-1], out=keep[a + 1 : b - WIDTH + 1])
         else:
-            out.append(np.empty(0, dtype=np.uint64))
-    return out
+            h = int(b - a)
+            for w in words[a:b]:
+                h = (h * int(FOLD) + int(w)) & 0xFFFFFFFFFFFFFFFF
+            rolled[a], keep[a] = mixed(np.array([h ^ 0x5BF03635], dtype=np.uint64))[0], True
+    before = np.concatenate([[0], np.cumsum(keep)])
+    return rolled[keep], before[edges]
 
 
-def in_slices(texts: np.ndarray, most: int = 4_000_000):
-    """Slices of a batch of texts with bounded bytes, and their shingle sets."""
+def in_slices(texts: np.ndarray, most: int = 500_000) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Slices of a batch of texts with bounded bytes, their shingle sets and edges."""
     if len(texts):
         for part in pieces_of(np.array([len(t or "") + 64 for t in texts]), most):
-            yield part, shingle_sets(list(texts[part]))
+            yield part, *shingle_sets(list(texts[part]))
+
+
+def set_keys(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each set, as a signed long (0 for an empty one)."""
+    total = np.concatenate([[np.uint64(0)], np.cumsum(mixed(values ^ np.uint64(0xA0761D6478BD642F)), dtype=np.uint64)])
+    return (total[edges[1:]] - total[edges[:-1]]).view(np.int64)
 
 
-def set_key(s: np.ndarray) -> int:
-    """A 64-bit key of a set, as a signed long."""
-    return int(np.array([mixed(s ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)], dtype=np.uint64).view(np.int64)[0])
+def ordered(values: np.ndarray) -> np.ndarray:
+    """Hashes as signed longs in the same order."""
+    return (values ^ np.uint64(1 << 63)).view(np.int64)
