@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from punctua.functions import kernel as K
 from punctua.operators import alerts as A
-from punctua.operators import facts, rollups
+from punctua.operators import facts, reads, rollups
 from punctua.plans import incremental, publish
 from punctua.plans import read_queries as R
 from punctua.plans import sql as S
@@ -106,7 +106,50 @@ def rebuilt(spark: SparkSession, d: str) -> DataFrame:
     return incremental.missing_days(fact, built, "x", F.lit("2024-01-03").cast("date"), F.lit("2024-01-28").cast("date"))
 
 
+def providers(spark: SparkSession, d: str) -> DataFrame:
+    """Providers with their bounds: one for each nation of the driver's tables."""
+    n = spark.read.parquet(f"{d}/nation.parquet")
+    k = F.col("n_nationkey")
+    return n.select(F.concat(F.lit("P"), k.cast("string")).alias("provider_id"), F.col("n_name").alias("display_name"), F.when(k % 4 != 0, -74.0 + k / 8.0).alias("min_longitude"), F.when(k % 4 != 0, -73.0 + k / 8.0).alias("max_longitude"))
+
+
+def dark_routes(spark: SparkSession, d: str, cap: int = 50) -> DataFrame:
+    """Routes that the schedule has on a day but nothing was seen of, most trips first, with their number before the cap."""
+    key = ["provider_id", "provider_local_date"]
+    dark = R.cancellations(spark, d).where("total_trip_days = 0 AND scheduled_trip_days > 0").select(*key, "route_id", "scheduled_trip_days")
+    totals = dark.groupBy(*key).agg(F.count(F.lit(1)).alias("dark_total"))
+    return reads.top(dark, key, [F.desc("scheduled_trip_days"), F.asc("route_id")], cap).join(totals, key)
+
+
+def route_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """The 30 routes of each window with the lowest bound of punctuality."""
+    rows = reads.in_windows(R.spine(spark, d), ["provider_id"]).where("period = 'current'")
+    rated = reads.rated(reads.project(rows, ["provider_id", "window_grain", "route_id"])).where("known_obs >= 30")
+    return reads.top(rated, ["provider_id", "window_grain"], [F.asc("wilson_lo"), F.asc("route_id")], 30).select("provider_id", "window_grain", "route_id", "known_obs", "otp_pct", "wilson_lo", "rank")
+
+
+def histogram_bins(spark: SparkSession, d: str) -> DataFrame:
+    """A route's delay distribution as (low, high or NULL, count)."""
+    edges = F.array(*(F.lit(e).cast("int") for e in R.DELAY_EDGES))
+    total = reads.project(R.spine(spark, d), ["provider_id", "route_id"]).where(K.total(F.col("hist")) > 0)
+    return total.select("provider_id", "route_id", F.posexplode("hist").alias("bin", "count")).select("provider_id", "route_id", F.get(edges, F.col("bin")).alias("lo_sec"), F.get(edges, F.col("bin") + 1).alias("hi_sec"), "count")
+
+
+def offender_ladders(spark: SparkSession, d: str) -> DataFrame:
+    """As of each date: severe days of each entity in the trailing week and month."""
+    daily = R.offenders(spark, d).withColumn("bad_day", (F.col("severe_delay_count") > 0).cast("int"))
+    key = ["provider_id", "entity_kind", "entity_id", "route_id"]
+    week, month = (reads.rolling_sums(daily, key, ["bad_day"], n) for n in (7, 30))
+    return week.join(month, [*key, "provider_local_date"])
+
+
 QUERIES = {
+    "t60_dim_provider": providers,
+    "t86_histogram_bins": histogram_bins,
+    "t101_shift_cuts": lambda spark, d: reads.rated(reads.project(R.spine(spark, d), ["provider_id", "provider_local_date", K.shift(F.col("hour_of_day_local")).alias("shift")])),
+    "t101_dark_routes": dark_routes,
+    "t103_route_ranks": route_ranks,
+    "t112_offender_ladders": offender_ladders,
     "t20_dim_route": lambda spark, d: dim_route(spark),
     "t20_dim_stop": lambda spark, d: dim_stop(spark),
     "t22_dim_history": lambda spark, d: history(spark),
@@ -126,7 +169,18 @@ QUERIES = {
     "t132_alert_log": alert_log,
 }
 
+ROLLING = "OVER (PARTITION BY entity_kind, entity_id, route_id ORDER BY provider_local_date RANGE BETWEEN INTERVAL {} DAY PRECEDING AND CURRENT ROW)::BIGINT"
 ORACLE_SQL = {
+    "t60_dim_provider": "SELECT 'P' || n_nationkey AS provider_id, n_name AS display_name, CASE WHEN n_nationkey % 4 <> 0 THEN -74.0::DOUBLE + n_nationkey / 8.0::DOUBLE END AS min_longitude, CASE WHEN n_nationkey % 4 <> 0 THEN -73.0::DOUBLE + n_nationkey / 8.0::DOUBLE END AS max_longitude FROM nation",
+    "t86_histogram_bins": S.query(*R.SPINES, f"p AS (SELECT provider_id, route_id, {', '.join(f'sum({h})::BIGINT AS {h}' for h in R.H)} FROM route_spine GROUP BY ALL)",
+      select=" UNION ALL ".join(f"SELECT provider_id, route_id, {R.DELAY_EDGES[i]} AS lo_sec, {R.DELAY_EDGES[i + 1] if i < 20 else 'NULL'}::INT AS hi_sec, h{i} AS count FROM p WHERE {' + '.join(R.H)} > 0" for i in range(21))),
+    "t101_shift_cuts": R.folded("provider_id", f"provider_local_date, {R.DIMS['shift']} AS shift", "provider_local_date, shift"),
+    "t101_dark_routes": S.query(S.FACT, S.SCHEDULE, R.CANCEL, "dark AS (SELECT provider_id, provider_local_date, route_id, scheduled_trip_days FROM cancel WHERE total_trip_days = 0 AND scheduled_trip_days > 0)",
+      select="SELECT *, row_number() OVER (PARTITION BY provider_local_date ORDER BY scheduled_trip_days DESC, route_id)::INT AS rank, count(*) OVER (PARTITION BY provider_local_date) AS dark_total FROM dark QUALIFY rank <= 50"),
+    "t103_route_ranks": S.query(*R.SPINES, R.windows("route_spine", "provider_id"), f"folded AS (SELECT provider_id, window_grain, route_id, {R.SUMS} FROM windowed WHERE period = 'current' GROUP BY ALL), rates AS (SELECT provider_id, window_grain, route_id, {R.RATES} FROM folded WHERE known_obs >= 30)",
+      select="SELECT provider_id, window_grain, route_id, known_obs, otp_pct, wilson_lo, row_number() OVER (PARTITION BY window_grain ORDER BY wilson_lo, route_id)::INT AS rank FROM rates QUALIFY rank <= 30"),
+    "t112_offender_ladders": S.query(S.FACT, S.OFFENDER_SPINE, "b AS (SELECT *, CASE WHEN severe_delay_count > 0 THEN 1 ELSE 0 END AS bad FROM offender_spine)",
+      select=f"SELECT provider_id, entity_kind, entity_id, route_id, provider_local_date, sum(bad) {ROLLING.format(6)} AS bad_day_7d, sum(bad) {ROLLING.format(29)} AS bad_day_30d FROM b"),
     "t20_dim_route": S.query(S.SCHEDULE, select="SELECT provider_id, route_id, count(DISTINCT trip_id) AS trip_count, min(trip_headsign) AS first_headsign FROM trips GROUP BY ALL"),
     "t20_dim_stop": S.query(S.SCHEDULE, select="SELECT provider_id, stop_id, count(DISTINCT trip_id) AS trip_count, min(stop_sequence) AS first_sequence FROM stop_times GROUP BY ALL"),
     "t22_dim_history": """WITH o AS (SELECT k, CASE WHEN k <> 5 THEN 'Line ' || k END AS name FROM range(12) t(k)), n AS (SELECT k, CASE WHEN k <> 5 THEN 'Line ' || k || CASE WHEN k % 3 = 0 THEN ' bis' ELSE '' END END AS name FROM range(1, 14) t(k))
