@@ -26,6 +26,8 @@ BITS_A_KEY, MOST_BITS = 16, 1 << 28
 REGION = 1.25
 #: Rounds in which sets with many frequent shingles are counted whole.
 ROUNDS = 4
+#: Nodes from which on a list is long: its pairs are told from those of other long lists before they leave the join.
+LONG_LIST = 32
 #: Sets that a task remembers, so that it does not repeat them.
 MOST_SEEN = 1_000_000
 
@@ -323,11 +325,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     alone = F.greatest("least", F.ceil(F.col("n") * SIMILAR / 100))
     hopeful = postings.where(F.col("most") * (100 + SIMILAR) >= SIMILAR * (F.col("n") + alone))
     rows = placed(hopeful.select("sig", "node", "n", "most"), groups, "node")
-    mixed_lists = rows.groupBy("sig").agg(F.min("node_group").alias("x"), F.max("node_group").alias("y")).where("x <> y").select("sig")
-    rows = written(rows.join(mixed_lists, "sig", "left_semi"), "apart")
-    other = rows.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("most").alias("also"), F.col("node_group").alias("b_group"))
-    meet = rows.join(other, "sig").where((F.col("node") < F.col("b")) & (F.col("node_group") != F.col("b_group")) & may("n", "most", "m", "also"))
-    groups = verified(meet.select(F.col("node").alias("a"), "b"))
+    mixed_lists = rows.groupBy("sig").agg(F.min("node_group").alias("x"), F.max("node_group").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y").select("sig", "size")
+    rows = written(rows.join(mixed_lists, "sig"), "apart")
+
+    def meetings(rows: DataFrame, *more: str) -> DataFrame:
+        other = rows.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("most").alias("also"), F.col("node_group").alias("b_group"), *(F.col(c).alias(f"b_{c}") for c in more))
+        # of a pair's common long lists (of one kind, rare or frequent, as the bounds differ) only the least counts
+        once = F.array_min(F.array_intersect("sigs", "b_sigs")) == F.col("sig") if more else F.lit(True)
+        return rows.join(other, "sig").where((F.col("node") < F.col("b")) & (F.col("node_group") != F.col("b_group")) & may("n", "most", "m", "also") & once).select(F.col("node").alias("a"), "b")
+
+    long = rows.where(F.col("size") >= LONG_LIST)
+    held = long.groupBy("node", "most").agg(F.collect_list("sig").alias("sigs"))
+    groups = verified(meetings(rows.where(F.col("size") < LONG_LIST)).union(meetings(long.join(held, ["node", "most"]), "sigs")))
     members = placed(table.select("doc_id", "n", "node"), groups, "node")
     names = members.where(F.col("node").isNotNull()).groupBy("node_group").agg(F.min("doc_id").alias("component_id"))
     named = members.join(names, "node_group", "left")
