@@ -97,9 +97,9 @@ def calendar_dates(spark: SparkSession) -> DataFrame:
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alert x informed entity rows of alert snapshots, one in 20 events."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id").where("event_id % 20 = 0")
-    k = F.floor(F.col("event_id") / 20)
+    """Alert x informed entity rows of alert snapshots, one for each event."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id")
+    k = F.col("event_id")
     name = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
     start = F.date_trunc("DAY", F.col("ts")).cast("timestamp_ntz")
     return e.select(
