@@ -159,7 +159,7 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", rules: tuple[Rule, ...] =
 
     Candidates of a rule come from the index and are verified on the text with its pattern; rules without a mandatory trigram (hex)
     scan every text. Null texts have no secret. Candidates are looked up by key; rows that share a key are each verified on their
-    own text, so repeated or null keys give right results too.
+    own text, so repeated keys give right results too. The index holds no null key: rows without a key are candidates of every rule.
     """
     slim = docs.select(key, "text")
     found = small(candidates(slim, rules, key).select(F.col("key").alias("__key"), F.col("rules").alias("__rules")), "candidates")
@@ -172,7 +172,8 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", rules: tuple[Rule, ...] =
 
     for i, rule in enumerate(rules):
         scan_all = query_of(rule) is None
-        wanted = F.rlike(text, F.lit(rule.pattern)) if scan_all else F.coalesce(F.array_contains("__rules", rule.kind), F.lit(False))
+        matched = F.rlike(text, F.lit(rule.pattern))
+        wanted = matched if scan_all else F.when(docs[key].isNull(), matched).otherwise(F.coalesce(F.array_contains("__rules", rule.kind), F.lit(False)))
         parts.append(F.when(wanted, F.transform(spans_of(text, rule), placed(i, rule.kind))).otherwise(nothing))
     return rows.withColumn(name, F.array_sort(F.concat(*parts))).drop("__rules")
 

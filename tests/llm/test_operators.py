@@ -183,6 +183,15 @@ def test_many_secrets(spark):
     assert out["n_assign"] == 3000 and out["spans"].split(",")[-1] == f"assign:{2999 * 16}:{2999 * 16 + 14}"
 
 
+def test_secrets_of_null_ids(spark):
+    texts = ["password = hunter2secret", "AKIA" + "A1B2" * 5, "-----BEGIN RSA PRIVATE KEY-----", "nothing here", None]
+    held = spark.createDataFrame([(k, t) for t in texts for k in (None, None, 3)], "doc_id long, text string")
+    out = secrets.find_secrets(held).collect()
+    assert len(out) == 3 * len(texts)
+    assert all([(s["start"], s["order"], s["end"], s["kind"]) for s in r["secrets"]] == plain_secrets(r["text"] or "") for r in out)
+    assert {r["text"] for r in secrets.redact(held).collect()} == {"[assign]", "[access]", "[pem]", "nothing here", None}
+
+
 def test_redaction(docs, rows):
     out = secrets.redact(docs)
     assert out.columns == docs.columns
