@@ -114,10 +114,12 @@ def mix(rows: DataFrame, seed: str = "mix", weights: tuple[float, ...] = WEIGHTS
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """docs with each row as often as the mix takes it; columns stay. Rows of equal id share the copies of the first of them."""
-    chosen = mix(written(docs.select("doc_id", "source", words_of(F.col("text")).alias("size")), "mix-input"))
-    copies = small(chosen.groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies")), "mix-copies")
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__id"])).where("__copies > 0")
+    """docs with each row as often as the mix takes it; columns stay. Rows are told apart by id, source and text; rows equal in all three share the most copies of them."""
+    digest = F.xxhash64("text")
+    chosen = mix(written(docs.select("doc_id", "source", words_of(F.col("text")).alias("size"), digest.alias("__of")), "mix-input"))
+    copies = small(chosen.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__from"), "__of").agg(F.max("copies").alias("__copies")), "mix-copies")
+    same = docs["doc_id"].eqNullSafe(copies["__id"]) & docs["source"].eqNullSafe(copies["__from"]) & (digest == copies["__of"])
+    taken = docs.join(copies, same).where("__copies > 0")
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
 
 

@@ -106,20 +106,20 @@ def signatures(s: np.ndarray, frequent: Bitmap) -> tuple[np.ndarray, int, int]:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, n, node (a key of the set; null without words), region (the first shingles by hash, prefix and beyond, as ascending longs)."""
-    schema = "doc_id long, n long, node long, region array<long>"
+    """doc_id, digest (of the text), n, node (a key of the set; null without words), region (the first shingles by hash, prefix and beyond, as ascending longs)."""
+    schema = "doc_id long, digest long, n long, node long, region array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = batch["text"].to_numpy(zero_copy_only=False), batch["doc_id"]
+            texts, ids, digests = batch["text"].to_numpy(zero_copy_only=False), batch["doc_id"], batch["digest"]
             for part, values, edges in in_slices(texts):
                 n = np.diff(edges)
                 take = np.minimum(n, ((n * (100 - SIMILAR) // 100 + 1) * REGION).astype(np.int64))
                 spot = np.arange(len(values)) - np.repeat(edges[:-1], n)
                 region = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(take)]).astype(np.int32), pa.array(ordered(values[spot < np.repeat(take, n)])))
-                yield pa.RecordBatch.from_arrays([ids[part], pa.array(n), pa.array(set_keys(values, edges), mask=n == 0), region], ["doc_id", "n", "node", "region"])
+                yield pa.RecordBatch.from_arrays([ids[part], digests[part], pa.array(n), pa.array(set_keys(values, edges), mask=n == 0), region], ["doc_id", "digest", "n", "node", "region"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text").mapInArrow(run, schema)
 
 
 def short_sets(table: DataFrame, frequent: Bitmap) -> DataFrame:
@@ -271,6 +271,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Documents without words link with nothing. Rows with equal ids are judged by their own texts; null ids never name a component
     unless all of its ids are null.
     """
+    return grouped(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """near_duplicates with digest (of the row's text) and first: whether the row's id and text are the least of its component, null ids last."""
     shipped(docs.sparkSession)
     table = written(described(docs), "sets")
     index = written(index_of(docs, frequent_shingles(docs, table)), "index")
@@ -337,21 +342,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     long = rows.where(F.col("size") >= LONG_LIST)
     held = long.groupBy("node", "most").agg(F.collect_list("sig").alias("sigs"))
     groups = verified(meetings(rows.where(F.col("size") < LONG_LIST)).union(meetings(long.join(held, ["node", "most"]), "sigs")))
-    members = placed(table.select("doc_id", "n", "node"), groups, "node")
-    names = members.where(F.col("node").isNotNull()).groupBy("node_group").agg(F.min("doc_id").alias("component_id"))
+    members = placed(table.select("doc_id", "digest", "n", "node"), groups, "node")
+    row = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "digest")
+    names = members.where(F.col("node").isNotNull()).groupBy("node_group").agg(F.min("doc_id").alias("component_id"), F.min(row).alias("least"))
     named = members.join(names, "node_group", "left")
     label = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return named.select("doc_id", F.col("n").alias("n_shingles"), label.alias("component_id"))
+    first = F.col("node").isNull() | row.eqNullSafe(F.col("least"))
+    return named.select("doc_id", F.col("n").alias("n_shingles"), label.alias("component_id"), "digest", first.alias("first"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, the one of the smallest id; columns stay. Repeated rows (equal id and text) become one."""
-    found = written(near_duplicates(docs), "components")
-    away = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    repeated = small(found.groupBy(F.col("doc_id").alias("__twice")).count().where("count > 1").select("__twice"), "repeated")
-    away = small(away, "away")
-    kept = docs.join(away, docs["doc_id"].eqNullSafe(away["__id"]), "left_anti")
-    if repeated.isEmpty():
-        return kept
-    same = docs["doc_id"].eqNullSafe(repeated["__twice"])
-    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    """docs with one document of each component, the one of the smallest id, of the least digest among equal ids; columns stay.
+
+    Rows are told apart by id and text, so rows with equal or null ids stay or go by their own texts. Repeated rows (equal id and text)
+    become one."""
+    found = written(grouped(docs).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__of"), "first"), "components")
+    away = small(found.where(~F.col("first")).select("__id", "__of").distinct(), "away")
+    repeated = small(found.groupBy("__id", "__of").count().where("count > 1").select("__id", "__of"), "repeated")
+    rows = docs.withColumn("__digest", F.xxhash64("text"))
+    same = lambda keys: rows["doc_id"].eqNullSafe(keys["__id"]) & (rows["__digest"] == keys["__of"])
+    kept = rows.join(away, same(away), "left_anti")
+    if not repeated.isEmpty():
+        once = kept.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "text"])
+        kept = kept.join(repeated, same(repeated), "left_anti").unionByName(once)
+    return kept.drop("__digest")

@@ -148,6 +148,25 @@ def test_shared_passage(spark):
     assert got == {i: least[root] for i, root in enumerate(roots)}
 
 
+def test_deduplication_by_row(spark):
+    a, b, c = (" ".join(f"{name}{i}" for i in range(60)) for name in "abc")
+    near = b + " more"
+    held = [(5, a), (5, near), (3, b), (None, c), (None, near), (None, c + " more"), (None, "alone"), (None, "alone"), (7, None), (None, None)]
+    kept = near_duplicates.deduplicated(spark.createDataFrame(held, "doc_id long, text string")).collect()
+    got = Counter((r["doc_id"], r["text"]) for r in kept)
+    assert sum(got[None, t] for t in (c, c + " more")) == 1
+    del got[None, c], got[None, c + " more"]
+    assert got == Counter([(5, a), (3, b), (None, "alone"), (7, None), (None, None)])
+
+
+def test_mixed_documents_of_null_ids(spark):
+    held = spark.createDataFrame([(None, f"w{i} " * (1 + i % 9), f"s{i % 2}") for i in range(400)], "doc_id long, text string, source string")
+    out = mixing.mixed_documents(held).groupBy("source").agg(F.sum(mixing.words_of(F.col("text"))).alias("got"))
+    goals = mixing.mix_documents(held).groupBy("source").agg(F.first("target").alias("target"))
+    rows = out.join(goals, "source").collect()
+    assert len(rows) == 2 and all(abs(r["got"] - r["target"]) <= 9 for r in rows)
+
+
 def plain_secrets(text):
     found = []
     for i, rule in enumerate(secrets.RULES):
