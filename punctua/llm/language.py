@@ -51,10 +51,10 @@ NOISE = np.array([b < 128 and not (97 <= b <= 122 or 65 <= b <= 90 or b == 32) f
 
 
 def codewords(n: int, seed: int = 7) -> np.ndarray:
-    """n codewords of bits -1, 1. Up to 7 languages: the exhaustive code; beyond that, random distinct splits, 15 bits for each doubling."""
+    """n codewords of bits -1, 1. Up to 8 languages: the exhaustive code (at 8 fewer balanced splits exist than are wanted); beyond that, random distinct splits, 15 bits for each doubling."""
     if n <= 1:
         return np.ones((n, 1))
-    if n <= 7:
+    if n <= 8:
         splits = [(0, *rest) for rest in itertools.product((0, 1), repeat=n - 1)][1:]
         return 2.0 * np.array(splits).T - 1
     rng, columns = np.random.default_rng(seed), {}

@@ -319,6 +319,15 @@ def test_codewords():
         assert min(apart) >= (2 ** (n - 2) if n <= 7 else 10)
 
 
+def test_codewords_of_every_number():
+    for n in range(1, 41):
+        code = language.codewords(n)
+        assert code.shape[0] == n and set(np.unique(code)) <= {-1, 1}
+        assert len({tuple(row) for row in code}) == n
+    eight = language.codewords(8)
+    assert eight.shape == (8, 127) and min((eight[i] != eight[j]).sum() for i in range(8) for j in range(i)) == 64
+
+
 def test_quality(spark, docs, rows, empty):
     marks = [(r[0], int(not (r[1] or "").endswith("!!")), 0) for r in rows if r[0] < 1000]
     labels = spark.createDataFrame(marks + [(None, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
