@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punctua.constants import BANDS, DELAY_EDGES, GAP_EDGES
+from punctua.constants import BANDS, DELAY_EDGES, GAP_EDGES, RATE_FLOOR
 from punctua.operators import facts, reads, rollups
 from punctua.plans import sql as S
 from punctua.plans.rollup_queries import scheduled
@@ -80,9 +80,9 @@ QUERIES = {
     **{f"t82_network_by_{f}": on_spine(lambda s, f=f: reads.network_folds(s, f)) for f in ("shift", "day_type")},
     "t83_windowed_folds": on_spine(reads.windowed_folds),
     "t84_habits": on_spine(reads.habits),
-    "t84_habits_windowed": on_spine(lambda s: reads.habits(reads.in_windows(s, ["provider_id", "route_id"]).where("window_grain = 'month' AND period = 'current'"), 2)),
+    "t84_habits_windowed": on_spine(lambda s: reads.habits(reads.in_windows(s, ["provider_id", "route_id"]).where("window_grain = 'month' AND period = 'current'"), RATE_FLOOR)),
     "t92_windowed_headway": lambda spark, d: reads.windowed_headway(rollups.route_headway_shift_daily(T.fact(spark, d)), planned(spark)),
-    "t93_weak_stops": lambda spark, d: reads.weak_stops(stops(spark, d), floor=5),
+    "t93_weak_stops": lambda spark, d: reads.weak_stops(stops(spark, d)),
     "t94_weak_stops_scalar": lambda spark, d: reads.weak_stops_scalar(stops(spark, d)),
     "t95_last_30_cancellations": lambda spark, d: reads.last_days(reads.completeness(cancellations(spark, d)), ["provider_id", "route_id"]),
     "t95_last_30_skipped": lambda spark, d: reads.last_days(rollups.route_skipped_stop_daily(T.fact(spark, d)), ["provider_id", "route_id"]),
