@@ -75,12 +75,19 @@ def fuzzy(norm: str) -> list[tuple[int, int, str, float]]:
                 got.append([low, high])
     found = []
     for i, spans in windows.items():
-        label, length, _, pattern = notices[i]
+        label, length, k, pattern = notices[i]
         for low, high in spans:
             low = norm.rfind(" ", 0, low) + 1 if low else 0
             stop = norm.find(" ", min(high, len(norm)))
-            for m in pattern.finditer(norm, low, len(norm) if stop < 0 else stop):
-                found.append((m.start(), m.end(), label, 1 - sum(m.fuzzy_counts) / length))
+            # the best match of a part comes first, so what lies before it is searched again where it can hold a notice
+            parts = [(low, len(norm) if stop < 0 else stop)]
+            while parts:
+                low, stop = parts.pop()
+                for m in pattern.finditer(norm, low, stop):
+                    found.append((m.start(), m.end(), label, 1 - sum(m.fuzzy_counts) / length))
+                    if m.start() - low >= length - k:
+                        parts.append((low, m.start()))
+                    low = m.end()
     return sorted(set(found))
 
 

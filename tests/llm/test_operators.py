@@ -375,6 +375,15 @@ def test_top_k(spark):
     assert topk.search(frame.limit(0)).collect() == []
 
 
+def test_adjacent_licenses():
+    exact, edited = "released under the mit license", "relesed undr the mit license"
+    label = licenses.fuzzy(exact)[0][2]
+    for parts in ([edited, exact], [exact, edited], [edited, edited, exact, edited]):
+        got = [(a, b) for a, b, found, _ in licenses.fuzzy(" ".join(parts)) if found == label]
+        starts = [len(" ".join(parts[:i])) + (i > 0) for i in range(len(parts))]
+        assert got == [(a, a + len(p)) for a, p in zip(starts, parts, strict=True)]
+
+
 def test_licenses(docs, rows, empty):
     out = by_id(licenses.scan_documents(docs))
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
