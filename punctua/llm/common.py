@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
@@ -31,6 +31,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a file of a table whose rows are known to be few.
+ROWS_A_FILE = 100_000
+
+
+def counted(df: DataFrame, name: str, most: int | None = None) -> tuple[DataFrame, int]:
+    """written(), and the rows, counted while they are written. most: a bound of the rows if there is one, so that few rows lie in few files."""
+    seen = Observation()
+    if most is not None:
+        df = df.coalesce(max(1, -(-most // ROWS_A_FILE)))
+    table = written(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return table, seen.get["n"]
+
+
 def dropped(*frames: DataFrame) -> None:
     """Delete written tables that nothing reads any more."""
     for df in frames:

@@ -7,10 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punctua.llm.common import dropped, small, written
+from punctua.llm.common import counted, dropped, small, written
 from punctua.llm.shingles import in_slices, mixed, ordered, set_keys
 from punctua.session import shipped
 
@@ -54,18 +55,30 @@ class Bitmap:
         return (self.words[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def bitmap_of(df: DataFrame, column: str) -> Bitmap:
-    """A bitmap of a column's longs, built by the executors in pieces of 4 KB."""
-    bits = 1 << 15
-    n = df.count()
-    while bits < min(n * BITS_A_KEY, MOST_BITS):
-        bits *= 2
-    at = F.col(column).bitwiseAND(F.lit(bits - 1))
-    parts = df.groupBy(F.shiftright(at, 15).alias("part")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit((1 << 15) - 1))).alias("map"))
-    words = np.zeros(bits // 8, dtype=np.uint8)
-    for part, piece in parts.collect():  # 8192 pieces at most
-        words[part * 4096 : (part + 1) * 4096] = np.frombuffer(piece, dtype=np.uint8)
-    return Bitmap(bits, words)
+class Marks:
+    """Bitmaps as broadcasts of one run; they are taken back when all that reads them is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.context, self.held = spark.sparkContext, []
+
+    def of(self, df: DataFrame, n: int, *columns: str) -> Broadcast:
+        """A bitmap of the longs in the columns of df, at most n keys, built by the executors in pieces of 4 KB."""
+        bits = 1 << 15
+        while bits < min(n * BITS_A_KEY, MOST_BITS):
+            bits *= 2
+        keys = df.select((F.explode(F.array(*columns)) if len(columns) > 1 else F.col(columns[0])).alias("key"))
+        at = F.col("key").bitwiseAND(F.lit(bits - 1))
+        parts = keys.groupBy(F.shiftright(at, 15).alias("part")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit((1 << 15) - 1))).alias("map"))
+        words = np.zeros(bits // 8, dtype=np.uint8)
+        for part, piece in parts.collect():  # 8192 pieces at most
+            words[part * 4096 : (part + 1) * 4096] = np.frombuffer(piece, dtype=np.uint8)
+        self.held.append(self.context.broadcast(Bitmap(bits, words)))
+        return self.held[-1]
+
+    def taken_back(self) -> None:
+        for shared in self.held:
+            shared.destroy()
+        self.held.clear()
 
 
 def signatures(s: np.ndarray, frequent: Bitmap) -> tuple[np.ndarray, int, int]:
@@ -105,140 +118,186 @@ def signatures(s: np.ndarray, frequent: Bitmap) -> tuple[np.ndarray, int, int]:
     return np.concatenate(found), len(rare), len(held)
 
 
+def once(values: np.ndarray, edges: np.ndarray, seen: set[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers and keys of a slice's sets that are not empty and were not seen in this partition before."""
+    keys, kept = set_keys(values, edges), []
+    for i in np.flatnonzero(np.diff(edges)):
+        if int(keys[i]) not in seen:
+            kept.append(i)
+            if len(seen) < MOST_SEEN:
+                seen.add(int(keys[i]))
+    return np.array(kept, dtype=np.int64), keys
+
+
+def distinct_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Shingles, edges, the numbers of the sets not seen in this partition before, and all keys, slice by slice."""
+    seen: set[int] = set()
+    for batch in batches:
+        for _, values, edges in in_slices(batch["text"].to_numpy(zero_copy_only=False)):
+            kept, keys = once(values, edges, seen)
+            if len(kept):
+                yield values, edges, kept, keys
+
+
+def region_of(n: np.ndarray) -> np.ndarray:
+    """How many shingles, the first by hash, are counted of sets of n."""
+    return np.minimum(n, ((n * (100 - SIMILAR) // 100 + 1) * REGION).astype(np.int64))
+
+
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of the text), n, node (a key of the set; null without words), region (the first shingles by hash, prefix and beyond, as ascending longs)."""
+    """doc_id, digest (of the text), n, node (a key of the set; null without words), region (the first shingles by hash, prefix and beyond, as ascending longs; none where the partition had the set before)."""
     schema = "doc_id long, digest long, n long, node long, region array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             texts, ids, digests = batch["text"].to_numpy(zero_copy_only=False), batch["doc_id"], batch["digest"]
             for part, values, edges in in_slices(texts):
-                n = np.diff(edges)
-                take = np.minimum(n, ((n * (100 - SIMILAR) // 100 + 1) * REGION).astype(np.int64))
+                n, (kept, keys) = np.diff(edges), once(values, edges, seen)
+                take = np.zeros(len(n), dtype=np.int64)
+                take[kept] = region_of(n[kept])
                 spot = np.arange(len(values)) - np.repeat(edges[:-1], n)
                 region = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(take)]).astype(np.int32), pa.array(ordered(values[spot < np.repeat(take, n)])))
-                yield pa.RecordBatch.from_arrays([ids[part], digests[part], pa.array(n), pa.array(set_keys(values, edges), mask=n == 0), region], ["doc_id", "digest", "n", "node", "region"])
+                yield pa.RecordBatch.from_arrays([ids[part], digests[part], pa.array(n), pa.array(keys, mask=n == 0), region], ["doc_id", "digest", "n", "node", "region"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text").mapInArrow(run, schema)
 
 
-def short_sets(table: DataFrame, frequent: Bitmap) -> DataFrame:
+def short_sets(table: DataFrame, frequent: Broadcast) -> DataFrame:
     """node: sets whose region holds too few rare shingles, so that their prefix reaches beyond it."""
-    shared = table.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             region, n = batch["region"], batch["n"].to_numpy()
             edges = region.offsets.to_numpy()
-            before = np.concatenate([[0], np.cumsum(~shared.value.holds(region.values.to_numpy()))])
-            rare = before[edges[1:]] - before[edges[:-1]]
-            short = (rare < n * (100 - SIMILAR) // 100 + 1) & (np.diff(edges) < n)
+            before = np.concatenate([[0], np.cumsum(~frequent.value.holds(region.values.to_numpy()))])
+            rare, held = before[edges[1:]] - before[edges[:-1]], np.diff(edges)
+            short = (rare < n * (100 - SIMILAR) // 100 + 1) & (held < n) & (held > 0)
             yield batch.select(["node"]).filter(pa.array(short))
 
-    return table.select("node", "n", "region").mapInArrow(run, "node long").distinct()
+    return table.select("node", "n", "region").mapInArrow(run, "node long")
+
 
+def crowded_shingles(docs: DataFrame, frequent: Broadcast) -> DataFrame:
+    """s: all shingles of the sets that short_sets() finds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for values, edges, kept, _ in distinct_sets(batches):
+            before = np.concatenate([[0], np.cumsum(~frequent.value.holds(values))])
+            n = np.diff(edges)[kept]
+            take, start = region_of(n), edges[kept]
+            short = kept[(before[start + take] - before[start] < n * (100 - SIMILAR) // 100 + 1) & (take < n)]
+            if len(short):
+                yield pa.RecordBatch.from_arrays([pa.array(ordered(np.concatenate([values[edges[i] : edges[i + 1]] for i in short])))], ["s"])
+
+    return docs.select("text").mapInArrow(run, "s long")
 
-def frequent_shingles(docs: DataFrame, table: DataFrame) -> Bitmap:
-    """The shingles that more than FREQUENT sets may be indexed under, counted over all sets.
+
+def frequent_shingles(docs: DataFrame, table: DataFrame, marks: Marks) -> Broadcast:
+    """A bitmap of the shingles that more than FREQUENT sets may be indexed under, counted over all sets.
 
     Prefixes lie in the counted regions, but for sets that hold many frequent shingles. Those sets are counted whole, which may find
     more frequent shingles and so more such sets, until there are none (or ROUNDS are over: lists may then be longer, never wrong)."""
-    often = written(table.select(F.explode("region").alias("s")).groupBy("s").count().where(F.col("count") > FREQUENT).select("s"), "frequent")
-    frequent, known = bitmap_of(often, "s"), 0
+    many = lambda df: df.groupBy("s").count().where(F.col("count") > FREQUENT).select("s")
+    often, n = counted(many(table.select(F.explode("region").alias("s"))), "frequent")
+    frequent, known = marks.of(often, n, "s"), 0
     for _ in range(ROUNDS):
-        short = written(short_sets(table, frequent), "short")
-        marks = bitmap_of(short, "node")
-        n = short.count()
-        if n <= known:
+        short = short_sets(table, frequent).count()
+        if short <= known:
             break
-        known = n
-        whole = sets_of(docs, marks).select(F.explode("shingles").alias("s")).groupBy("s").count().where(F.col("count") > FREQUENT).select("s")
-        often = written(often.union(whole).distinct(), "frequent")
-        frequent = bitmap_of(often, "s")
+        known, before = short, often
+        often, n = counted(often.union(many(crowded_shingles(docs, frequent))).distinct(), "frequent")
+        dropped(before)
+        frequent = marks.of(often, n, "s")
+    dropped(often)
     return frequent
 
 
-def once(values: np.ndarray, edges: np.ndarray, seen: set[int]) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers and keys of a slice's sets that are not empty and were not seen in this partition before."""
-    keys, kept = set_keys(values, edges), []
-    for i in np.flatnonzero(np.diff(edges)):
-        if int(keys[i]) not in seen:
-            kept.append(i)
-            if len(seen) < MOST_SEEN:
-                seen.add(int(keys[i]))
-    return np.array(kept, dtype=np.int64), keys
+def signatures_of(docs: DataFrame, frequent: Broadcast) -> DataFrame:
+    """sig, node: the signatures of each distinct set, once in each partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for values, edges, kept, keys in distinct_sets(batches):
+            found = [signatures(values[edges[i] : edges[i + 1]], frequent.value)[0] for i in kept]
+            yield pa.RecordBatch.from_arrays([pa.array(ordered(np.concatenate(found))), pa.array(np.repeat(keys[kept], [len(x) for x in found]))], ["sig", "node"])
 
+    return docs.select("text").mapInArrow(run, "sig long, node long")
 
-def index_of(docs: DataFrame, frequent: Bitmap) -> DataFrame:
-    """sig, node, n, most: the signatures of each distinct set, once in each partition.
+
+def postings_of(docs: DataFrame, frequent: Broadcast, repeated: Broadcast) -> DataFrame:
+    """sig, node, n, most: of signatures_of() what the bitmap `repeated` holds, with the set's size n.
 
     most: what the set can share with one that it meets under this signature alone. Sets that index frequent shingles index all their
     rare ones too; two of them that share no rare one have only frequent ones in common."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for _, values, edges in in_slices(batch["text"].to_numpy(zero_copy_only=False)):
-                kept, keys = once(values, edges, seen)
-                found = [signatures(values[edges[i] : edges[i + 1]], shared.value) for i in kept]
-                if found:
-                    each = np.array([len(sigs) for sigs, _, _ in found])
-                    n = np.diff(edges)[kept]
-                    most = np.concatenate([np.repeat([size, often], [rare, len(sigs) - rare]) for size, (sigs, rare, often) in zip(n, found, strict=True)])
-                    columns = [ordered(np.concatenate([sigs for sigs, _, _ in found])), np.repeat(keys[kept], each), np.repeat(n, each), most]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "node", "n", "most"])
+        for values, edges, kept, keys in distinct_sets(batches):
+            found = [signatures(values[edges[i] : edges[i + 1]], frequent.value) for i in kept]
+            each = np.array([len(sigs) for sigs, _, _ in found])
+            n = np.diff(edges)[kept]
+            most = np.concatenate([np.repeat([size, often], [rare, len(sigs) - rare]) for size, (sigs, rare, often) in zip(n, found, strict=True)])
+            sigs = ordered(np.concatenate([sigs for sigs, _, _ in found]))
+            held = repeated.value.holds(sigs)
+            yield pa.RecordBatch.from_arrays([pa.array(c[held]) for c in (sigs, np.repeat(keys[kept], each), np.repeat(n, each), most)], ["sig", "node", "n", "most"])
 
     return docs.select("text").mapInArrow(run, "sig long, node long, n long, most long")
 
 
-def kept_by(df: DataFrame, columns: tuple[str, ...], marks: Bitmap) -> DataFrame:
-    """Rows of which a bitmap holds one of the key columns: a filter before a shuffle."""
-    shared = df.sparkSession.sparkContext.broadcast(marks)
+def kept_by(df: DataFrame, column: str, marks: Broadcast) -> DataFrame:
+    """Rows of whose key column a bitmap holds the value: a filter before a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(np.logical_or.reduce([shared.value.holds(batch[c].fill_null(0).to_numpy()) for c in columns])))
+            yield batch.filter(pa.array(marks.value.holds(batch[column].to_numpy())))
 
     return df.mapInArrow(run, df.schema)
 
 
-def sets_of(docs: DataFrame, nodes: Bitmap) -> DataFrame:
-    """node, shingles: the whole sets of the nodes that a bitmap holds, once in each partition."""
-    shared = docs.sparkSession.sparkContext.broadcast(nodes)
+def sets_of(docs: DataFrame, nodes: Broadcast) -> DataFrame:
+    """node, n, low (the hashes below which a linked set has one in common), shingles: the whole sets of the nodes that a bitmap holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for _, values, edges in in_slices(batch["text"].to_numpy(zero_copy_only=False)):
-                kept, keys = once(values, edges, seen)
-                kept = kept[shared.value.holds(keys[kept])] if len(kept) else kept
-                if len(kept):
-                    rows = pa.array([ordered(values[edges[i] : edges[i + 1]]) for i in kept], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[kept]), rows], ["node", "shingles"])
-
-    return docs.select("text").mapInArrow(run, "node long, shingles array<long>")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (the least node it is connected with), by alternating large-star and small-star steps until nothing changes."""
-    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    mark = None
-    while True:
-        state = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if state == mark or state[0] == 0:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        mark = state
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = written(large, "edges")
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a")
-        small = small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
-        fresh = written(small, "edges")
-        dropped(edges, large)
-        edges = fresh
+        for values, edges, kept, keys in distinct_sets(batches):
+            kept = kept[nodes.value.holds(keys[kept])]
+            if len(kept):
+                n = np.diff(edges)[kept]
+                low = pa.array([ordered(values[edges[i] : edges[i] + need_of(int(size))]) for i, size in zip(kept, n, strict=True)], pa.list_(pa.int64()))
+                rows = pa.array([ordered(values[edges[i] : edges[i + 1]]) for i in kept], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[kept]), pa.array(n), low, rows], ["node", "n", "low", "shingles"])
+
+    found = docs.select("text").mapInArrow(run, "node long, n long, low array<long>, shingles array<long>")
+    return found.dropDuplicates(["node"])
+
+
+def labelled(links: DataFrame, n: int) -> DataFrame:
+    """node, component: the least node at most two of the n links (a, b) away, itself included. So nodes of one label are connected.
+
+    A node with more than a thousandth of the links may stand at one end of a third of them. There are 2,000 such nodes at most, so
+    their labels are broadcast, and only the other nodes' links are dealt out by node."""
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    first = both.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("l"), F.count(F.lit(1)).alias("degree")).select("b", F.least("b", "l").alias("l"), "degree")
+    hub = F.col("degree") * 1000 > n
+    hubs = F.broadcast(first.where(hub).select("b", "l"))
+    near = both.join(hubs, "b").union(both.join(hubs, "b", "left_anti").join(first.where(~hub).select("b", "l"), "b").select("b", "a", "l"))
+    return near.groupBy(F.col("a").alias("node")).agg(F.min("l").alias("component"))
+
+
+def components(links: DataFrame, n: int) -> DataFrame:
+    """node, component: a node of each component by n links (a, b), for all nodes that have links. What has one label is contracted until no link is left."""
+    labels = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    first = True
+    while n:
+        step, _ = counted(labelled(links, n), "labels", 2 * n)
+        at = lambda k: step.select(F.col("node").alias(k), F.col("component").alias(f"{k}_group"))  # noqa: E731,B023
+        joined = links.join(at("a"), "a").join(at("b"), "b").where("a_group <> b_group")
+        joined = joined.select(F.least("a_group", "b_group").alias("a"), F.greatest("a_group", "b_group").alias("b")).distinct()
+        links, n = counted(joined, "edges", n)
+        if first:
+            labels, first = step, False
+        else:
+            up = step.select(F.col("node").alias("component"), F.col("component").alias("top"))
+            labels = written(labels.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "labels")
+    return labels
 
 
 def likely(pairs: DataFrame, lows: DataFrame) -> DataFrame:
@@ -277,41 +336,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def grouped(docs: DataFrame) -> DataFrame:
     """near_duplicates with digest (of the row's text) and first: whether the row's id and text are the least of its component, null ids last."""
     shipped(docs.sparkSession)
-    table = written(described(docs), "sets")
-    index = written(index_of(docs, frequent_shingles(docs, table)), "index")
+    marks = Marks(docs.sparkSession)
+    table, n_rows = counted(described(docs), "sets")
+    frequent = frequent_shingles(docs, table, marks)
+    repeated = signatures_of(docs, frequent).groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("sig")
+    repeated, n_lists = counted(repeated, "repeated")
+    found = written(postings_of(docs, frequent, marks.of(repeated, n_lists, "sig")), "found")
     # the hub of a list is a node with the fewest rare shingles, which in a group of copies is the nearest to their common text
     bits = F.lit((1 << 40) - 1)
     central = (F.col("n") - F.col("most")) * (1 << 40)
     orders = {"hub": central + F.col("node").bitwiseAND(bits), "other": central + F.col("node").bitwiseXOR(F.col("sig")).bitwiseAND(bits)}
     chosen = [F.min_by(c, o).alias(f"{h}_{c}") for h, o in orders.items() for c in ("node", "n", "most")]
-    lists = index.groupBy("sig").agg(F.min("node").alias("__a"), F.max("node").alias("__z"), F.min("n").alias("least"), *chosen)
-    lists = written(lists.where("__a <> __z").drop("__a", "__z"), "lists")
-    postings = written(kept_by(index, ("sig",), bitmap_of(lists, "sig")).join(lists, "sig").distinct(), "postings")
-    dropped(index)
-    low = F.slice("region", F.lit(1), (F.floor(F.col("n") * (100 - SIMILAR) / 100) + 1).cast("int"))
-    nodes = postings.select("node").distinct()
-    lows = kept_by(table.where(F.col("node").isNotNull()), ("node",), bitmap_of(nodes, "node"))
-    lows = written(lows.select("node", "n", low.alias("low")).dropDuplicates(["node"]), "lows")
-    links, tried = [], []
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Components by all links so far and those among the pairs (a, b, not yet tried)."""
+    lists = found.groupBy("sig").agg(F.min("node").alias("__a"), F.max("node").alias("__z"), F.min("n").alias("least"), *chosen)
+    lists = lists.where("__a <> __z").drop("__a", "__z")
+    postings, n_postings = counted(found.distinct().join(lists, "sig"), "postings")
+    dropped(repeated, found)
+    sets = written(sets_of(docs, marks.of(postings, min(n_rows, n_postings), "node")), "whole")
+    links, held = [], [0]
+
+    def verified(pairs: DataFrame) -> tuple[DataFrame, int]:
+        """All links so far and those among the pairs (a, b), and their number."""
         pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        for earlier in tried:
-            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        near = written(likely(pairs, lows), "likely")
-        wanted = written(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
-        whole = written(sets_of(docs, bitmap_of(wanted, "node")), "whole").dropDuplicates(["node"])
-        tried.append(pairs)
-        links.append(written(linked_pairs(near, whole), "links"))
-        return components(reduce(DataFrame.union, links))
+        near, n = counted(likely(pairs, sets.select("node", "n", "low")), "likely")
+        whole = kept_by(sets.select("node", "shingles"), "node", marks.of(near, 2 * n, "a", "b"))
+        fresh, n = counted(linked_pairs(near, whole), "links", n)
+        links.append(fresh)
+        held[0] += n
+        dropped(near)
+        return reduce(DataFrame.union, links), held[0]
 
     def placed(rows: DataFrame, groups: DataFrame, *columns: str) -> DataFrame:
         """rows with the component of each of the columns' nodes; a node without links is its own."""
         for c in columns:
-            found = groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_group"))
-            rows = rows.join(found, c, "left").withColumn(f"{c}_group", F.coalesce(f"{c}_group", c))
+            known = groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_group"))
+            rows = rows.join(known, c, "left").withColumn(f"{c}_group", F.coalesce(f"{c}_group", c))
         return rows
 
     def may(n: str, most: str, m: str, also: str) -> Column:
@@ -324,11 +382,13 @@ def grouped(docs: DataFrame) -> DataFrame:
         return rows.where(may("n", "most", f"{hub}_n", f"{hub}_most")).select(F.col(f"{hub}_node").alias("a"), F.col("node").alias("b"))
 
     # first round: the same hub for all lists of a group; second: a hub drawn for each list, for nodes that are still apart from it
-    groups = verified(met(postings, "hub"))
-    groups = verified(met(placed(postings, groups, "node", "other_node").where("node_group <> other_node_group"), "other"))
-    # last round: within each list all pairs of nodes that are still in different components
+    known, n = verified(met(postings, "hub"))
+    groups, _ = counted(labelled(known, n), "labels", 2 * n)
+    known, n = verified(met(placed(postings, groups, "node", "other_node").where("node_group <> other_node_group"), "other"))
+    groups, _ = counted(labelled(known, n), "labels", 2 * n)
+    # last round: within each list all pairs of nodes that are still in different components, but for those with the hub
     alone = F.greatest("least", F.ceil(F.col("n") * SIMILAR / 100))
-    hopeful = postings.where(F.col("most") * (100 + SIMILAR) >= SIMILAR * (F.col("n") + alone))
+    hopeful = postings.where(F.col("most") * (100 + SIMILAR) >= SIMILAR * (F.col("n") + alone)).where("node <> hub_node")
     rows = placed(hopeful.select("sig", "node", "n", "most"), groups, "node")
     mixed_lists = rows.groupBy("sig").agg(F.min("node_group").alias("x"), F.max("node_group").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y").select("sig", "size")
     rows = written(rows.join(mixed_lists, "sig"), "apart")
@@ -340,8 +400,11 @@ def grouped(docs: DataFrame) -> DataFrame:
         return rows.join(other, "sig").where((F.col("node") < F.col("b")) & (F.col("node_group") != F.col("b_group")) & may("n", "most", "m", "also") & once).select(F.col("node").alias("a"), "b")
 
     long = rows.where(F.col("size") >= LONG_LIST)
-    held = long.groupBy("node", "most").agg(F.collect_list("sig").alias("sigs"))
-    groups = verified(meetings(rows.where(F.col("size") < LONG_LIST)).union(meetings(long.join(held, ["node", "most"]), "sigs")))
+    of_node = long.groupBy("node", "most").agg(F.collect_list("sig").alias("sigs"))
+    known, n = verified(meetings(rows.where(F.col("size") < LONG_LIST)).union(meetings(long.join(of_node, ["node", "most"]), "sigs")))
+    groups = components(known, n)
+    marks.taken_back()
+    dropped(postings, sets, rows)
     members = placed(table.select("doc_id", "digest", "n", "node"), groups, "node")
     row = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "digest")
     names = members.where(F.col("node").isNotNull()).groupBy("node_group").agg(F.min("doc_id").alias("component_id"), F.min(row).alias("least"))
