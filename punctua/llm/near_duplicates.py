@@ -70,7 +70,7 @@ class Marks:
         at = F.col("key").bitwiseAND(F.lit(bits - 1))
         parts = keys.groupBy(F.shiftright(at, 15).alias("part")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit((1 << 15) - 1))).alias("map"))
         words = np.zeros(bits // 8, dtype=np.uint8)
-        for part, piece in parts.collect():  # 8192 pieces at most
+        for part, piece in parts.coalesce(8).collect():  # 8192 pieces at most
             words[part * 4096 : (part + 1) * 4096] = np.frombuffer(piece, dtype=np.uint8)
         self.held.append(self.context.broadcast(Bitmap(bits, words)))
         return self.held[-1]
