@@ -57,10 +57,14 @@ def dropped(*frames: DataFrame) -> None:
 BROADCAST_ROWS = 500_000
 
 
+def hinted(df: DataFrame, n: int) -> DataFrame:
+    """A table of n rows of ids or the like, with a broadcast hint if they are within the bound."""
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
 def small(df: DataFrame, name: str) -> DataFrame:
     """A table of ids or the like, written, with a broadcast hint if its counted rows are within the bound."""
-    df = written(df, name)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return hinted(*counted(df, name))
 
 
 def never_null(c: Column) -> Column:

@@ -11,7 +11,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punctua.llm.common import counted, dropped, small, written
+from punctua.llm import common
+from punctua.llm.common import counted, dropped, hinted, small, written
 from punctua.llm.shingles import in_slices, mixed, ordered, set_keys
 from punctua.session import shipped
 
@@ -66,7 +67,7 @@ class Marks:
         bits = 1 << 15
         while bits < min(n * BITS_A_KEY, MOST_BITS):
             bits *= 2
-        keys = df.select((F.explode(F.array(*columns)) if len(columns) > 1 else F.col(columns[0])).alias("key"))
+        keys = reduce(DataFrame.union, [df.select(F.col(c).alias("key")) for c in columns])
         at = F.col("key").bitwiseAND(F.lit(bits - 1))
         parts = keys.groupBy(F.shiftright(at, 15).alias("part")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit((1 << 15) - 1))).alias("map"))
         words = np.zeros(bits // 8, dtype=np.uint8)
@@ -225,57 +226,54 @@ def signatures_of(docs: DataFrame, frequent: Broadcast) -> DataFrame:
 
 
 def postings_of(docs: DataFrame, frequent: Broadcast, repeated: Broadcast) -> DataFrame:
-    """sig, node, n, most: of signatures_of() what the bitmap `repeated` holds, with the set's size n.
+    """node, n, low, postings (array of sig, most): sets with a signature that the bitmap `repeated` holds.
 
-    most: what the set can share with one that it meets under this signature alone. Sets that index frequent shingles index all their
-    rare ones too; two of them that share no rare one have only frequent ones in common."""
+    low: the least hashes, of which sets that link have one in common. most: what the set can share with one that it meets under this
+    signature alone. Sets that index frequent shingles index all their rare ones too; two of them that share no rare one have only
+    frequent ones in common."""
+    kind = pa.struct([("sig", pa.int64()), ("most", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for values, edges, kept, keys in distinct_sets(batches):
-            found = [signatures(values[edges[i] : edges[i + 1]], frequent.value) for i in kept]
-            each = np.array([len(sigs) for sigs, _, _ in found])
-            n = np.diff(edges)[kept]
-            most = np.concatenate([np.repeat([size, often], [rare, len(sigs) - rare]) for size, (sigs, rare, often) in zip(n, found, strict=True)])
-            sigs = ordered(np.concatenate([sigs for sigs, _, _ in found]))
-            held = repeated.value.holds(sigs)
-            yield pa.RecordBatch.from_arrays([pa.array(c[held]) for c in (sigs, np.repeat(keys[kept], each), np.repeat(n, each), most)], ["sig", "node", "n", "most"])
-
-    return docs.select("text").mapInArrow(run, "sig long, node long, n long, most long")
-
-
-def kept_by(df: DataFrame, column: str, marks: Broadcast) -> DataFrame:
-    """Rows of whose key column a bitmap holds the value: a filter before a shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(marks.value.holds(batch[column].to_numpy())))
-
-    return df.mapInArrow(run, df.schema)
+            rows = []
+            for i in kept:
+                s = values[edges[i] : edges[i + 1]]
+                sigs, rare, often = signatures(s, frequent.value)
+                held = np.flatnonzero(repeated.value.holds(sigs))
+                if len(held):
+                    rows.append((keys[i], len(s), ordered(s[: need_of(len(s))]), ordered(sigs[held]), np.where(held < rare, len(s), often)))
+            if rows:
+                node, n, low, sigs, most = zip(*rows, strict=True)
+                ends = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
+                postings = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(most))], fields=list(kind)))
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n), pa.array(low, pa.list_(pa.int64())), postings], ["node", "n", "low", "postings"])
+
+    return docs.select("text").mapInArrow(run, "node long, n long, low array<long>, postings array<struct<sig: long, most: long>>")
 
 
 def sets_of(docs: DataFrame, nodes: Broadcast) -> DataFrame:
-    """node, n, low (the hashes below which a linked set has one in common), shingles: the whole sets of the nodes that a bitmap holds."""
+    """node, shingles: the whole sets of the nodes that a bitmap holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for values, edges, kept, keys in distinct_sets(batches):
             kept = kept[nodes.value.holds(keys[kept])]
             if len(kept):
-                n = np.diff(edges)[kept]
-                low = pa.array([ordered(values[edges[i] : edges[i] + need_of(int(size))]) for i, size in zip(kept, n, strict=True)], pa.list_(pa.int64()))
                 rows = pa.array([ordered(values[edges[i] : edges[i + 1]]) for i in kept], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[kept]), pa.array(n), low, rows], ["node", "n", "low", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[kept]), rows], ["node", "shingles"])
 
-    found = docs.select("text").mapInArrow(run, "node long, n long, low array<long>, shingles array<long>")
-    return found.dropDuplicates(["node"])
+    return docs.select("text").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
 def labelled(links: DataFrame, n: int) -> DataFrame:
     """node, component: the least node at most two of the n links (a, b) away, itself included. So nodes of one label are connected.
 
-    A node with more than a thousandth of the links may stand at one end of a third of them. There are 2,000 such nodes at most, so
+    Few labels are broadcast. Of many, a node with more than a thousandth of the links may stand at one end of a third of them. There are 2,000 such nodes at most, so
     their labels are broadcast, and only the other nodes' links are dealt out by node."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     first = both.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("l"), F.count(F.lit(1)).alias("degree")).select("b", F.least("b", "l").alias("l"), "degree")
+    if 2 * n <= common.BROADCAST_ROWS:
+        near = both.join(F.broadcast(first), "b")
+        return near.groupBy(F.col("a").alias("node")).agg(F.min("l").alias("component"))
     hub = F.col("degree") * 1000 > n
     hubs = F.broadcast(first.where(hub).select("b", "l"))
     near = both.join(hubs, "b").union(both.join(hubs, "b", "left_anti").join(first.where(~hub).select("b", "l"), "b").select("b", "a", "l"))
@@ -287,7 +285,7 @@ def components(links: DataFrame, n: int) -> DataFrame:
     labels = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     first = True
     while n:
-        step, _ = counted(labelled(links, n), "labels", 2 * n)
+        step = hinted(*counted(labelled(links, n), "labels", 2 * n))
         at = lambda k: step.select(F.col("node").alias(k), F.col("component").alias(f"{k}_group"))  # noqa: E731,B023
         joined = links.join(at("a"), "a").join(at("b"), "b").where("a_group <> b_group")
         joined = joined.select(F.least("a_group", "b_group").alias("a"), F.greatest("a_group", "b_group").alias("b")).distinct()
@@ -337,11 +335,13 @@ def grouped(docs: DataFrame) -> DataFrame:
     """near_duplicates with digest (of the row's text) and first: whether the row's id and text are the least of its component, null ids last."""
     shipped(docs.sparkSession)
     marks = Marks(docs.sparkSession)
-    table, n_rows = counted(described(docs), "sets")
+    table = written(described(docs), "sets")
     frequent = frequent_shingles(docs, table, marks)
     repeated = signatures_of(docs, frequent).groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("sig")
     repeated, n_lists = counted(repeated, "repeated")
-    found = written(postings_of(docs, frequent, marks.of(repeated, n_lists, "sig")), "found")
+    held_sets = written(postings_of(docs, frequent, marks.of(repeated, n_lists, "sig")), "found")
+    lows = written(held_sets.select("node", "n", "low").dropDuplicates(["node"]), "lows")
+    found = held_sets.select("node", "n", F.inline("postings"))
     # the hub of a list is a node with the fewest rare shingles, which in a group of copies is the nearest to their common text
     bits = F.lit((1 << 40) - 1)
     central = (F.col("n") - F.col("most")) * (1 << 40)
@@ -349,17 +349,15 @@ def grouped(docs: DataFrame) -> DataFrame:
     chosen = [F.min_by(c, o).alias(f"{h}_{c}") for h, o in orders.items() for c in ("node", "n", "most")]
     lists = found.groupBy("sig").agg(F.min("node").alias("__a"), F.max("node").alias("__z"), F.min("n").alias("least"), *chosen)
     lists = lists.where("__a <> __z").drop("__a", "__z")
-    postings, n_postings = counted(found.distinct().join(lists, "sig"), "postings")
-    dropped(repeated, found)
-    sets = written(sets_of(docs, marks.of(postings, min(n_rows, n_postings), "node")), "whole")
+    postings = written(found.distinct().join(lists, "sig"), "postings")
+    dropped(repeated, held_sets)
     links, held = [], [0]
 
     def verified(pairs: DataFrame) -> tuple[DataFrame, int]:
         """All links so far and those among the pairs (a, b), and their number."""
         pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        near, n = counted(likely(pairs, sets.select("node", "n", "low")), "likely")
-        whole = kept_by(sets.select("node", "shingles"), "node", marks.of(near, 2 * n, "a", "b"))
-        fresh, n = counted(linked_pairs(near, whole), "links", n)
+        near, n = counted(likely(pairs, lows), "likely")
+        fresh, n = counted(linked_pairs(near, sets_of(docs, marks.of(near, 2 * n, "a", "b"))), "links", n)
         links.append(fresh)
         held[0] += n
         dropped(near)
@@ -383,9 +381,9 @@ def grouped(docs: DataFrame) -> DataFrame:
 
     # first round: the same hub for all lists of a group; second: a hub drawn for each list, for nodes that are still apart from it
     known, n = verified(met(postings, "hub"))
-    groups, _ = counted(labelled(known, n), "labels", 2 * n)
+    groups = hinted(*counted(labelled(known, n), "labels", 2 * n))
     known, n = verified(met(placed(postings, groups, "node", "other_node").where("node_group <> other_node_group"), "other"))
-    groups, _ = counted(labelled(known, n), "labels", 2 * n)
+    groups = hinted(*counted(labelled(known, n), "labels", 2 * n))
     # last round: within each list all pairs of nodes that are still in different components, but for those with the hub
     alone = F.greatest("least", F.ceil(F.col("n") * SIMILAR / 100))
     hopeful = postings.where(F.col("most") * (100 + SIMILAR) >= SIMILAR * (F.col("n") + alone)).where("node <> hub_node")
@@ -402,9 +400,9 @@ def grouped(docs: DataFrame) -> DataFrame:
     long = rows.where(F.col("size") >= LONG_LIST)
     of_node = long.groupBy("node", "most").agg(F.collect_list("sig").alias("sigs"))
     known, n = verified(meetings(rows.where(F.col("size") < LONG_LIST)).union(meetings(long.join(of_node, ["node", "most"]), "sigs")))
-    groups = components(known, n)
+    groups = hinted(components(known, n), 2 * n)
     marks.taken_back()
-    dropped(postings, sets, rows)
+    dropped(postings, lows, rows)
     members = placed(table.select("doc_id", "digest", "n", "node"), groups, "node")
     row = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "digest")
     names = members.where(F.col("node").isNotNull()).groupBy("node_group").agg(F.min("doc_id").alias("component_id"), F.min(row).alias("least"))
