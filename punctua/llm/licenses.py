@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
@@ -13,18 +14,28 @@ from punctua.session import shipped
 
 #: The base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Short notices, as words after lower-casing, and the labels the search adds.
+#: Short notices, as words after lower-casing, and the labels the search adds. Words in braces name the license and must stand unchanged.
 NOTICES = {
-    "released under the mit license": "mit",
+    "released under the {mit} license": "mit",
+    "released under the {bsd} license": "bsd",
+    "released under the {isc} license": "isc",
+    "released under the {gpl} license": "gpl",
+    "released under the {apache} license": "apache",
     "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit",
-    "licensed under the apache license version 2 0": "apache",
-    "this work is licensed under the gnu general public license version 3": "gpl",
+    "licensed under the {apache} license version 2 0": "apache",
+    "this work is licensed under the {gnu general public} license version 3": "gpl",
+    "this work is licensed under the {gnu lesser general public} license version 3": "lgpl",
+    "this work is licensed under the {gnu affero general public} license version 3": "agpl",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
     "permission to use copy modify and or distribute this software for any purpose": "isc",
-    "licensed under cc by nc 4 0": "cc-by-nc",
-    "licensed under cc by 4 0": "cc-by",
+    "licensed under {cc by 4} 0": "cc-by",
+    "licensed under {cc by nc 4} 0": "cc-by-nc",
+    "licensed under {cc by nd 4} 0": "cc-by-nd",
+    "licensed under {cc by sa 4} 0": "cc-by-sa",
+    "licensed under {cc by nc nd 4} 0": "cc-by-nc-nd",
+    "licensed under {cc by nc sa 4} 0": "cc-by-nc-sa",
     "this is free and unencumbered software released into the public domain": "unlicense",
-    "subject to the terms of the mozilla public license v 2 0": "mpl",
+    "subject to the terms of the {mozilla public} license v 2 0": "mpl",
 }
 #: Edits allowed: one for so many characters of a notice.
 CHARS_AN_EDIT = 10
@@ -37,36 +48,82 @@ def words_of(text: str) -> list[str]:
     return text.encode("utf-8", "surrogatepass").translate(FOLD).decode("utf-8", "surrogatepass").split(" ")
 
 
+@dataclass(frozen=True)
+class Notice:
+    """A notice in parts: what stands before its naming words, these (empty if it has none), and what stands after."""
+
+    before: str
+    name: str
+    after: str
+    label: str
+
+    @property
+    def text(self) -> str:
+        return self.before + self.name + self.after
+
+    @property
+    def edits(self) -> int:
+        return len(self.text) // CHARS_AN_EDIT
+
+    def pattern(self):
+        """Bounded errors around the naming words, which are whole words, as is the match."""
+        import regex
+
+        near = lambda part: f"(?:{regex.escape(part, literal_spaces=True)}){{e<={self.edits}}}" if part else ""
+        name = f"(?<![^ ]){regex.escape(self.name, literal_spaces=True)}(?![^ ])" if self.name else ""
+        return regex.compile(f"(?<![^ ]){near(self.before)}{name}{near(self.after)}(?![^ ])", regex.BESTMATCH)
+
+
+def parsed() -> list[Notice]:
+    found = []
+    for text, label in NOTICES.items():
+        before, _, rest = text.partition("{")
+        name, _, after = rest.partition("}")
+        found.append(Notice(before, name, after, label))
+    return found
+
+
 @lru_cache(1)
 def searcher():
-    """The seeds' automaton and the notices' fuzzy patterns. A notice with k edits at most, cut into k + 1 parts, holds one part unchanged."""
+    """The seeds' automaton, the notices and their fuzzy patterns. A notice with k edits at most, cut into k + 1 parts, holds one part unchanged."""
     import ahocorasick
-    import regex
 
-    notices, seeds = [], {}
-    for notice, label in NOTICES.items():
-        k = len(notice) // CHARS_AN_EDIT
-        pattern = regex.compile(rf"(?<![^ ])(?:{regex.escape(notice, literal_spaces=True)}){{e<={k}}}(?![^ ])", regex.BESTMATCH)
-        cuts = [round(i * len(notice) / (k + 1)) for i in range(k + 2)]
+    notices, seeds = parsed(), {}
+    for i, notice in enumerate(notices):
+        k, text = notice.edits, notice.text
+        cuts = [round(j * len(text) / (k + 1)) for j in range(k + 2)]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            seeds.setdefault(notice[a:b], []).append((len(notices), a))
-        notices.append((label, len(notice), k, pattern))
+            seeds.setdefault(text[a:b], []).append((i, a))
     automaton = ahocorasick.Automaton()
     for seed, where in seeds.items():
         automaton.add_word(seed, (len(seed), where))
     automaton.make_automaton()
-    return automaton, notices
+    return automaton, notices, [n.pattern() for n in notices]
+
+
+def best_of_places(found: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
+    """Of notices of different labels on one place the likeliest; none where the likeliest are of different labels."""
+    kept = []
+    for hit in found:
+        rivals = [x[3] for x in found if x[2] != hit[2] and x[0] < hit[1] and hit[0] < x[1]]
+        if not rivals or hit[3] > max(rivals):
+            kept.append(hit)
+    return kept
 
 
 def fuzzy(norm: str) -> list[tuple[int, int, str, float]]:
-    """Notices in words joined by single spaces: start, end, label, likeness (1 less the edits' share). Windows around seeds only are searched."""
-    automaton, notices = searcher()
+    """Notices in words joined by single spaces: start, end, label, likeness (1 less the edits' share). Windows around seeds that hold the naming words are searched."""
+    automaton, notices, patterns = searcher()
+    padded = f" {norm} "
+    possible = [f" {n.name} " in padded if n.name else True for n in notices]
     windows: dict[int, list[list[int]]] = {}
     for end, (length, where) in automaton.iter(norm):
         for i, at in where:
+            if not possible[i]:
+                continue
             start = end + 1 - length - at
-            k = notices[i][2]
-            low, high = max(0, start - k), start + notices[i][1] + k
+            k, size = notices[i].edits, len(notices[i].text)
+            low, high = max(0, start - k), start + size + k
             got = windows.setdefault(i, [])
             if got and low <= got[-1][1]:
                 got[-1][1] = max(got[-1][1], high)
@@ -75,20 +132,26 @@ def fuzzy(norm: str) -> list[tuple[int, int, str, float]]:
                 got.append([low, high])
     found = []
     for i, spans in windows.items():
-        label, length, k, pattern = notices[i]
+        notice, pattern = notices[i], patterns[i]
+        k, size = notice.edits, len(notice.text)
         for low, high in spans:
             low = norm.rfind(" ", 0, low) + 1 if low else 0
             stop = norm.find(" ", min(high, len(norm)))
+            stop = len(norm) if stop < 0 else stop
+            # padded is norm shifted by one, so that a name at the end of a window has its space
+            if notice.name and padded.find(f" {notice.name} ", low, stop + 2) < 0:
+                continue
             # the best match of a part comes first, so what lies before it is searched again where it can hold a notice
-            parts = [(low, len(norm) if stop < 0 else stop)]
+            parts = [(low, stop)]
             while parts:
                 low, stop = parts.pop()
                 for m in pattern.finditer(norm, low, stop):
-                    found.append((m.start(), m.end(), label, 1 - sum(m.fuzzy_counts) / length))
-                    if m.start() - low >= length - k:
+                    if sum(m.fuzzy_counts) <= k:
+                        found.append((m.start(), m.end(), notice.label, 1 - sum(m.fuzzy_counts) / size))
+                    if m.start() - low >= size - k:
                         parts.append((low, m.start()))
                     low = m.end()
-    return sorted(set(found))
+    return best_of_places(sorted(set(found)))
 
 
 def scanned(text: str | None) -> tuple:
@@ -131,7 +194,8 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     """One row per row of docs: n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     Base places are where a phrase's words stand consecutively. The fuzzy search adds notices with at most one edit in ten
-    characters, within whole words, with their spans in words. score is 1 with a base place, else the best notice's likeness, else
+    characters, within whole words, with their spans in words; the words that name the license stand unchanged, and of notices of
+    different labels on one place only the likeliest counts (none of equally likely ones). score is 1 with a base place, else the best notice's likeness, else
     0. Null and empty texts have no word. One pass over the scan, no shuffle.
     """
     shipped(docs.sparkSession)

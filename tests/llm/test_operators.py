@@ -384,6 +384,58 @@ def test_adjacent_licenses():
         assert got == [(a, a + len(p)) for a, p in zip(starts, parts, strict=True)]
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def plain_labels(words):
+    """Each notice against every window of words around its naming words."""
+    found = set()
+    for n in licenses.parsed():
+        name = n.name.split()
+        size = len(n.text.split())
+        for at in range(len(words) - len(name) + 1):
+            if words[at : at + len(name)] != name:
+                continue
+            for i in range(max(0, at - size - 3), at + 1):
+                left = " ".join(words[i:at]) + " " * (i < at) if name else ""
+                d = distance(n.before, left) if name else 0
+                if d > n.edits:
+                    continue
+                for j in range(at + len(name), min(len(words), at + size + 4) + 1):
+                    right = " " * (j > at + len(name)) + " ".join(words[at + len(name) : j]) if name else " ".join(words[at:j])
+                    if d + distance(n.after if name else n.before, right) <= n.edits:
+                        found.add(n.label)
+                if not name:
+                    break
+    return found
+
+
+@pytest.mark.parametrize("text, want", [("Released under the BSD license", "bsd"), ("released under the gpl license", "gpl"), ("Released under the ISC license", "isc"), ("Released under the new license", ""),
+    ("Licensed under CC BY-SA 4.0", "cc-by-sa"), ("licensed under cc by nd 4.0", "cc-by-nd"), ("Licensed under CC BY 4.0", "cc-by"), ("licenced under cc by-nc 4.0", "cc-by-nc"), ("released under the summit license", ""),
+    ("This work is licensed under the GNU Lesser General Public License version 3", "gpl,lgpl"), ("relesed under the mit licence", "mit")])
+def test_license_labels(text, want):
+    assert licenses.scanned(text)[5] == want
+
+
+def test_licenses_by_brute_force():
+    rng, letters = random.Random(8), "abcdefghijklmnopqrstuvwxyz 0"
+    for _ in range(150):
+        notice = rng.choice(licenses.parsed())
+        chars = list(notice.text)
+        for _ in range(rng.randint(0, notice.edits + 2)):
+            at = rng.randrange(len(chars))
+            chars[at : at + rng.randint(0, 1)] = rng.choice(["", rng.choice(letters), rng.choice(letters)])
+        words = [w for w in ("some words " + "".join(chars) + " and more").split(" ") if w]
+        hits = {label for _, _, label, _ in licenses.fuzzy(" ".join(words))}
+        assert hits == plain_labels(words), words
+
+
 def test_licenses(docs, rows, empty):
     out = by_id(licenses.scan_documents(docs))
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
