@@ -37,7 +37,7 @@ def trip_delays(fact: DataFrame, today: Column) -> DataFrame:
 
 
 def vehicle_map_with_status(positions: DataFrame, delays: DataFrame) -> DataFrame:
-    """Vehicles with their trip's delay band; a trip seen on several directions gives its latest average, so rows never multiply."""
+    """Vehicles with their trip's delay band; a trip seen on several directions gives its greatest average, so rows never multiply."""
     worst = delays.groupBy("provider_id", "trip_id", "route_id").agg(F.max("avg_delay_seconds").alias("avg_delay_seconds"))
     return positions.join(worst, ["provider_id", "trip_id", "route_id"], "left").withColumn("delay_band", K.delay_band(F.col("avg_delay_seconds")))
 
@@ -50,9 +50,10 @@ def route_lines(shapes: DataFrame) -> DataFrame:
 
 
 def next_departures(updates: DataFrame, now: Column) -> DataFrame:
-    """Departures at or after now of each stop, ranked; updates of the newest snapshot with stop_id, departure_utc, arrival_utc."""
+    """Departures at or after now of each stop in the provider's newest snapshot, ranked; updates with stop_id, departure_utc, arrival_utc."""
     at = F.coalesce("departure_utc", "arrival_utc")
-    rows = updates.withColumn("predicted_utc", at).where(F.col("predicted_utc") >= now)
+    newest = updates.groupBy("provider_id").agg(F.max("rt_feed_snapshot_id").alias("rt_feed_snapshot_id"))
+    rows = updates.join(newest, ["provider_id", "rt_feed_snapshot_id"], "left_semi").withColumn("predicted_utc", at).where(F.col("predicted_utc") >= now)
     return rows.withColumn("departure_rank", F.row_number().over(Window.partitionBy("provider_id", "stop_id").orderBy("predicted_utc", "trip_id", "stop_sequence")))
 
 
@@ -75,7 +76,7 @@ def non_responding(trips: DataFrame, stop_times: DataFrame, running: DataFrame,
 
 
 def live_network(fact: DataFrame) -> DataFrame:
-    """One row a provider of the newest snapshots' trips: bands, on-time share (on time and late of the known), percentiles, bins."""
+    """One row a provider of trips, as facts.latest() gives them: bands, on-time share (on time and late of the known), percentiles, bins."""
     d, m = F.col("delay_seconds"), F.col("delay_seconds") / 60.0
     band = K.delay_band(d)
     known = F.count(d)
@@ -119,6 +120,11 @@ def feed_health(freshness: DataFrame, feeds: DataFrame, least: int = 900) -> Dat
     return rows.select("provider_id", "endpoint_key", "age_seconds", limit.alias("threshold_seconds"), state.alias("state"))
 
 
+def source_lineage(versions: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """Each dataset version with the endpoint that it came from; versions of unknown endpoints go. Endpoints are few and given by hand."""
+    return versions.join(endpoints.select("feed_endpoint_id", "endpoint_key"), "feed_endpoint_id").drop("feed_endpoint_id")
+
+
 def kpis(vehicles: DataFrame, delays: DataFrame, now: Column, stale_seconds: int = 90, n: int = 5) -> DataFrame:
     """Vehicle count, busiest routes and mean delay of fresh data; a stale source gives NULL for its measures."""
     cars = vehicles.groupBy("provider_id").agg(F.max("captured_at_utc").alias("at"), F.count_distinct("vehicle_id").alias("n"))

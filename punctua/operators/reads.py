@@ -250,21 +250,28 @@ def hotspots(problems: DataFrame, route_rates: DataFrame, network_otp: DataFrame
 
 
 def hotspots_by_grain(spine: DataFrame, stop_spine: DataFrame, n: int = 50, tray: int = 60) -> DataFrame:
-    """Routes and stops of each window: those of enough observations by their lower bound, the others by severe count in a tray."""
-    routes = in_windows(spine, ["provider_id"]).where("period = 'current'").groupBy("provider_id", "window_grain", F.lit("route").alias("entity_kind"), F.col("route_id").alias("entity_id")).agg(
-        F.sum("delay_observation_count").alias("obs"), F.sum("severe_delay_count").alias("severe"), F.sum("on_time_observation_count").alias("good")
-    )
-    stops = in_windows(stop_spine.where(F.col("stop_id") != UNKNOWN_STOP), ["provider_id"]).where("period = 'current'").groupBy("provider_id", "window_grain", F.lit("stop").alias("entity_kind"), F.col("stop_id").alias("entity_id")).agg(
-        F.sum("observation_count").alias("obs"), F.sum("severe_delay_count").alias("severe"), (F.sum("observation_count") - F.sum("severe_delay_count")).alias("good")
-    )
-    low, _ = K.wilson(F.col("good"), F.col("obs"))
-    rows = routes.unionByName(stops).withColumn("wilson_lo", low).withColumn("is_tray", F.coalesce(F.col("obs"), F.lit(0)) < RATE_FLOOR)
-    order = [F.when(~F.col("is_tray"), F.col("wilson_lo")).asc_nulls_last(), F.desc("severe"), F.asc("entity_kind"), F.asc("entity_id")]
-    ranked = top(rows, ["provider_id", "window_grain", "is_tray"], order, max(n, tray))
-    return ranked.where(F.col("rank") <= F.when(F.col("is_tray"), tray).otherwise(n))
+    """Routes and stops of each window. Those of enough observations stand on a ladder of their kind by the lower bound of their share
+    without severe delay, then by average delay; the others share a tray by their severe share. otp_delta_points: against the network of the kind."""
+    def of_kind(rows: DataFrame, kind: str, entity: str, count: str) -> DataFrame:
+        key = ["provider_id", "window_grain", F.lit(kind).alias("entity_kind"), F.col(entity).alias("entity_id")]
+        return in_windows(rows, ["provider_id"]).where("period = 'current'").groupBy(*key).agg(F.sum(count).alias("obs"), F.sum("severe_delay_count").alias("severe"), F.sum("sum_delay_seconds").alias("total"))
+
+    rows = of_kind(spine, "route", "route_id", "delay_observation_count").unionByName(of_kind(stop_spine.where(F.col("stop_id") != UNKNOWN_STOP), "stop", "stop_id", "observation_count"))
+    network = rows.groupBy("provider_id", "window_grain", "entity_kind").agg(K.half_away(K.ratio(100.0 * F.sum("severe"), F.sum("obs")), 1).alias("__network"))
+    low, _ = K.wilson(F.col("obs") - F.col("severe"), F.col("obs"))
+    rows = rows.join(F.broadcast(network), ["provider_id", "window_grain", "entity_kind"])  # six rows a provider
+    delta = K.half_away(K.ratio(100.0 * (F.col("obs") - F.col("severe")), F.col("obs")), 0) - (100 - F.col("__network"))
+    is_tray = F.coalesce(F.col("obs"), F.lit(0)) < RATE_FLOOR
+    rows = rows.select(
+        "provider_id", "window_grain", "entity_kind", "entity_id", "obs", "severe", K.half_away(K.ratio(100.0 * F.col("severe"), F.col("obs")), 1).alias("severe_pct"),
+        K.half_away(K.ratio(F.col("total"), F.col("obs")) / 60.0, 1).alias("avg_delay_min"), low.alias("wilson_lo"), is_tray.alias("is_tray"), F.when(~is_tray, F.round(delta, 1)).alias("otp_delta_points"),
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    ladder = top(rows.where("NOT is_tray"), ["provider_id", "window_grain", "entity_kind"], [F.asc("wilson_lo"), zero("avg_delay_min").desc(), F.asc("entity_id")], n)
+    return ladder.unionByName(top(rows.where("is_tray"), ["provider_id", "window_grain"], [zero("severe_pct").desc(), F.asc("entity_id"), F.asc("entity_kind")], tray))
 
 
-def offenders_by_grain(offender_spine: DataFrame, n: int = 50) -> DataFrame:
+def offenders_by_grain(offender_spine: DataFrame, n: int = 50, tray: int = 60) -> DataFrame:
     """Trips and vehicles of the week and month windows: distinct severe and observed days; under three severe days a tray, which needs two."""
     rows = in_windows(offender_spine, ["provider_id"]).where("period = 'current' AND window_grain <> 'day'")
     key = ["provider_id", "window_grain", "entity_kind", "entity_id", "route_id"]
@@ -273,7 +280,8 @@ def offenders_by_grain(offender_spine: DataFrame, n: int = 50) -> DataFrame:
         K.half_away(K.ratio(F.sum("sum_delay_seconds"), F.sum("observation_count")), 1).alias("avg_delay_seconds"),
     ).where("recurrence >= 2")
     found = found.withColumn("is_tray", F.col("recurrence") < 3)
-    return top(found, ["provider_id", "window_grain", "is_tray"], [F.desc("recurrence"), F.desc("avg_delay_seconds"), F.asc("entity_kind"), F.asc("entity_id"), F.asc("route_id")], n)
+    ranked = top(found, ["provider_id", "window_grain", "is_tray"], [F.desc("recurrence"), F.desc("avg_delay_seconds"), F.asc("entity_kind"), F.asc("entity_id"), F.asc("route_id")], max(n, tray))
+    return ranked.where(F.col("rank") <= F.when(F.col("is_tray"), tray).otherwise(n))
 
 
 def rolling_sums(rows: DataFrame, key: Sequence[str], values: Sequence[str], days: int) -> DataFrame:

@@ -272,9 +272,14 @@ def citizen_accountability_daily(route_spine: DataFrame, stop_hourly: DataFrame,
     return rows.select(*key, "affected_route_count", "affected_stop_count", *(n(c).alias(c) for c in ("delayed_trip_count", "severe_delay_count", "alert_count")), score.alias("rider_impact_score"))
 
 
-def route_headway_by_shift(fact: DataFrame) -> DataFrame:
-    """Weekday headways of each route's busiest direction: median, count, variation, gaps under half the median."""
-    starts = trip_starts(fact)
+def recent(fact: DataFrame, now: Column | None, days: int = 14) -> DataFrame:
+    """Facts captured within the retention window before now; all of them without a now."""
+    return fact if now is None else fact.where(F.col("captured_at_utc") >= F.timestamp_add("DAY", F.lit(-days), now))
+
+
+def route_headway_by_shift(fact: DataFrame, now: Column | None = None) -> DataFrame:
+    """Weekday headways of each route's busiest direction over 14 days: median, count, variation, gaps under half the median."""
+    starts = trip_starts(recent(fact, now))
     rank = F.row_number().over(Window.partitionBy("provider_id", "route_id").orderBy(F.desc("n"), "direction_id"))
     busiest = starts.groupBy("provider_id", "route_id", "direction_id").agg(F.count(F.lit(1)).alias("n")).withColumn("__k", rank).where("__k = 1").select("provider_id", "route_id", "direction_id")
     found = gaps(starts.join(busiest, ["provider_id", "route_id", "direction_id"]), ["provider_id", "route_id", "direction_id", "service_date", "shift"])
@@ -285,8 +290,9 @@ def route_headway_by_shift(fact: DataFrame) -> DataFrame:
     return stats.join(near, grain, "left").select(*grain, K.half_away(F.col("median"), 1).alias("observed_headway_min"), "sample_count", cov.alias("headway_cov"), F.coalesce("bunched_count", F.lit(0)).alias("bunched_count"))
 
 
-def route_headway_by_direction_shift(fact: DataFrame) -> DataFrame:
-    starts = trip_starts(fact, weekdays=False).withColumn("service_day_kind", K.day_type(F.col("service_date")))
+def route_headway_by_direction_shift(fact: DataFrame, now: Column | None = None) -> DataFrame:
+    """Headways of each direction by kind of day over 14 days."""
+    starts = trip_starts(recent(fact, now), weekdays=False).withColumn("service_day_kind", K.day_type(F.col("service_date")))
     found = gaps(starts, ["provider_id", "route_id", "direction_id", "service_day_kind", "service_date", "shift"])
     return found.groupBy("provider_id", "route_id", "direction_id", "shift", "service_day_kind").agg(K.half_away(F.percentile("gap_min", 0.5), 1).alias("observed_headway_min"), F.count(F.lit(1)).alias("sample_count"))
 
@@ -295,10 +301,10 @@ def offender_label(recurrence: Column, average: Column) -> Column:
     return F.when((recurrence >= 10) | (average > 600), "critical").when(recurrence >= 5, "high").otherwise("watch")
 
 
-def repeat_offender(fact: DataFrame) -> DataFrame:
-    """Trips and vehicles with a severe delay on three local days or more."""
+def repeat_offender(fact: DataFrame, now: Column | None = None) -> DataFrame:
+    """Trips and vehicles with a severe delay on three local days or more of the last 14."""
     d = delay()
-    rows = by_entity(fact.where(F.col("route_id").isNotNull() & K.in_clamp(d)).select("provider_id", "route_id", "trip_id", "vehicle_id", "snapshot_local_date", "delay_seconds"))
+    rows = by_entity(recent(fact, now).where(F.col("route_id").isNotNull() & K.in_clamp(d)).select("provider_id", "route_id", "trip_id", "vehicle_id", "snapshot_local_date", "delay_seconds"))
     found = rows.groupBy("provider_id", "entity_kind", "entity_id", "route_id").agg(
         F.count_distinct(F.when(d > 300, F.col("snapshot_local_date"))).alias("recurrence_days"), K.half_away(K.ratio(F.sum(d), F.count(d)), 1).alias("avg_delay_seconds")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from punctua.functions import kernel as K
 from punctua.operators import alerts as A
-from punctua.operators import facts, reads, rollups
+from punctua.operators import facts, live, reads, rollups
 from punctua.plans import incremental, publish
 from punctua.plans import read_queries as R
 from punctua.plans import sql as S
@@ -51,9 +51,17 @@ def both_delays(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lineage(spark: SparkSession, d: str) -> DataFrame:
-    """Feeds with their editions and the runs that loaded them."""
-    runs = V.runs(spark, d)
-    return runs.where("run_kind = 'silver_load'").groupBy("provider_id", "endpoint_key", "status").agg(F.count(F.lit(1)).alias("run_count"), F.max("finished_at_utc").alias("last_loaded_utc"))
+    """A dataset version for each loading run that succeeded; the newest of an endpoint is its current one."""
+    runs = V.runs(spark, d).where("run_kind = 'silver_load' AND status = 'succeeded'")
+    endpoint = F.substring("endpoint_key", 5, 5).cast("int")
+    rows = runs.select(
+        "provider_id", F.lit("static_schedule").alias("dataset_kind"), F.col("event_id").alias("dataset_version_id"), endpoint.alias("feed_endpoint_id"), F.concat_ws("/", F.lit("archive"), "endpoint_key", F.col("event_id").cast("string")).alias("storage_path"),
+        F.md5(F.col("event_id").cast("string")).alias("checksum"), (F.col("event_id") * 37 % 100000).alias("byte_size"), F.col("finished_at_utc").alias("loaded_at_utc"),
+    )
+    newest = rows.groupBy("provider_id", "feed_endpoint_id").agg(F.max(F.struct("loaded_at_utc", "dataset_version_id"))["dataset_version_id"].alias("dataset_version_id"), F.lit(True).alias("is_current"))
+    versions = rows.join(newest, ["provider_id", "feed_endpoint_id", "dataset_version_id"], "left").withColumn("is_current", F.coalesce("is_current", F.lit(False)))
+    endpoints = spark.range(3).select(F.col("id").cast("int").alias("feed_endpoint_id"), F.concat(F.lit("feed"), F.col("id").cast("string")).alias("endpoint_key"))
+    return live.source_lineage(versions, endpoints)
 
 
 def static_routes(spark: SparkSession) -> DataFrame:
@@ -192,10 +200,15 @@ ORACLE_SQL = {
       select="SELECT provider_id, provider_local_date, route_id, count(*) AS trip_count, min(start) AS first_trip_start_utc FROM b WHERE provider_local_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-12' GROUP BY ALL"),
     "t65_stop_time_delays": S.query(S.SCHEDULE, V.UPDATES, select="""SELECT u.provider_id, rt_feed_snapshot_id, entity_index, idx AS stop_time_update_index, u.stop_sequence, epoch(arrival_utc - (start_date::TIMESTAMP + INTERVAL 5 HOUR + to_seconds(secs)))::INT AS arrival_delay_seconds,
       epoch(departure_utc - (start_date::TIMESTAMP + INTERVAL 5 HOUR + to_seconds(secs)))::INT AS departure_delay_seconds FROM updates u JOIN stop_times s USING (trip_id, stop_sequence) WHERE start_date IS NOT NULL"""),
-    "t71_source_lineage": S.query(V.FRESH, select="SELECT 'P1' AS provider_id, endpoint_key, status, count(*) AS run_count, max(ended) AS last_loaded_utc FROM runs WHERE load GROUP BY ALL"),
+    "t71_source_lineage": S.query(V.FRESH, """v AS (SELECT event_id, endpoint_key, ended FROM runs WHERE load AND status = 'succeeded')""", select="""SELECT 'P1' AS provider_id, 'static_schedule' AS dataset_kind, event_id AS dataset_version_id,
+      'archive/' || endpoint_key || '/' || event_id AS storage_path, md5(event_id::VARCHAR) AS checksum, event_id * 37 % 100000 AS byte_size, ended AS loaded_at_utc,
+      row_number() OVER (PARTITION BY endpoint_key ORDER BY ended DESC, event_id DESC) = 1 AS is_current, endpoint_key FROM v QUALIFY endpoint_key IN ('feed0', 'feed1', 'feed2')"""),
     "t85_histogram_percentiles": S.query(*R.SPINES, select="SELECT provider_id, route_id, provider_local_date, hour_of_day_local, direction_id, " + ", ".join(f"{S.half(f'({S.percentile_of(R.H, R.DELAY_EDGES, q)}) / 60.0::DOUBLE', 1)} AS p{int(q * 100)}_min" for q in (0.1, 0.5, 0.9)) + " FROM route_spine"),
     "t91_wilson": S.query(S.FACT, S.STOP_SPINE, "s AS (SELECT provider_id, stop_id, sum(severe_delay_count)::BIGINT AS bad, sum(observation_count)::BIGINT AS n FROM stop_spine GROUP BY ALL)", select=f"SELECT *, {S.wilson('bad', 'n', False)} AS low, {S.wilson('bad', 'n', True)} AS high FROM s"),
-    "t110_archive_pages": S.query(S.ALERTS, V.entries("e", "true"), "b AS (SELECT archive_month, stable_id, octet_length(encode(header)) + octet_length(encode(description)) AS byte_count FROM e)", select="SELECT *, ((sum(byte_count) OVER (PARTITION BY archive_month ORDER BY stable_id) - 1) // 100)::INT AS page FROM b"),
+    "t110_archive_pages": S.query(S.ALERTS, V.entries("e", "true"), """b AS (SELECT archive_month, stable_id, octet_length(encode(header)) + octet_length(encode(description)) AS byte_count FROM e),
+      k AS (SELECT *, 2 * (count(*) FILTER (byte_count > 100) OVER w) + (byte_count > 100)::INT AS alone, coalesce(sum(byte_count) FILTER (byte_count <= 100) OVER w, 0) // greatest(1, 100 - coalesce(max(byte_count) FILTER (byte_count <= 100) OVER (PARTITION BY archive_month), 0)) AS block
+        FROM b WINDOW w AS (PARTITION BY archive_month ORDER BY stable_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""",
+      select="SELECT archive_month, stable_id, byte_count, (dense_rank() OVER (PARTITION BY archive_month ORDER BY alone, block) - 1)::INT AS page FROM k"),
     "t119_manifest": S.query(V.FRESH, select="SELECT provider_id, count(*) FILTER (status = 'succeeded') AS good_feeds, max(finished_at_utc) AS newest_utc, count(*) AS feeds, count(*) FILTER (status = 'succeeded') > 0 AS live, count(*) > 2 AS history FROM fresh GROUP BY ALL"),
     "t120_static_routes": S.query(S.SCHEDULE, """b AS (SELECT provider_id, route_id, direction_id, trip_headsign, count(*) AS trip_count, min(trip_id) AS trip_id FROM trips GROUP BY ALL), k AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY route_id, direction_id ORDER BY trip_count DESC, trip_headsign) = 1)""",
       select="SELECT k.provider_id, route_id, direction_id, trip_headsign, trip_count, string_agg(stop_id, ',' ORDER BY stop_sequence) AS stop_ids FROM k JOIN stop_times USING (trip_id) GROUP BY ALL"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bounds of published values and of changes between snapshots.
@@ -25,11 +25,17 @@ def changed(found: DataFrame, published: DataFrame, key: Sequence[str]) -> DataF
 
 
 def pages(rows: DataFrame, key: Sequence[str], order: Sequence[Column], most_bytes: int) -> DataFrame:
-    """rows with the page each falls on: pages of a key hold consecutive rows of most_bytes at most (a larger row has its own)."""
-    from pyspark.sql import Window
-
-    upto = F.sum("byte_count").over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("page", F.floor((upto - 1) / most_bytes).cast("int"))
+    """rows with the page each falls on: pages of a key hold consecutive rows of most_bytes at most (a larger row has its own).
+
+    A page begins where the bytes before a row pass a multiple of most_bytes less the largest row, so the last row still fits."""
+    all_of, upto = Window.partitionBy(*key), Window.partitionBy(*key).orderBy(*order)
+    before = upto.rowsBetween(Window.unboundedPreceding, -1)
+    large = F.col("byte_count") > most_bytes
+    none = lambda c: F.coalesce(c, F.lit(0))
+    step = F.greatest(F.lit(1), most_bytes - none(F.max(F.when(~large, F.col("byte_count"))).over(all_of)))
+    rows = rows.withColumns({"__alone": 2 * none(F.count_if(large).over(before)) + large.cast("int"), "__block": F.floor(none(F.sum(F.when(~large, F.col("byte_count"))).over(before)) / step)})
+    rank = F.dense_rank().over(Window.partitionBy(*key).orderBy("__alone", "__block"))
+    return rows.withColumn("page", (rank - 1).cast("int")).drop("__alone", "__block")
 
 
 def gate(rates: DataFrame, previous_files: int, files: int, previous_ids: DataFrame, id_col: str) -> DataFrame:

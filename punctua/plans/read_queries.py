@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from punctua.constants import BANDS, DELAY_EDGES, GAP_EDGES, RATE_FLOOR
 from punctua.operators import facts, reads, rollups
+from punctua.plans import rollup_queries as P
 from punctua.plans import sql as S
 from punctua.plans.rollup_queries import scheduled
 from punctua.sources import driver_tables as T
@@ -96,7 +97,7 @@ QUERIES = {
     "t102_all_routes": on_spine(reads.all_routes),
     "t104_hotspots": hotspots,
     "t105_hotspots_by_grain": lambda spark, d: reads.hotspots_by_grain(spine(spark, d), stops(spark, d)),
-    "t106_repeat_offenders": lambda spark, d: reads.top(rollups.repeat_offender(T.fact(spark, d)), ["provider_id"], [F.desc("recurrence_days"), F.desc("avg_delay_seconds"), F.asc("entity_kind"), F.asc("entity_id"), F.asc("route_id")], 50),
+    "t106_repeat_offenders": lambda spark, d: reads.top(rollups.repeat_offender(T.fact(spark, d), F.lit(P.NOW).cast("timestamp_ntz")), ["provider_id"], [F.desc("recurrence_days"), F.desc("avg_delay_seconds"), F.asc("entity_kind"), F.asc("entity_id"), F.asc("route_id")], 50),
     "t107_offenders_by_grain": lambda spark, d: reads.offenders_by_grain(offenders(spark, d)),
     "t111_hotspot_history": on_spine(reads.hotspot_history),
     "t112_offender_history": lambda spark, d: reads.offender_history(offenders(spark, d)),
@@ -184,7 +185,7 @@ ORACLE_SQL = {
         least({S.half(f"sum(severe_delay_count)::DOUBLE * 10.0 + greatest(coalesce({S.half(S.ratio('sum(sum_delay_seconds)', f'sum({S.INSIDE})'), 2)}, 0.0::DOUBLE), 0.0::DOUBLE) / 60.0::DOUBLE", 4)}, 9999.9999::DOUBLE) AS raw FROM {source} WHERE {where} GROUP BY ALL),
         scored AS (SELECT *, CASE WHEN known_obs >= {floor} THEN raw END AS score FROM cells)""",
         select=f"SELECT provider_id, route_id, day_of_week_iso, hour_of_day_local, known_obs, score, CASE WHEN max(score) OVER (PARTITION BY route_id) > 0 THEN {S.half('score / max(score) OVER (PARTITION BY route_id)', 4)} END AS share FROM scored")
-       for name, parts, source, where, floor in (("t84_habits", [], "route_spine", "true", 0), ("t84_habits_windowed", [windows("route_spine", "provider_id, route_id")], "windowed", "window_grain = 'month' AND period = 'current'", 2))},
+       for name, parts, source, where, floor in (("t84_habits", [], "route_spine", "true", 0), ("t84_habits_windowed", [windows("route_spine", "provider_id, route_id")], "windowed", "window_grain = 'month' AND period = 'current'", 30))},
     "t92_windowed_headway": S.query(S.FACT, S.HEADWAY_SPINE, S.SCHEDULE, PLANNED, windows("headway_spine", "provider_id, route_id"), f"""
       w AS (SELECT * FROM windowed WHERE period = 'current'),
       best AS (SELECT provider_id, route_id, window_grain, direction_id FROM w GROUP BY provider_id, route_id, window_grain, direction_id QUALIFY row_number() OVER (PARTITION BY provider_id, route_id, window_grain ORDER BY sum(trip_count) DESC, direction_id) = 1),
@@ -194,7 +195,7 @@ ORACLE_SQL = {
         {S.half(BUNCHED, 1)} AS bunched_pct, CASE WHEN s > 0 AND scheduled_headway_min IS NOT NULL THEN {S.half("greatest(0.0::DOUBLE, q / (2.0::DOUBLE * s) - scheduled_headway_min / 2.0::DOUBLE)", 1)} END AS excess_wait_min
         FROM m LEFT JOIN planned USING (provider_id, route_id, shift)"""),
     "t93_weak_stops": S.query(S.FACT, S.STOP_SPINE, "rs AS (SELECT * FROM stop_spine WHERE route_id <> '__unrouted__')", windows("rs", "provider_id, route_id"),
-      f"folded AS (SELECT provider_id, route_id, window_grain, stop_id, {POOL} FROM windowed WHERE period = 'current' GROUP BY ALL), p AS (SELECT provider_id, route_id, window_grain, stop_id, {POOLED} FROM folded WHERE obs >= 5)",
+      f"folded AS (SELECT provider_id, route_id, window_grain, stop_id, {POOL} FROM windowed WHERE period = 'current' GROUP BY ALL), p AS (SELECT provider_id, route_id, window_grain, stop_id, {POOLED} FROM folded WHERE obs >= 30)",
       select="SELECT *, row_number() OVER (PARTITION BY provider_id, route_id, window_grain ORDER BY wilson_lo, avg_delay_min DESC, stop_id)::INT AS rank FROM p QUALIFY rank <= 15"),
     "t94_weak_stops_scalar": S.query(S.FACT, S.STOP_SPINE, "rs AS (SELECT * FROM stop_spine WHERE route_id <> '__unrouted__')", windows("rs", "provider_id, route_id"),
       f"folded AS (SELECT provider_id, route_id, stop_id, {POOL} FROM windowed WHERE period = 'current' AND window_grain = 'month' GROUP BY ALL), p AS (SELECT provider_id, route_id, stop_id, {POOLED} FROM folded)",
@@ -219,10 +220,10 @@ ORACLE_SQL = {
     **{f"t100_network_trend_{g}": trend(g) for g in ("day", "week", "month")},
     "t102_all_routes": S.query(*SPINES, windows("route_spine", "provider_id, route_id"), "sections AS (" + " UNION ALL ".join(f"SELECT '{n}' AS section, ({x})::VARCHAR AS grain, * FROM windowed" for n, x in (("shift", DIMS["shift"]), ("day_type", DIMS["day_type"]), ("dow", DIMS["dow"]), ("all", "'all'"))) + ")",
       f"folded AS (SELECT provider_id, route_id, window_grain, period, section, grain, {SUMS} FROM sections GROUP BY ALL)", select=f"SELECT provider_id, route_id, window_grain, period, section, grain, {RATES} FROM folded"),
-    "t106_repeat_offenders": S.query(S.FACT, S.OFFENDER_SPINE, OFFENDERS, select="SELECT *, row_number() OVER (PARTITION BY provider_id ORDER BY recurrence_days DESC, avg_delay_seconds DESC, entity_kind, entity_id, route_id)::INT AS rank FROM offenders QUALIFY rank <= 50"),
+    "t106_repeat_offenders": S.query(S.FACT, P.RECENT, P.of_recent(S.OFFENDER_SPINE), OFFENDERS, select="SELECT *, row_number() OVER (PARTITION BY provider_id ORDER BY recurrence_days DESC, avg_delay_seconds DESC, entity_kind, entity_id, route_id)::INT AS rank FROM offenders QUALIFY rank <= 50"),
     "t107_offenders_by_grain": S.query(S.FACT, S.OFFENDER_SPINE, windows("offender_spine", "provider_id"), f"""found AS (SELECT provider_id, window_grain, entity_kind, entity_id, route_id, count(DISTINCT provider_local_date) FILTER (severe_delay_count > 0) AS recurrence, count(DISTINCT provider_local_date) AS observed_days, sum(observation_count)::BIGINT AS obs,
       {S.half(S.ratio("sum(sum_delay_seconds)", "sum(observation_count)"), 1)} AS avg_delay_seconds FROM windowed WHERE period = 'current' AND window_grain <> 'day' GROUP BY ALL)""",
-      select="SELECT *, recurrence < 3 AS is_tray, row_number() OVER (PARTITION BY provider_id, window_grain, recurrence < 3 ORDER BY recurrence DESC, avg_delay_seconds DESC, entity_kind, entity_id, route_id)::INT AS rank FROM found WHERE recurrence >= 2 QUALIFY rank <= 50"),
+      select="SELECT *, recurrence < 3 AS is_tray, row_number() OVER (PARTITION BY provider_id, window_grain, recurrence < 3 ORDER BY recurrence DESC, avg_delay_seconds DESC, entity_kind, entity_id, route_id)::INT AS rank FROM found WHERE recurrence >= 2 QUALIFY rank <= CASE WHEN is_tray THEN 60 ELSE 50 END"),
     "t111_hotspot_history": S.query(*SPINES, "daily AS (SELECT provider_id, route_id, provider_local_date, " + ", ".join(f"sum({v}) AS {v}" for v in VALUES) + " FROM route_spine GROUP BY ALL)", select=f"SELECT provider_id, route_id, provider_local_date, {ROLLED}, {WEEK_TO_DATE} FROM daily"),
     "t112_offender_history": S.query(S.FACT, S.OFFENDER_SPINE, f"rolled AS (SELECT *, sum(CASE WHEN severe_delay_count > 0 THEN 1 ELSE 0 END) {BACK}::BIGINT AS bad, sum(sum_delay_seconds) {BACK} AS s, sum(observation_count) {BACK} AS n FROM offender_spine)",
       select=f"SELECT provider_id, entity_kind, entity_id, route_id, provider_local_date, bad AS recurrence_days, {S.half(S.ratio('s', 'n'), 1)} AS avg_delay_seconds FROM rolled WHERE bad >= 3"),

@@ -29,6 +29,19 @@ def accountability(spark: SparkSession, d: str) -> DataFrame:
     return rollups.citizen_accountability_daily(rollups.route_delay_spine(fact), hourly, told)
 
 
+#: The clock of the rolling windows.
+NOW = "2024-01-31 00:00:00"
+RECENT = f"recent AS (SELECT * FROM fact WHERE captured_at_utc >= TIMESTAMP '{NOW}' - INTERVAL 14 DAY)"
+
+
+def on_recent(build):
+    return lambda spark, d: build(T.fact(spark, d), F.lit(NOW).cast("timestamp_ntz"))
+
+
+def of_recent(cte: str) -> str:
+    return cte.replace("FROM fact", "FROM recent")
+
+
 def on_fact(build):
     return lambda spark, d: build(T.fact(spark, d))
 
@@ -53,9 +66,9 @@ QUERIES = {
     "t46_stop_delay_hourly": on_fact(rollups.stop_delay_hourly),
     "t47_repeated_problem_route_stop": on_fact(lambda f: rollups.repeated_problem_route_stop(rollups.route_delay_spine(f), rollups.stop_delay_spine(f))),
     "t48_citizen_accountability_daily": accountability,
-    "t49_route_headway_by_shift": on_fact(rollups.route_headway_by_shift),
-    "t50_route_headway_by_direction_shift": on_fact(rollups.route_headway_by_direction_shift),
-    "t51_repeat_offender": on_fact(rollups.repeat_offender),
+    "t49_route_headway_by_shift": on_recent(rollups.route_headway_by_shift),
+    "t50_route_headway_by_direction_shift": on_recent(rollups.route_headway_by_direction_shift),
+    "t51_repeat_offender": on_recent(rollups.repeat_offender),
 }
 
 
@@ -130,12 +143,12 @@ ORACLE_SQL = {
       select="""SELECT provider_id, provider_local_date, affected_route_count, affected_stop_count, coalesce(late, 0) AS delayed_trip_count, coalesce(bad, 0) AS severe_delay_count, coalesce(n, 0) AS alert_count,
         CASE WHEN r.late IS NOT NULL OR s.affected_stop_count IS NOT NULL THEN least((2 * coalesce(affected_route_count, 0) + coalesce(affected_stop_count, 0) + coalesce(late, 0) + 3 * coalesce(bad, 0) + 2 * coalesce(n, 0))::DOUBLE, 9999.9999) END AS rider_impact_score
         FROM days LEFT JOIN r USING (provider_id, provider_local_date) LEFT JOIN s USING (provider_id, provider_local_date) LEFT JOIN a USING (provider_id, provider_local_date)"""),
-    "t49_route_headway_by_shift": S.query(S.FACT, S.WHOLE_STARTS, BUSIEST, S.gaps("provider_id, route_id, direction_id, service_date, shift", "chosen"), "m AS (SELECT provider_id, route_id, shift, quantile_cont(g, 0.5) AS median FROM gaps GROUP BY ALL)",
+    "t49_route_headway_by_shift": S.query(S.FACT, RECENT, of_recent(S.WHOLE_STARTS), BUSIEST, S.gaps("provider_id, route_id, direction_id, service_date, shift", "chosen"), "m AS (SELECT provider_id, route_id, shift, quantile_cont(g, 0.5) AS median FROM gaps GROUP BY ALL)",
       select=f"""SELECT provider_id, route_id, shift, {S.half("any_value(median)", 1)} AS observed_headway_min, count(*) AS sample_count,
         CASE WHEN count(*) >= 2 AND sum(g) > 0 THEN {S.half("sqrt(greatest((sum(g * g) - sum(g) * sum(g) / count(*)) / (count(*) - 1), 0)) / (sum(g) / count(*))", 4)} END AS headway_cov, count(*) FILTER (g < 0.5 * median) AS bunched_count
         FROM gaps JOIN m USING (provider_id, route_id, shift) GROUP BY provider_id, route_id, shift"""),
-    "t50_route_headway_by_direction_shift": S.query(S.FACT, S.WHOLE_STARTS, f"kinds AS (SELECT *, {S.daytype('service_date')} AS service_day_kind FROM starts)", S.gaps("provider_id, route_id, direction_id, service_day_kind, service_date, shift", "kinds"),
+    "t50_route_headway_by_direction_shift": S.query(S.FACT, RECENT, of_recent(S.WHOLE_STARTS), f"kinds AS (SELECT *, {S.daytype('service_date')} AS service_day_kind FROM starts)", S.gaps("provider_id, route_id, direction_id, service_day_kind, service_date, shift", "kinds"),
       select=f"SELECT provider_id, route_id, direction_id, shift, service_day_kind, {S.half('quantile_cont(g, 0.5)', 1)} AS observed_headway_min, count(*) AS sample_count FROM gaps GROUP BY ALL"),
-    "t51_repeat_offender": S.query(S.FACT, S.OFFENDER_SPINE, f"""found AS (SELECT provider_id, entity_kind, entity_id, route_id, count(DISTINCT provider_local_date) FILTER (delay_seconds > 300) AS recurrence_days, {S.half(S.ratio("sum(delay_seconds)", "count(*)"), 1)} AS avg_delay_seconds FROM entities GROUP BY ALL)""",
+    "t51_repeat_offender": S.query(S.FACT, RECENT, of_recent(S.OFFENDER_SPINE), f"""found AS (SELECT provider_id, entity_kind, entity_id, route_id, count(DISTINCT provider_local_date) FILTER (delay_seconds > 300) AS recurrence_days, {S.half(S.ratio("sum(delay_seconds)", "count(*)"), 1)} AS avg_delay_seconds FROM entities GROUP BY ALL)""",
       select="SELECT *, CASE WHEN recurrence_days >= 10 OR avg_delay_seconds > 600 THEN 'critical' WHEN recurrence_days >= 5 THEN 'high' ELSE 'watch' END AS severity_label FROM found WHERE recurrence_days >= 3"),
 }

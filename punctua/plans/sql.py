@@ -54,7 +54,7 @@ alerts AS (
     CASE WHEN k % 5 <> 0 THEN 'sev' || (k % 3) END AS severity, 'cause' || (k % 4) AS cause, 'effect' || (k % 3) AS effect, date_trunc('day', ts)::TIMESTAMP AS active_start,
     CASE WHEN k % 4 <> 0 THEN date_trunc('day', ts)::TIMESTAMP + to_hours(k % 48 + 1) END AS active_end, ts::TIMESTAMP AS captured_at_utc,
     CASE WHEN k % 3 <> 0 THEN 'R' || (user_id % 12) END AS route_id, CASE WHEN k % 2 <> 0 THEN 'S' || (user_id % 60) END AS stop_id
-  FROM (SELECT *, event_id // 20 AS k FROM events WHERE event_id % 20 = 0)
+  FROM (SELECT *, event_id AS k FROM events)
 )"""
 
 

@@ -167,11 +167,11 @@ QUERIES = {
     "t109_archive_entries": lambda spark, d: A.archive_entries(T.alerts(spark, d)).drop("digest"),
     "t109_archive_merged": merged,
     "t117_departures_board": lambda spark, d: live.departures_board(live.next_departures(updates(spark, d), now()), F.timestamp_add("MINUTE", F.lit(60), now())).select("provider_id", "stop_id", "route_id", "trip_id", "stop_sequence", "predicted_utc", "k"),
-    "t118_live_network": lambda spark, d: live.live_network(T.fact(spark, d)),
+    "t118_live_network": lambda spark, d: live.live_network(facts.latest(T.fact(spark, d))),
     "t122_language_coverage": observations,
     "t123_alert_versions": lambda spark, d: A.versions(T.alerts(spark, d)),
     "t124_feed_health": health,
-    "t126_kpis": lambda spark, d: live.kpis(T.vehicles(spark, d), T.fact(spark, d), F.lit("2024-01-31 00:00:30").cast("timestamp_ntz"), 86400),
+    "t126_kpis": lambda spark, d: live.kpis(T.vehicles(spark, d), T.fact(spark, d), shortly_after(T.fact(spark, d))),
     "t127_range_pool": lambda spark, d: client.range_pool(R.spine(spark, d), F.lit("2024-01-05").cast("date"), F.lit("2024-01-18").cast("date"), ["provider_id", "route_id"]),
     "t128_rate_change": lambda spark, d: client.rate_change(reads.windowed_folds(R.spine(spark, d))).select("provider_id", "route_id", "window_grain", "delta", "significant"),
     "t129_stop_range": lambda spark, d: client.stop_range(R.stops(spark, d), F.lit("2024-01-05").cast("date"), F.lit("2024-01-18").cast("date")),
@@ -181,6 +181,11 @@ QUERIES = {
 }
 
 
+def shortly_after(fact: DataFrame) -> F.Column:
+    """A clock half a minute after the newest capture."""
+    return F.timestamp_add("SECOND", F.lit(30), F.lit(fact.agg(F.max("captured_at_utc")).first()[0]).cast("timestamp_ntz"))
+
+
 def client_rows(spark: SparkSession, d: str) -> DataFrame:
     return live.client_aggregate(with_status(spark, d))
 
@@ -193,8 +198,8 @@ def searched(spark: SparkSession, d: str) -> DataFrame:
 UPDATES = """updates AS (SELECT 'P1' AS provider_id, event_id // 10 AS rt_feed_snapshot_id, (event_id % 10 - event_id % 2)::INT AS entity_index, (event_id % 2)::INT AS idx, 'T' || (event_id % 60) AS trip_id, 'R' || (event_id % 12) AS route_id,
     CASE WHEN event_id % 7 <> 0 THEN ts::DATE END AS start_date, (event_id % 8 + 1)::INT AS stop_sequence, 'S' || (event_id % 60) AS stop_id, CASE WHEN event_id % 3 <> 0 THEN t + to_minutes(event_id % 150 - 20) END AS arrival_utc,
     CASE WHEN event_id % 5 <> 0 THEN t + to_minutes(event_id % 150 - 20) + INTERVAL 20 SECOND END AS departure_utc, t AS feed_timestamp_utc
-  FROM (SELECT *, date_trunc('second', ts)::TIMESTAMP AS t FROM events WHERE ts >= TIMESTAMP '2024-01-29'))"""
-DEPARTURES = f"departures AS (SELECT provider_id, stop_id, route_id, trip_id, stop_sequence, coalesce(departure_utc, arrival_utc) AS predicted_utc FROM updates WHERE coalesce(departure_utc, arrival_utc) >= TIMESTAMP '{NOW}')"
+  FROM (SELECT *, date_trunc('second', ts)::TIMESTAMP AS t FROM events))"""
+DEPARTURES = f"departures AS (SELECT provider_id, stop_id, route_id, trip_id, stop_sequence, coalesce(departure_utc, arrival_utc) AS predicted_utc FROM updates WHERE rt_feed_snapshot_id = (SELECT max(rt_feed_snapshot_id) FROM updates) AND coalesce(departure_utc, arrival_utc) >= TIMESTAMP '{NOW}')"
 POSITIONS = f"positions AS (SELECT * FROM vehicles WHERE longitude BETWEEN -180 AND 180 AND latitude BETWEEN -90 AND 90 AND longitude BETWEEN {BOX[0]}::DOUBLE AND {BOX[2]}::DOUBLE AND latitude BETWEEN {BOX[1]}::DOUBLE AND {BOX[3]}::DOUBLE)"
 DELAYS = f"delays AS (SELECT provider_id, trip_id, route_id, direction_id, {S.half(S.ratio('sum(delay_seconds)', 'count(*)'), 2)} AS avg_delay_seconds, max(delay_seconds) AS max_delay_seconds FROM fact WHERE {S.CLAMP} AND start_date >= DATE '2024-01-28' GROUP BY ALL)"
 STATUS = """worst AS (SELECT provider_id, trip_id, route_id, max(avg_delay_seconds) AS avg_delay_seconds FROM delays GROUP BY ALL),
@@ -202,7 +207,7 @@ STATUS = """worst AS (SELECT provider_id, trip_id, route_id, max(avg_delay_secon
     FROM positions p LEFT JOIN worst w USING (provider_id, trip_id, route_id))"""
 HOURLY = f"""hours AS (SELECT provider_id, date_trunc('hour', period_start_utc)::TIMESTAMP AS p, route_id, sum(observation_count) AS o, sum(delay_observation_count) AS n, sum(on_time_observation_count) AS good, sum(severe_delay_observation_count) AS bad,
     {S.half(S.ratio("sum(avg_delay_seconds_capped * (delay_observation_count - outlier_count))", "sum(delay_observation_count - outlier_count)"), 2)} AS a FROM summary_5m GROUP BY ALL)"""
-FRESH = """runs AS (SELECT event_id, 'feed' || (event_id // 10 % 4) AS endpoint_key, event_id % 3 = 0 AS load, CASE WHEN event_id % 70 = 0 THEN 'failed' ELSE 'succeeded' END AS status, date_trunc('second', ts)::TIMESTAMP AS ended FROM events WHERE event_id % 10 = 0),
+FRESH = """runs AS (SELECT event_id, 'feed' || (event_id // 10 % 4) AS endpoint_key, event_id % 3 = 0 AS load, CASE WHEN event_id % 70 = 0 THEN 'failed' ELSE 'succeeded' END AS status, date_trunc('second', ts)::TIMESTAMP AS ended FROM events),
   fresh AS (SELECT 'P1' AS provider_id, endpoint_key, status, ended AS finished_at_utc, epoch(TIMESTAMP '2024-02-01' - ended)::BIGINT AS age_seconds FROM runs WHERE NOT load QUALIFY row_number() OVER (PARTITION BY endpoint_key ORDER BY ended DESC, event_id DESC) = 1)"""
 HASH = "md5(concat_ws(chr(31), coalesce(alert_id, ''), coalesce(header, ''), coalesce(description, ''), coalesce(severity, ''), coalesce(cause, ''), coalesce(effect, ''), coalesce((epoch_us(active_start) // 1000000)::VARCHAR, ''), coalesce((epoch_us(active_end) // 1000000)::VARCHAR, ''), '', ''))"
 HISTORY = """told AS (SELECT provider_id, header, active_start, active_end, max(description) AS description, max(severity) AS severity, max(cause) AS cause, max(effect) AS effect,
@@ -236,12 +241,19 @@ WORST = """sr AS (SELECT provider_id, provider_local_date, route_id AS worst_rou
     QUALIFY row_number() OVER (PARTITION BY provider_local_date ORDER BY sum(severe_delay_count) DESC, stop_id) = 1)"""
 GRAINS = f"""w_route AS (SELECT * FROM (VALUES ('day', 1), ('week', 7), ('month', 30)) t(window_grain, days)),
   spots AS (
-    SELECT provider_id, window_grain, 'route' AS entity_kind, route_id AS entity_id, sum(delay_observation_count)::BIGINT AS obs, sum(severe_delay_count)::BIGINT AS severe, sum(on_time_observation_count)::BIGINT AS good
+    SELECT provider_id, window_grain, 'route' AS entity_kind, route_id AS entity_id, sum(delay_observation_count)::BIGINT AS obs, sum(severe_delay_count)::BIGINT AS severe, sum(sum_delay_seconds)::BIGINT AS total
     FROM route_spine, w_route WHERE provider_local_date > (SELECT max(provider_local_date) FROM route_spine) - days GROUP BY ALL
     UNION ALL
-    SELECT provider_id, window_grain, 'stop', stop_id, sum(observation_count)::BIGINT, sum(severe_delay_count)::BIGINT, (sum(observation_count) - sum(severe_delay_count))::BIGINT
+    SELECT provider_id, window_grain, 'stop', stop_id, sum(observation_count)::BIGINT, sum(severe_delay_count)::BIGINT, sum(sum_delay_seconds)::BIGINT
     FROM stop_spine, w_route WHERE provider_local_date > (SELECT max(provider_local_date) FROM stop_spine) - days GROUP BY ALL
-  ), bounded AS (SELECT *, {S.wilson("good", "obs", False)} AS wilson_lo, coalesce(obs, 0) < 30 AS is_tray FROM spots)"""
+  ), bounded AS (SELECT provider_id, window_grain, entity_kind, entity_id, obs, severe, {S.half(S.ratio("100.0::DOUBLE * severe", "obs"), 1)} AS severe_pct, {S.half(f"({S.ratio('total', 'obs')}) / 60.0::DOUBLE", 1)} AS avg_delay_min,
+      {S.wilson("obs - severe", "obs", False)} AS wilson_lo, coalesce(obs, 0) < 30 AS is_tray,
+      {S.half(S.ratio("100.0::DOUBLE * (obs - severe)", "obs"), 0)} - (100 - {S.half(S.ratio("100.0::DOUBLE * sum(severe) OVER net", "sum(obs) OVER net"), 1)}) AS delta FROM spots WINDOW net AS (PARTITION BY provider_id, window_grain, entity_kind)),
+  ladders AS (
+    SELECT * EXCLUDE (delta), round(delta, 1) AS otp_delta_points, row_number() OVER (PARTITION BY window_grain, entity_kind ORDER BY wilson_lo, coalesce(avg_delay_min, 0) DESC, entity_id)::INT AS rank FROM bounded WHERE NOT is_tray QUALIFY rank <= 50
+    UNION ALL
+    SELECT * EXCLUDE (delta), NULL::DOUBLE, row_number() OVER (PARTITION BY window_grain ORDER BY coalesce(severe_pct, 0) DESC, entity_id, entity_kind)::INT AS rank FROM bounded WHERE is_tray QUALIFY rank <= 60
+  )"""
 
 ORACLE_SQL = {
     "t101_receipts": S.query(S.FACT, S.ROUTE_SPINE, S.STOP_SPINE, S.STOP_HOURLY, S.ALERTS, WORST, f"""
@@ -261,8 +273,7 @@ ORACLE_SQL = {
       r AS (SELECT route_id AS entity_id, {S.half(S.ratio("100.0::DOUBLE * sum(on_time_observation_count)", "sum(delay_observation_count)"), 0)} AS otp_pct FROM route_spine GROUP BY route_id),
       n AS (SELECT {S.half(S.ratio("100.0::DOUBLE * sum(on_time_observation_count)", "sum(delay_observation_count)"), 0)} AS network_otp_pct FROM route_spine)""",
       select="SELECT k.provider_id, entity_kind, k.entity_id, k.route_id, issue_count, rank, r.otp_pct, network_otp_pct, r.otp_pct - network_otp_pct AS otp_delta_points FROM ranked k LEFT JOIN r ON r.entity_id = k.entity_id AND entity_kind = 'route', n"),
-    "t105_hotspots_by_grain": S.query(S.FACT, S.ROUTE_SPINE, S.STOP_SPINE, GRAINS, """ranked AS (SELECT *, row_number() OVER (PARTITION BY window_grain, is_tray ORDER BY CASE WHEN NOT is_tray THEN wilson_lo END NULLS LAST, severe DESC, entity_kind, entity_id)::INT AS rank FROM bounded)""",
-      select="SELECT * FROM ranked WHERE rank <= CASE WHEN is_tray THEN 60 ELSE 50 END"),
+    "t105_hotspots_by_grain": S.query(S.FACT, S.ROUTE_SPINE, S.STOP_SPINE, GRAINS, select="SELECT * FROM ladders"),
     "t21_dim_date": S.query(S.SCHEDULE, select="""SELECT 'P1' AS provider_id, strftime(d, '%Y%m%d')::INT AS date_key, d AS date, year(d)::INT AS year, quarter(d)::INT AS quarter, month(d)::INT AS month, weekofyear(d)::INT AS iso_week, isodow(d)::INT AS iso_day,
       isodow(d) > 5 AS is_weekend, d = DATE '2024-01-15' AS has_added, d IN (DATE '2024-01-15', DATE '2024-01-20') AS has_removed FROM dates"""),
     "t23_schedule_summary": S.query(S.SCHEDULE, """kinds AS (SELECT * FROM (VALUES ('WD', 'weekday'), ('WE', 'saturday'), ('WE', 'sunday'), ('ALL', 'weekday'), ('ALL', 'saturday'), ('ALL', 'sunday')) t(service_id, day_type))""",
@@ -291,7 +302,7 @@ ORACLE_SQL = {
     "t66_next_departures": S.query(UPDATES, DEPARTURES, select="SELECT *, row_number() OVER (PARTITION BY provider_id, stop_id ORDER BY predicted_utc, trip_id, stop_sequence)::INT AS departure_rank FROM departures"),
     "t67_non_responding": S.query(S.SCHEDULE, S.VEHICLES, """near AS (SELECT service_id, (DATE '2024-01-16' - d) * 1440 AS m FROM running WHERE d IN (DATE '2024-01-16', DATE '2024-01-15')),
       spans AS (SELECT trip_id, min(secs) // 60 AS a, max(secs) // 60 AS z FROM stop_times GROUP BY ALL),
-      due AS (SELECT DISTINCT t.provider_id, t.route_id, t.trip_id FROM trips t JOIN near USING (service_id) JOIN spans USING (trip_id) WHERE 450 + m BETWEEN a AND z AND trip_id NOT IN (SELECT trip_id FROM vehicles WHERE realtime_snapshot_id % 100 = 7))""",
+      due AS (SELECT DISTINCT t.provider_id, t.route_id, t.trip_id FROM trips t JOIN near USING (service_id) JOIN spans USING (trip_id) WHERE 450 + m BETWEEN a AND z AND trip_id NOT IN (SELECT trip_id FROM vehicles))""",
       select="SELECT provider_id, route_id, count(*) AS non_responding_count, string_agg(trip_id, ',' ORDER BY trip_id) AS trip_ids FROM due GROUP BY ALL"),
     "t68_current_alerts": S.query(S.ALERTS, f"""s AS (SELECT *, md5(coalesce(description, '') || coalesce(severity, '') || coalesce(cause, '') || coalesce(effect, '')) AS same FROM alerts),
       e AS (SELECT same, coalesce(string_agg(DISTINCT route_id, ', ' ORDER BY route_id), '') AS route_ids, coalesce(string_agg(DISTINCT stop_id, ', ' ORDER BY stop_id), '') AS stop_ids, count(DISTINCT route_id) AS route_count, count(DISTINCT stop_id) AS stop_count, count(*) AS entity_count FROM s GROUP BY same),
@@ -313,7 +324,7 @@ ORACLE_SQL = {
     "t118_live_network": S.query(S.FACT, select=f"""SELECT provider_id, count(*) AS trip_count, {", ".join(f"count(*) FILTER (band = '{b}') AS {b}_count" for b in ("early", "on_time", "late", "severe", "unknown"))},
       {S.half(S.ratio("100.0::DOUBLE * count(*) FILTER (band IN ('on_time', 'late'))", "count(delay_seconds)"), 0)} AS on_time_pct, {S.half(S.ratio("100.0::DOUBLE * count(delay_seconds)", "count(*)"), 1)} AS coverage_pct,
       {S.half("quantile_cont(delay_seconds::DOUBLE / 60.0, 0.5)", 1)} AS p50_min, {S.half("quantile_cont(delay_seconds::DOUBLE / 60.0, 0.9)", 1)} AS p90_min,
-      {", ".join(f"count(*) FILTER (delay_seconds::DOUBLE / 60.0 >= {a} AND delay_seconds::DOUBLE / 60.0 < {b}) AS bin{i}" for i, (a, b) in enumerate(zip(EDGES, EDGES[1:], strict=False)))} FROM (SELECT *, {LIVE_BAND} AS band FROM fact) GROUP BY ALL"""),
+      {", ".join(f"count(*) FILTER (delay_seconds::DOUBLE / 60.0 >= {a} AND delay_seconds::DOUBLE / 60.0 < {b}) AS bin{i}" for i, (a, b) in enumerate(zip(EDGES, EDGES[1:], strict=False)))} FROM (SELECT *, {LIVE_BAND} AS band FROM fact WHERE realtime_snapshot_id = (SELECT max(realtime_snapshot_id) FROM fact)) GROUP BY ALL"""),
     "t122_language_coverage": S.query(S.ALERTS, """o AS (SELECT captured_at_utc::DATE AS d, alert_row % 11 = 0 AS und, alert_row % 3 <> 0 AND alert_row % 11 <> 0 AS en, alert_row % 2 = 0 AND alert_row % 11 <> 0 AS fr FROM alerts),
       w AS (SELECT * FROM (VALUES (7), (30)) t(window_days)),
       c AS (SELECT window_days, count(d) AS n, count(d) FILTER (NOT und) AS det, count(d) FILTER (en) AS en, count(d) FILTER (fr) AS fr, count(d) FILTER (und) AS und FROM w LEFT JOIN o ON d BETWEEN DATE '2024-01-28' - window_days + 1 AND DATE '2024-01-28' GROUP BY ALL),
@@ -326,7 +337,7 @@ ORACLE_SQL = {
       FROM range(5) t(k) LEFT JOIN fresh ON endpoint_key = 'feed' || k"""),
     "t126_kpis": S.query(S.FACT, S.VEHICLES, """r AS (SELECT route_id, count(DISTINCT vehicle_id) AS n FROM vehicles WHERE route_id IS NOT NULL GROUP BY route_id ORDER BY n DESC, route_id LIMIT 5)""",
       select=f"""SELECT 'P1' AS provider_id, CASE WHEN v THEN (SELECT count(DISTINCT vehicle_id) FROM vehicles) END AS vehicle_count, CASE WHEN v THEN (SELECT string_agg(route_id || ':' || n, ',' ORDER BY n DESC, route_id) FROM r) END AS top_routes,
-        CASE WHEN v THEN (SELECT {S.half(S.ratio("sum(delay_seconds)", "count(delay_seconds)"), 1)} FROM fact) END AS mean_delay_seconds FROM (SELECT epoch(TIMESTAMP '2024-01-31 00:00:30' - max(captured_at_utc)) <= 86400 AS v FROM fact)"""),
+        CASE WHEN v THEN (SELECT {S.half(S.ratio("sum(delay_seconds)", "count(delay_seconds)"), 1)} FROM fact) END AS mean_delay_seconds FROM (SELECT epoch(max(captured_at_utc) + INTERVAL 30 SECOND - max(captured_at_utc)) <= 90 AS v FROM fact)"""),
     "t127_range_pool": S.query(*R.SPINES, f"""span AS (SELECT * FROM route_spine WHERE provider_local_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-18'), folded AS (SELECT provider_id, route_id, count(DISTINCT provider_local_date) AS days, {R.SUMS} FROM span GROUP BY ALL),
       every AS (SELECT DISTINCT provider_id, route_id FROM route_spine)""",
       select=f"SELECT e.provider_id, e.route_id, {R.RATES}, coalesce(days, 0) AS day_count, CASE WHEN coalesce(days, 0) = 0 THEN 'no_data' WHEN days < 14 THEN 'partial' ELSE 'complete' END AS state FROM every e LEFT JOIN folded USING (provider_id, route_id)"),
