@@ -18,6 +18,8 @@ PASSAGE = 512
 BINS = 128
 #: Bound of the training sample: labelled documents.
 SAMPLE = 5000
+#: Bound of the training sample: passages of one document, spread evenly over it. Scores always read all passages.
+SAMPLE_PASSAGES = 64
 THRESHOLD = 0.3
 #: Bytes of a slice of a batch that is encoded at a time.
 SLICE = 1_000_000
@@ -111,8 +113,15 @@ class AttentionModel:
         return self
 
 
+def spread(passages: np.ndarray, most: int = SAMPLE_PASSAGES) -> np.ndarray:
+    """At most `most` rows, from the first to the last in even steps."""
+    return passages if len(passages) <= most else passages[np.linspace(0, len(passages) - 1, most).astype(np.int64)]
+
+
 def learn(docs: DataFrame, labels: DataFrame, held_out: Column) -> AttentionModel | None:
-    """The model of a bounded sample of labelled documents that are not held out; None without any. Passages are encoded by the executors."""
+    """The model of a bounded sample of labelled documents that are not held out; None without any. Passages are encoded by the executors.
+
+    The driver holds SAMPLE documents of SAMPLE_PASSAGES passages at most, however long the texts are."""
     shipped(docs.sparkSession)
     marks = labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality"))
     # a document with several marks has their least
@@ -127,7 +136,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: Column) -> AttentionMode
             values, cuts = batch["text"].to_numpy(), []
             for part in pieces_of(np.array([len(v or "") + 600 for v in values]), SLICE) if len(batch) else []:
                 x, owner = passages(list(values[part]))
-                cuts += np.split(x.astype(np.float16), np.flatnonzero(np.diff(owner)) + 1)
+                cuts += [spread(c) for c in np.split(x.astype(np.float16), np.flatnonzero(np.diff(owner)) + 1)]
             yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "label": batch["quality"].to_numpy(), "x": [c.tobytes() for c in cuts]})
 
     got = rows.mapInPandas(encode, "doc_id long, label int, x binary").toPandas().sort_values("doc_id")
