@@ -23,6 +23,8 @@ SLICE = 1_500_000
 SAMPLE_PER_LANGUAGE = 400
 #: Bound of the training sample: languages, the most frequent ones.
 MOST_LANGUAGES = 200
+#: Bound of the training sample: documents (of 8 KB each as features); languages take turns.
+MOST_SAMPLE = 10_000
 UNDETERMINED = "und"
 #: A prediction is ambiguous when the second language is at least so likely against the first.
 AMBIGUITY = 0.5
@@ -105,16 +107,17 @@ def trained(x: np.ndarray, languages: np.ndarray, rounds: int = 250, rate: float
     return Model(names, code, w, b, trust / trust.sum() * len(trust))
 
 
-def sample(docs: DataFrame, eligible: Column, label: str, per_label: int, most_labels: int) -> DataFrame:
+def sample(docs: DataFrame, eligible: Column, label: str, per_label: int, most_labels: int, most: int) -> DataFrame:
     """At most per_label documents of each of the most_labels most frequent labels, the first in the order of a digest of their id.
 
-    The bound of the sample is the product of the two parameters; ids are chosen first, without their texts."""
+    The bound of the sample is `most`, which labels share by turns; ids are chosen first, without their texts."""
     slim = docs.where(eligible & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("__label"))
     common = slim.groupBy("__label").count().orderBy(F.desc("count"), "__label").limit(most_labels)
     digest = F.md5(F.concat(F.lit("sample "), F.col("doc_id").cast("string")))
     # a label's first digests lie under a small bound: only some times the wanted rows of each label are dealt out
     slim = slim.join(F.broadcast(common), "__label").where(unit(digest) * F.col("count") < 4 * per_label).dropDuplicates(["doc_id"])
     first = slim.withColumn("__at", F.row_number().over(Window.partitionBy("__label").orderBy(digest, "doc_id"))).where(F.col("__at") <= per_label)
+    first = first.orderBy("__at", "__label").limit(most)
     return docs.join(F.broadcast(first.select("doc_id", "__label")), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "__label")
 
 
@@ -125,7 +128,7 @@ def crc_mod(n: int) -> Column:
 def learn(docs: DataFrame, held_out: Column) -> Model | None:
     """The model of a bounded sample of rows that are not held out; None without any. Features are computed by the executors."""
     shipped(docs.sparkSession)
-    chosen = sample(docs.select("doc_id", "text", "lang"), ~held_out, "lang", SAMPLE_PER_LANGUAGE, MOST_LANGUAGES)
+    chosen = sample(docs.select("doc_id", "text", "lang"), ~held_out, "lang", SAMPLE_PER_LANGUAGE, MOST_LANGUAGES, MOST_SAMPLE)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
