@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from punctua.session import shipped
 
-#: Vectors of one index block, and queries that meet it at a time.
+#: Vectors of one index block, queries that are dealt to it together, and those that meet it at a time.
 BLOCK_ROWS = 8192
-QUERY_ROWS = 512
+QUERY_ROWS = 8192
+SLICE_ROWS = 512
 #: Bits dropped from components and from weights in the slices; what is dropped widens the boundary that is resolved exactly.
 DROP_COMPONENT, DROP_WEIGHT = 3, 0
 SCALE = 1024
@@ -42,7 +43,7 @@ class BitSlices:
         negative = q < 0
         weight = np.abs(q)
         kept = weight >> drop
-        top = np.array([(1 << len(s)) - 1 for s in self.slices])  # complement within the slices
+        top = np.array([(1 << len(s)) - 1 for s in self.slices], dtype=np.int64)  # complement within the slices
         total: list[np.ndarray] = []
         zeros = np.zeros((len(q), self.words), dtype=np.uint64)
         for d, slices in enumerate(self.slices):
@@ -100,36 +101,49 @@ class BitSlices:
         return out
 
 
+FOUND = "query_id long, twin long, copies int, vec_id long, score long"
+
+
 def block_top(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best of one block for each query of one query block. A row of `rows` is a distinct vector with its least ids."""
+    """The k best of one block for each query of one query block. A row of `rows` is a distinct vector with its least ids. The index of the block is built once."""
     out = []
     if len(rows) and len(queries):
-        index = BitSlices(np.stack(rows["x"].to_numpy()).astype(np.int64))
-        q = np.stack(queries["x"].to_numpy()).astype(np.int64)
+        x = np.stack(rows["x"].to_numpy()).astype(np.int64)
+        index = BitSlices(x)
         ids = [np.asarray(v, dtype=np.int64) for v in rows["ids"]]
-        for query, (near, scores) in zip(queries["query_id"].to_numpy(), index.nearest(q, k + 1), strict=True):
-            found = np.concatenate([ids[r] for r in near])
-            score = np.repeat(scores, [len(ids[r]) for r in near])
-            keep = found != query
-            found, score = found[keep], score[keep]
-            best = np.lexsort((found, -score))[:k]
-            out.append(pd.DataFrame({"query_id": query, "vec_id": found[best], "score": score[best]}))
-    empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+        every = np.stack(queries["x"].to_numpy()).astype(np.int64)
+        for low in range(0, len(queries), SLICE_ROWS):
+            part, q = queries.iloc[low : low + SLICE_ROWS], every[low : low + SLICE_ROWS]
+            for own, query, twin, copies, (near, scores) in zip(q, part["query_id"], part["twin"], part["copies"], index.nearest(q, k + 1), strict=True):
+                found = np.concatenate([ids[r] for r in near])
+                score = np.repeat(scores, [len(ids[r]) for r in near])
+                keep = np.ones(len(found), dtype=bool)
+                at = 0
+                for r in near:  # the query's own row goes, once; another row of its id stays
+                    if (x[r] == own).all():
+                        keep[at + np.flatnonzero(ids[r] == query)[:1]] = False
+                    at += len(ids[r])
+                found, score = found[keep], score[keep]
+                best = np.lexsort((found, -score))[:k]
+                out.append(pd.DataFrame({"query_id": query, "twin": twin, "copies": copies, "vec_id": found[best], "score": score[best]}))
+    empty = pd.DataFrame({c.split()[0]: [] for c in FOUND.split(", ")}, dtype="int64")
     return pd.concat([empty, *out]).astype("int64")
 
 
 def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     """query_id, rank, vec_id, score: the k greatest integer inner products of each query, ties to the smaller vec_id.
 
-    Components become floor(1024 x). Queries are the rows whose vec_id is divisible by `every`; a query's own id is no candidate.
-    Rows without id, null vectors and vectors with a null or non-finite component take no part, nor do pairs of unequal length;
-    |floor(1024 x)| must be under 2 ** 26. Equal vectors are indexed once with their k + 1 least ids, which loses no result. Blocks of
-    the index meet blocks of queries; each pair of blocks answers k rows a query, of which a window takes the best.
+    Components become floor(1024 x). Queries are the rows whose vec_id is divisible by `every`; candidates are all other rows, also
+    those of the same id, so a repeated row answers as often as it stands there. Rows without id, null vectors and vectors with a null
+    or non-finite component take no part. Vectors meet those of their own length only; empty ones score 0 with each other.
+    |floor(1024 x)| must be under 2 ** 26, and scores must fit into a long. Equal vectors are indexed once with their k + 1 least ids,
+    which loses no result. Blocks of the index meet blocks of queries; each pair of blocks answers k rows a query, of which a window
+    takes the best.
     """
     shipped(vectors.sparkSession)
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-    v = v.where(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0)).where(F.forall("e", finite))
+    v = v.where(F.col("vec_id").isNotNull() & F.col("e").isNotNull()).where(F.forall("e", finite))
     v = v.select("vec_id", F.transform("e", lambda c: F.floor(c * SCALE).cast("long")).alias("x"))
     first = F.row_number().over(Window.partitionBy("x").orderBy("vec_id"))
     distinct = v.withColumn("__n", first).where(F.col("__n") <= k + 1).groupBy("x").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
@@ -138,10 +152,13 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     width, salt = F.size("x").alias("width"), F.xxhash64("x")
     rows = distinct.select("x", "ids", width, F.pmod(salt, F.lit(blocks)).alias("block"))
     rows = rows.withColumn("query_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
-    queries = v.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "x", width, F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).alias("query_block"))
+    # queries of one id are told apart by their vectors
+    asked = v.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id"), "x").agg(F.count(F.lit(1)).cast("int").alias("copies"))
+    queries = asked.select("query_id", "x", salt.alias("twin"), "copies", width, F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).alias("query_block"))
     queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     keys = ["width", "block", "query_block"]
-    met = rows.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(lambda a, b: block_top(a, b, k), "query_id long, vec_id long, score long")
+    met = rows.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(lambda a, b: block_top(a, b, k), FOUND)
     # a repeated id may be a candidate in several blocks, with several vectors
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return met.withColumn("rank", best.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = F.row_number().over(Window.partitionBy("query_id", "twin").orderBy(F.desc("score"), "vec_id"))
+    ranked = met.withColumn("rank", best.cast("int")).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score", F.explode(F.array_repeat("twin", F.col("copies")))).drop("col")
