@@ -14,11 +14,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset (a local session)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset in a local session."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="punctua-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -67,6 +69,38 @@ def small(df: DataFrame, name: str) -> DataFrame:
     return hinted(*counted(df, name))
 
 
+#: Bits of a bitmap for each key, and at most (32 MB).
+BITS_A_KEY, MOST_BITS = 16, 1 << 28
+
+
+def flagged(rows: DataFrame, key: Column, found: DataFrame, found_key: Column, n: int, name: str) -> DataFrame:
+    """rows with a boolean `name`: false where no row of found (n rows) has the same key. Keys share a bit now and then.
+
+    The bitmap is built in pieces of 4 KB, which are broadcast: 8192 pieces at most, at any size."""
+    bits = 1 << 15
+    while bits < min(n * BITS_A_KEY, MOST_BITS):
+        bits *= 2
+    low = F.lit((1 << 15) - 1)
+    at = found_key.bitwiseAND(F.lit(bits - 1))
+    pieces = found.groupBy(F.shiftright(at, 15).alias("__part")).agg(F.bitmap_construct_agg(at.bitwiseAND(low)).alias("__map"))
+    spot = key.bitwiseAND(F.lit(bits - 1))
+    rows = rows.withColumn("__part", F.shiftright(spot, 15)).join(F.broadcast(pieces), "__part", "left")
+    byte = F.conv(F.hex(F.substring("__map", (F.shiftright(spot.bitwiseAND(low), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    bit = F.coalesce(F.getbit(byte, spot.bitwiseAND(F.lit(7))), F.lit(0))
+    return rows.withColumn(name, F.col("__part").isNotNull() & (bit == 1)).drop("__part", "__map")
+
+
+def looked_up(rows: DataFrame, key: Column, found: DataFrame, found_key: Column, n: int, same: Column, how: str) -> DataFrame:
+    """rows.join(found, same, how) for how = left or left_anti, where equal rows have equal keys (longs).
+
+    Few rows of found (n) are broadcast. Of many, a bitmap tells which rows may have a partner, and only those are shuffled."""
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(found), same, how)
+    marked = flagged(rows, key, found, found_key, n, "__maybe")
+    some = marked.where("__maybe").drop("__maybe").join(found, same, how)
+    return some.unionByName(marked.where("NOT __maybe").drop("__maybe"), allowMissingColumns=True)
+
+
 def never_null(c: Column) -> Column:
     """A string key that tells null from every value."""
     return F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), c.cast("string")))

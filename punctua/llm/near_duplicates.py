@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctua.llm import common
-from punctua.llm.common import counted, dropped, hinted, small, written
+from punctua.llm.common import counted, dropped, hinted, looked_up, written
 from punctua.llm.shingles import in_slices, mixed, ordered, set_keys
 from punctua.session import shipped
 
@@ -418,12 +418,13 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Rows are told apart by id and text, so rows with equal or null ids stay or go by their own texts. Repeated rows (equal id and text)
     become one."""
     found = written(grouped(docs).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__of"), "first"), "components")
-    away = small(found.where(~F.col("first")).select("__id", "__of").distinct(), "away")
-    repeated = small(found.groupBy("__id", "__of").count().where("count > 1").select("__id", "__of"), "repeated")
+    away, n_away = counted(found.where(~F.col("first")).select("__id", "__of").distinct(), "away")
+    repeated, n_repeated = counted(found.groupBy("__id", "__of").count().where("count > 1").select("__id", "__of", F.lit(True).alias("__again")), "repeated")
     rows = docs.withColumn("__digest", F.xxhash64("text"))
-    same = lambda keys: rows["doc_id"].eqNullSafe(keys["__id"]) & (rows["__digest"] == keys["__of"])
-    kept = rows.join(away, same(away), "left_anti")
-    if not repeated.isEmpty():
-        once = kept.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "text"])
-        kept = kept.join(repeated, same(repeated), "left_anti").unionByName(once)
-    return kept.drop("__digest")
+    same = lambda keys: F.col("doc_id").eqNullSafe(keys["__id"]) & (F.col("__digest") == keys["__of"])
+    kept = looked_up(rows, F.col("__digest"), away, away["__of"], n_away, same(away), "left_anti")
+    if n_repeated:
+        again = looked_up(kept, F.col("__digest"), repeated, repeated["__of"], n_repeated, same(repeated), "left")
+        once = again.where("__again").dropDuplicates(["doc_id", "text"])
+        kept = again.where("__again IS NULL").unionByName(once)
+    return kept.select(*docs.columns)

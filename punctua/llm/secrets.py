@@ -10,7 +10,7 @@ from re import _parser as re_parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from punctua.llm.common import small
+from punctua.llm.common import counted, looked_up
 
 
 
@@ -159,11 +159,12 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", rules: tuple[Rule, ...] =
 
     Candidates of a rule come from the index and are verified on the text with its pattern; rules without a mandatory trigram (hex)
     scan every text. Null texts have no secret. Candidates are looked up by key; rows that share a key are each verified on their
-    own text, so repeated keys give right results too. The index holds no null key: rows without a key are candidates of every rule.
+    own text, so repeated keys give right results too. Texts are shuffled for rows that may be candidates only, and only beyond the
+    bound of a broadcast. The index holds no null key: rows without a key are candidates of every rule.
     """
     slim = docs.select(key, "text")
-    found = small(candidates(slim, rules, key).select(F.col("key").alias("__key"), F.col("rules").alias("__rules")), "candidates")
-    rows = docs.join(found, docs[key].eqNullSafe(found["__key"]), "left").drop("__key")
+    found, n = counted(candidates(slim, rules, key).select(F.col("key").alias("__key"), F.col("rules").alias("__rules")), "candidates")
+    rows = looked_up(docs, F.xxhash64(F.col(key)), found, F.xxhash64("__key"), n, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
     text, parts = F.coalesce(F.col("text"), F.lit("")), []
     nothing = F.array().cast("array<struct<start:bigint,order:int,end:bigint,kind:string>>")
 
@@ -173,7 +174,7 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", rules: tuple[Rule, ...] =
     for i, rule in enumerate(rules):
         scan_all = query_of(rule) is None
         matched = F.rlike(text, F.lit(rule.pattern))
-        wanted = matched if scan_all else F.when(docs[key].isNull(), matched).otherwise(F.coalesce(F.array_contains("__rules", rule.kind), F.lit(False)))
+        wanted = matched if scan_all else F.when(F.col(key).isNull(), matched).otherwise(F.coalesce(F.array_contains("__rules", rule.kind), F.lit(False)))
         parts.append(F.when(wanted, F.transform(spans_of(text, rule), placed(i, rule.kind))).otherwise(nothing))
     return rows.withColumn(name, F.array_sort(F.concat(*parts))).drop("__rules")
 

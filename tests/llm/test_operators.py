@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from punctua.llm import fingerprints, language, licenses, mixing, near_duplicates, packing, quality, secrets, sharding, topk
+from punctua.llm import common, fingerprints, language, licenses, mixing, near_duplicates, packing, quality, secrets, sharding, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -112,9 +112,10 @@ def links(texts):
     return sets, [find(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("frequent", [8, 1])
-def test_near_duplicates(docs, rows, empty, frequent, monkeypatch):
+@pytest.mark.parametrize("frequent, broadcast", [(8, 500_000), (1, 0)])
+def test_near_duplicates(docs, rows, empty, frequent, broadcast, monkeypatch):
     monkeypatch.setattr(near_duplicates, "FREQUENT", frequent)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
     sets, roots = links([r[1] for r in rows])
     least = {}
     for r, root in zip(rows, roots, strict=True):
@@ -148,7 +149,9 @@ def test_shared_passage(spark):
     assert got == {i: least[root] for i, root in enumerate(roots)}
 
 
-def test_deduplication_by_row(spark):
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_deduplication_by_row(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
     a, b, c = (" ".join(f"{name}{i}" for i in range(60)) for name in "abc")
     near = b + " more"
     held = [(5, a), (5, near), (3, b), (None, c), (None, near), (None, c + " more"), (None, "alone"), (None, "alone"), (7, None), (None, None)]
@@ -177,7 +180,9 @@ def plain_secrets(text):
     return sorted(found)
 
 
-def test_secrets(docs, rows, empty):
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_secrets(docs, rows, empty, broadcast, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
     out = by_id(secrets.scan_documents(docs))
     for doc_id, text, *_ in rows:
         found = plain_secrets(text or "")
@@ -340,6 +345,36 @@ def test_quality(spark, docs, rows, empty):
     assert {r["score"] for r in quality.score_documents(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_sample_is_bounded_in_bytes():
+    rows = np.arange(1000).reshape(500, 2)
+    assert len(quality.spread(rows)) == quality.SAMPLE_PASSAGES and quality.spread(rows)[[0, -1]].tolist() == [[0, 1], [998, 999]]
+    assert quality.spread(rows[:64]).shape == (64, 2)
+
+
+def test_rows_that_may_have_a_partner(spark):
+    keys = [k * 7919 for k in range(3000)] + [-5, -(1 << 62)]
+    found = spark.createDataFrame([(k,) for k in keys], "k long")
+    rows = spark.createDataFrame([(k,) for k in [*keys[::3], -5, -(1 << 62), *range(1, 40_000, 2), None]], "h long")
+    out = common.flagged(rows, F.col("h"), found, F.col("k"), len(keys), "maybe").collect()
+    assert len(out) == rows.count()
+    assert all(r["maybe"] for r in out if r["h"] in set(keys))
+    assert sum(r["maybe"] for r in out if r["h"] not in set(keys)) < 0.15 * len(out)
+
+
+def test_no_local_folder_on_a_cluster():
+    class Context:
+        master = "spark://somewhere:7077"
+        getConf = lambda self: {}
+        getCheckpointDir = lambda self: None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Session())
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(0)
     model = quality.AttentionModel()
@@ -361,20 +396,31 @@ def test_top_k(spark):
     vectors = [(i, (rng.standard_normal(16) / 4).tolist()) for i in range(1200)]
     vectors += [(2000 + i, vectors[7][1]) for i in range(300)]  # many equal vectors
     vectors += [(5000, None), (5001, [float("nan")] * 16), (5002, [None] + [0.1] * 15), (5003, [float("inf")] * 16), (None, [0.1] * 16), (5004, [0.0] * 16)]
+    vectors += [(300, vectors[300][1]), (400, vectors[5][1]), (500, [9.0] * 16), (6000, [-3.0] * 16)]  # repeated rows, repeated ids, negative ones
+    vectors += [(7000, []), (7001, []), (7100, []), (8000, [1.0] * 5), (8001, [2.0] * 5), (9000, [60000.0] * 16)]  # empty, of other length, large
     frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
     usable = [(i, np.floor(1024 * np.array(v)).astype(int)) for i, v in vectors if i is not None and v is not None and None not in v and np.isfinite(v).all()]
-    ids, x = np.array([i for i, _ in usable]), np.array([v for _, v in usable])
-    got = defaultdict(list)
-    for r in topk.search(frame).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
-    for q in ids[ids % 100 == 0]:
-        scores = x @ x[ids == q][0]
-        order = [i for i in np.lexsort((ids, -scores)) if ids[i] != q][:10]
-        assert got[q] == [(k + 1, ids[i], scores[i]) for k, i in enumerate(order)]
-    assert len(got) == (ids % 100 == 0).sum()
+    want = []
+    for at, (q, x) in enumerate(usable):
+        if q % 100 == 0:
+            scored = [(-int(x @ y), i) for other, (i, y) in enumerate(usable) if other != at and len(x) == len(y)]
+            want += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(sorted(scored)[:10])]
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.search(frame).collect()]
+    assert sorted(got) == sorted(want)
     assert topk.search(frame.limit(0)).collect() == []
 
 
+def test_top_k_in_blocks(spark, monkeypatch):
+    for name, n in (("BLOCK_ROWS", 90), ("QUERY_ROWS", 3), ("SLICE_ROWS", 2)):
+        monkeypatch.setattr(topk, name, n)
+    rng = np.random.default_rng(6)
+    x = rng.integers(-900, 900, (700, 8))
+    frame = spark.createDataFrame([(i, (v / 1024).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.search(frame).collect())
+    want = [(q, rank + 1, i, -s) for q in range(0, 700, 100) for rank, (s, i) in enumerate(sorted((-int(x[q] @ x[i]), i) for i in range(700) if i != q)[:10])]
+    assert got == want
+
+
 def test_adjacent_licenses():
     exact, edited = "released under the mit license", "relesed undr the mit license"
     label = licenses.fuzzy(exact)[0][2]
