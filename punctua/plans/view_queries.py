@@ -154,8 +154,8 @@ QUERIES = {
     "t62_vehicle_map_with_status": lambda spark, d: with_status(spark, d).groupBy("provider_id", "route_id", "delay_band").agg(F.count(F.lit(1)).alias("vehicle_count")),
     "t63_trip_delays": delays,
     "t64_route_lines": shapes,
-    "t66_next_departures": lambda spark, d: live.next_departures(updates(spark, d), now()).select("provider_id", "stop_id", "route_id", "trip_id", "stop_sequence", "predicted_utc", "departure_rank"),
-    "t67_non_responding": lambda spark, d: live.non_responding(T.trips(spark), timed(spark), running(spark), T.vehicles(spark, d).select("provider_id", "trip_id"), F.lit("2024-01-16").cast("date"), F.lit(450)),
+    "t66_next_departures": lambda spark, d: live.next_departures(updates(spark, d), newest_feed(updates(spark, d))).select("provider_id", "stop_id", "route_id", "trip_id", "stop_sequence", "predicted_utc", "departure_rank"),
+    "t67_non_responding": lambda spark, d: live.non_responding(T.trips(spark), timed(spark), running(spark), T.vehicles(spark, d).select("provider_id", "trip_id"), F.lit("2024-01-16").cast("date"), F.lit(1170)),
     "t68_current_alerts": lambda spark, d: A.current(T.alerts(spark, d), now()),
     "t69_alert_history_reporting": lambda spark, d: T.alerts(spark, d).groupBy("provider_id", F.date_trunc("WEEK", T.local(F.col("captured_at_utc"))).cast("date").alias("week"), A.content_hash(T.alerts(spark, d).columns).alias("content_hash")).agg(F.count(F.lit(1)).alias("rows_seen")),
     "t70_feed_freshness": freshness,
@@ -166,7 +166,7 @@ QUERIES = {
     "t108_alert_breakdown": lambda spark, d: A.breakdown(A.history(T.alerts(spark, d), F.lit("2024-01-10").cast("date"), F.lit("2024-01-25").cast("date"), T.TIME_ZONE)),
     "t109_archive_entries": lambda spark, d: A.archive_entries(T.alerts(spark, d)).drop("digest"),
     "t109_archive_merged": merged,
-    "t117_departures_board": lambda spark, d: live.departures_board(live.next_departures(updates(spark, d), now()), F.timestamp_add("MINUTE", F.lit(60), now())).select("provider_id", "stop_id", "route_id", "trip_id", "stop_sequence", "predicted_utc", "k"),
+    "t117_departures_board": lambda spark, d: live.departures_board(live.next_departures(updates(spark, d), newest_feed(updates(spark, d))), F.timestamp_add("MINUTE", F.lit(60), newest_feed(updates(spark, d)))).select("provider_id", "stop_id", "route_id", "trip_id", "stop_sequence", "predicted_utc", "k"),
     "t118_live_network": lambda spark, d: live.live_network(facts.latest(T.fact(spark, d))),
     "t122_language_coverage": observations,
     "t123_alert_versions": lambda spark, d: A.versions(T.alerts(spark, d)),
@@ -181,6 +181,11 @@ QUERIES = {
 }
 
 
+def newest_feed(rows: DataFrame) -> F.Column:
+    """A clock at the newest feed's time."""
+    return F.lit(rows.agg(F.max("feed_timestamp_utc")).first()[0]).cast("timestamp_ntz")
+
+
 def shortly_after(fact: DataFrame) -> F.Column:
     """A clock half a minute after the newest capture."""
     return F.timestamp_add("SECOND", F.lit(30), F.lit(fact.agg(F.max("captured_at_utc")).first()[0]).cast("timestamp_ntz"))
@@ -199,7 +204,7 @@ UPDATES = """updates AS (SELECT 'P1' AS provider_id, event_id // 10 AS rt_feed_s
     CASE WHEN event_id % 7 <> 0 THEN ts::DATE END AS start_date, (event_id % 8 + 1)::INT AS stop_sequence, 'S' || (event_id % 60) AS stop_id, CASE WHEN event_id % 3 <> 0 THEN t + to_minutes(event_id % 150 - 20) END AS arrival_utc,
     CASE WHEN event_id % 5 <> 0 THEN t + to_minutes(event_id % 150 - 20) + INTERVAL 20 SECOND END AS departure_utc, t AS feed_timestamp_utc
   FROM (SELECT *, date_trunc('second', ts)::TIMESTAMP AS t FROM events))"""
-DEPARTURES = f"departures AS (SELECT provider_id, stop_id, route_id, trip_id, stop_sequence, coalesce(departure_utc, arrival_utc) AS predicted_utc FROM updates WHERE rt_feed_snapshot_id = (SELECT max(rt_feed_snapshot_id) FROM updates) AND coalesce(departure_utc, arrival_utc) >= TIMESTAMP '{NOW}')"
+DEPARTURES = f"departures AS (SELECT provider_id, stop_id, route_id, trip_id, stop_sequence, coalesce(departure_utc, arrival_utc) AS predicted_utc FROM updates WHERE rt_feed_snapshot_id = (SELECT max(rt_feed_snapshot_id) FROM updates) AND coalesce(departure_utc, arrival_utc) >= (SELECT max(feed_timestamp_utc) FROM updates))"
 POSITIONS = f"positions AS (SELECT * FROM vehicles WHERE longitude BETWEEN -180 AND 180 AND latitude BETWEEN -90 AND 90 AND longitude BETWEEN {BOX[0]}::DOUBLE AND {BOX[2]}::DOUBLE AND latitude BETWEEN {BOX[1]}::DOUBLE AND {BOX[3]}::DOUBLE)"
 DELAYS = f"delays AS (SELECT provider_id, trip_id, route_id, direction_id, {S.half(S.ratio('sum(delay_seconds)', 'count(*)'), 2)} AS avg_delay_seconds, max(delay_seconds) AS max_delay_seconds FROM fact WHERE {S.CLAMP} AND start_date >= DATE '2024-01-28' GROUP BY ALL)"
 STATUS = """worst AS (SELECT provider_id, trip_id, route_id, max(avg_delay_seconds) AS avg_delay_seconds FROM delays GROUP BY ALL),
@@ -302,7 +307,7 @@ ORACLE_SQL = {
     "t66_next_departures": S.query(UPDATES, DEPARTURES, select="SELECT *, row_number() OVER (PARTITION BY provider_id, stop_id ORDER BY predicted_utc, trip_id, stop_sequence)::INT AS departure_rank FROM departures"),
     "t67_non_responding": S.query(S.SCHEDULE, S.VEHICLES, """near AS (SELECT service_id, (DATE '2024-01-16' - d) * 1440 AS m FROM running WHERE d IN (DATE '2024-01-16', DATE '2024-01-15')),
       spans AS (SELECT trip_id, min(secs) // 60 AS a, max(secs) // 60 AS z FROM stop_times GROUP BY ALL),
-      due AS (SELECT DISTINCT t.provider_id, t.route_id, t.trip_id FROM trips t JOIN near USING (service_id) JOIN spans USING (trip_id) WHERE 450 + m BETWEEN a AND z AND trip_id NOT IN (SELECT trip_id FROM vehicles))""",
+      due AS (SELECT DISTINCT t.provider_id, t.route_id, t.trip_id FROM trips t JOIN near USING (service_id) JOIN spans USING (trip_id) WHERE 1170 + m BETWEEN a AND z AND trip_id NOT IN (SELECT trip_id FROM vehicles))""",
       select="SELECT provider_id, route_id, count(*) AS non_responding_count, string_agg(trip_id, ',' ORDER BY trip_id) AS trip_ids FROM due GROUP BY ALL"),
     "t68_current_alerts": S.query(S.ALERTS, f"""s AS (SELECT *, md5(coalesce(description, '') || coalesce(severity, '') || coalesce(cause, '') || coalesce(effect, '')) AS same FROM alerts),
       e AS (SELECT same, coalesce(string_agg(DISTINCT route_id, ', ' ORDER BY route_id), '') AS route_ids, coalesce(string_agg(DISTINCT stop_id, ', ' ORDER BY stop_id), '') AS stop_ids, count(DISTINCT route_id) AS route_count, count(DISTINCT stop_id) AS stop_count, count(*) AS entity_count FROM s GROUP BY same),
@@ -320,7 +325,7 @@ ORACLE_SQL = {
     "t109_archive_entries": S.query(S.ALERTS, entries("a", "true"), select="SELECT * FROM a"),
     "t109_archive_merged": S.query(S.ALERTS, entries("a", "captured_at_utc < TIMESTAMP '2024-01-15'"), entries("b", "captured_at_utc >= TIMESTAMP '2024-01-15'"),
       select=f"SELECT coalesce(a.provider_id, b.provider_id) AS provider_id, coalesce(a.stable_id, b.stable_id) AS stable_id, {', '.join(map(pick, ('header', 'description', 'severity', 'cause', 'effect')))}, coalesce(a.first_seen, b.first_seen) AS first_seen, greatest(a.last_seen, b.last_seen) AS last_seen, {united('routes')}, {united('periods')}, coalesce(a.archive_month, b.archive_month) AS archive_month FROM a FULL JOIN b ON a.stable_id = b.stable_id"),
-    "t117_departures_board": S.query(UPDATES, DEPARTURES, select=f"SELECT *, row_number() OVER (PARTITION BY stop_id, route_id ORDER BY predicted_utc, trip_id, stop_sequence)::INT AS k FROM departures WHERE predicted_utc < TIMESTAMP '{NOW}' + INTERVAL 60 MINUTE QUALIFY k <= 2"),
+    "t117_departures_board": S.query(UPDATES, DEPARTURES, select=f"SELECT *, row_number() OVER (PARTITION BY stop_id, route_id ORDER BY predicted_utc, trip_id, stop_sequence)::INT AS k FROM departures WHERE predicted_utc < (SELECT max(feed_timestamp_utc) FROM updates) + INTERVAL 60 MINUTE QUALIFY k <= 2"),
     "t118_live_network": S.query(S.FACT, select=f"""SELECT provider_id, count(*) AS trip_count, {", ".join(f"count(*) FILTER (band = '{b}') AS {b}_count" for b in ("early", "on_time", "late", "severe", "unknown"))},
       {S.half(S.ratio("100.0::DOUBLE * count(*) FILTER (band IN ('on_time', 'late'))", "count(delay_seconds)"), 0)} AS on_time_pct, {S.half(S.ratio("100.0::DOUBLE * count(delay_seconds)", "count(*)"), 1)} AS coverage_pct,
       {S.half("quantile_cont(delay_seconds::DOUBLE / 60.0, 0.5)", 1)} AS p50_min, {S.half("quantile_cont(delay_seconds::DOUBLE / 60.0, 0.9)", 1)} AS p90_min,
