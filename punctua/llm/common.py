@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -55,6 +56,12 @@ def dropped(*frames: DataFrame) -> None:
             folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Asks the driver to collect its garbage: Spark frees shuffle files, broadcasts and plans of finished steps only then, and a job of many rounds should not keep them all."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: A written table is broadcast up to this number of rows; beyond it the same join shuffles.
 BROADCAST_ROWS = 500_000
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctua.llm import common
-from punctua.llm.common import counted, dropped, hinted, looked_up, written
+from punctua.llm.common import counted, dropped, hinted, looked_up, released, written
 from punctua.llm.shingles import in_slices, mixed, ordered, set_keys
 from punctua.session import shipped
 
@@ -351,6 +351,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     lists = lists.where("__a <> __z").drop("__a", "__z")
     postings = written(found.distinct().join(lists, "sig"), "postings")
     dropped(repeated, held_sets)
+    released(docs.sparkSession)
     links, held = [], [0]
 
     def verified(pairs: DataFrame) -> tuple[DataFrame, int]:
@@ -361,6 +362,7 @@ def grouped(docs: DataFrame) -> DataFrame:
         links.append(fresh)
         held[0] += n
         dropped(near)
+        released(docs.sparkSession)
         return reduce(DataFrame.union, links), held[0]
 
     def placed(rows: DataFrame, groups: DataFrame, *columns: str) -> DataFrame:
