@@ -30,6 +30,8 @@ REGION = 1.25
 ROUNDS = 4
 #: Nodes from which on a list is long: its pairs are told from those of other long lists before they leave the join.
 LONG_LIST = 32
+#: Long lists, the least, that a node brings along to tell which of the lists in common with another counts.
+LISTS_KNOWN = 8
 #: Sets that a task remembers, so that it does not repeat them.
 MOST_SEEN = 1_000_000
 
@@ -323,8 +325,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Two documents link when 80 % of the union of their sets of five-word shingles is shared. Equal sets are one node. Lists of the
     index are not expanded into pairs: first each list's nodes are compared with one hub, then with a hub drawn for each list, and
-    only what is still apart is compared with all, so a large group of copies costs its size and not its square, while no link
-    between components is missed. Pairs are first held against the least hashes of both sets, then verified on whole sets.
+    only nodes outside the largest component of a list are compared with all of it, so a large group of copies costs its size and not
+    its square, while no link between components is missed. Pairs are first held against the least hashes of both sets, then verified on whole sets.
     Documents without words link with nothing. Rows with equal ids are judged by their own texts; null ids never name a component
     unless all of its ids are null.
     """
@@ -386,21 +388,26 @@ def grouped(docs: DataFrame) -> DataFrame:
     groups = hinted(*counted(labelled(known, n), "labels", 2 * n))
     known, n = verified(met(placed(postings, groups, "node", "other_node").where("node_group <> other_node_group"), "other"))
     groups = hinted(*counted(labelled(known, n), "labels", 2 * n))
-    # last round: within each list all pairs of nodes that are still in different components, but for those with the hub
+    # last round: within each list the pairs of nodes that are still in different components, but for those with the hub
     alone = F.greatest("least", F.ceil(F.col("n") * SIMILAR / 100))
     hopeful = postings.where(F.col("most") * (100 + SIMILAR) >= SIMILAR * (F.col("n") + alone)).where("node <> hub_node")
     rows = placed(hopeful.select("sig", "node", "n", "most"), groups, "node")
-    mixed_lists = rows.groupBy("sig").agg(F.min("node_group").alias("x"), F.max("node_group").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y").select("sig", "size")
-    rows = written(rows.join(mixed_lists, "sig"), "apart")
+    # of two nodes that are apart, one at least is outside the largest component of the list
+    sizes = rows.groupBy("sig", "node_group").count().groupBy("sig").agg(F.max_by("node_group", F.struct("count", "node_group")).alias("main"), F.sum("count").alias("size"), F.count(F.lit(1)).alias("groups"))
+    rows = written(rows.join(sizes.where("groups > 1").drop("groups"), "sig"), "apart")
 
     def meetings(rows: DataFrame, *more: str) -> DataFrame:
+        """Pairs of nodes of one list in different components: those outside the largest one with all."""
         other = rows.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("most").alias("also"), F.col("node_group").alias("b_group"), *(F.col(c).alias(f"b_{c}") for c in more))
-        # of a pair's common long lists (of one kind, rare or frequent, as the bounds differ) only the least counts
-        once = F.array_min(F.array_intersect("sigs", "b_sigs")) == F.col("sig") if more else F.lit(True)
-        return rows.join(other, "sig").where((F.col("node") < F.col("b")) & (F.col("node_group") != F.col("b_group")) & may("n", "most", "m", "also") & once).select(F.col("node").alias("a"), "b")
+        met = rows.where("node_group <> main").join(other, "sig")
+        met = met.where((F.col("node_group") != F.col("b_group")) & ((F.col("b_group") == F.col("main")) | (F.col("node") < F.col("b"))) & may("n", "most", "m", "also"))
+        if more:  # of a pair's common long lists (of one kind, rare or frequent, as the bounds differ) the least counts, if both know it
+            both = F.array_intersect("sigs", "b_sigs")
+            met = met.where((F.size(both) == 0) | (F.array_min(both) == F.col("sig")))
+        return met.select(F.col("node").alias("a"), "b")
 
     long = rows.where(F.col("size") >= LONG_LIST)
-    of_node = long.groupBy("node", "most").agg(F.collect_list("sig").alias("sigs"))
+    of_node = long.groupBy("node", "most").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, LISTS_KNOWN).alias("sigs"))
     known, n = verified(meetings(rows.where(F.col("size") < LONG_LIST)).union(meetings(long.join(of_node, ["node", "most"]), "sigs")))
     groups = hinted(components(known, n), 2 * n)
     marks.taken_back()
