@@ -40,3 +40,15 @@ def shipped(spark: SparkSession) -> SparkSession:
                 z.write(source, source.relative_to(package.parent))
         spark.sparkContext.addPyFile(str(target))
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset in a local session."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not found:
+        if context.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="punctua-")
+        context.setCheckpointDir(found)
+    return found.rstrip("/")

@@ -5,10 +5,18 @@ from __future__ import annotations
 import io
 import struct
 import zipfile
+from collections.abc import Iterator
+from itertools import batched
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from punctua.session import shipped
+
+#: Features that leave a task at once.
+FEATURES = 5_000
+
 
 def geometries(shp: bytes) -> list:
     """Points of each record: one point, or those of all parts of a line; an empty record has none."""
@@ -47,16 +55,29 @@ def epsg(prj: str) -> int | None:
     return 4326 if "GCS_WGS_1984" in prj and "PROJCS" not in prj else 32188 if "MTM" in prj and "8" in prj else None
 
 
-def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """feature_id (a repeated id gets :n), attributes, points (lon, lat), epsg. Small reference data, parsed on the driver."""
-    archive = zipfile.ZipFile(io.BytesIO(bytes(spark.read.format("binaryFile").load(path).first()["content"])))
-    by_end = {n.rsplit(".", 1)[-1].lower(): archive.read(n) for n in archive.namelist()}
-    rows, seen = [], {}
-    for points, row in zip(geometries(by_end["shp"]), attributes(by_end["dbf"]), strict=True):
-        key = row.get("stop_id") or row.get("shape_id") or row.get("route_id") or str(len(rows))
+def features(content: bytes) -> Iterator[tuple]:
+    """The features of a zip: id, attributes, points, projection."""
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        by_end = {n.rsplit(".", 1)[-1].lower(): archive.read(n) for n in archive.namelist()}
+    code, seen = epsg(by_end.get("prj", b"").decode()), {}
+    for i, (points, row) in enumerate(zip(geometries(by_end["shp"]), attributes(by_end["dbf"]), strict=True)):
+        key = row.get("stop_id") or row.get("shape_id") or row.get("route_id") or str(i)
         seen[key] = seen.get(key, 0) + 1
-        rows.append((key if seen[key] == 1 else f"{key}:{seen[key]}", row, [{"lon": x, "lat": y} for x, y in points], epsg(by_end.get("prj", b"").decode())))
-    return spark.createDataFrame(rows, "feature_id string, attributes map<string,string>, points array<struct<lon: double, lat: double>>, epsg int")
+        yield key if seen[key] == 1 else f"{key}:{seen[key]}", row, [{"lon": x, "lat": y} for x, y in points], code
+
+
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    """feature_id (a repeated id gets :n), attributes, points (lon, lat), epsg. A task for each archive parses it; the driver sees none of it."""
+    shipped(spark)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                for some in batched(features(bytes(content)), FEATURES):
+                    yield pd.DataFrame(some, columns=["feature_id", "attributes", "points", "epsg"]).astype({"epsg": "Int32"})
+
+    schema = "feature_id string, attributes map<string,string>, points array<struct<lon: double, lat: double>>, epsg int"
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
 
 
 def matched_stops(features: DataFrame, stops: DataFrame) -> DataFrame:

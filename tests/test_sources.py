@@ -46,7 +46,16 @@ def test_archive_contract(spark, tmp_path):
         gtfs.read_archive(spark, broken, "P1")
     assert gtfs.read_archive(spark, broken, "P1", strict=False).warnings
     with pytest.raises(ValueError, match="two members"):
-        gtfs.unpacked(open(archive(tmp_path / "e.zip", MEMBERS | {"sub/Routes.txt": "x"}), "rb").read())
+        gtfs.read_archive(spark, archive(tmp_path / "e.zip", MEMBERS | {"sub/Routes.txt": "x"}), "P1")
+
+
+def test_archive_records(spark, tmp_path):
+    """Quoted line breaks and separators stay in their field; short, long and blank records, an empty member and a header with spaces are defined."""
+    stops = '\ufeffstop_id, stop_name,stop_lat,stop_id\r\nS1,"two\nlines ""q""",45.5,again\r\n\r\nS2,a\u2028b\r\nS3,c,1.0,x,beyond\r\n'
+    got = gtfs.read_archive(spark, archive(tmp_path / "f.zip", MEMBERS | {"stops.txt": stops, "shapes.txt": ""}), "P1", strict=False)
+    assert got.members["stops"].columns == ["provider_id", "stop_id", "stop_name", "stop_lat"]
+    assert sorted(map(tuple, got.members["stops"].collect())) == [("P1", "S1", 'two\nlines "q"', 45.5), ("P1", "S2", "a\u2028b", None), ("P1", "S3", "c", 1.0)]
+    assert "shapes" not in got.members and len(got.warnings) == 1
 
 
 def varint(n):
