@@ -89,23 +89,53 @@ def next_stop_delays(updates: DataFrame, stop_times: DataFrame, time_zone: str)
     return rows.withColumn("__k", F.row_number().over(order)).where("__k = 1").drop("__k", "secs")
 
 
-def nearest_vehicle(trip_facts: DataFrame, vehicles: DataFrame, seconds: int = NEAR_SECONDS) -> DataFrame:
-    """Each trip fact with the vehicle position nearest in time within the tolerance, on the same trip and (where known) route; facts without one stay.
+def nearest_vehicle(trip_facts: DataFrame, vehicles: DataFrame, seconds: int = NEAR_SECONDS, at: str = "captured_at_utc") -> DataFrame:
+    """Each trip fact with the vehicle position nearest in time within the tolerance, on the same trip and (where known) route, and its occupancy; facts without one stay. at: the column of time of both tables.
 
     An as-of join by time buckets: a fact meets the positions of its own bucket and the two beside it, so a busy trip is dealt out
     over time; ties go to the newer snapshot, then the lower entity."""
     bucket = lambda ts: F.floor(F.timestamp_diff("SECOND", F.lit("2000-01-01 00:00:00").cast("timestamp_ntz"), ts) / seconds)
     key = ["provider_id", "realtime_snapshot_id", "entity_index"]
-    left = trip_facts.withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: bucket(F.col("captured_at_utc")) + i)))
+    left = trip_facts.withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: bucket(F.col(at)) + i)))
     right = vehicles.where("vehicle_id IS NOT NULL").select(
-        "provider_id", "trip_id", bucket(F.col("captured_at_utc")).alias("bucket"), F.col("vehicle_id").alias("near_vehicle_id"), F.col("route_id").alias("v_route"), F.col("captured_at_utc").alias("v_at"),
-        F.col("realtime_snapshot_id").alias("v_snapshot"), F.col("entity_index").alias("v_entity"),
+        "provider_id", "trip_id", bucket(F.col(at)).alias("bucket"), F.col("vehicle_id").alias("near_vehicle_id"), F.col("route_id").alias("v_route"), F.col(at).alias("v_at"),
+        F.col("occupancy_status").alias("near_occupancy_status"), F.col("realtime_snapshot_id").alias("v_snapshot"), F.col("entity_index").alias("v_entity"),
     )
-    apart = F.abs(F.timestamp_diff("SECOND", F.col("captured_at_utc"), F.col("v_at")))
+    apart = F.abs(F.timestamp_diff("SECOND", F.col(at), F.col("v_at")))
     same_route = F.col("route_id").isNull() | (F.col("route_id") == F.col("v_route"))
     near = left.join(right, ["provider_id", "trip_id", "bucket"]).where((apart <= seconds) & same_route)
-    best = near.groupBy(*key).agg(F.min_by(F.struct("near_vehicle_id", apart.alias("apart")), F.struct(apart, -F.col("v_snapshot"), F.col("v_entity"))).alias("b"))
-    return trip_facts.join(best, key, "left").withColumn("near_vehicle_id", F.col("b.near_vehicle_id")).withColumn("near_vehicle_seconds", F.col("b.apart")).drop("b")
+    best = near.groupBy(*key).agg(F.min_by(F.struct("near_vehicle_id", "near_occupancy_status", apart.alias("apart")), F.struct(apart, -F.col("v_snapshot"), F.col("v_entity"))).alias("b"))
+    return trip_facts.join(best, key, "left").select(*trip_facts.columns, "b.near_vehicle_id", "b.near_occupancy_status", F.col("b.apart").alias("near_vehicle_seconds"))
+
+
+def trip_delay_fact(updates: DataFrame, stop_updates: DataFrame, stop_times: DataFrame, vehicles: DataFrame, time_zone: str) -> DataFrame:
+    """The trip-delay fact: a row for each trip update entity, with its stop counts, the delay at its next stop and the nearest vehicle.
+
+    updates: provider_id, realtime_snapshot_id, entity_index, entity_id, feed_timestamp_utc, captured_at_utc, trip_id, route_id, direction_id, start_date, schedule_relationship.
+    stop_updates: provider_id, realtime_snapshot_id, entity_index, stop_time_update_index, stop_sequence, stop_id, arrival_utc, departure_utc, schedule_relationship (1: skipped).
+    Counts and the next stop come from one aggregation, so a feed's stop updates are shuffled by entity once; an entity without stop
+    updates counts 0, one without a start date, a prediction or a planned stop has no delay. Snapshots are those of the input: pass
+    one snapshot to refresh it, a day to rebuild the day."""
+    key = ["provider_id", "realtime_snapshot_id", "entity_index"]
+    clock = F.coalesce(*(c for c in ("arrival_time", "departure_time") if c in stop_times.columns))
+    planned = stop_times.where(clock.isNotNull()).select("provider_id", "trip_id", "stop_sequence", F.col("stop_id").alias("planned_stop_id"), service_seconds(clock).alias("secs"))
+    rows = stop_updates.join(updates.select(*key, "trip_id", "start_date", "feed_timestamp_utc"), key).join(planned, ["provider_id", "trip_id", "stop_sequence"], "left")
+    predicted = F.coalesce("arrival_utc", "departure_utc")
+    late = F.timestamp_diff("SECOND", service_instant(F.col("start_date"), F.col("secs"), time_zone), predicted).cast("int")
+    away = F.timestamp_diff("SECOND", F.col("feed_timestamp_utc"), predicted)
+    order = F.struct((away < 0).cast("int"), F.abs(away), "stop_sequence", "stop_time_update_index")
+    stop = F.struct(late.alias("delay_seconds"), F.coalesce("stop_id", "planned_stop_id").alias("delay_stop_id"), F.col("stop_sequence").alias("delay_stop_sequence"))
+    counts = rows.groupBy(*key).agg(
+        F.count(F.lit(1)).cast("int").alias("updates"), F.count_if(F.col("schedule_relationship") == 1).cast("int").alias("skipped"),
+        F.min_by(stop, F.when(late.isNotNull() & away.isNotNull(), order)).alias("next"),
+    )
+    local = F.convert_timezone(F.lit("UTC"), F.lit(time_zone), F.col("feed_timestamp_utc"))
+    found = nearest_vehicle(updates, vehicles, at="feed_timestamp_utc").join(counts, key, "left")
+    return found.select(
+        *key, F.date_format(local, "yyyyMMdd").cast("int").alias("snapshot_date_key"), F.to_date(local).alias("snapshot_local_date"), "feed_timestamp_utc", "captured_at_utc", "entity_id", "trip_id", "route_id",
+        "direction_id", "start_date", F.col("near_vehicle_id").alias("vehicle_id"), F.col("near_occupancy_status").alias("occupancy_status"), F.col("schedule_relationship").alias("trip_schedule_relationship"),
+        "next.delay_seconds", F.coalesce("updates", F.lit(0)).alias("stop_time_update_count"), F.coalesce("skipped", F.lit(0)).alias("skipped_stop_count"), "next.delay_stop_id", "next.delay_stop_sequence",
+    )
 
 
 def latest(rows: DataFrame) -> DataFrame:

@@ -229,12 +229,31 @@ def receipts(accountability: DataFrame, spine: DataFrame, stop_spine: DataFrame)
     return accountability.join(day, key, "left").join(worst(routes, "route_id"), key, "left").join(worst(stops, "stop_id"), key, "left")
 
 
-def all_routes(spine: DataFrame, sections: Sequence[str] = ("shift", "day_type", "dow")) -> DataFrame:
-    """Every route, window and section in one pass: the windowed rows are grouped once by all sections' values as grouping sets."""
-    rows = in_windows(spine, ["provider_id", "route_id"]).withColumns({s: FOLDS[s]()[0].cast("string") for s in sections})
-    parts = F.array(*(F.struct(F.lit(s).alias("section"), F.col(s).alias("grain")) for s in sections), F.struct(F.lit("all").alias("section"), F.lit("all").alias("grain")))
-    rows = rows.withColumn("__s", F.explode(parts)).select("*", "__s.section", "__s.grain")
-    return rated(project(rows, ["provider_id", "route_id", "window_grain", "period", "section", "grain"]))
+def all_routes(spine: DataFrame) -> DataFrame:
+    """Every section of every route in one pass over the spine: rates of all its days by week, month, shift, day type, weekday, shift x day
+    type and weekday x hour, and the same of the trailing windows (shift and day type also of the windows before; all: the window whole).
+
+    section, window_grain and period (NULL over all days), grain and grain_2 as text; habit cells (weekday x hour) have a problem score.
+    A row is dealt into its sections by an explode; the partial sums before the shuffle bring it back to a row for each cell."""
+    key = ["provider_id", "route_id"]
+    age = F.date_diff(F.max(DATE).over(Window.partitionBy(*key)), F.col(DATE))
+    spans = [F.when((age >= k * days) & (age < (k + 1) * days), F.struct(F.lit(grain).alias("window_grain"), F.lit(period).alias("period"))) for grain, days in WINDOW_DAYS.items() for k, period in enumerate(("current", "prior"))]
+    grain = {fold: FOLDS[fold]()[0].cast("string") for fold in ("shift", "day_type", "week", "month", "dow")}
+    cells = {"shift": (grain["shift"], None), "day_type": (grain["day_type"], None), "dow": (grain["dow"], None), "crosstab": (grain["shift"], grain["day_type"]), "habit": (grain["dow"], F.col("hour_of_day_local").cast("string"))}
+    whole = {"week": (grain["week"], None), "month": (grain["month"], None)} | cells
+    windowed = {"all": (F.lit("all"), None)} | cells
+
+    def part(section: str, cell: tuple, window: Column | None) -> Column:
+        in_window = lambda c: F.lit(None).cast("string") if window is None else window[c]
+        second = F.lit(None).cast("string") if cell[1] is None else cell[1]
+        row = F.struct(F.lit(section).alias("section"), in_window("window_grain").alias("window_grain"), in_window("period").alias("period"), cell[0].alias("grain"), second.alias("grain_2"))
+        return row if window is None or section in ("all", "shift", "day_type") else F.when(window["period"] == "current", row)
+
+    dealt = F.flatten(F.transform("__spans", lambda w: F.array(*(part(s, c, w) for s, c in windowed.items()))))
+    rows = spine.withColumn("__spans", F.array_compact(F.array(*spans))).withColumn("__s", F.explode(F.array_compact(F.concat(F.array(*(part(s, c, None) for s, c in whole.items())), dealt))))
+    found = project(rows.select("*", "__s.*"), [*key, "section", "window_grain", "period", "grain", "grain_2"])
+    average = K.half_away(K.ratio(F.col("sum_delay_sec"), K.total(F.col("hist"))), 2)
+    return rated(found.withColumn("problem_score", F.when(F.col("section") == "habit", K.problem_score(F.col("severe"), average))))
 
 
 def hotspots(problems: DataFrame, route_rates: DataFrame, network_otp: DataFrame, n: int = 20) -> DataFrame:

@@ -121,6 +121,16 @@ def folded(key: str, dims: str, names_: str) -> str:
     return S.query(*SPINES, f"folded AS (SELECT {key}, {dims}, {SUMS} FROM route_spine GROUP BY ALL)", select=f"SELECT {key}, {names_}, {RATES} FROM folded")
 
 
+CELLS = (("shift", DIMS["shift"], "NULL"), ("day_type", DIMS["day_type"], "NULL"), ("dow", DIMS["dow"], "NULL"), ("crosstab", DIMS["shift"], DIMS["day_type"]), ("habit", DIMS["dow"], "hour_of_day_local"))
+
+
+def section(name: str, source: str, window: str, where: str, grain: str, second: str) -> str:
+    """The rows of a section of all routes, of all days or of windows."""
+    columns = "window_grain, period" if window == "w" else "NULL::VARCHAR AS window_grain, NULL::VARCHAR AS period"
+    measures = ", ".join(("provider_id", "route_id", "observation_count", "delay_observation_count", "on_time_observation_count", "severe_delay_count", "sum_delay_seconds", *H))
+    return f"SELECT '{name}' AS section, {columns}, ({grain})::VARCHAR AS grain, ({second})::VARCHAR AS grain_2, {measures} FROM {source} WHERE {where}"
+
+
 def windows(source: str, key: str) -> str:
     return f"""anchors AS (SELECT {key}, max(provider_local_date) AS anchor FROM {source} GROUP BY {key}),
   grains AS (SELECT * FROM (VALUES ('day', 1), ('week', 7), ('month', 30)) t(window_grain, days)),
@@ -218,8 +228,10 @@ ORACLE_SQL = {
       FROM fact WHERE delay_stop_id IS NOT NULL AND {S.CLAMP} GROUP BY ALL)""", select="SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY stop_id ORDER BY provider_local_date DESC) = 1"),
     "t99_scheduled_headway": S.query(S.SCHEDULE, PLANNED, select="SELECT * FROM planned"),
     **{f"t100_network_trend_{g}": trend(g) for g in ("day", "week", "month")},
-    "t102_all_routes": S.query(*SPINES, windows("route_spine", "provider_id, route_id"), "sections AS (" + " UNION ALL ".join(f"SELECT '{n}' AS section, ({x})::VARCHAR AS grain, * FROM windowed" for n, x in (("shift", DIMS["shift"]), ("day_type", DIMS["day_type"]), ("dow", DIMS["dow"]), ("all", "'all'"))) + ")",
-      f"folded AS (SELECT provider_id, route_id, window_grain, period, section, grain, {SUMS} FROM sections GROUP BY ALL)", select=f"SELECT provider_id, route_id, window_grain, period, section, grain, {RATES} FROM folded"),
+    "t102_all_routes": S.query(*SPINES, windows("route_spine", "provider_id, route_id"), "sections AS (" + " UNION ALL ".join(
+        [section(n, "route_spine", "NULL", "true", g, h) for n, g, h in (("week", DIMS["week"], "NULL"), ("month", DIMS["month"], "NULL"), *CELLS)] + [section(n, "windowed", "w", "true" if n in ("all", "shift", "day_type") else "period = 'current'", g, h) for n, g, h in (("all", "'all'", "NULL"), *CELLS)]) + ")",
+      f"folded AS (SELECT provider_id, route_id, section, window_grain, period, grain, grain_2, {SUMS} FROM sections GROUP BY ALL)",
+      select=f"SELECT provider_id, route_id, section, window_grain, period, grain, grain_2, {RATES}, CASE WHEN section = 'habit' THEN least(9999.9999::DOUBLE, {S.half('severe * 10.0::DOUBLE + greatest(coalesce(' + S.half(S.ratio('total', ' + '.join(H)), 2) + ', 0), 0) / 60.0::DOUBLE', 4)}) END AS problem_score FROM folded"),
     "t106_repeat_offenders": S.query(S.FACT, P.RECENT, P.of_recent(S.OFFENDER_SPINE), OFFENDERS, select="SELECT *, row_number() OVER (PARTITION BY provider_id ORDER BY recurrence_days DESC, avg_delay_seconds DESC, entity_kind, entity_id, route_id)::INT AS rank FROM offenders QUALIFY rank <= 50"),
     "t107_offenders_by_grain": S.query(S.FACT, S.OFFENDER_SPINE, windows("offender_spine", "provider_id"), f"""found AS (SELECT provider_id, window_grain, entity_kind, entity_id, route_id, count(DISTINCT provider_local_date) FILTER (severe_delay_count > 0) AS recurrence, count(DISTINCT provider_local_date) AS observed_days, sum(observation_count)::BIGINT AS obs,
       {S.half(S.ratio("sum(sum_delay_seconds)", "sum(observation_count)"), 1)} AS avg_delay_seconds FROM windowed WHERE period = 'current' AND window_grain <> 'day' GROUP BY ALL)""",

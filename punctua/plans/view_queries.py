@@ -54,6 +54,11 @@ def fact_delays(spark: SparkSession, d: str) -> DataFrame:
     return found.select("provider_id", "rt_feed_snapshot_id", "entity_index", "trip_id", "stop_sequence", "predicted", "delay_seconds")
 
 
+def trip_delay_fact(spark: SparkSession, d: str) -> DataFrame:
+    positions_at = T.vehicles(spark, d).withColumn("feed_timestamp_utc", F.date_trunc("SECOND", F.col("captured_at_utc")).cast("timestamp_ntz"))
+    return facts.trip_delay_fact(T.trip_updates(spark, d), T.stop_updates(spark, d), T.stop_times(spark), positions_at, T.TIME_ZONE)
+
+
 def near(spark: SparkSession, d: str) -> DataFrame:
     found = facts.nearest_vehicle(T.fact(spark, d), T.vehicles(spark, d))
     return found.select("provider_id", "realtime_snapshot_id", "entity_index", "trip_id", "near_vehicle_id", "near_vehicle_seconds")
@@ -144,6 +149,7 @@ QUERIES = {
     "t21_dim_date": lambda spark, d: facts.dim_date(T.calendar(spark), T.calendar_dates(spark)),
     "t23_schedule_summary": lambda spark, d: facts.schedule_summary(T.trips(spark), T.stop_times(spark), T.calendar(spark)),
     "t25_next_stop_delay": fact_delays,
+    "t25_trip_delay_fact": trip_delay_fact,
     "t25c_nearest_vehicle": near,
     "t26_latest_snapshot": lambda spark, d: facts.latest(T.fact(spark, d)).select("provider_id", "realtime_snapshot_id", "entity_index", "trip_id", "delay_seconds"),
     "t27_service_dates": lambda spark, d: running(spark),
@@ -288,6 +294,19 @@ ORACLE_SQL = {
       d AS (SELECT *, epoch(predicted - (start_date::TIMESTAMP + INTERVAL 5 HOUR + to_seconds(secs)))::INT AS delay_seconds, epoch(predicted - feed_timestamp_utc) AS away FROM c)""",
       select="""SELECT provider_id, rt_feed_snapshot_id, entity_index, trip_id, stop_sequence, predicted, delay_seconds FROM d
         QUALIFY row_number() OVER (PARTITION BY rt_feed_snapshot_id, entity_index ORDER BY CASE WHEN away < 0 THEN 1 ELSE 0 END, abs(away), stop_sequence, idx) = 1"""),
+    "t25_trip_delay_fact": S.query(S.SCHEDULE, S.VEHICLES, """e AS (SELECT event_id AS k, ts::TIMESTAMP AS captured_at_utc, date_trunc('second', ts)::TIMESTAMP AS t, CASE WHEN event_id % 47 <> 0 THEN 'T' || (event_id % 60) END AS trip_id,
+        CASE WHEN event_id % 11 <> 0 THEN 'R' || (event_id % 12) END AS route_id, CASE WHEN event_id % 7 <> 0 THEN ts::DATE END AS start_date FROM events),
+      u AS (SELECT k, i, trip_id, start_date, t, (k + i) % 9 + 1 AS stop_sequence, CASE WHEN (k + i) % 4 <> 0 THEN 'S' || ((k + i) % 60) END AS stop_id, (k + i) % 4 = 1 AS skipped, t + to_minutes(k % 150 - 20 + i * 7) AS due,
+        CASE WHEN (k + i) % 3 <> 0 THEN due WHEN (k + i) % 6 <> 0 THEN due + INTERVAL 20 SECOND END AS predicted FROM e, range(4) r(i) WHERE i < k % 5),
+      n AS (SELECT k, count(*)::INT AS updates, count(*) FILTER (skipped)::INT AS skips FROM u GROUP BY k),
+      c AS (SELECT u.k, coalesce(u.stop_id, s.stop_id) AS stop_id, u.stop_sequence, epoch(predicted - (start_date::TIMESTAMP + INTERVAL 5 HOUR + to_seconds(secs)))::INT AS late FROM u JOIN stop_times s ON s.trip_id = u.trip_id AND s.stop_sequence = u.stop_sequence
+        WHERE start_date IS NOT NULL AND predicted IS NOT NULL QUALIFY row_number() OVER (PARTITION BY u.k ORDER BY CASE WHEN predicted >= t THEN 0 ELSE 1 END, abs(epoch(predicted - t)), u.stop_sequence, i) = 1),
+      w AS (SELECT *, date_trunc('second', captured_at_utc) AS vt FROM vehicles WHERE vehicle_id IS NOT NULL),
+      v AS (SELECT e.k, w.vehicle_id, w.occupancy_status FROM e JOIN w ON w.trip_id = e.trip_id AND (e.route_id IS NULL OR w.route_id = e.route_id) AND w.vt BETWEEN e.t - INTERVAL 10 MINUTE AND e.t + INTERVAL 10 MINUTE
+        QUALIFY row_number() OVER (PARTITION BY e.k ORDER BY abs(epoch(w.vt - e.t)), w.realtime_snapshot_id DESC, w.entity_index) = 1)""",
+      select="""SELECT 'P1' AS provider_id, k // 10 AS realtime_snapshot_id, (k % 10)::INT AS entity_index, strftime(t - INTERVAL 5 HOUR, '%Y%m%d')::INT AS snapshot_date_key, (t - INTERVAL 5 HOUR)::DATE AS snapshot_local_date, t AS feed_timestamp_utc, captured_at_utc,
+        'E' || k AS entity_id, trip_id, route_id, (k % 2)::INT AS direction_id, start_date, vehicle_id, occupancy_status, CASE WHEN k % 23 = 0 THEN 3 END AS trip_schedule_relationship, late AS delay_seconds, coalesce(updates, 0)::INT AS stop_time_update_count,
+        coalesce(skips, 0)::INT AS skipped_stop_count, stop_id AS delay_stop_id, stop_sequence::INT AS delay_stop_sequence FROM e LEFT JOIN n USING (k) LEFT JOIN c USING (k) LEFT JOIN v USING (k)"""),
     "t25c_nearest_vehicle": S.query(S.FACT, S.VEHICLES, """n AS (SELECT f.realtime_snapshot_id, f.entity_index, v.vehicle_id, epoch_us(f.captured_at_utc) - epoch_us(v.captured_at_utc) AS us, v.realtime_snapshot_id AS vs, v.entity_index AS ve
         FROM fact f JOIN vehicles v ON f.trip_id = v.trip_id AND v.vehicle_id IS NOT NULL AND (f.route_id IS NULL OR f.route_id = v.route_id) AND v.captured_at_utc BETWEEN f.captured_at_utc - INTERVAL 601 SECOND AND f.captured_at_utc + INTERVAL 601 SECOND),
       b AS (SELECT *, abs(us) // 1000000 AS apart FROM n WHERE abs(us) // 1000000 <= 600 QUALIFY row_number() OVER (PARTITION BY realtime_snapshot_id, entity_index ORDER BY abs(us) // 1000000, vs DESC, ve) = 1)""",

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 #: Names under which feeds list alerts and give their fields.
 LISTS = ("alerts", "messages", "data", "items", "results")
 FIELDS = {
-    "alert_id": ("id", "alert_id", "alertId"), "header": ("header_texts", "header_text", "header", "title"), "description": ("description_texts", "description_text", "description", "body"), "severity": ("severity", "severity_level"),
-    "cause": ("cause",), "effect": ("effect",), "url": ("url", "link"), "periods": ("active_periods", "active_period", "activePeriod"), "entities": ("informed_entities", "informed_entity", "informedEntity"),
+    "alert_id": ("id", "alert_id", "alertId", "messageId"), "header": ("header_texts", "header_text", "header", "title", "summary"), "description": ("description_texts", "description_text", "description", "body", "message"),
+    "severity": ("severity", "severity_level", "priority"),
+    "cause": ("cause",), "effect": ("effect",), "url": ("url", "link"), "periods": ("active_periods", "active_period", "activePeriod", "activePeriods"),
+    "entities": ("informed_entities", "informed_entity", "informedEntity", "informedEntities", "entities"),
 }
 
 
@@ -37,5 +39,5 @@ def alerts(snapshots: DataFrame, language: str = "fr") -> DataFrame:
     rows = rows.withColumn("active_start", F.get("active_periods", F.lit(0))["start"]).withColumn("active_end", F.get("active_periods", F.lit(0))["end"])
     texts = {"header_en": in_language(F.col("header"), "en"), "description_en": in_language(F.col("description"), "en"), "header": in_language(F.col("header"), language), "description": in_language(F.col("description"), language)}
     rows = rows.withColumns(texts)
-    each = rows.withColumn("e", F.explode_outer(F.from_json("entities", "array<struct<route_id string, routeId string, stop_id string, stopId string, trip_id string>>"))).drop("entities")
-    return each.select("*", F.coalesce("e.route_id", "e.routeId").alias("route_id"), F.coalesce("e.stop_id", "e.stopId").alias("stop_id"), F.col("e.trip_id").alias("trip_id")).drop("e")
+    each = rows.withColumn("e", F.explode_outer(F.from_json("entities", "array<struct<route_id string, routeId string, stop_id string, stopId string, trip_id string, tripId string>>"))).drop("entities")
+    return each.select("*", F.coalesce("e.route_id", "e.routeId").alias("route_id"), F.coalesce("e.stop_id", "e.stopId").alias("stop_id"), F.coalesce("e.trip_id", "e.tripId").alias("trip_id")).drop("e")

@@ -61,6 +61,31 @@ def vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def trip_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trip update entity for each event."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts")
+    k = F.col("event_id")
+    name = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    return e.select(
+        F.lit(PROVIDER).alias("provider_id"), F.floor(k / 10).alias("realtime_snapshot_id"), (k % 10).cast("int").alias("entity_index"), name("E", k).alias("entity_id"), F.date_trunc("SECOND", F.col("ts")).cast("timestamp_ntz").alias("feed_timestamp_utc"),
+        F.col("ts").cast("timestamp_ntz").alias("captured_at_utc"), F.when(k % 47 != 0, name("T", k % 60)).alias("trip_id"), F.when(k % 11 != 0, name("R", k % 12)).alias("route_id"), (k % 2).cast("int").alias("direction_id"),
+        F.when(k % 7 != 0, F.to_date("ts")).alias("start_date"), F.when(k % 23 == 0, 3).alias("schedule_relationship"),
+    )
+
+
+def stop_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """None to four stop time updates of each event's entity; some of stops that the timetable lacks, some without times."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts")
+    k, i = F.col("event_id"), F.col("i")
+    rows = e.where(k % 5 > 0).withColumn("i", F.explode(F.sequence(F.lit(0), (k % 5).cast("int") - 1)))
+    at = F.timestamp_add("MINUTE", (k % 150 - 20 + i * 7).cast("int"), F.date_trunc("SECOND", F.col("ts")).cast("timestamp_ntz"))
+    return rows.select(
+        F.lit(PROVIDER).alias("provider_id"), F.floor(k / 10).alias("realtime_snapshot_id"), (k % 10).cast("int").alias("entity_index"), i.alias("stop_time_update_index"), ((k + i) % 9 + 1).cast("int").alias("stop_sequence"),
+        F.when((k + i) % 4 != 0, F.concat(F.lit("S"), ((k + i) % 60).cast("string"))).alias("stop_id"), F.when((k + i) % 3 != 0, at).alias("arrival_utc"),
+        F.when((k + i) % 6 != 0, F.timestamp_add("SECOND", F.lit(20), at)).alias("departure_utc"), F.when((k + i) % 4 == 1, 1).alias("schedule_relationship"),
+    )
+
+
 def trips(spark: SparkSession) -> DataFrame:
     """A timetable edition of 72 trips; the last route never runs."""
     k = F.col("id")

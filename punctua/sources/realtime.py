@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import struct
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -53,8 +55,6 @@ def fields(data: bytes) -> dict[int, list]:
 
 def entities(data: bytes) -> Iterator[tuple]:
     """The rows of one feed message."""
-    import struct
-
     one = lambda m, n: m[n][-1] if m.get(n) else None
     text = lambda m, n: one(m, n).decode() if one(m, n) is not None else None
     sub = lambda m, n: fields(one(m, n)) if one(m, n) is not None else {}
@@ -93,6 +93,64 @@ def decoded(captures: DataFrame) -> DataFrame:
     return captures.select("provider_id", "rt_feed_snapshot_id", "content").mapInPandas(run, f"provider_id string, rt_feed_snapshot_id long, {SCHEMA}")
 
 
+#: Field numbers of an alert and of its parts, and the names of its numbered values.
+ALERT, PERIODS, SELECTORS = 5, 1, 5
+TEXTS = {"header": 10, "description": 11, "url": 8}
+SELECTOR = {"agencyId": 1, "routeId": 2, "stopId": 5}
+NAMES = {
+    "cause": (6, "UNKNOWN_CAUSE OTHER_CAUSE TECHNICAL_PROBLEM STRIKE DEMONSTRATION ACCIDENT HOLIDAY WEATHER MAINTENANCE CONSTRUCTION POLICE_ACTIVITY MEDICAL_EMERGENCY"),
+    "effect": (7, "NO_SERVICE REDUCED_SERVICE SIGNIFICANT_DELAYS DETOUR ADDITIONAL_SERVICE MODIFIED_SERVICE OTHER_EFFECT UNKNOWN_EFFECT STOP_MOVED NO_EFFECT ACCESSIBILITY_ISSUE"),
+    "severity": (14, "UNKNOWN_SEVERITY INFO WARNING SEVERE"),
+}
+
+
+def alert_payload(data: bytes) -> str | None:
+    """A feed message's alerts as the JSON that alert snapshots hold; None without an alert. Absent fields are left out, numbers without a name stay numbers."""
+    text = lambda m, n: m[n][-1].decode("utf-8", "replace") if m.get(n) else ""
+    message, found = fields(data), []
+    for raw in message.get(ENTITY, []):
+        entity = fields(raw)
+        if not entity.get(ALERT):
+            continue
+        alert = fields(entity[ALERT][-1])
+        row: dict = {"id": text(entity, 1) or None}
+        for name, n in TEXTS.items():
+            if alert.get(n):
+                each = [(text(t, 1), text(t, 2)) for t in map(fields, fields(alert[n][-1]).get(1, []))]
+                row[name] = [{"text": t} | ({"language": language} if language else {}) for t, language in each if t]
+        for name, (n, names) in NAMES.items():
+            if alert.get(n):
+                value, known = alert[n][-1], dict(enumerate(names.split(), 1))
+                row[name] = known.get(value, str(value))
+        periods = [{k: p[n][-1] for k, n in (("start", 1), ("end", 2)) if p.get(n)} for p in map(fields, alert.get(PERIODS, []))]
+        if any(periods):
+            row["activePeriod"] = [p for p in periods if p]
+        row["informedEntities"] = []
+        for s in map(fields, alert.get(SELECTORS, [])):
+            selector: dict = {k: text(s, n) for k, n in SELECTOR.items() if text(s, n)}
+            trip = fields(s[4][-1]) if s.get(4) else {}
+            selector |= {"tripId": text(trip, 1)} if text(trip, 1) else {}
+            selector |= {"routeType": s[3][-1]} if s.get(3) else {}
+            if selector:
+                row["informedEntities"].append(selector)
+        found.append(row)
+    header = fields(message[HEADER][-1]) if message.get(HEADER) else {}
+    stamp = header[3][-1] if header.get(3) else None
+    return json.dumps({"gtfsRealtimeVersion": text(header, 1) or None, "timestamp": stamp, "alerts": found}) if found else None
+
+
+def alert_snapshots(captures: DataFrame) -> DataFrame:
+    """captures (provider_id, rt_feed_snapshot_id, captured_at_utc, content) whose messages hold alerts, as snapshots for alert_json.alerts()."""
+    shipped(captures.sparkSession)
+
+    @F.pandas_udf("string")
+    def payload(content: pd.Series) -> pd.Series:
+        return content.map(lambda c: None if c is None else alert_payload(bytes(c)))
+
+    rows = captures.select(F.col("rt_feed_snapshot_id").alias("i3_alert_snapshot_id"), "provider_id", "captured_at_utc", payload("content").alias("payload"))
+    return rows.where("payload IS NOT NULL")
+
+
 def stop_time_updates(rows: DataFrame) -> DataFrame:
     """One row a stop time update, with predicted instants."""
     instant = lambda c: F.timestamp_add("SECOND", F.col(c), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))

@@ -87,3 +87,14 @@ def matched_stops(features: DataFrame, stops: DataFrame) -> DataFrame:
     rows = features.withColumn("s", F.element_at("attributes", "stop_id")).withColumn("c", F.element_at("attributes", "stop_code"))
     rows = rows.join(by_id, rows["s"] == by_id["m_id"], "left").join(by_code, rows["c"] == by_code["stop_code"], "left")
     return rows.withColumn("stop_id", F.coalesce("by_id", "by_code")).where("stop_id IS NOT NULL").select("feature_id", "stop_id", F.when(F.col("by_id").isNotNull(), "stop_id").otherwise("stop_code").alias("matched_by"), "points")
+
+
+def matched_lines(features: DataFrame, trips: DataFrame, routes: DataFrame) -> DataFrame:
+    """Features with the timetable's shape of their shape_id, else the route of their route_id; those without a match go. Blank ids match nothing."""
+    named = lambda c: F.nullif(F.trim(F.element_at("attributes", c)), F.lit(""))
+    shapes = trips.where("shape_id IS NOT NULL").select(F.col("shape_id").alias("by_shape")).distinct()
+    lines = routes.where("route_id IS NOT NULL").select(F.col("route_id").alias("by_route")).distinct()
+    rows = features.withColumns({"s": named("shape_id"), "r": named("route_id")})
+    rows = rows.join(shapes, rows["s"] == shapes["by_shape"], "left").join(lines, rows["r"] == lines["by_route"], "left")
+    match_key = F.when(F.col("by_shape").isNotNull(), "shape_id").otherwise("route_id").alias("match_key")
+    return rows.withColumn("gtfs_id", F.coalesce("by_shape", "by_route")).where("gtfs_id IS NOT NULL").select("feature_id", "gtfs_id", match_key, "points")

@@ -88,6 +88,32 @@ def test_realtime(spark):
     assert (u["stop_sequence"], u["schedule_relationship"], str(u["arrival_utc"]), u["departure_utc"], u["start_date"]) == (4, 1, "2024-01-10 15:20:00", None, dt.date(2024, 1, 10))
 
 
+def test_realtime_alerts(spark):
+    """Alerts of a feed message come out as those of a JSON snapshot: names or numbers, all translations, periods and selectors."""
+    words = lambda *pairs: b"".join(field(1, field(1, t) + (field(2, language) if language else b"")) for t, language in pairs)
+    alert = field(1, field(1, 1704900000)) + field(1, b"") + field(1, field(2, 1704990000)) + field(5, field(2, b"R1") + field(5, b"S1")) + field(5, b"") + field(5, field(4, field(1, b"T1")) + field(3, 3))
+    alert += field(6, 4) + field(7, 99) + field(14, 3) + field(10, words((b"Allo", b"fr"), (b"Hi", b"en"))) + field(11, words((b"plain", b""), (b"", b"fr")))
+    message = field(1, field(1, b"2.0") + field(3, 1704899999)) + field(2, field(1, b"a1") + field(5, alert)) + field(2, field(1, b"t") + field(3, field(4, 1)))
+    payload = json.loads(realtime.alert_payload(message))
+    assert (payload["gtfsRealtimeVersion"], payload["timestamp"]) == ("2.0", 1704899999)
+    assert payload["alerts"] == [{
+        "id": "a1", "header": [{"text": "Allo", "language": "fr"}, {"text": "Hi", "language": "en"}], "description": [{"text": "plain"}], "cause": "STRIKE", "effect": "99", "severity": "WARNING",
+        "activePeriod": [{"start": 1704900000}, {"end": 1704990000}], "informedEntities": [{"routeId": "R1", "stopId": "S1"}, {"tripId": "T1", "routeType": 3}],
+    }]
+    schema = "provider_id string, rt_feed_snapshot_id long, captured_at_utc timestamp_ntz, content binary"
+    captures = spark.createDataFrame([("P1", 1, dt.datetime(2024, 1, 10), bytearray(message)), ("P1", 2, dt.datetime(2024, 1, 10), bytearray(b"")), ("P1", 3, None, None)], schema)
+    rows = alert_json.alerts(realtime.alert_snapshots(captures)).collect()
+    got = sorted([(r["i3_alert_snapshot_id"], r["alert_id"], r["header"], r["header_en"], r["description"], r["cause"], r["route_id"], r["stop_id"], r["trip_id"], len(r["active_periods"])) for r in rows], key=str)
+    assert got == [(1, "a1", "Allo", "Hi", "plain", "STRIKE", "R1", "S1", None, 2), (1, "a1", "Allo", "Hi", "plain", "STRIKE", None, None, "T1", 2)]
+
+
+def test_line_match(spark):
+    features = spark.createDataFrame([("f1", {"shape_id": "H1", "route_id": "R1"}), ("f2", {"shape_id": "?", "route_id": "R1"}), ("f3", {"route_id": " "}), ("f4", {})], "feature_id string, attributes map<string,string>").withColumn("points", F.array())
+    trips = spark.createDataFrame([("H1",), ("H1",), (None,)], "shape_id string")
+    routes = spark.createDataFrame([("R1",), ("R2",)], "route_id string")
+    assert sorted(tuple(r)[:3] for r in shapefile.matched_lines(features, trips, routes).collect()) == [("f1", "H1", "shape_id"), ("f2", "R1", "route_id")]
+
+
 def test_alert_json(spark):
     payload = {"messages": [{"id": "a1", "header_texts": [{"language": "en", "text": "Hi"}, {"language": "fr", "text": "Allo"}], "active_periods": [{"start": "1704900000", "end": None}], "informed_entities": [{"route_id": "R1"}, {"stopId": "S2"}]}, {"alertId": "a2", "title": "plain"}]}
     frame = spark.createDataFrame([(1, "P1", dt.datetime(2024, 1, 1), json.dumps(payload))], "i3_alert_snapshot_id long, provider_id string, captured_at_utc timestamp_ntz, payload string")
