@@ -68,6 +68,34 @@ def breakdown(found: DataFrame) -> DataFrame:
     return found.groupBy("provider_id", "cause", "effect").agg(F.count(F.lit(1)).alias("alert_count"), K.half_away(F.percentile(minutes, 0.5), 1).alias("median_minutes"))
 
 
+#: Severities that clients show; any other counts as the last.
+SEVERITIES = ("critical", "high", "watch")
+
+
+def log_breakdown(found: DataFrame) -> DataFrame:
+    """Alerts by cause, by effect and by severity: count and exact median duration in minutes of those that ended. Blank causes and effects are unknown."""
+    minutes = F.timestamp_diff("SECOND", F.col("active_start"), F.col("active_end")) / 60.0
+    named = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("unknown"))
+    severity = F.when(F.col("severity").isin(*SEVERITIES), F.col("severity")).otherwise(SEVERITIES[-1])
+    parts = F.array(*(F.struct(F.lit(kind).alias("kind"), value.alias("key")) for kind, value in (("cause", named("cause")), ("effect", named("effect")), ("severity", severity))))
+    rows = found.select("provider_id", minutes.alias("minutes"), F.explode(parts).alias("p"))
+    return rows.groupBy("provider_id", "p.kind", "p.key").agg(F.count(F.lit(1)).alias("alert_count"), F.percentile("minutes", 0.5).alias("median_minutes"))
+
+
+def history_reporting(alerts: DataFrame, entities: DataFrame, time_zone: str) -> DataFrame:
+    """Each alert row with each of its informed entities (NULLs without one), its local date and the hour, week, month and year it falls in, and the hash of its effective content.
+
+    alerts and entities meet by provider_id and alert_row."""
+    local = F.convert_timezone(F.lit("UTC"), F.lit(time_zone), F.col("captured_at_utc"))
+    buckets = (F.date_trunc(unit.upper(), local).cast("timestamp_ntz").alias(f"{unit}_bucket_local") for unit in ("hour", "week", "month", "year"))
+    content = F.md5(F.concat(*(F.coalesce(c, F.lit("")) for c in ("description", "severity", "cause", "effect"))))
+    rows = alerts.join(entities.select("provider_id", "alert_row", "route_id", "stop_id"), ["provider_id", "alert_row"], "left")
+    return rows.select(
+        "provider_id", "alert_row", "alert_id", "header", "description", "severity", "cause", "effect", "route_id", "stop_id", F.to_date(local).alias("provider_local_date"), *buckets, "active_start", "active_end", "captured_at_utc",
+        content.alias("effective_content_hash"),
+    )
+
+
 def archive_entries(alerts: DataFrame) -> DataFrame:
     """One entry an alert: stable id, newest non-null value of each field, united routes and periods, first sight, month, digest."""
     stable = F.coalesce("alert_id", F.concat(F.lit("synthetic-"), F.substring(F.md5(F.concat_ws("\u001f", "header", "description")), 1, 12)))

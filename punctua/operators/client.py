@@ -33,6 +33,19 @@ def rate_change(windows: DataFrame) -> DataFrame:
     return windows.withColumn("delta", change).withColumn("significant", F.coalesce((F.abs(z) >= WILSON_Z) & (change != 0), F.lit(False)))
 
 
+#: Observations that each of two windows needs for a significant change of a mean.
+MEAN_FLOOR = 7
+
+
+def mean_change(windows: DataFrame, digits: int = 1) -> DataFrame:
+    """windows (value, n, cov and prior_value, prior_n) with the change of a mean and whether it is significant. The variation gives the spread of both windows, around the average of their means."""
+    v, n, w, m = (F.col(c).cast("double") for c in ("value", "n", "prior_value", "prior_n"))
+    spread = (F.abs(v) + F.abs(w)) / 2.0 * F.col("cov") * F.sqrt(1.0 / n + 1.0 / m)
+    change = K.half_away(v - w, digits)
+    clear = (F.col("cov") > 0) & (n >= MEAN_FLOOR) & (m >= MEAN_FLOOR) & (spread > 0) & (F.abs(v - w) >= WILSON_Z * spread) & (change != 0)
+    return windows.withColumn("delta", change).withColumn("significant", F.coalesce(clear, F.lit(False)))
+
+
 def stop_range(stop_spine: DataFrame, first: Column, last: Column) -> DataFrame:
     """Stops pooled over a span of dates; rates are withheld below the floor."""
     pooled = pooled_stops(stop_spine.where(F.col(DATE).between(first, last)), ["provider_id", "stop_id"])

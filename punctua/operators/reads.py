@@ -154,8 +154,8 @@ def last_days(rows: DataFrame, key: Sequence[str], n: int = 30) -> DataFrame:
 
 
 def completeness(cancellations: DataFrame) -> DataFrame:
-    """Delivered share of the schedule, at most 100, NULL without a schedule."""
-    share = F.when(F.col("scheduled_trip_days") > 0, F.least(F.lit(100.0), K.half_away(K.ratio(100.0 * F.col("delivered_trip_days"), F.col("scheduled_trip_days")), 1)))
+    """Delivered share of the schedule in percent with two decimals, at most 100, NULL without a schedule."""
+    share = F.when(F.col("scheduled_trip_days") > 0, F.least(F.lit(100.0), K.half_away(K.ratio(100.0 * F.col("delivered_trip_days"), F.col("scheduled_trip_days")), 2)))
     return cancellations.withColumn("completeness_pct", share)
 
 
@@ -166,11 +166,11 @@ def band_shares(rows: DataFrame, key: Sequence[Column | str]) -> DataFrame:
     return sums.select(*names, "observation_count", *(K.half_away(K.ratio(100.0 * F.col(f"{b}_count"), F.col("observation_count")), 1).alias(f"{b}_pct") for b in BANDS))
 
 
-def occupancy_window(hourly: DataFrame, today: Column, fold: str) -> DataFrame:
-    """Route occupancy of the trailing 30 days before and with `today`: total, by weekday, by hour or by day."""
+def occupancy_window(hourly: DataFrame, today: Column, fold: str, entity: str = "route_id") -> DataFrame:
+    """Occupancy of routes (or another entity) of the trailing 30 days before and with `today`: total, by weekday, by hour or by day."""
     rows = hourly.where(F.col(DATE) >= F.date_sub(today, 30))
     dims = {"total": [], "dow": [K.iso_day(F.col(DATE)).alias("day_of_week_iso")], "hour": ["hour_of_day_local"], "day": [DATE]}[fold]
-    return band_shares(rows, ["provider_id", "route_id", *dims])
+    return band_shares(rows, ["provider_id", entity, *dims])
 
 
 def crowding_delay(crowding: DataFrame, today: Column) -> DataFrame:
@@ -205,28 +205,52 @@ def newest(rows: DataFrame, key: Sequence[str], by: str) -> DataFrame:
     return top(rows, key, [F.desc(by)], 1).drop("rank")
 
 
-def network_trend(spine: DataFrame, fact: DataFrame, cancellations: DataFrame, grain: str) -> DataFrame:
-    """Network x date (or week, month): rates from the spine, vehicles from facts, cancellations and completeness, joined in full on the date."""
+#: Days of the spine that a trend by day, week or month shows, and days of facts behind a day's exact percentile and vehicles.
+TREND_DAYS = {"day": 90, "week": 371, "month": 371}
+FACT_DAYS = 14
+
+
+def network_trend(spine: DataFrame, fact: DataFrame, cancellations: DataFrame, bands: DataFrame, today: Column, grain: str) -> DataFrame:
+    """Network x date (or week, month), joined in full on the date: rates from the spine of the trailing days; cancellations, completeness and
+    occupancy shares; by day also the exact 90th percentile of delays and the vehicles, from the facts that are kept (NULL by week and month).
+
+    bands: route_occupancy_band_daily. Delays beyond the clamp enter neither percentile nor vehicles."""
     unit = {"day": lambda c: c, "week": lambda c: F.date_trunc("WEEK", c).cast("date"), "month": lambda c: F.date_trunc("MONTH", c).cast("date")}[grain]
-    key = ["provider_id", "d"]
-    rates = rated(project(spine, ["provider_id", unit(F.col(DATE)).alias("d")]))
-    seen = fact.groupBy("provider_id", unit(F.col("snapshot_local_date")).alias("d")).agg(F.count_distinct("vehicle_id").alias("vehicle_count"))
+    key, delay = ["provider_id", "d"], F.col("delay_seconds")
+    rates = rated(project(spine.where(F.col(DATE) >= F.date_sub(today, TREND_DAYS[grain])), ["provider_id", unit(F.col(DATE)).alias("d")]))
     known = F.col("scheduled_trip_days").isNotNull()
     trips = cancellations.groupBy("provider_id", unit(F.col(DATE)).alias("d")).agg(
-        F.sum("total_trip_days").alias("t"), F.sum("canceled_trip_days").alias("c"), F.sum("scheduled_trip_days").alias("s"), F.sum(F.when(known, F.col("delivered_trip_days"))).alias("v")
+        F.sum("total_trip_days").alias("t"), F.sum("canceled_trip_days").alias("c"), F.sum("scheduled_trip_days").alias("scheduled_trip_days"), F.sum(F.when(known, F.col("delivered_trip_days"))).alias("delivered_trip_days")
     )
-    trips = trips.select(*key, K.half_away(K.ratio(100.0 * F.col("c"), F.col("t")), 1).alias("cancellation_rate_pct"), F.when(F.col("s") > 0, F.least(F.lit(100.0), K.half_away(K.ratio(100.0 * F.col("v"), F.col("s")), 1))).alias("completeness_pct"))
-    return rates.join(seen, key, "full").join(trips, key, "full")
-
-
-def receipts(accountability: DataFrame, spine: DataFrame, stop_spine: DataFrame) -> DataFrame:
-    """A row a day of the accountability table: network rates, the worst route and stop by severe count, with their counts."""
+    trips = completeness(trips).select(*key, K.half_away(K.ratio(100.0 * F.col("c"), F.col("t")), 2).alias("cancellation_rate_pct"), "completeness_pct")
+    shares = band_shares(bands, ["provider_id", unit(F.col(DATE)).alias("d")]).drop("observation_count")
+    out = rates.join(trips, key, "full").join(shares, key, "full")
+    if grain != "day":
+        return out.withColumn("fact_p90_min", F.lit(None).cast("double")).withColumn("vehicle_count", F.lit(None).cast("long"))
+    kept = fact.where((F.col("captured_at_utc") >= F.date_sub(today, FACT_DAYS).cast("timestamp_ntz")) & K.in_clamp(delay))
+    seen = kept.groupBy("provider_id", F.col("snapshot_local_date").alias("d")).agg(K.minutes(F.percentile(delay, 0.9)).alias("fact_p90_min"), F.count_distinct("vehicle_id").alias("vehicle_count"))
+    return out.join(seen, key, "full")
+
+
+def receipts(accountability: DataFrame, spine: DataFrame, routes_daily: DataFrame, stops_daily: DataFrame, cancellations: DataFrame) -> DataFrame:
+    """A row a day of the accountability table: network rates; the route and the stop with the greatest average delay (ties: the lower id),
+    the route's punctuality against the network's; the scheduled trips and what became of them, with the number of routes that the
+    schedule has but nothing was seen of. Trips of routes without a schedule count in none of these.
+
+    routes_daily: provider_id, provider_local_date, route_id, delay_observation_count, on_time_observation_count, avg_delay_seconds; stops_daily: likewise by stop_id."""
     key = ["provider_id", DATE]
     day = rated(project(spine, key)).select(*key, "otp_pct", "avg_delay_min", "severe_pct")
-    routes = spine.groupBy(*key, "route_id").agg(F.sum("severe_delay_count").alias("n"))
-    stops = stop_spine.where(F.col("stop_id") != UNKNOWN_STOP).groupBy(*key, "stop_id").agg(F.sum("severe_delay_count").alias("n"))
-    worst = lambda rows, c: top(rows, key, [F.desc("n"), F.asc(c)], 1).select(*key, F.col(c).alias(f"worst_{c}"), F.col("n").alias(f"worst_{c}_severe"))
-    return accountability.join(day, key, "left").join(worst(routes, "route_id"), key, "left").join(worst(stops, "stop_id"), key, "left")
+    worst = lambda rows, c, other: top(rows.where(F.col("avg_delay_seconds").isNotNull() & (F.col(c) != other)), key, [F.desc("avg_delay_seconds"), F.asc(c)], 1)
+    route = worst(routes_daily, "route_id", UNROUTED).select(*key, F.col("route_id").alias("worst_route_id"), K.otp_pct(F.col("on_time_observation_count"), F.col("delay_observation_count")).alias("__otp"))
+    stop = worst(stops_daily, "stop_id", UNKNOWN_STOP).select(*key, F.col("stop_id").alias("worst_stop_id"), K.minutes(F.col("avg_delay_seconds")).alias("worst_stop_delay_min"))
+    planned = cancellations.where("scheduled_trip_days IS NOT NULL")
+    dark = (F.col("total_trip_days") == 0) & (F.col("scheduled_trip_days") > 0) & (F.col("route_id") != UNROUTED)
+    states = planned.groupBy(*key).agg(
+        F.sum("scheduled_trip_days").alias("scheduled_trip_days"), F.sum("delivered_trip_days").alias("delivered_trip_days"), F.sum("canceled_trip_days").alias("cancelled_trip_days"),
+        F.sum("silent_trip_days").alias("silent_trip_days"), F.count_if(dark).alias("not_reported_route_count"),
+    )
+    out = accountability.join(day, key, "left").join(route, key, "left").join(stop, key, "left").join(completeness(states), key, "left")
+    return out.withColumn("worst_route_otp_delta", F.col("__otp") - F.col("otp_pct")).drop("__otp")
 
 
 def all_routes(spine: DataFrame) -> DataFrame:

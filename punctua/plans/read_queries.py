@@ -93,7 +93,7 @@ QUERIES = {
     "t98_stop_severe_matrix": lambda spark, d: reads.severe_matrix(T.fact(spark, d)),
     "t98_stop_latest_percentile": lambda spark, d: reads.newest(rollups.delay_percentiles_daily(T.fact(spark, d), "delay_stop_id", "stop_id"), ["provider_id", "stop_id"], "provider_local_date"),
     "t99_scheduled_headway": lambda spark, d: planned(spark),
-    **{f"t100_network_trend_{g}": lambda spark, d, g=g: reads.network_trend(spine(spark, d), T.fact(spark, d), cancellations(spark, d), g) for g in ("day", "week", "month")},
+    **{f"t100_network_trend_{g}": lambda spark, d, g=g: reads.network_trend(spine(spark, d), T.fact(spark, d), cancellations(spark, d), rollups.route_occupancy_band_daily(T.fact(spark, d)), today(), g) for g in ("day", "week", "month")},
     "t102_all_routes": on_spine(reads.all_routes),
     "t104_hotspots": hotspots,
     "t105_hotspots_by_grain": lambda spark, d: reads.hotspots_by_grain(spine(spark, d), stops(spark, d)),
@@ -170,11 +170,13 @@ def stop_fold(dim: str) -> str:
 
 def trend(unit: str) -> str:
     d = "provider_local_date" if unit == "day" else f"date_trunc('{unit}', provider_local_date)::DATE"
-    return S.query(*SPINES, S.SCHEDULE, CANCEL, f"""folded AS (SELECT provider_id, {d} AS d, {SUMS} FROM route_spine GROUP BY ALL), rates AS (SELECT provider_id, d, {RATES} FROM folded),
-      cars AS (SELECT provider_id, {d.replace("provider_local_date", "snapshot_local_date")} AS d, count(DISTINCT vehicle_id) AS vehicle_count FROM fact GROUP BY ALL),
-      c AS (SELECT provider_id, {d} AS d, {S.half(S.ratio("100.0::DOUBLE * sum(canceled_trip_days)", "sum(total_trip_days)"), 1)} AS cancellation_rate_pct,
-        CASE WHEN sum(scheduled_trip_days) > 0 THEN least(100.0::DOUBLE, {S.half(S.ratio("100.0::DOUBLE * sum(delivered_trip_days) FILTER (scheduled_trip_days IS NOT NULL)", "sum(scheduled_trip_days)"), 1)}) END AS completeness_pct FROM cancel GROUP BY ALL)""",
-      select="SELECT * FROM rates FULL JOIN cars USING (provider_id, d) FULL JOIN c USING (provider_id, d)")
+    by_day = unit == "day"
+    return S.query(*SPINES, S.SCHEDULE, CANCEL, HOURLY_BANDS, f"""folded AS (SELECT provider_id, {d} AS d, {SUMS} FROM route_spine WHERE provider_local_date >= DATE '{TODAY}' - {90 if by_day else 371} GROUP BY ALL), rates AS (SELECT provider_id, d, {RATES} FROM folded),
+      cars AS (SELECT provider_id, snapshot_local_date AS d, {S.half("quantile_cont(delay_seconds, 0.9) / 60.0::DOUBLE", 1)} AS fact_p90_min, count(DISTINCT vehicle_id) AS vehicle_count FROM fact WHERE {S.CLAMP} AND captured_at_utc >= TIMESTAMP '{TODAY}' - INTERVAL 14 DAY AND {str(by_day).lower()} GROUP BY ALL),
+      c AS (SELECT provider_id, {d} AS d, {S.half(S.ratio("100.0::DOUBLE * sum(canceled_trip_days)", "sum(total_trip_days)"), 2)} AS cancellation_rate_pct,
+        CASE WHEN sum(scheduled_trip_days) > 0 THEN least(100.0::DOUBLE, {S.half(S.ratio("100.0::DOUBLE * sum(delivered_trip_days) FILTER (scheduled_trip_days IS NOT NULL)", "sum(scheduled_trip_days)"), 2)}) END AS completeness_pct FROM cancel GROUP BY ALL),
+      o AS (SELECT provider_id, {d} AS d, {SHARES} FROM hourly GROUP BY ALL)""",
+      select="SELECT * FROM rates FULL JOIN c USING (provider_id, d) FULL JOIN o USING (provider_id, d) FULL JOIN cars USING (provider_id, d)")
 
 
 VALUES = ("delay_observation_count", "severe_delay_count", "on_time_observation_count")
@@ -210,7 +212,7 @@ ORACLE_SQL = {
     "t94_weak_stops_scalar": S.query(S.FACT, S.STOP_SPINE, "rs AS (SELECT * FROM stop_spine WHERE route_id <> '__unrouted__')", windows("rs", "provider_id, route_id"),
       f"folded AS (SELECT provider_id, route_id, stop_id, {POOL} FROM windowed WHERE period = 'current' AND window_grain = 'month' GROUP BY ALL), p AS (SELECT provider_id, route_id, stop_id, {POOLED} FROM folded)",
       select="SELECT *, row_number() OVER (PARTITION BY provider_id, route_id ORDER BY avg_delay_min DESC, stop_id)::INT AS rank FROM p QUALIFY rank <= 15"),
-    "t95_last_30_cancellations": S.query(S.FACT, S.SCHEDULE, CANCEL, select=f"""SELECT *, CASE WHEN scheduled_trip_days > 0 THEN least(100.0::DOUBLE, {S.half(S.ratio("100.0::DOUBLE * delivered_trip_days", "scheduled_trip_days"), 1)}) END AS completeness_pct
+    "t95_last_30_cancellations": S.query(S.FACT, S.SCHEDULE, CANCEL, select=f"""SELECT *, CASE WHEN scheduled_trip_days > 0 THEN least(100.0::DOUBLE, {S.half(S.ratio("100.0::DOUBLE * delivered_trip_days", "scheduled_trip_days"), 2)}) END AS completeness_pct
       FROM cancel QUALIFY row_number() OVER (PARTITION BY provider_id, route_id ORDER BY provider_local_date DESC) <= 30"""),
     "t95_last_30_skipped": S.query(S.FACT, f"""skipped AS (SELECT provider_id, snapshot_local_date AS provider_local_date, route_id, sum(stop_time_update_count)::BIGINT AS stop_time_update_count, sum(skipped_stop_count)::BIGINT AS skipped_stop_count,
       {S.half(S.ratio("100.0 * sum(skipped_stop_count)", "sum(stop_time_update_count)"), 2)} AS skipped_stop_rate_pct FROM fact WHERE route_id IS NOT NULL GROUP BY ALL)""",

@@ -120,8 +120,34 @@ def health(spark: SparkSession, d: str) -> DataFrame:
 
 
 def accountability_day(spark: SparkSession, d: str) -> DataFrame:
-    out = reads.receipts(P.accountability(spark, d), R.spine(spark, d), R.stops(spark, d))
-    return out.select("provider_id", "provider_local_date", "rider_impact_score", "otp_pct", "avg_delay_min", "severe_pct", "worst_route_id", "worst_route_id_severe", "worst_stop_id", "worst_stop_id_severe")
+    out = reads.receipts(P.accountability(spark, d), R.spine(spark, d), route_daily(spark, d), stop_daily(spark, d), R.cancellations(spark, d))
+    return out.select(
+        "provider_id", "provider_local_date", "rider_impact_score", "otp_pct", "avg_delay_min", "severe_pct", "worst_route_id", "worst_route_otp_delta", "worst_stop_id", "worst_stop_delay_min",
+        "scheduled_trip_days", "delivered_trip_days", "cancelled_trip_days", "silent_trip_days", "not_reported_route_count", "completeness_pct",
+    )
+
+
+def last_reliability(spark: SparkSession, d: str) -> DataFrame:
+    """The newest 30 days of each route's published reliability."""
+    rows = reads.last_days(route_daily(spark, d), ["provider_id", "route_id"])
+    n = F.col("delay_observation_count")
+    return rows.select("provider_id", "route_id", "provider_local_date", n.alias("known_obs"), K.otp_pct(F.col("on_time_observation_count"), n).alias("otp_pct"), K.minutes(F.col("avg_delay_seconds")).alias("avg_delay_min"), K.severe_pct(n, F.col("severe_delay_count")).alias("severe_pct"))
+
+
+def gap_change(spark: SparkSession, d: str) -> DataFrame:
+    """The change of each route's mean observed gap from the window before to the current one."""
+    key = ["provider_id", "route_id", "window_grain"]
+    rows = reads.in_windows(rollups.route_headway_shift_daily(T.fact(spark, d)), ["provider_id", "route_id"])
+    sums = rows.groupBy(*key, "period").agg(F.sum("gap_count").alias("n"), F.round(F.sum("sum_gap_min"), 4).alias("s"), F.round(F.sum("sum_gap_sq_min"), 4).alias("q"))
+    means = sums.withColumn("value", K.half_away(K.ratio(F.col("s"), F.col("n")), 1)).withColumn("cov", K.pooled_cov(F.col("n"), F.col("s"), F.col("q")))
+    before = means.where("period = 'prior'").select(*key, F.col("n").alias("prior_n"), F.col("value").alias("prior_value"))
+    both = means.where("period = 'current'").select(*key, "n", "value", "cov").join(before, key, "left")
+    return client.mean_change(both).select(*key, "value", "prior_value", "delta", "significant")
+
+
+def alert_history(spark: SparkSession, d: str) -> DataFrame:
+    rows = T.alerts(spark, d)
+    return A.history_reporting(rows.drop("route_id", "stop_id"), rows.where("route_id IS NOT NULL OR stop_id IS NOT NULL"), T.TIME_ZONE)
 
 
 def observations(spark: SparkSession, d: str) -> DataFrame:
@@ -163,7 +189,12 @@ QUERIES = {
     "t66_next_departures": lambda spark, d: live.next_departures(updates(spark, d), newest_feed(updates(spark, d))).select("provider_id", "stop_id", "route_id", "trip_id", "stop_sequence", "predicted_utc", "departure_rank"),
     "t67_non_responding": lambda spark, d: live.non_responding(T.trips(spark), timed(spark), running(spark), T.vehicles(spark, d).select("provider_id", "trip_id"), F.lit("2024-01-16").cast("date"), F.lit(1170)),
     "t68_current_alerts": lambda spark, d: A.current(T.alerts(spark, d), now()),
-    "t69_alert_history_reporting": lambda spark, d: T.alerts(spark, d).groupBy("provider_id", F.date_trunc("WEEK", T.local(F.col("captured_at_utc"))).cast("date").alias("week"), A.content_hash(T.alerts(spark, d).columns).alias("content_hash")).agg(F.count(F.lit(1)).alias("rows_seen")),
+    "t69_alert_history_reporting": alert_history,
+    "t95_last_30_reliability": last_reliability,
+    "t95_last_30_service_span": lambda spark, d: reads.last_days(rollups.route_service_span_daily(T.fact(spark, d)), ["provider_id", "route_id"]),
+    "t98_stop_occupancy": lambda spark, d: reads.occupancy_window(rollups.stop_occupancy_band_daily(T.fact(spark, d)), R.today(), "total", "stop_id"),
+    "t128_gap_change": gap_change,
+    "t132_alert_breakdown": lambda spark, d: A.log_breakdown(T.alerts(spark, d)),
     "t70_feed_freshness": freshness,
     "t72_public_route_reliability_daily": route_daily,
     "t73_public_stop_delay_daily": stop_daily,
@@ -246,10 +277,16 @@ POOL = "sum(observation_count)::BIGINT AS obs, sum(severe_delay_count)::BIGINT A
 LIVE_BAND = "CASE WHEN delay_seconds IS NULL THEN 'unknown' WHEN delay_seconds < -60 THEN 'early' WHEN delay_seconds < 60 THEN 'on_time' WHEN delay_seconds < 300 THEN 'late' ELSE 'severe' END"
 EDGES = ["-1e99", *map(str, live.LIVE_BINS), "1e99"]
 
-WORST = """sr AS (SELECT provider_id, provider_local_date, route_id AS worst_route_id, sum(severe_delay_count)::BIGINT AS worst_route_id_severe FROM route_spine GROUP BY provider_id, provider_local_date, route_id
-    QUALIFY row_number() OVER (PARTITION BY provider_local_date ORDER BY sum(severe_delay_count) DESC, route_id) = 1),
-  ss AS (SELECT provider_id, provider_local_date, stop_id AS worst_stop_id, sum(severe_delay_count)::BIGINT AS worst_stop_id_severe FROM stop_spine GROUP BY provider_id, provider_local_date, stop_id
-    QUALIFY row_number() OVER (PARTITION BY provider_local_date ORDER BY sum(severe_delay_count) DESC, stop_id) = 1)"""
+ROUTE_DAILY = S.query(S.FACT, S.SUMMARY_5M, HOURLY, select=f"""SELECT provider_id, (p - INTERVAL 5 HOUR)::DATE AS provider_local_date, route_id, sum(o)::BIGINT AS observation_count, sum(n)::BIGINT AS delay_observation_count, CASE WHEN count(*) = count(good) THEN sum(good)::BIGINT END AS on_time_observation_count,
+      sum(bad)::BIGINT AS severe_delay_count, {S.half(S.ratio("round(sum(round(a * n, 4)), 2)", "sum(n) FILTER (a IS NOT NULL)"), 1)} AS avg_delay_seconds FROM hours GROUP BY ALL""")
+STOP_DAILY = S.query(S.FACT, S.STOP_HOURLY, select=f"""SELECT provider_id, (period_start_utc - INTERVAL 5 HOUR)::DATE AS provider_local_date, stop_id, sum(observation_count)::BIGINT AS observation_count,
+      {S.half(S.ratio("round(sum(round(avg_arrival_delay_seconds * observation_count, 4)), 2)", "sum(observation_count)"), 1)} AS avg_delay_seconds, max(avg_arrival_delay_seconds) AS max_avg_delay_seconds, sum(severe_delay_count)::BIGINT AS severe_delay_count FROM stop_hourly GROUP BY ALL""")
+WORST = f"""sr AS (SELECT provider_local_date, route_id AS worst_route_id, {S.half(S.ratio("100.0::DOUBLE * on_time_observation_count", "delay_observation_count"), 0)} AS route_otp FROM ({ROUTE_DAILY}) WHERE avg_delay_seconds IS NOT NULL AND route_id <> '__unrouted__'
+    QUALIFY row_number() OVER (PARTITION BY provider_local_date ORDER BY avg_delay_seconds DESC, route_id) = 1),
+  ss AS (SELECT provider_local_date, stop_id AS worst_stop_id, {S.half("avg_delay_seconds / 60.0::DOUBLE", 1)} AS worst_stop_delay_min FROM ({STOP_DAILY}) WHERE avg_delay_seconds IS NOT NULL AND stop_id <> '__unknown_stop__'
+    QUALIFY row_number() OVER (PARTITION BY provider_local_date ORDER BY avg_delay_seconds DESC, stop_id) = 1),
+  sv AS (SELECT provider_local_date, sum(scheduled_trip_days)::BIGINT AS scheduled_trip_days, sum(delivered_trip_days)::BIGINT AS delivered_trip_days, sum(canceled_trip_days)::BIGINT AS cancelled_trip_days, sum(silent_trip_days)::BIGINT AS silent_trip_days,
+    count(*) FILTER (total_trip_days = 0 AND scheduled_trip_days > 0) AS not_reported_route_count FROM cancel WHERE scheduled_trip_days IS NOT NULL GROUP BY ALL)"""
 GRAINS = f"""w_route AS (SELECT * FROM (VALUES ('day', 1), ('week', 7), ('month', 30)) t(window_grain, days)),
   spots AS (
     SELECT provider_id, window_grain, 'route' AS entity_kind, route_id AS entity_id, sum(delay_observation_count)::BIGINT AS obs, sum(severe_delay_count)::BIGINT AS severe, sum(sum_delay_seconds)::BIGINT AS total
@@ -267,16 +304,17 @@ GRAINS = f"""w_route AS (SELECT * FROM (VALUES ('day', 1), ('week', 7), ('month'
   )"""
 
 ORACLE_SQL = {
-    "t101_receipts": S.query(S.FACT, S.ROUTE_SPINE, S.STOP_SPINE, S.STOP_HOURLY, S.ALERTS, WORST, f"""
+    "t101_receipts": S.query(S.FACT, S.ROUTE_SPINE, S.STOP_SPINE, S.STOP_HOURLY, S.ALERTS, S.SCHEDULE, R.CANCEL, WORST, f"""
       folded AS (SELECT provider_id, provider_local_date, {R.SUMS} FROM route_spine GROUP BY ALL), rates AS (SELECT provider_id, provider_local_date, {R.RATES} FROM folded),
       hit AS (SELECT provider_id, provider_local_date, count(DISTINCT route_id) FILTER (bad > 0 OR average > 300) AS r, sum(late) AS late, sum(bad) AS bad FROM (SELECT provider_id, provider_local_date, route_id, hour_of_day_local, sum(severe_delay_count) AS bad, sum(delayed_trip_count) AS late,
         {S.half(S.ratio("sum(sum_delay_seconds)", f"sum({S.INSIDE})"), 2)} AS average FROM route_spine GROUP BY ALL) GROUP BY ALL),
       sh AS (SELECT (period_start_utc - INTERVAL 5 HOUR)::DATE AS provider_local_date, count(DISTINCT stop_id) FILTER (avg_arrival_delay_seconds > 300 OR severe_delay_count > 0) AS s FROM stop_hourly GROUP BY ALL),
       al AS (SELECT (captured_at_utc - INTERVAL 5 HOUR)::DATE AS provider_local_date, count(DISTINCT header || '|' || description) AS n FROM alerts GROUP BY ALL),
       days AS (SELECT provider_local_date FROM hit UNION SELECT provider_local_date FROM sh UNION SELECT provider_local_date FROM al)""",
-      select="""SELECT 'P1' AS provider_id, d.provider_local_date, CASE WHEN late IS NOT NULL OR s IS NOT NULL THEN least((2 * coalesce(r, 0) + coalesce(s, 0) + coalesce(late, 0) + 3 * coalesce(bad, 0) + 2 * coalesce(n, 0))::DOUBLE, 9999.9999) END AS rider_impact_score,
-        otp_pct, avg_delay_min, severe_pct, worst_route_id, worst_route_id_severe, worst_stop_id, worst_stop_id_severe
-        FROM days d LEFT JOIN hit USING (provider_local_date) LEFT JOIN sh USING (provider_local_date) LEFT JOIN al USING (provider_local_date) LEFT JOIN rates USING (provider_local_date) LEFT JOIN sr USING (provider_local_date) LEFT JOIN ss USING (provider_local_date)"""),
+      select=f"""SELECT 'P1' AS provider_id, d.provider_local_date, CASE WHEN late IS NOT NULL OR s IS NOT NULL THEN least((2 * coalesce(r, 0) + coalesce(s, 0) + coalesce(late, 0) + 3 * coalesce(bad, 0) + 2 * coalesce(n, 0))::DOUBLE, 9999.9999) END AS rider_impact_score,
+        otp_pct, avg_delay_min, severe_pct, worst_route_id, route_otp - otp_pct AS worst_route_otp_delta, worst_stop_id, worst_stop_delay_min, scheduled_trip_days, delivered_trip_days, cancelled_trip_days, silent_trip_days, not_reported_route_count,
+        CASE WHEN scheduled_trip_days > 0 THEN least(100.0::DOUBLE, {S.half(S.ratio("100.0::DOUBLE * delivered_trip_days", "scheduled_trip_days"), 2)}) END AS completeness_pct
+        FROM days d LEFT JOIN hit USING (provider_local_date) LEFT JOIN sh USING (provider_local_date) LEFT JOIN al USING (provider_local_date) LEFT JOIN rates USING (provider_local_date) LEFT JOIN sr USING (provider_local_date) LEFT JOIN ss USING (provider_local_date) LEFT JOIN sv USING (provider_local_date)"""),
     "t104_hotspots": S.query(S.FACT, S.ROUTE_SPINE, S.STOP_SPINE, P.ROUTE_WEEK, f"""
       kept AS (SELECT * FROM problems WHERE (issue_count > 0 OR avg_delay_seconds > 300)),
       newest AS (SELECT * FROM kept WHERE period_start_local = (SELECT max(period_start_local) FROM kept) AND entity_id NOT IN ('__unrouted__', '__unknown_stop__')),
@@ -333,12 +371,23 @@ ORACLE_SQL = {
       n AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY same ORDER BY captured_at_utc DESC, alert_row DESC) = 1)""",
       select=f"""SELECT provider_id, alert_id, header, description, severity, cause, effect, active_start, active_end, route_ids, stop_ids, route_count, stop_count, entity_count FROM n JOIN e USING (same)
         WHERE coalesce(active_start, captured_at_utc) <= TIMESTAMP '{NOW}' AND (active_end IS NULL OR active_end >= TIMESTAMP '{NOW}')"""),
-    "t69_alert_history_reporting": S.query(S.ALERTS, select=f"SELECT provider_id, date_trunc('week', captured_at_utc - INTERVAL 5 HOUR)::DATE AS week, {HASH} AS content_hash, count(*) AS rows_seen FROM alerts GROUP BY ALL"),
+    "t69_alert_history_reporting": S.query(S.ALERTS, "l AS (SELECT *, captured_at_utc - INTERVAL 5 HOUR AS t FROM alerts)", select="""SELECT provider_id, alert_row, alert_id, header, description, severity, cause, effect, route_id, stop_id, t::DATE AS provider_local_date,
+      date_trunc('hour', t)::TIMESTAMP AS hour_bucket_local, date_trunc('week', t)::TIMESTAMP AS week_bucket_local, date_trunc('month', t)::TIMESTAMP AS month_bucket_local, date_trunc('year', t)::TIMESTAMP AS year_bucket_local,
+      active_start, active_end, captured_at_utc, md5(coalesce(description, '') || coalesce(severity, '') || coalesce(cause, '') || coalesce(effect, '')) AS effective_content_hash FROM l"""),
+    "t95_last_30_reliability": f"""SELECT provider_id, route_id, provider_local_date, delay_observation_count AS known_obs, {S.half(S.ratio("100.0::DOUBLE * on_time_observation_count", "delay_observation_count"), 0)} AS otp_pct, {S.half("avg_delay_seconds / 60.0::DOUBLE", 1)} AS avg_delay_min,
+      {S.half(S.ratio("100.0::DOUBLE * severe_delay_count", "delay_observation_count"), 1)} AS severe_pct FROM ({ROUTE_DAILY}) QUALIFY row_number() OVER (PARTITION BY provider_id, route_id ORDER BY provider_local_date DESC) <= 30""",
+    "t95_last_30_service_span": f"SELECT * FROM ({P.ORACLE_SQL['t38_route_service_span_daily']}) QUALIFY row_number() OVER (PARTITION BY provider_id, route_id ORDER BY provider_local_date DESC) <= 30",
+    "t98_stop_occupancy": f"SELECT provider_id, stop_id, sum(observation_count)::BIGINT AS observation_count, {R.SHARES} FROM ({P.ORACLE_SQL['t36_stop_occupancy_band_daily']}) WHERE provider_local_date >= DATE '{R.TODAY}' - 30 GROUP BY ALL",
+    "t128_gap_change": S.query(S.FACT, S.HEADWAY_SPINE, R.windows("headway_spine", "provider_id, route_id"), f"""g AS (SELECT provider_id, route_id, window_grain, period, sum(gap_count)::BIGINT AS n, round(sum(sum_gap_min), 4) AS s, round(sum(sum_gap_sq_min), 4) AS q FROM windowed GROUP BY ALL),
+      m AS (SELECT *, {S.half("s / n", 1)} AS value, CASE WHEN n >= 2 AND s > 0 THEN {S.half("sqrt(greatest((q - s * s / n) / (n - 1), 0)) / (s / n)", 4)} END AS cov FROM g),
+      b AS (SELECT c.*, p.n AS prior_n, p.value AS prior_value FROM m c LEFT JOIN m p ON p.period = 'prior' AND p.provider_id = c.provider_id AND p.route_id = c.route_id AND p.window_grain = c.window_grain WHERE c.period = 'current')""",
+      select=f"""SELECT provider_id, route_id, window_grain, value, prior_value, {S.half("value - prior_value", 1)} AS delta, coalesce(cov > 0 AND n >= 7 AND prior_n >= 7 AND value + prior_value > 0 AND value <> prior_value
+        AND abs(value - prior_value) >= 1.96 * (value + prior_value) / 2.0::DOUBLE * cov * sqrt(1.0::DOUBLE / n + 1.0::DOUBLE / prior_n), false) AS significant FROM b"""),
+    "t132_alert_breakdown": S.query(S.ALERTS, "m AS (SELECT *, epoch(active_end - active_start)::DOUBLE / 60.0 AS minutes FROM alerts), k AS (SELECT 'cause' AS kind, coalesce(cause, 'unknown') AS key, * FROM m UNION ALL SELECT 'effect', coalesce(effect, 'unknown'), * FROM m UNION ALL SELECT 'severity', 'watch', * FROM m)",
+      select="SELECT provider_id, kind, key, count(*) AS alert_count, quantile_cont(minutes, 0.5) AS median_minutes FROM k GROUP BY ALL"),
     "t70_feed_freshness": S.query(FRESH, select="SELECT * FROM fresh"),
-    "t72_public_route_reliability_daily": S.query(S.FACT, S.SUMMARY_5M, HOURLY, select=f"""SELECT provider_id, (p - INTERVAL 5 HOUR)::DATE AS provider_local_date, route_id, sum(o)::BIGINT AS observation_count, sum(n)::BIGINT AS delay_observation_count, CASE WHEN count(*) = count(good) THEN sum(good)::BIGINT END AS on_time_observation_count,
-      sum(bad)::BIGINT AS severe_delay_count, {S.half(S.ratio("round(sum(round(a * n, 4)), 2)", "sum(n) FILTER (a IS NOT NULL)"), 1)} AS avg_delay_seconds FROM hours GROUP BY ALL"""),
-    "t73_public_stop_delay_daily": S.query(S.FACT, S.STOP_HOURLY, select=f"""SELECT provider_id, (period_start_utc - INTERVAL 5 HOUR)::DATE AS provider_local_date, stop_id, sum(observation_count)::BIGINT AS observation_count,
-      {S.half(S.ratio("round(sum(round(avg_arrival_delay_seconds * observation_count, 4)), 2)", "sum(observation_count)"), 1)} AS avg_delay_seconds, max(avg_arrival_delay_seconds) AS max_avg_delay_seconds, sum(severe_delay_count)::BIGINT AS severe_delay_count FROM stop_hourly GROUP BY ALL"""),
+    "t72_public_route_reliability_daily": ROUTE_DAILY,
+    "t73_public_stop_delay_daily": STOP_DAILY,
     "t108_alert_history": S.query(S.ALERTS, HISTORY, select="SELECT * FROM history"),
     "t108_alert_breakdown": S.query(S.ALERTS, HISTORY, select=f"SELECT provider_id, cause, effect, count(*) AS alert_count, {S.half('quantile_cont(epoch(active_end - active_start)::DOUBLE / 60.0, 0.5)', 1)} AS median_minutes FROM history GROUP BY ALL"),
     "t109_archive_entries": S.query(S.ALERTS, entries("a", "true"), select="SELECT * FROM a"),

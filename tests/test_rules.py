@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from punctua.operators import live, reads, rollups
+from punctua.operators import alerts, client, live, reads, rollups
 from punctua.plans import publish
 
 
@@ -56,3 +56,32 @@ def test_departures_of_the_newest_snapshot(spark):
     updates = spark.createDataFrame(rows, "provider_id string, rt_feed_snapshot_id long, stop_id string, route_id string, trip_id string, stop_sequence int, arrival_utc timestamp_ntz, departure_utc timestamp_ntz")
     got = live.next_departures(updates, F.lit("2024-01-01 12:00:00").cast("timestamp_ntz")).collect()
     assert {(r["trip_id"], r["departure_rank"]) for r in got} == {("T3", 1), ("T2", 2), ("T4", 1)}
+
+
+def test_mean_change(spark):
+    """Worked by hand: spread is the average of both means by the variation; seven observations on each side."""
+    rows = [(10.0, 50, 0.2, 8.0, 50), (8.0, 50, 0.2, 10.0, 50), (10.0, 6, 0.2, 8.0, 50), (10.0, 50, None, 8.0, 50), (10.0, 50, 0.2, None, None), (8.0, 8, 1.0, 7.0, 8)]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, value double, n long, cov double, prior_value double, prior_n long")
+    got = [(r["delta"], r["significant"]) for r in client.mean_change(frame).orderBy("i").collect()]
+    assert got == [(2.0, True), (-2.0, True), (2.0, False), (2.0, False), (None, False), (1.0, False)]
+
+
+def test_log_breakdown(spark):
+    t = lambda h: dt.datetime(2024, 1, 1, h)
+    rows = [("P1", "c", None, "high", t(0), t(1)), ("P1", " c ", "", "odd", t(0), t(2)), ("P1", None, "e", None, t(0), None)]
+    frame = spark.createDataFrame(rows, "provider_id string, cause string, effect string, severity string, active_start timestamp_ntz, active_end timestamp_ntz")
+    got = {(r["kind"], r["key"]): (r["alert_count"], r["median_minutes"]) for r in alerts.log_breakdown(frame).collect()}
+    assert got == {("cause", "c"): (2, 90.0), ("cause", "unknown"): (1, None), ("effect", "unknown"): (2, 90.0), ("effect", "e"): (1, None), ("severity", "high"): (1, 60.0), ("severity", "watch"): (2, 120.0)}
+
+
+def test_receipts(spark):
+    """The worst route and stop are those of the greatest average delay, whatever their counts; trips of unscheduled routes count in no state."""
+    d = dt.date(2024, 1, 1)
+    day = lambda rows, schema: spark.createDataFrame([("P1", d, *r) for r in rows], f"provider_id string, provider_local_date date, {schema}")
+    spine = day([("R1", 10, 10, 8, 9, 600, [0] * 10 + [10] + [0] * 10)], "route_id string, observation_count long, delay_observation_count long, on_time_observation_count long, severe_delay_count long, sum_delay_seconds long, delay_histogram array<long>")
+    routes = day([("R1", 90, 10, 100.0), ("R2", 4, 3, 300.0), ("R3", 4, 1, 300.0), ("__unrouted__", 1, 1, 900.0)], "route_id string, delay_observation_count long, on_time_observation_count long, avg_delay_seconds double")
+    stops = day([("S1", 120.0), ("S0", None), ("__unknown_stop__", 999.0)], "stop_id string, avg_delay_seconds double")
+    trips = day([("R1", 8, 1, 9, 7, 1), ("R2", 0, 0, 4, 0, 4), ("R9", 5, 5, None, 0, None)], "route_id string, total_trip_days long, canceled_trip_days long, scheduled_trip_days long, delivered_trip_days long, silent_trip_days long")
+    got = reads.receipts(day([(1.0,)], "rider_impact_score double"), spine, routes, stops, trips).first()
+    assert (got["worst_route_id"], got["otp_pct"], got["worst_route_otp_delta"], got["worst_stop_id"], got["worst_stop_delay_min"]) == ("R2", 80.0, -5.0, "S1", 2.0)
+    assert [got[c] for c in ("scheduled_trip_days", "delivered_trip_days", "cancelled_trip_days", "silent_trip_days", "not_reported_route_count", "completeness_pct")] == [13, 7, 1, 5, 1, 53.85]
