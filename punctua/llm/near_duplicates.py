@@ -32,6 +32,8 @@ ROUNDS = 4
 LONG_LIST = 32
 #: Long lists, the least, that a node brings along to tell which of the lists in common with another counts.
 LISTS_KNOWN = 8
+#: 64-bit words of the parity sketch of a set.
+SKETCH = 16
 #: Sets that a task remembers, so that it does not repeat them.
 MOST_SEEN = 1_000_000
 
@@ -121,6 +123,12 @@ def signatures(s: np.ndarray, frequent: Bitmap) -> tuple[np.ndarray, int, int]:
     return np.concatenate(found), len(rare), len(held)
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """A sketch of a set: for each of its bits, whether the number of shingles that fall on it is odd. Bits in which two sketches differ are never more than the shingles in which the sets differ."""
+    odd = np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def once(values: np.ndarray, edges: np.ndarray, seen: set[int]) -> tuple[np.ndarray, np.ndarray]:
     """The numbers and keys of a slice's sets that are not empty and were not seen in this partition before."""
     keys, kept = set_keys(values, edges), []
@@ -228,10 +236,10 @@ def signatures_of(docs: DataFrame, frequent: Broadcast) -> DataFrame:
 
 
 def postings_of(docs: DataFrame, frequent: Broadcast, repeated: Broadcast) -> DataFrame:
-    """node, n, low, postings (array of sig, most): sets with a signature that the bitmap `repeated` holds.
+    """node, n, low, sketch, postings (array of sig, most): sets with a signature that the bitmap `repeated` holds.
 
-    low: the least hashes, of which sets that link have one in common. most: what the set can share with one that it meets under this
-    signature alone. Sets that index frequent shingles index all their rare ones too; two of them that share no rare one have only
+    low: the least hashes, of which sets that link have one in common. sketch: parities() of the set. most: what the set can share
+    with one that it meets under this signature alone. Sets that index frequent shingles index all their rare ones too; two of them that share no rare one have only
     frequent ones in common."""
     kind = pa.struct([("sig", pa.int64()), ("most", pa.int64())])
 
@@ -243,14 +251,15 @@ def postings_of(docs: DataFrame, frequent: Broadcast, repeated: Broadcast) -> Da
                 sigs, rare, often = signatures(s, frequent.value)
                 held = np.flatnonzero(repeated.value.holds(sigs))
                 if len(held):
-                    rows.append((keys[i], len(s), ordered(s[: need_of(len(s))]), ordered(sigs[held]), np.where(held < rare, len(s), often)))
+                    rows.append((keys[i], len(s), ordered(s[: need_of(len(s))]), parities(s), ordered(sigs[held]), np.where(held < rare, len(s), often)))
             if rows:
-                node, n, low, sigs, most = zip(*rows, strict=True)
+                node, n, low, sketch, sigs, most = zip(*rows, strict=True)
                 ends = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
                 postings = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(most))], fields=list(kind)))
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n), pa.array(low, pa.list_(pa.int64())), postings], ["node", "n", "low", "postings"])
+                low, sketch = pa.array(low, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n), low, sketch, postings], ["node", "n", "low", "sketch", "postings"])
 
-    return docs.select("text").mapInArrow(run, "node long, n long, low array<long>, postings array<struct<sig: long, most: long>>")
+    return docs.select("text").mapInArrow(run, "node long, n long, low array<long>, sketch array<long>, postings array<struct<sig: long, most: long>>")
 
 
 def sets_of(docs: DataFrame, nodes: Broadcast) -> DataFrame:
@@ -326,7 +335,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Two documents link when 80 % of the union of their sets of five-word shingles is shared. Equal sets are one node. Lists of the
     index are not expanded into pairs: first each list's nodes are compared with one hub, then with a hub drawn for each list, and
     only nodes outside the largest component of a list are compared with all of it, so a large group of copies costs its size and not
-    its square, while no link between components is missed. Pairs are first held against the least hashes of both sets, then verified on whole sets.
+    its square, while no link between components is missed. Pairs are first held against sketches and the least hashes of both sets, then verified on whole sets.
     Documents without words link with nothing. Rows with equal ids are judged by their own texts; null ids never name a component
     unless all of its ids are null.
     """
@@ -342,7 +351,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     repeated = signatures_of(docs, frequent).groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("sig")
     repeated, n_lists = counted(repeated, "repeated")
     held_sets = written(postings_of(docs, frequent, marks.of(repeated, n_lists, "sig")), "found")
-    lows = written(held_sets.select("node", "n", "low").dropDuplicates(["node"]), "lows")
+    lows = written(held_sets.select("node", "n", "low", "sketch").dropDuplicates(["node"]), "lows")
     found = held_sets.select("node", "n", F.inline("postings"))
     # the hub of a list is a node with the fewest rare shingles, which in a group of copies is the nearest to their common text
     bits = F.lit((1 << 40) - 1)
@@ -401,14 +410,18 @@ def grouped(docs: DataFrame) -> DataFrame:
         other = rows.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("most").alias("also"), F.col("node_group").alias("b_group"), *(F.col(c).alias(f"b_{c}") for c in more))
         met = rows.where("node_group <> main").join(other, "sig")
         met = met.where((F.col("node_group") != F.col("b_group")) & ((F.col("b_group") == F.col("main")) | (F.col("node") < F.col("b"))) & may("n", "most", "m", "also"))
-        if more:  # of a pair's common long lists (of one kind, rare or frequent, as the bounds differ) the least counts, if both know it
+        if more:  # by their sketches the sets may differ in few enough shingles
+            apart = reduce(Column.__add__, [F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("b_sketch")[i])) for i in range(SKETCH)])
+            met = met.where(apart * (100 + SIMILAR) <= (100 - SIMILAR) * (F.col("n") + F.col("m")))
+            # of a pair's common long lists (of one kind, rare or frequent, as the bounds differ) the least counts, if both know it
             both = F.array_intersect("sigs", "b_sigs")
             met = met.where((F.size(both) == 0) | (F.array_min(both) == F.col("sig")))
         return met.select(F.col("node").alias("a"), "b")
 
     long = rows.where(F.col("size") >= LONG_LIST)
     of_node = long.groupBy("node", "most").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, LISTS_KNOWN).alias("sigs"))
-    known, n = verified(meetings(rows.where(F.col("size") < LONG_LIST)).union(meetings(long.join(of_node, ["node", "most"]), "sigs")))
+    of_node = of_node.join(lows.select("node", "sketch"), "node")
+    known, n = verified(meetings(rows.where(F.col("size") < LONG_LIST)).union(meetings(long.join(of_node, ["node", "most"]), "sigs", "sketch")))
     groups = hinted(components(known, n), 2 * n)
     marks.taken_back()
     dropped(postings, lows, rows)

@@ -112,9 +112,10 @@ def links(texts):
     return sets, [find(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("frequent, broadcast", [(8, 500_000), (1, 0)])
-def test_near_duplicates(docs, rows, empty, frequent, broadcast, monkeypatch):
+@pytest.mark.parametrize("frequent, broadcast, long", [(8, 500_000, 32), (1, 0, 2)])
+def test_near_duplicates(docs, rows, empty, frequent, broadcast, long, monkeypatch):
     monkeypatch.setattr(near_duplicates, "FREQUENT", frequent)
+    monkeypatch.setattr(near_duplicates, "LONG_LIST", long)
     monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
     sets, roots = links([r[1] for r in rows])
     least = {}
@@ -129,8 +130,22 @@ def test_near_duplicates(docs, rows, empty, frequent, broadcast, monkeypatch):
     assert near_duplicates.near_duplicates(empty).collect() == []
 
 
-def test_shared_passage(spark):
+def test_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(2)
+    for size in (0, 1, 30, 300, 5000):
+        for changed in (0, 1, 25, 400):
+            common_part, more = (rng.integers(0, 1 << 64, k, dtype=np.uint64) for k in (size, changed))
+            x, y = np.unique(common_part), np.unique(np.concatenate([common_part, more]))
+            apart = int(np.bitwise_count((near_duplicates.parities(x) ^ near_duplicates.parities(y)).view(np.uint64)).sum())
+            assert apart <= len(y) - len(x) and (len(y) - len(x) - apart) % 2 == 0
+            assert changed or apart == 0
+    assert apart > 200  # and it tells sets apart
+
+
+@pytest.mark.parametrize("long", [32, 2, 1 << 40])
+def test_shared_passage(spark, long, monkeypatch):
     """Many documents hold one passage and little else: most do not link, some do; the index must neither miss nor invent links."""
+    monkeypatch.setattr(near_duplicates, "LONG_LIST", long)
     rng = random.Random(3)
     passage = [f"p{i}" for i in range(70)]
     texts = []
