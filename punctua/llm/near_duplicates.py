@@ -32,6 +32,8 @@ ROUNDS = 4
 LONG_LIST = 32
 #: Long lists, the least, that a node brings along to tell which of the lists in common with another counts.
 LISTS_KNOWN = 8
+#: A component is large if more than one in LARGE of the rows belong to it.
+LARGE = 1000
 #: 64-bit words of the parity sketch of a set.
 SKETCH = 16
 #: Sets that a task remembers, so that it does not repeat them.
@@ -346,7 +348,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     """near_duplicates with digest (of the row's text) and first: whether the row's id and text are the least of its component, null ids last."""
     shipped(docs.sparkSession)
     marks = Marks(docs.sparkSession)
-    table = written(described(docs), "sets")
+    table, n_rows = counted(described(docs), "sets")
     frequent = frequent_shingles(docs, table, marks)
     repeated = signatures_of(docs, frequent).groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("sig")
     repeated, n_lists = counted(repeated, "repeated")
@@ -425,13 +427,16 @@ def grouped(docs: DataFrame) -> DataFrame:
     groups = hinted(components(known, n), 2 * n)
     marks.taken_back()
     dropped(postings, lows, rows)
-    members = placed(table.select("doc_id", "digest", "n", "node"), groups, "node")
+    members = placed(table.where(F.col("node").isNotNull()).select("doc_id", "digest", "n", "node"), groups, "node")
     row = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "digest")
-    names = members.where(F.col("node").isNotNull()).groupBy("node_group").agg(F.min("doc_id").alias("component_id"), F.min(row).alias("least"))
-    named = members.join(names, "node_group", "left")
-    label = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    first = F.col("node").isNull() | row.eqNullSafe(F.col("least"))
-    return named.select("doc_id", F.col("n").alias("n_shingles"), label.alias("component_id"), "digest", first.alias("first"))
+    names = members.groupBy("node_group").agg(F.min("doc_id").alias("component_id"), F.min(row).alias("least"), F.count(F.lit(1)).alias("size"))
+    # there are fewer than LARGE such components: they are broadcast, and their rows are not dealt out by component
+    hot = F.col("size") * LARGE > n_rows
+    large = F.broadcast(names.where(hot))
+    named = members.join(large, "node_group").unionByName(members.join(large, "node_group", "left_anti").join(names.where(~hot), "node_group"))
+    named = named.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "digest", row.eqNullSafe(F.col("least")).alias("first"))
+    bare = table.where(F.col("node").isNull())
+    return named.unionByName(bare.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "digest", F.lit(True).alias("first")))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -112,10 +112,11 @@ def links(texts):
     return sets, [find(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("frequent, broadcast, long", [(8, 500_000, 32), (1, 0, 2)])
-def test_near_duplicates(docs, rows, empty, frequent, broadcast, long, monkeypatch):
+@pytest.mark.parametrize("frequent, broadcast, long, large", [(8, 500_000, 32, 1000), (1, 0, 2, 20)])
+def test_near_duplicates(docs, rows, empty, frequent, broadcast, long, large, monkeypatch):
     monkeypatch.setattr(near_duplicates, "FREQUENT", frequent)
     monkeypatch.setattr(near_duplicates, "LONG_LIST", long)
+    monkeypatch.setattr(near_duplicates, "LARGE", large)
     monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
     sets, roots = links([r[1] for r in rows])
     least = {}
