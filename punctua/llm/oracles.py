@@ -90,4 +90,21 @@ WITH v AS (
 SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
-ORACLE_SQL = {"op1_sharding": SHARDING, "op3_near_duplicates": NEAR_DUPLICATES, "op4_secrets": secrets_sql(), "op8_topk": TOP_K}
+FILL_IN_MIDDLE = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l,
+         list_transform(range(0, 4), lambda i: ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 8 * i::INT + 1, 8))::BIGINT) AS h
+  FROM documents
+), cut AS (
+  SELECT *, len(l) AS n, least(h[1] % (len(l) + 1), h[2] % (len(l) + 1)) AS a, greatest(h[1] % (len(l) + 1), h[2] % (len(l) + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM docs
+), parts AS (
+  SELECT *, coalesce(array_to_string(l[1:a], ''), '') AS p, coalesce(array_to_string(l[a + 1:b], ''), '') AS m, coalesce(array_to_string(l[b + 1:], ''), '') AS s FROM cut
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parts
+"""
+
+ORACLE_SQL = {"op1_sharding": SHARDING, "op3_near_duplicates": NEAR_DUPLICATES, "op4_secrets": secrets_sql(), "op8_topk": TOP_K, "op11_fill_in_middle": FILL_IN_MIDDLE}

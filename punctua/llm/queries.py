@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from punctua.llm import fingerprints, language, licenses, mixing, near_duplicates, packing, quality, secrets, sharding, topk
+from punctua.llm import fill_in_middle, fingerprints, language, licenses, mixing, near_duplicates, packing, quality, secrets, sharding, topk
 from punctua.llm.oracles import ORACLE_SQL
 
 
@@ -23,6 +23,7 @@ QUERIES = {
     "op8_topk": lambda spark, d: topk.search(table(spark, d, "embeddings")),
     "op9_licenses": lambda spark, d: licenses.scan_documents(table(spark, d, "documents")),
     "op10_packing": lambda spark, d: packing.pack_documents(table(spark, d, "documents")),
+    "op11_fill_in_middle": lambda spark, d: fill_in_middle.transform_documents(table(spark, d, "documents")),
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
