@@ -108,6 +108,19 @@ def looked_up(rows: DataFrame, key: Column, found: DataFrame, found_key: Column,
     return some.unionByName(marked.where("NOT __maybe").drop("__maybe"), allowMissingColumns=True)
 
 
+#: A key is hot if more than one in HOT of all rows have it, so there are fewer than HOT hot keys.
+HOT = 10_000
+
+
+def joined(rows: DataFrame, table: DataFrame, key: str | Sequence[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """rows.join(table, key, how) for how = inner or left, where table has each key once and says in `count` how many of the `total` rows have it.
+
+    Hot keys of the table are fewer than HOT rows and broadcast; only rows of other keys are shuffled by key. rows is read twice."""
+    hot = F.col(count) * HOT > total
+    few, rest = F.broadcast(table.where(hot).drop(count)), table.where(~hot).drop(count)
+    return rows.join(few, key).unionByName(rows.join(few, key, "left_anti").join(rest, key, how))
+
+
 def never_null(c: Column) -> Column:
     """A string key that tells null from every value."""
     return F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), c.cast("string")))

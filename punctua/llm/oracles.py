@@ -33,12 +33,12 @@ SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (spot * {N_SHARD
 FROM placed
 """
 
-NEAR_DUPLICATES = r"""
+_NEAR = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), sets AS (
-  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-                      ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s
+  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < <width> THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(w) - <width> + 2), lambda i: array_to_string(w[i:i + <width> - 1], ' '))) END AS s
   FROM words
 ), items AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
 pairs AS (
@@ -48,8 +48,10 @@ pairs AS (
 edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
 reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x),
 least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
-SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, l.component_id FROM sets s JOIN least l ON l.x = s.doc_id
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, l.component_id<more> FROM sets s JOIN least l ON l.x = s.doc_id
 """
+NEAR_DUPLICATES = _NEAR.replace("<width>", "5").replace("<more>", "")
+MINHASH = _NEAR.replace("<width>", "4").replace("<more>", ", s.doc_id = l.component_id AS kept")
 
 
 def secrets_sql() -> str:
@@ -107,4 +109,4 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) EN
 FROM parts
 """
 
-ORACLE_SQL = {"op1_sharding": SHARDING, "op3_near_duplicates": NEAR_DUPLICATES, "op4_secrets": secrets_sql(), "op8_topk": TOP_K, "op11_fill_in_middle": FILL_IN_MIDDLE}
+ORACLE_SQL = {"op1_sharding": SHARDING, "op3_near_duplicates": NEAR_DUPLICATES, "op4_secrets": secrets_sql(), "op8_topk": TOP_K, "op11_fill_in_middle": FILL_IN_MIDDLE, "op12_minhash": MINHASH}

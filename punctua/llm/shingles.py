@@ -54,23 +54,23 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mixed(np.add.reduceat(values * up[: len(data)], starts) * down[starts]), edges
 
 
-def shingle_sets(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct hashes of each text's five-word shingles (of its whole sequence if it has fewer words, none without words), one text after the other, and the edges between texts."""
+def shingle_sets(texts: list, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct hashes of each text's shingles of `width` words (of its whole sequence if it has fewer words, none without words), one text after the other, and the edges between texts."""
     words, edges = word_hashes([(t or "").encode("utf-8", "surrogatepass") for t in texts])
     counts = np.diff(edges)
     rolled = np.zeros(len(words), dtype=np.uint64)
-    whole = max(0, len(words) - WIDTH + 1)
-    for j in range(WIDTH):
+    whole = max(0, len(words) - width + 1)
+    for j in range(width):
         rolled[:whole] = rolled[:whole] * FOLD + words[j : j + whole]
     rolled = mixed(rolled)
     keep = np.zeros(len(words), dtype=bool)
     for i in np.flatnonzero(counts):
         a, b = edges[i], edges[i + 1]
-        if b - a >= WIDTH:
-            part = rolled[a : b - WIDTH + 1]
+        if b - a >= width:
+            part = rolled[a : b - width + 1]
             part.sort()
             keep[a] = True
-            np.not_equal(part[1:], part[:-1], out=keep[a + 1 : b - WIDTH + 1])
+            np.not_equal(part[1:], part[:-1], out=keep[a + 1 : b - width + 1])
         else:
             h = int(b - a)
             for w in words[a:b]:
@@ -80,11 +80,11 @@ def shingle_sets(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return rolled[keep], before[edges]
 
 
-def in_slices(texts: np.ndarray, most: int = 500_000) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+def in_slices(texts: np.ndarray, most: int = 500_000, width: int = WIDTH) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """Slices of a batch of texts with bounded bytes, their shingle sets and edges."""
     if len(texts):
         for part in pieces_of(np.array([len(t or "") + 64 for t in texts]), most):
-            yield part, *shingle_sets(list(texts[part]))
+            yield part, *shingle_sets(list(texts[part]), width)
 
 
 def set_keys(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
