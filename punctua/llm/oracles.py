@@ -6,12 +6,13 @@ from punctua.llm.secrets import BASE_RULES, RULES
 from punctua.llm.sharding import N_SHARDS
 
 #: A checksum by its definition: the table of the reversed polynomial, then one step a byte.
-SHARDING = f"""
+_CRC = """
 WITH RECURSIVE bits AS (
   SELECT i, i::UBIGINT AS c, 0 AS k FROM range(256) t(i)
   UNION ALL
   SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
-), crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+), crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),"""
+SHARDING = f"""{_CRC}
 docs AS (
   SELECT doc_id, source, coalesce(text, '') AS text, CASE WHEN source IS NULL THEN '-' ELSE '+' || source END AS skey,
          md5('interleave|' || CASE WHEN doc_id IS NULL THEN '-' ELSE '+' || doc_id END) AS digest
@@ -109,4 +110,28 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) EN
 FROM parts
 """
 
-ORACLE_SQL = {"op1_sharding": SHARDING, "op3_near_duplicates": NEAR_DUPLICATES, "op4_secrets": secrets_sql(), "op8_topk": TOP_K, "op11_fill_in_middle": FILL_IN_MIDDLE, "op12_minhash": MINHASH}
+TRIE = _CRC + r"""
+t AS (
+  SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS s
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), drawn AS (
+  SELECT c, s, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(0, octet_length(encode(c::VARCHAR))), lambda i: ('0x' || substr(hex(encode(c::VARCHAR)), 2 * i::INT + 1, 2))::UBIGINT)),
+         lambda a, b: xor(a >> 8, crc.t[(xor(a, b) & 255)::INT + 1])), 4294967295::UBIGINT)::BIGINT % 4 AS h
+  FROM t, crc
+), rebuilt AS (
+  SELECT a.c, list_concat(coalesce(b.s[1:a.h], []), a.s[a.h + 1:]) AS s FROM drawn a LEFT JOIN t b ON b.c = a.c - a.c % 20
+), members AS (
+  SELECT c, d, s[1:d] AS k, len(s) = d AS ended, CASE WHEN d > 0 THEN len(regexp_extract_all(s[d].t, '[^\x20\x09-\x0D]+')) ELSE 0 END AS w
+  FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT k, d, min(c) AS c, count(*) AS n, max(w) AS w, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ended) AS ends FROM members GROUP BY k, d
+), kids AS (SELECT k[1:d - 1] AS k, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2),
+full_nodes AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (k, d)),
+subtrees AS (
+  SELECT k[1:i] AS k, i AS d, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n - 1) * w) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS i FROM full_nodes) GROUP BY 1, 2
+)
+SELECT n.c AS conv_id, n.d AS depth, p.c AS parent_conv_id, n.n AS n_convs, n.n_children, s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM full_nodes n JOIN subtrees s ON s.k = n.k AND s.d = n.d LEFT JOIN nodes p ON n.d > 0 AND p.d = n.d - 1 AND p.k = n.k[1:n.d - 1]
+"""
+
+ORACLE_SQL = {"op1_sharding": SHARDING, "op3_near_duplicates": NEAR_DUPLICATES, "op4_secrets": secrets_sql(), "op8_topk": TOP_K, "op11_fill_in_middle": FILL_IN_MIDDLE, "op12_minhash": MINHASH, "op13_prefix_trie": TRIE}

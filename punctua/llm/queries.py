@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from punctua.llm import fill_in_middle, fingerprints, language, licenses, minhash, mixing, near_duplicates, packing, quality, secrets, sharding, topk
+from punctua.llm import fill_in_middle, fingerprints, language, licenses, minhash, mixing, near_duplicates, packing, prefix_trie, quality, secrets, sharding, topk
 from punctua.llm.oracles import ORACLE_SQL
 
 
@@ -25,6 +25,7 @@ QUERIES = {
     "op10_packing": lambda spark, d: packing.pack_documents(table(spark, d, "documents")),
     "op11_fill_in_middle": lambda spark, d: fill_in_middle.transform_documents(table(spark, d, "documents")),
     "op12_minhash": lambda spark, d: minhash.near_duplicates(table(spark, d, "documents")),
+    "op13_prefix_trie": lambda spark, d: prefix_trie.conversation_trie(table(spark, d, "conversations")),
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
