@@ -15,15 +15,16 @@ TIMES = {"active_start", "active_end", "published", "updated"}
 ORIGIN = "1970-01-01 00:00:00"
 
 
-def content_hash(columns: Sequence[str]) -> Column:
-    """md5 of the identity fields that the table has (others count as empty), joined by the unit separator."""
+def content_hash(columns: Sequence[str], more: Column | None = None) -> Column:
+    """md5 of the identity fields that the table has (others count as empty), joined by the unit separator; `more` follows where it is not null."""
+
     def spelled(c: str) -> Column:
         if c not in columns:
             return F.lit("")
         value = F.timestamp_diff("SECOND", F.lit(ORIGIN).cast("timestamp_ntz"), F.col(c)) if c in TIMES else F.col(c)
         return F.coalesce(value.cast("string"), F.lit(""))
 
-    return F.md5(F.concat_ws("\u001f", *map(spelled, IDENTITY)))
+    return F.md5(F.concat_ws("\u001f", *map(spelled, IDENTITY), *([] if more is None else [more])))
 
 
 def versions(alerts: DataFrame) -> DataFrame:
@@ -37,19 +38,6 @@ def versions(alerts: DataFrame) -> DataFrame:
     return seen.join(moments.withColumnRenamed("captured_at_utc", "last_seen"), ["provider_id", "alert_id", "last_seen"])
 
 
-def current(alerts: DataFrame, now: Column) -> DataFrame:
-    """Alerts in force: the newest row of equal description, severity, cause and effect, with the routes and stops of that alert row's content."""
-    same = F.md5(F.concat(*(F.coalesce(c, F.lit("")) for c in ("description", "severity", "cause", "effect"))))
-    rows = alerts.withColumn("same", same)
-    entities = rows.groupBy("provider_id", "same").agg(
-        F.array_join(F.sort_array(F.collect_set("route_id")), ", ").alias("route_ids"), F.array_join(F.sort_array(F.collect_set("stop_id")), ", ").alias("stop_ids"),
-        F.count_distinct("route_id").alias("route_count"), F.count_distinct("stop_id").alias("stop_count"), F.count(F.lit(1)).alias("entity_count"),
-    )
-    newest = rows.withColumn("k", F.row_number().over(Window.partitionBy("provider_id", "same").orderBy(F.desc("captured_at_utc"), F.desc("alert_row")))).where("k = 1")
-    active = (F.coalesce("active_start", "captured_at_utc") <= now) & (F.col("active_end").isNull() | (F.col("active_end") >= now))
-    return newest.where(active).join(entities, ["provider_id", "same"]).select("provider_id", "alert_id", "header", "description", "severity", "cause", "effect", "active_start", "active_end", "route_ids", "stop_ids", "route_count", "stop_count", "entity_count")
-
-
 def history(alerts: DataFrame, first: Column, last: Column, time_zone: str, n: int = 500) -> DataFrame:
     """Alerts of a span of local dates, one row for each header and active period: newest first, n at most, with the uncapped count."""
     day = F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(time_zone), F.col("captured_at_utc")))

@@ -150,17 +150,6 @@ def alert_history(spark: SparkSession, d: str) -> DataFrame:
     return A.history_reporting(rows.drop("route_id", "stop_id"), rows.where("route_id IS NOT NULL OR stop_id IS NOT NULL"), T.TIME_ZONE)
 
 
-def observations(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("alert_row")
-    return A.language_coverage(
-        T.alerts(spark, d).select("provider_id", F.to_date("captured_at_utc").alias("observation_date"), (k % 3 != 0).alias("has_en"), (k % 2 == 0).alias("has_fr"), (k % 11 == 0).alias("undetermined")).withColumns(
-            {"has_en": F.col("has_en") & ~F.col("undetermined"), "has_fr": F.col("has_fr") & ~F.col("undetermined")}
-        ),
-        spark.range(31).select(F.lit("P1").alias("provider_id"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("observation_date"), (F.col("id") % 9 != 0).alias("observed"), F.lit(True).alias("supported")),
-        F.lit("2024-01-28").cast("date"),
-    )
-
-
 def merged(spark: SparkSession, d: str) -> DataFrame:
     a = T.alerts(spark, d)
     cut = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
@@ -188,7 +177,6 @@ QUERIES = {
     "t64_route_lines": shapes,
     "t66_next_departures": lambda spark, d: live.next_departures(updates(spark, d), newest_feed(updates(spark, d))).select("provider_id", "stop_id", "route_id", "trip_id", "stop_sequence", "predicted_utc", "departure_rank"),
     "t67_non_responding": lambda spark, d: live.non_responding(T.trips(spark), timed(spark), running(spark), T.vehicles(spark, d).select("provider_id", "trip_id"), F.lit("2024-01-16").cast("date"), F.lit(1170)),
-    "t68_current_alerts": lambda spark, d: A.current(T.alerts(spark, d), now()),
     "t69_alert_history_reporting": alert_history,
     "t95_last_30_reliability": last_reliability,
     "t95_last_30_service_span": lambda spark, d: reads.last_days(rollups.route_service_span_daily(T.fact(spark, d)), ["provider_id", "route_id"]),
@@ -205,7 +193,6 @@ QUERIES = {
     "t109_archive_merged": merged,
     "t117_departures_board": lambda spark, d: live.departures_board(live.next_departures(updates(spark, d), newest_feed(updates(spark, d))), F.timestamp_add("MINUTE", F.lit(60), newest_feed(updates(spark, d)))).select("provider_id", "stop_id", "route_id", "trip_id", "stop_sequence", "predicted_utc", "k"),
     "t118_live_network": lambda spark, d: live.live_network(facts.latest(T.fact(spark, d))),
-    "t122_language_coverage": observations,
     "t123_alert_versions": lambda spark, d: A.versions(T.alerts(spark, d)),
     "t124_feed_health": health,
     "t126_kpis": lambda spark, d: live.kpis(T.vehicles(spark, d), T.fact(spark, d), shortly_after(T.fact(spark, d))),
@@ -366,11 +353,6 @@ ORACLE_SQL = {
       spans AS (SELECT trip_id, min(secs) // 60 AS a, max(secs) // 60 AS z FROM stop_times GROUP BY ALL),
       due AS (SELECT DISTINCT t.provider_id, t.route_id, t.trip_id FROM trips t JOIN near USING (service_id) JOIN spans USING (trip_id) WHERE 1170 + m BETWEEN a AND z AND trip_id NOT IN (SELECT trip_id FROM vehicles))""",
       select="SELECT provider_id, route_id, count(*) AS non_responding_count, string_agg(trip_id, ',' ORDER BY trip_id) AS trip_ids FROM due GROUP BY ALL"),
-    "t68_current_alerts": S.query(S.ALERTS, f"""s AS (SELECT *, md5(coalesce(description, '') || coalesce(severity, '') || coalesce(cause, '') || coalesce(effect, '')) AS same FROM alerts),
-      e AS (SELECT same, coalesce(string_agg(DISTINCT route_id, ', ' ORDER BY route_id), '') AS route_ids, coalesce(string_agg(DISTINCT stop_id, ', ' ORDER BY stop_id), '') AS stop_ids, count(DISTINCT route_id) AS route_count, count(DISTINCT stop_id) AS stop_count, count(*) AS entity_count FROM s GROUP BY same),
-      n AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY same ORDER BY captured_at_utc DESC, alert_row DESC) = 1)""",
-      select=f"""SELECT provider_id, alert_id, header, description, severity, cause, effect, active_start, active_end, route_ids, stop_ids, route_count, stop_count, entity_count FROM n JOIN e USING (same)
-        WHERE coalesce(active_start, captured_at_utc) <= TIMESTAMP '{NOW}' AND (active_end IS NULL OR active_end >= TIMESTAMP '{NOW}')"""),
     "t69_alert_history_reporting": S.query(S.ALERTS, "l AS (SELECT *, captured_at_utc - INTERVAL 5 HOUR AS t FROM alerts)", select="""SELECT provider_id, alert_row, alert_id, header, description, severity, cause, effect, route_id, stop_id, t::DATE AS provider_local_date,
       date_trunc('hour', t)::TIMESTAMP AS hour_bucket_local, date_trunc('week', t)::TIMESTAMP AS week_bucket_local, date_trunc('month', t)::TIMESTAMP AS month_bucket_local, date_trunc('year', t)::TIMESTAMP AS year_bucket_local,
       active_start, active_end, captured_at_utc, md5(coalesce(description, '') || coalesce(severity, '') || coalesce(cause, '') || coalesce(effect, '')) AS effective_content_hash FROM l"""),
@@ -398,12 +380,6 @@ ORACLE_SQL = {
       {S.half(S.ratio("100.0::DOUBLE * count(*) FILTER (band IN ('on_time', 'late'))", "count(delay_seconds)"), 0)} AS on_time_pct, {S.half(S.ratio("100.0::DOUBLE * count(delay_seconds)", "count(*)"), 1)} AS coverage_pct,
       {S.half("quantile_cont(delay_seconds::DOUBLE / 60.0, 0.5)", 1)} AS p50_min, {S.half("quantile_cont(delay_seconds::DOUBLE / 60.0, 0.9)", 1)} AS p90_min,
       {", ".join(f"count(*) FILTER (delay_seconds::DOUBLE / 60.0 >= {a} AND delay_seconds::DOUBLE / 60.0 < {b}) AS bin{i}" for i, (a, b) in enumerate(zip(EDGES, EDGES[1:], strict=False)))} FROM (SELECT *, {LIVE_BAND} AS band FROM fact WHERE realtime_snapshot_id = (SELECT max(realtime_snapshot_id) FROM fact)) GROUP BY ALL"""),
-    "t122_language_coverage": S.query(S.ALERTS, """o AS (SELECT captured_at_utc::DATE AS d, alert_row % 11 = 0 AS und, alert_row % 3 <> 0 AND alert_row % 11 <> 0 AS en, alert_row % 2 = 0 AND alert_row % 11 <> 0 AS fr FROM alerts),
-      w AS (SELECT * FROM (VALUES (7), (30)) t(window_days)),
-      c AS (SELECT window_days, count(d) AS n, count(d) FILTER (NOT und) AS det, count(d) FILTER (en) AS en, count(d) FILTER (fr) AS fr, count(d) FILTER (und) AS und FROM w LEFT JOIN o ON d BETWEEN DATE '2024-01-28' - window_days + 1 AND DATE '2024-01-28' GROUP BY ALL),
-      f AS (SELECT window_days, count(k) AS days FROM w LEFT JOIN range(31) t(k) ON k % 9 <> 0 AND DATE '2024-01-01' + k::INT BETWEEN DATE '2024-01-28' - window_days + 1 AND DATE '2024-01-28' GROUP BY ALL)""",
-      select=f"""SELECT 'P1' AS provider_id, window_days, CASE WHEN days = 0 THEN 'unavailable' WHEN n = 0 THEN 'no-alerts' ELSE 'available' END AS state, det AS denominator, n AS alert_observation_count, days AS feed_observation_days,
-        {S.half(S.ratio("100.0::DOUBLE * en", "det"), 2)} AS explicit_en_pct, {S.half(S.ratio("100.0::DOUBLE * fr", "det"), 2)} AS explicit_fr_pct, {S.half(S.ratio("100.0::DOUBLE * und", "n"), 2)} AS undetermined_pct FROM c JOIN f USING (window_days)"""),
     "t123_alert_versions": S.query(S.ALERTS, f"""h AS (SELECT DISTINCT provider_id, alert_id, {HASH} AS content_hash, captured_at_utc FROM alerts)""",
       select="""SELECT provider_id, alert_id, content_hash, min(captured_at_utc) AS first_seen, max(captured_at_utc) AS last_seen, (SELECT min(n.captured_at_utc) FROM h n WHERE n.alert_id = h.alert_id AND n.captured_at_utc > max(h.captured_at_utc)) AS valid_to FROM h GROUP BY provider_id, alert_id, content_hash"""),
     "t124_feed_health": S.query(FRESH, select="""SELECT 'P1' AS provider_id, 'feed' || k AS endpoint_key, age_seconds, greatest(900, 3 * (k * 20000 + 30))::INT AS threshold_seconds, CASE WHEN age_seconds IS NULL THEN 'missing' WHEN age_seconds > greatest(900, 3 * (k * 20000 + 30)) THEN 'stale' ELSE 'fresh' END AS state

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[*]", **more: str) -> SparkSession:
@@ -52,3 +53,10 @@ def shared_dir(spark: SparkSession) -> str:
         found = tempfile.mkdtemp(prefix="punctua-")
         context.setCheckpointDir(found)
     return found.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: later steps read it anew instead of computing it again, also after an executor is lost."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,43 +1,191 @@
-"""Alert snapshots as JSON: lists under several names, fields under several names, language choice."""
+"""Alert snapshots as JSON: lists under several names, fields under several names, languages by explicit marks."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Names under which feeds list alerts and give their fields.
+#: Names under which feeds list alerts and give their fields. The first name that an alert has counts.
 LISTS = ("alerts", "messages", "data", "items", "results")
 FIELDS = {
-    "alert_id": ("id", "alert_id", "alertId", "messageId"), "header": ("header_texts", "header_text", "header", "title", "summary"), "description": ("description_texts", "description_text", "description", "body", "message"),
-    "severity": ("severity", "severity_level", "priority"),
-    "cause": ("cause",), "effect": ("effect",), "url": ("url", "link"), "periods": ("active_periods", "active_period", "activePeriod", "activePeriods"),
-    "entities": ("informed_entities", "informed_entity", "informedEntity", "informedEntities", "entities"),
-}
-
-
-def first_of(row: Column, names: tuple[str, ...]) -> Column:
-    return F.coalesce(*(F.get_json_object(row, f"$.{n}") for n in names))
-
-
-def in_language(value: Column, language: str) -> Column:
-    """The text of a list of translations in a language, else its first; plain text as it is."""
-    options = F.from_json(value, "array<struct<language string, text string>>")
-    chosen = F.coalesce(F.get(F.filter(options, lambda x: F.lower(x["language"]) == language), F.lit(0))["text"], F.get(options, F.lit(0))["text"])
-    return F.when(F.startswith(F.ltrim(value), F.lit("[")), chosen).otherwise(value)
-
-
-def alerts(snapshots: DataFrame, language: str = "fr") -> DataFrame:
-    """snapshots (i3_alert_snapshot_id, provider_id, captured_at_utc, payload) as one row an alert and informed entity.
-
-    The payload is a list, or an object that holds one under a known name; an alert without entities is one row without route and stop."""
-    whole = F.when(F.startswith(F.ltrim("payload"), F.lit("[")), F.col("payload")).otherwise(first_of(F.col("payload"), LISTS))
-    rows = snapshots.select("i3_alert_snapshot_id", "provider_id", "captured_at_utc", F.posexplode(F.from_json(whole, "array<string>")).alias("alert_index", "a"))
-    rows = rows.select("*", *(first_of(F.col("a"), names).alias(f) for f, names in FIELDS.items())).drop("a")
-    periods = F.from_json("periods", "array<struct<start string, end string>>")
-    instant = lambda c: F.coalesce(F.timestamp_add("SECOND", c.try_cast("long"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")), c.try_cast("timestamp_ntz"))
-    rows = rows.withColumn("active_periods", F.transform(periods, lambda p: F.struct(instant(p["start"]).alias("start"), instant(p["end"]).alias("end")))).drop("periods")
-    rows = rows.withColumn("active_start", F.get("active_periods", F.lit(0))["start"]).withColumn("active_end", F.get("active_periods", F.lit(0))["end"])
-    texts = {"header_en": in_language(F.col("header"), "en"), "description_en": in_language(F.col("description"), "en"), "header": in_language(F.col("header"), language), "description": in_language(F.col("description"), language)}
-    rows = rows.withColumns(texts)
-    each = rows.withColumn("e", F.explode_outer(F.from_json("entities", "array<struct<route_id string, routeId string, stop_id string, stopId string, trip_id string, tripId string>>"))).drop("entities")
-    return each.select("*", F.coalesce("e.route_id", "e.routeId").alias("route_id"), F.coalesce("e.stop_id", "e.stopId").alias("stop_id"), F.coalesce("e.trip_id", "e.tripId").alias("trip_id")).drop("e")
+    "alert_id": ("id", "alertId", "messageId"),
+    "header": ("header", "title", "summary", "header_texts"),
+    "description": ("description", "body", "message", "description_texts"),
+    "severity": ("severity", "priority"),
+    "cause": ("cause",),
+    "effect": ("effect",),
+    "url": ("url", "link"),
+    "published": ("publishedAt", "published_at"),
+    "updated": ("updatedAt", "updated_at"),
+    "periods": ("activePeriod", "active_period", "activePeriods", "active_periods"),
+    "entities": ("informedEntities", "informed_entities", "entities"),
+    "routes": ("routes", "routeIds", "route_ids"),
+    "stops": ("stops", "stopIds", "stop_ids"),
+}
+START, END = ("start", "startTime", "start_time"), ("end", "endTime", "end_time")
+ENTITY = {
+    "route_id": ("routeId", "route_id", "route", "route_short_name"),
+    "stop_id": ("stopId", "stop_id", "stop", "stop_code"),
+    "trip_id": ("tripId", "trip_id", "trip"),
+    "area_id": ("areaId", "area_id", "area"),
+}
+#: Names that are no part of an alert's own identity where it has no id: they may be filled in later.
+ENRICHMENT = ("alert_header_text_en", "description_text_en", "header_text_en", "description_en")
+#: Our additions, asked last: names that other feeds use.
+MORE = {"alert_id": ("alert_id",), "header": ("header_text",), "description": ("description_text",), "severity": ("severity_level",), "entities": ("informed_entity", "informedEntity")}
+ENGLISH, FRENCH = ("en", "eng"), ("fr", "fra")
+
+
+def at(row: Column, path: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(row, path, kind)
+
+
+def first_of(row: Column, names: Sequence[str]) -> Column:
+    """The value under the first of the names that the object has, be it null."""
+    return F.coalesce(*(at(row, f"$.{n}") for n in names))
+
+
+def is_a(value: Column, kind: str) -> Column:
+    return F.coalesce(F.startswith(F.schema_of_variant(value), F.lit(kind)), F.lit(False))
+
+
+def plain(value: Column) -> Column:
+    """A string without outer white space, null if blank; a number as it is spelled."""
+    spelled = F.when(is_a(value, "STRING") | is_a(value, "BIGINT") | is_a(value, "D"), at(value, "$", "string"))
+    return F.nullif(F.regexp_replace(spelled, r"^\s+|\s+$", ""), F.lit(""))
+
+
+def said(value: Column) -> Column:
+    """plain(), or the text of an object that holds one."""
+    return F.coalesce(plain(value), *(plain(at(value, f"$.{n}")) for n in ("text", "value", "fr", "en")))
+
+
+def primary(language: Column) -> Column:
+    """The primary subtag of a language mark: fr of fr-CA or FR_ca."""
+    return F.substring_index(F.replace(F.lower(F.trim(language)), F.lit("_"), F.lit("-")), "-", 1)
+
+
+def marked(item: Column, codes: Sequence[str]) -> Column:
+    return is_a(item, "OBJECT") & F.coalesce(primary(at(item, "$.language", "string")).isin(*codes), F.lit(False))
+
+
+def listed(value: Column) -> Column:
+    return F.coalesce(F.when(is_a(value, "ARRAY"), at(value, "$", "array<variant>")), F.array().cast("array<variant>"))
+
+
+def own_text(item: Column) -> Column:
+    return said(F.coalesce(F.when(plain(at(item, "$.text")).isNotNull(), at(item, "$.text")), at(item, "$.value")))
+
+
+def text_of(value: Column) -> Column:
+    """The text of a string, a number, an object or a list of these, French first where items are marked."""
+    items = listed(value)
+    pick = lambda kept: F.get(F.filter(F.transform(kept, said), lambda t: t.isNotNull()), F.lit(0))
+    inner = F.coalesce(*(said(at(value, f"$.{n}")) for n in ("text", "value", "fr", "en")))
+    return F.coalesce(said(value), inner, pick(F.filter(items, lambda i: marked(i, FRENCH))), pick(items))
+
+
+def english_of(value: Column) -> Column:
+    """The text that is marked as English; null without a mark, also of a bare string."""
+    items = F.transform(F.filter(listed(value), lambda i: marked(i, ENGLISH)), own_text)
+    keyed = at(value, "$.en")
+    return F.coalesce(F.get(F.filter(items, lambda t: t.isNotNull()), F.lit(0)), F.when(is_a(value, "OBJECT"), F.coalesce(own_text(keyed), text_of(keyed))))
+
+
+def explicit(value: Column, codes: Sequence[str]) -> Column:
+    """Whether a text is marked as of one of the languages: by an item's mark, by the object's, or by a key of the object."""
+    tagged = lambda i: marked(i, codes) & own_text(i).isNotNull()
+    pairs = F.map_entries(F.when(is_a(value, "OBJECT"), at(value, "$", "map<string,variant>")))
+    keyed = F.exists(pairs, lambda p: primary(p["key"]).isin(*codes) & said(p["value"]).isNotNull())
+    return F.coalesce(F.exists(listed(value), tagged), F.lit(False)) | F.coalesce(tagged(value), F.lit(False)) | F.coalesce(keyed, F.lit(False))
+
+
+def instant(value: Column) -> Column:
+    """Seconds since 1970 or an ISO time, with or without an offset, as a time in UTC."""
+    word = plain(value)
+    stamp = F.convert_timezone(F.current_timezone(), F.lit("UTC"), word.try_cast("timestamp").cast("timestamp_ntz"))
+    return F.coalesce(F.timestamp_add("SECOND", word.try_cast("double").cast("long"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")), stamp)
+
+
+def without_english(value: Column) -> Column:
+    """The JSON of a text field without what is marked as English; null if nothing is left."""
+    kept = F.filter(listed(value), lambda i: ~marked(i, ENGLISH))
+    pairs = F.map_filter(F.when(is_a(value, "OBJECT") & ~marked(value, ENGLISH), at(value, "$", "map<string,variant>")), lambda k, v: ~primary(k).isin(*ENGLISH))
+    left = F.when(is_a(value, "ARRAY"), F.when(F.exists(kept, lambda i: said(i).isNotNull()), F.to_json(kept))).when(is_a(value, "OBJECT"), F.when(F.exists(F.map_values(pairs), lambda v: said(v).isNotNull()), F.to_json(pairs)))
+    return left.when(plain(value).isNotNull(), F.to_json(value))
+
+
+def logical_id(alert: Column, alert_id: Column) -> Column:
+    """The alert's id, or a digest of its content. English that is added to a text in another language leaves the digest as it is; where English is all, it counts."""
+    fields = at(alert, "$", "map<string,variant>")
+    texts = {n: without_english(at(alert, f"$.{n}")) for n in (*FIELDS["header"], *FIELDS["description"])}
+    other = F.lit(False)
+    for t in texts.values():
+        other = other | t.isNotNull()
+    rest = F.map_filter(fields, lambda k, v: ~k.isin(*ENRICHMENT, *texts))
+    whole = F.map_filter(fields, lambda k, v: ~k.isin(*ENRICHMENT))
+    spelled = lambda m: F.array_join(F.transform(F.array_sort(F.map_keys(m)), lambda k: F.concat(k, F.lit("\u001f"), F.to_json(F.element_at(m, k)))), "\u001e")
+    digest = F.sha2(F.concat_ws("\u001d", F.when(other, spelled(rest)).otherwise(spelled(whole)), *(F.when(other, F.coalesce(t, F.lit(""))) for t in texts.values())), 256)
+    return F.coalesce(F.concat(F.lit("id:"), alert_id), F.concat(F.lit("content:"), digest))
+
+
+def raw_alerts(snapshots: DataFrame) -> DataFrame:
+    """snapshots (i3_alert_snapshot_id, provider_id, captured_at_utc, payload) as one row an alert object `a`, by its place in the payload's list. What is not JSON or no object gives no row."""
+    whole = F.try_parse_json("payload")
+    found = F.coalesce(F.when(is_a(whole, "ARRAY"), whole), *(F.when(is_a(at(whole, f"$.{n}"), "ARRAY"), at(whole, f"$.{n}")) for n in LISTS))
+    rows = snapshots.select("i3_alert_snapshot_id", "provider_id", "captured_at_utc", found.alias("__list"))
+    return rows.select("i3_alert_snapshot_id", "provider_id", "captured_at_utc", F.posexplode(listed(F.col("__list"))).alias("alert_index", "a")).where(is_a(F.col("a"), "OBJECT"))
+
+
+def normalized(snapshots: DataFrame) -> DataFrame:
+    """One row an alert: alert_index, its fields, texts (French or unmarked first) and English texts, published and updated times, active_periods (start, end; the first also as
+    active_start, active_end) and entities (route_id, stop_id, trip_id, area_id; of lists of routes and stops if there are none)."""
+    rows = raw_alerts(snapshots).withColumns({f"__{f}": first_of(F.col("a"), names + MORE.get(f, ())) for f, names in FIELDS.items()})
+    v = lambda f: F.col(f"__{f}")
+    as_list = lambda f: F.when(is_a(v(f), "OBJECT"), F.array(v(f))).otherwise(listed(v(f)))
+    periods = F.transform(as_list("periods"), lambda p: F.struct(instant(first_of(p, START)).alias("start"), instant(first_of(p, END)).alias("end")))
+    kind = ", ".join(f"{c}: string" for c in ENTITY)
+    of = lambda e: F.struct(*(plain(first_of(e, names)).alias(c) for c, names in ENTITY.items())).cast(f"struct<{kind}>")
+    alone = lambda c, i: F.struct(*((plain(i) if n == c else F.lit(None)).cast("string").alias(n) for n in ENTITY))
+    routes, stops = listed(v("routes")), listed(v("stops"))
+    both = F.transform(stops, lambda i: F.struct(plain(F.get(routes, F.lit(0))).alias("route_id"), plain(i).alias("stop_id"), F.lit(None).cast("string").alias("trip_id"), F.lit(None).cast("string").alias("area_id")))
+    derived = F.when((F.size(routes) > 0) & (F.size(stops) > 0), both).when(F.size(routes) > 0, F.transform(routes, lambda i: alone("route_id", i))).otherwise(F.transform(stops, lambda i: alone("stop_id", i)))
+    entities = F.when(is_a(v("entities"), "ARRAY"), F.transform(F.filter(listed(v("entities")), lambda e: is_a(e, "OBJECT")), of)).otherwise(derived)
+    rows = rows.select(
+        "i3_alert_snapshot_id", "provider_id", "captured_at_utc", "alert_index", text_of(v("alert_id")).alias("alert_id"), *(text_of(v(c)).alias(c) for c in ("header", "description", "severity", "cause", "effect", "url")),
+        *(english_of(v(c)).alias(f"{c}_en") for c in ("header", "description", "url")), instant(v("published")).alias("published"), instant(v("updated")).alias("updated"), periods.alias("active_periods"), entities.alias("entities"),
+    )
+    first = lambda f: F.get("active_periods", F.lit(0))[f]
+    return rows.withColumns({"active_start": first("start"), "active_end": first("end")})
+
+
+def alerts(snapshots: DataFrame) -> DataFrame:
+    """normalized(), one row an alert and informed entity; an alert without entities is one row without route and stop."""
+    each = normalized(snapshots).withColumn("e", F.explode_outer("entities")).drop("entities")
+    return each.select("*", "e.route_id", "e.stop_id", "e.trip_id").drop("e")
+
+
+def language_observations(snapshots: DataFrame, time_zone: str) -> DataFrame:
+    """provider_id, alert_logical_id, observation_date, has_fr, has_en, undetermined, observed_at_utc: what marks of language an alert's texts carry.
+
+    One row an alert and local day, of the latest capture; within a capture the last of the list. Bare texts are undetermined."""
+    rows = raw_alerts(snapshots)
+    header, description = (first_of(F.col("a"), FIELDS[c]) for c in ("header", "description"))
+    has = lambda codes: explicit(header, codes) | explicit(description, codes)
+    day = F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(time_zone), F.col("captured_at_utc")))
+    rows = rows.select("provider_id", logical_id(F.col("a"), text_of(first_of(F.col("a"), FIELDS["alert_id"]))).alias("alert_logical_id"), day.alias("observation_date"), has(FRENCH).alias("has_fr"), has(ENGLISH).alias("has_en"), "captured_at_utc", "i3_alert_snapshot_id", "alert_index")
+    latest = F.max_by(F.struct("has_fr", "has_en", "captured_at_utc"), F.struct("captured_at_utc", "i3_alert_snapshot_id", "alert_index")).alias("o")
+    found = rows.groupBy("provider_id", "alert_logical_id", "observation_date").agg(latest)
+    return found.select("provider_id", "alert_logical_id", "observation_date", "o.has_fr", "o.has_en", (~F.col("o.has_fr") & ~F.col("o.has_en")).alias("undetermined"), F.col("o.captured_at_utc").alias("observed_at_utc"))
+
+
+def feed_observations(snapshots: DataFrame, time_zone: str) -> DataFrame:
+    """provider_id, observation_date, alert_count, observed_at_utc: the days on which a feed was seen, with the alerts of the day's latest capture (none counts too)."""
+    day = F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(time_zone), F.col("captured_at_utc")))
+    key = ["i3_alert_snapshot_id", "provider_id", "captured_at_utc"]
+    counts = raw_alerts(snapshots).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    rows = snapshots.select(*key).join(counts, key, "left").select("provider_id", day.alias("observation_date"), F.coalesce("n", F.lit(0)).alias("n"), "captured_at_utc", "i3_alert_snapshot_id")
+    latest = F.max_by(F.struct("n", "captured_at_utc"), F.struct("captured_at_utc", "i3_alert_snapshot_id")).alias("o")
+    return rows.groupBy("provider_id", "observation_date").agg(latest).select("provider_id", "observation_date", F.col("o.n").alias("alert_count"), F.col("o.captured_at_utc").alias("observed_at_utc"))

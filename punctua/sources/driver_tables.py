@@ -133,3 +133,27 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
         start.alias("active_start"), F.when(k % 4 != 0, F.timestamp_add("HOUR", (k % 48 + 1).cast("int"), start)).alias("active_end"),
         F.col("ts").cast("timestamp_ntz").alias("captured_at_utc"), F.when(k % 3 != 0, name("R", F.col("user_id") % 12)).alias("route_id"), F.when(k % 2 != 0, name("S", F.col("user_id") % 60)).alias("stop_id"),
     )
+
+
+def alert_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alert snapshots as JSON, ten events each, one in 13 without alerts. An event's place in its snapshot fixes how long its content stays; its user fixes which languages and links come along."""
+    k, u, s, j = F.col("event_id"), F.col("user_id"), F.col("s"), F.col("j")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts", F.floor(k / 10).alias("s"), (k % 10).alias("j"))
+    slot = F.when(j == 8, 7).otherwise(j)
+    n = F.expr("CAST(s DIV (IF(j = 8, 7, j) + 2) AS BIGINT)")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    french = text('{"language": "fr-CA", "text": "Avis ', n % 5, '"}')
+    header = F.when(u % 3 == 0, text("[", french, ', {"language": "en", "text": "Notice ', n % 5, " of ", u, '"}]')).when(u % 3 == 1, text("[", french, "]")).otherwise(text('"Avis ', n % 5, '"'))
+    start = 1704067200 + n * 600
+    first = text('{"start": ', start, F.when(j % 4 != 0, text(', "end": ', start + 3600 * (slot + 1))).otherwise(F.lit("")), "}")
+    periods = F.when(j % 5 == 0, text("[", first, ', {"start": ', start + 86400, "}]")).otherwise(text("[", first, "]"))
+    route, stop = text('"R', u % 12, '"'), text('"S', u % 60, '"')
+    told = F.when(u % 2 == 0, text('[{"routeId": ', route, '}, {"stopId": ', stop, "}]")).otherwise(text('[{"routeId": ', route, "}]"))
+    entities = F.when(j == 6, text('"routes": [', route, '], "stops": [', stop, ', "S0"]')).otherwise(text('"informedEntities": ', told))
+    body = text(
+        "{", F.when(j != 9, text('"id": "A', slot, '", ')).otherwise(F.lit("")), '"header_texts": ', header, ', "description": "Texte ', n % 7, '", "severity": "sev', n % 3, '", "cause": "cause', slot % 4, '", "effect": "effect', n % 2, '", ',
+        F.when(u % 4 == 0, text('"url": "https://example.org/', u, '", ')).otherwise(F.lit("")), '"activePeriod": ', periods, ", ", entities, "}",
+    )
+    told = e.select("s", "ts", F.struct("j", F.when(s % 13 != 5, body).alias("a")).alias("r")).groupBy("s").agg(F.date_trunc("SECOND", F.max("ts")).cast("timestamp_ntz").alias("captured_at_utc"), F.sort_array(F.collect_list("r")).alias("r"))
+    payload = text('{"alerts": [', F.array_join(F.filter(F.transform("r", lambda r: r["a"]), lambda a: a.isNotNull()), ", "), "]}")
+    return told.select(s.alias("i3_alert_snapshot_id"), F.lit(PROVIDER).alias("provider_id"), "captured_at_utc", payload.alias("payload"))
