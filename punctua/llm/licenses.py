@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,44 +102,68 @@ def searcher():
 
 
 def best_of_places(found: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
-    """Of notices of different labels on one place the likeliest; none where the likeliest are of different labels."""
-    kept = []
-    for hit in found:
-        rivals = [x[3] for x in found if x[2] != hit[2] and x[0] < hit[1] and hit[0] < x[1]]
-        if not rivals or hit[3] > max(rivals):
-            kept.append(hit)
+    """Of notices of different labels on one place the likeliest; none where the likeliest are of different labels. Hits in order of start; a sweep keeps those that still overlap."""
+    beaten, open_ = set(), []
+    for n, hit in enumerate(found):
+        open_ = [m for m in open_ if found[m][1] > hit[0]]
+        for m in open_:
+            other = found[m]
+            if other[2] != hit[2]:
+                beaten |= {n} if other[3] >= hit[3] else set()
+                beaten |= {m} if hit[3] >= other[3] else set()
+        open_.append(n)
+    return [hit for n, hit in enumerate(found) if n not in beaten]
+
+
+def apart(hits: set[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """Hits of one notice that do not overlap: of those that do, the likeliest, then the first."""
+    kept, group, reach = [], [], -1
+    for hit in [*sorted(hits), None]:
+        if hit is None or hit[0] >= reach:
+            chosen: list[tuple[int, int, float]] = []
+            for h in sorted(group, key=lambda h: (-h[2], h[0], -h[1])):
+                if all(h[1] <= c[0] or c[1] <= h[0] for c in chosen):
+                    chosen.append(h)
+            kept += chosen
+            group = []
+        if hit:
+            group.append(hit)
+            reach = max(reach, hit[1])
     return kept
 
 
+def windows_of(starts: set[int], reach: int, size: int) -> Iterator[tuple[int, int]]:
+    """Places where a notice may start, told by its seeds, in groups of near ones: the first and last of each. No group spans more than the notice."""
+    first = last = None
+    for at in sorted(starts):
+        if first is not None and (at - last > reach or at - first > size):
+            yield first, last
+            first = None
+        first, last = at if first is None else first, at
+    if first is not None:
+        yield first, last
+
+
 def fuzzy(norm: str) -> list[tuple[int, int, str, float]]:
-    """Notices in words joined by single spaces: start, end, label, likeness (1 less the edits' share). Windows around seeds that hold the naming words are searched."""
+    """Notices in words joined by single spaces: start, end, label, likeness (1 less the edits' share). Windows around seeds that hold the naming words are searched; their length is bounded, so that a text's cost grows with its length."""
     automaton, notices, patterns = searcher()
     padded = f" {norm} "
     possible = [f" {n.name} " in padded if n.name else True for n in notices]
-    windows: dict[int, list[list[int]]] = {}
+    starts: dict[int, set[int]] = {}
     for end, (length, where) in automaton.iter(norm):
         for i, at in where:
-            if not possible[i]:
-                continue
-            start = end + 1 - length - at
-            k, size = notices[i].edits, len(notices[i].text)
-            low, high = max(0, start - k), start + size + k
-            got = windows.setdefault(i, [])
-            if got and low <= got[-1][1]:
-                got[-1][1] = max(got[-1][1], high)
-                got[-1][0] = min(got[-1][0], low)
-            else:
-                got.append([low, high])
+            if possible[i]:
+                starts.setdefault(i, set()).add(end + 1 - length - at)
     found = []
-    for i, spans in windows.items():
+    for i, places in starts.items():
         notice, pattern = notices[i], patterns[i]
-        k, size = notice.edits, len(notice.text)
-        for low, high in spans:
-            low = norm.rfind(" ", 0, low) + 1 if low else 0
-            stop = norm.find(" ", min(high, len(norm)))
-            stop = len(norm) if stop < 0 else stop
+        k, size, hits = notice.edits, len(notice.text), set()
+        for first, last in windows_of(places, k, size):
+            low, high = max(0, first - k), last + size + k
+            # a match is of whole words, so it ends at the window's last space at the latest
+            stop = len(norm) if high >= len(norm) else norm.rfind(" ", low, high + 1)
             # padded is norm shifted by one, so that a name at the end of a window has its space
-            if notice.name and padded.find(f" {notice.name} ", low, stop + 2) < 0:
+            if stop <= low or (notice.name and padded.find(f" {notice.name} ", low, stop + 2) < 0):
                 continue
             # the best match of a part comes first, so what lies before it is searched again where it can hold a notice
             parts = [(low, stop)]
@@ -147,10 +171,11 @@ def fuzzy(norm: str) -> list[tuple[int, int, str, float]]:
                 low, stop = parts.pop()
                 for m in pattern.finditer(norm, low, stop):
                     if sum(m.fuzzy_counts) <= k:
-                        found.append((m.start(), m.end(), notice.label, 1 - sum(m.fuzzy_counts) / size))
+                        hits.add((m.start(), m.end(), 1 - sum(m.fuzzy_counts) / size))
                     if m.start() - low >= size - k:
                         parts.append((low, m.start()))
                     low = m.end()
+        found += [(a, z, notice.label, like) for a, z, like in apart(hits)]
     return best_of_places(sorted(set(found)))
 
 
@@ -169,25 +194,30 @@ def scanned(text: str | None) -> tuple:
                 places.append(at)
                 base.add(label)
                 at = padded.find(f" {phrase} ", at + 1)
-    hits = fuzzy(norm)
-    spans, labels = [], set(base)
-    score = 1.0 if places else 0.0
-    for start, end, label, like in hits:
+    spans, labels, score = [], set(base), 1.0 if places else 0.0
+    at = words_before = 0
+    for start, end, label, like in fuzzy(norm):
         labels.add(label)
         score = max(score, like)
-        first = norm.count(" ", 0, start)
-        spans.append(f"{label}:{first}:{first + norm.count(' ', start, end)}")
+        words_before += norm.count(" ", at, start)
+        at = start
+        spans.append(f"{label}:{words_before}:{words_before + norm.count(' ', start, end)}")
     first = norm.count(" ", 0, min(places)) if places else None
     last = norm.count(" ", 0, max(places)) if places else None
     return len(words), len(places), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score, ",".join(spans)
 
 
-def scan_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
+KINDS = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
+FIELDS = {name: KINDS[kind] for name, kind in (c.split() for c in SCHEMA.split(", "))}
+
+
+def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids pass as they are."""
     for batch in batches:
-        out = pd.DataFrame([scanned(t) for t in batch["text"]], columns=names[1:])
-        out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy(dtype=object))
-        yield out.astype({c: "Int64" for c in names[:5]})
+        rows = [scanned(t) for t in batch["text"].to_pylist()]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * (len(FIELDS) - 1)
+        arrays = [pa.array(c, kind) for c, kind in zip(columns, list(FIELDS.values())[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], *arrays], list(FIELDS))
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:
@@ -199,4 +229,4 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     0. Null and empty texts have no word. One pass over the scan, no shuffle.
     """
     shipped(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(scan_batches, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan_batches, SCHEMA)
