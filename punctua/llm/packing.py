@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,9 @@ WINDOW = 1024
 END_ID = 0
 VOCABULARY = "byte_bpe_50k"
 SPECIAL = "<|endoftext|>"
+#: The faster encoder's pattern goes back over runs of white space and fails on very long ones; texts with a run of so many characters are left to the tokenizers library.
+LONG_RUN = 100_000
+SPACES = re.compile(r"\s+")
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -25,7 +29,7 @@ class Encoder:
     """Ids of texts as the tokenizers library gives them for the vocabulary.
 
     Its rank file holds the same merges and a faster encoder reads it (equal ids are tested); texts with a special token's string,
-    which the two treat differently, go to the tokenizers library itself.
+    which the two treat differently, and those with a very long run of white space go to the tokenizers library itself.
     """
 
     def __init__(self, vocabulary: str = VOCABULARY):
@@ -39,7 +43,8 @@ class Encoder:
 
     def __call__(self, text: str | None) -> np.ndarray:
         text = text or ""
-        if SPECIAL not in text:
+        long_run = len(text) >= LONG_RUN and any(m.end() - m.start() >= LONG_RUN for m in SPACES.finditer(text))
+        if SPECIAL not in text and not long_run:
             return np.array(self.fast.encode_ordinary(text), dtype="<u4")
         if self.exact is None:
             from tokenizers import Tokenizer
@@ -102,7 +107,7 @@ def closed(windows: list[list], window: int) -> list[list]:
     return windows[: j + 1]
 
 
-def packed(batches: Iterator[pd.DataFrame], window: int = WINDOW, vocabulary: str = VOCABULARY) -> Iterator[pd.DataFrame]:
+def packed(batches: Iterator[pa.RecordBatch], window: int = WINDOW, vocabulary: str = VOCABULARY) -> Iterator[pa.RecordBatch]:
     """The pieces of one partition's documents. Full windows leave at once; only open ones are kept."""
     encode, state = Encoder(vocabulary), SumOfSquares(window)
     sequence = TaskContext.get().partitionId() << 40
@@ -116,15 +121,15 @@ def packed(batches: Iterator[pd.DataFrame], window: int = WINDOW, vocabulary: st
             offset += len(ids)
         sequence += 1
 
-    def frame() -> pd.DataFrame:
+    def frame() -> pa.RecordBatch:
         names = [c.split()[0] for c in PIECE_SCHEMA.split(", ")]
-        done = pd.DataFrame(out, columns=names).astype({c: "Int64" if c == "doc_id" else "int64" for c in names})
+        done = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
         out.clear()
         return done
 
     for batch in batches:
-        for doc, text in zip(batch["doc_id"].astype("Int64"), batch["text"], strict=True):
-            doc = None if pd.isna(doc) else int(doc)
+        for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+            text = text.as_py()
             ids = np.append(encode(text), np.array([END_ID], dtype="<u4"))
             for start in range(0, len(ids), window):
                 piece = (doc, start, ids[start : start + window], len(ids))
@@ -148,4 +153,4 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCA
     """
     shipped(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(lambda batches: packed(batches, window, vocabulary), PIECE_SCHEMA)
+    return rows.mapInArrow(lambda batches: packed(batches, window, vocabulary), PIECE_SCHEMA)
