@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from graphlib import TopologicalSorter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from punctua.plans.commits import committed, ledger_of, newest, visible
+
 DAY = "provider_local_date"
 
 
@@ -23,26 +27,75 @@ def written_days(rows: DataFrame, path: str) -> None:
     rows.withColumn("day", F.col(DAY)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
 
-def build_days(spark: SparkSession, fact: DataFrame, path: str, watermarks: str, kind: str, build: Callable[[DataFrame], DataFrame], first: Column, today: Column) -> list:
-    """Builds the missing closed days of one rollup in one job (facts are pruned to those days) and appends their watermark; gives the days."""
-    try:
-        built = spark.read.parquet(watermarks)
-    except Exception as e:  # no watermark yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        built = spark.createDataFrame([], "provider_id string, kind string, period_start date")
-    todo = missing_days(fact, built, kind, first, today).collect()  # a row a provider and day
+LEDGER = "provider_id string, kind string, period_start date, build string, committed_at timestamp"
+PERIOD = ("provider_id", "period_start")
+
+
+def watermarks_of(spark: SparkSession, watermarks: str, kind: str) -> DataFrame:
+    """The built days of one rollup."""
+    return ledger_of(spark, watermarks, LEDGER).where(F.col("kind") == kind)
+
+
+def built_rows(spark: SparkSession, path: str, watermarks: str, kind: str) -> DataFrame:
+    """A rollup's rows: of each day those of the build that its newest watermark names."""
+    entries = watermarks_of(spark, watermarks, kind).withColumn("day", F.col("period_start"))
+    return visible(spark, path, entries, ["provider_id", "day"]).drop("day")
+
+
+def commit_days(rows: DataFrame, days: DataFrame, path: str, watermarks: str, kind: str) -> None:
+    """Rows and watermarks of days (provider_id, period_start) in one commit."""
+    entries = days.select("provider_id", F.lit(kind).alias("kind"), "period_start")
+    committed(rows.withColumn("day", F.col(DAY)), path, entries, watermarks, by=["day"])
+
+
+def build_days(spark: SparkSession, fact: DataFrame, path: str, watermarks: str, kind: str, build: Callable[[DataFrame], DataFrame], first: Column, today: Column, after: DataFrame | None = None) -> list:
+    """Builds the missing closed days of one rollup in one job (facts are pruned to those days); gives the days. Data and watermark are one commit, so a failure neither repeats nor loses a day.
+
+    after: provider_id, period_start of days that what the rollup reads has; other days wait."""
+    missing = missing_days(fact, watermarks_of(spark, watermarks, kind), kind, first, today)
+    if after is not None:
+        missing = missing.join(after.select(*PERIOD), list(PERIOD), "left_semi")
+    todo = missing.collect()  # a row a provider and day
     if todo:
-        days = spark.createDataFrame(todo, "provider_id string, snapshot_local_date date")
-        written_days(build(fact.join(F.broadcast(days), ["provider_id", "snapshot_local_date"], "left_semi")), path)
-        days.select("provider_id", F.lit(kind).alias("kind"), F.col("snapshot_local_date").alias("period_start")).coalesce(1).write.mode("append").parquet(watermarks)
+        days = spark.createDataFrame(todo, "provider_id string, period_start date")
+        near = fact.join(F.broadcast(days.withColumnRenamed("period_start", "snapshot_local_date")), ["provider_id", "snapshot_local_date"], "left_semi")
+        commit_days(build(near), days, path, watermarks, kind)
     return sorted(r["period_start"] for r in todo)
 
 
-def rebuild_days(spark: SparkSession, fact: DataFrame, path: str, build: Callable[[DataFrame], DataFrame], first: Column, last: Column, before: int = 0, after: int = 0) -> None:
-    """Builds a window of days anew from facts, with so many days of facts around it where a rollup needs them; late facts enter here."""
+@dataclass(frozen=True)
+class Rollup:
+    """A rollup of closed days. after: kinds it reads, whose days are built first; build takes the facts of the days, and the rows of those kinds in their order."""
+
+    kind: str
+    build: Callable[..., DataFrame]
+    after: tuple[str, ...] = ()
+
+
+def build_all(spark: SparkSession, fact: DataFrame, root: str, kinds: Sequence[Rollup], first: Column, today: Column) -> dict[str, list]:
+    """Builds the missing closed days of all rollups, each after those that it reads, under root/<kind> with the watermarks of all in root/watermarks; gives the days by kind.
+
+    A day of a rollup is built only where all that it reads have that day. Each kind commits by itself, so an interrupted run goes on where it stopped."""
+    by_name, done = {k.kind: k for k in kinds}, {}
+    for name in TopologicalSorter({k.kind: k.after for k in kinds}).static_order():
+        rollup, marks = by_name[name], f"{root}/watermarks"
+        ready = None
+        for other in rollup.after:
+            has = newest(watermarks_of(spark, marks, other), list(PERIOD)).select(*PERIOD)
+            ready = has if ready is None else ready.join(has, list(PERIOD), "left_semi")
+
+        def build(facts: DataFrame, rollup: Rollup = rollup, marks: str = marks) -> DataFrame:
+            return rollup.build(facts, *(built_rows(spark, f"{root}/{k}", marks, k) for k in rollup.after))
+
+        done[name] = build_days(spark, fact, f"{root}/{name}", marks, name, build, first, today, ready)
+    return done
+
+
+def rebuild_days(spark: SparkSession, fact: DataFrame, path: str, watermarks: str, kind: str, build: Callable[[DataFrame], DataFrame], first: Column, last: Column, before: int = 0, after: int = 0) -> None:
+    """Builds a window of days anew from facts, with so many days of facts around it where a rollup needs them; late facts enter here. The old builds count until the commit, and dropped_builds() removes them."""
     near = fact.where(F.col("snapshot_local_date").between(F.date_sub(first, before), F.date_add(last, after)))
-    written_days(build(near).where(F.col(DAY).between(first, last)), path)
+    days = fact.where(F.col("snapshot_local_date").between(first, last)).select("provider_id", F.col("snapshot_local_date").alias("period_start")).distinct()
+    commit_days(build(near).where(F.col(DAY).between(first, last)), days, path, watermarks, kind)
 
 
 def retained(rows: DataFrame, day: str, today: Column, days: int) -> DataFrame:

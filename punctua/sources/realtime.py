@@ -8,14 +8,16 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punctua.session import shipped
+from punctua.plans.commits import committed, ledger_of, visible
+from punctua.session import shipped, stored
 
 #: Field numbers of the public feed format.
 ENTITY, HEADER = 2, 1
 TRIP_UPDATE, VEHICLE = 3, 4
+UNDECODABLE = "undecodable"
 SCHEMA = """entity_index int, entity_id string, kind string, is_deleted boolean, trip_id string, route_id string, direction_id int, start_date string, schedule_relationship int, vehicle_id string,
   stop_time_updates array<struct<stop_sequence int, stop_id string, arrival long, departure long, schedule_relationship int>>, latitude float, longitude float, bearing float, speed float, occupancy_status int, timestamp long"""
 
@@ -74,8 +76,10 @@ def entities(data: bytes) -> Iterator[tuple]:
         )
 
 
-def decoded(captures: DataFrame) -> DataFrame:
-    """captures (provider_id, rt_feed_snapshot_id, content) as one row an entity. Messages are parsed in Arrow batches on the executors."""
+def decoded(captures: DataFrame, strict: bool = True) -> DataFrame:
+    """captures (provider_id, rt_feed_snapshot_id, content) as one row an entity. Messages are parsed in Arrow batches on the executors.
+
+    A message that cannot be parsed ends the job; if not strict, it gives one row of kind `undecodable`."""
     names = ["entity_index", "entity_id", "kind", "is_deleted", "trip_id", "route_id", "direction_id", "start_date", "schedule_relationship", "vehicle_id", "stop_time_updates", "latitude", "longitude", "bearing", "speed", "occupancy_status", "timestamp"]
 
     shipped(captures.sparkSession)
@@ -83,7 +87,12 @@ def decoded(captures: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for provider, snapshot, content in zip(batch["provider_id"], batch["rt_feed_snapshot_id"], batch["content"], strict=True):
-                rows = list(entities(bytes(content)))
+                try:
+                    rows = list(entities(bytes(content)))
+                except (IndexError, ValueError, TypeError, struct.error):
+                    if strict:
+                        raise
+                    rows = [(0, None, UNDECODABLE, *[None] * (len(names) - 3))]
                 if rows:
                     out = pd.DataFrame(rows, columns=names, dtype=object)
                     out.insert(0, "provider_id", provider)
@@ -159,7 +168,34 @@ def stop_time_updates(rows: DataFrame) -> DataFrame:
     return each.withColumns({"arrival_utc": instant("arrival"), "departure_utc": instant("departure")}).drop("arrival", "departure")
 
 
-def replayed(captures: DataFrame, loaded: DataFrame, first, until) -> DataFrame:
-    """Succeeded captures of [first, until) that no loaded snapshot covers, in the order in which they are to be loaded."""
+#: The ledger of loaded captures.
+LOADED = "provider_id string, rt_feed_snapshot_id long, captured_at_utc timestamp_ntz, build string, committed_at timestamp"
+CAPTURE = ("provider_id", "rt_feed_snapshot_id")
+
+
+def replayed(captures: DataFrame, loaded: DataFrame, first: Column, until: Column) -> DataFrame:
+    """Succeeded captures of [first, until) that no loaded snapshot covers."""
     rows = captures.where((F.col("status") == "succeeded") & (F.col("captured_at_utc") >= first) & (F.col("captured_at_utc") < until))
-    return rows.join(loaded.select("rt_feed_snapshot_id").distinct(), "rt_feed_snapshot_id", "left_anti").orderBy("captured_at_utc", "endpoint_key", "rt_feed_snapshot_id")
+    return rows.join(loaded.select(*CAPTURE).distinct(), list(CAPTURE), "left_anti")
+
+
+def replay(spark: SparkSession, captures: DataFrame, path: str, ledger: str, first: Column, until: Column) -> dict:
+    """Loads the captures (provider_id, rt_feed_snapshot_id, captured_at_utc, status, content) of a window that are not loaded yet; gives the numbers of loaded and broken captures by day.
+
+    Days are loaded in order, each in one commit of its entities and its ledger entries, so a second run changes nothing and a run that was stopped goes on at the day
+    at which it stopped. A capture that cannot be parsed is left out of the ledger: it is tried again by the next run, and holds up no other."""
+    todo = replayed(captures, ledger_of(spark, ledger, LOADED), first, until).withColumn("day", F.to_date("captured_at_utc"))
+    done = {}
+    for day in sorted(r["day"] for r in todo.select("day").distinct().collect()):
+        part = todo.where(F.col("day") == F.lit(day))
+        rows = stored(decoded(part, strict=False), "replay")
+        broken = rows.where(F.col("kind") == UNDECODABLE).select(*CAPTURE)
+        entries = part.select(*CAPTURE, "captured_at_utc").join(broken, list(CAPTURE), "left_anti")
+        committed(rows.where(F.col("kind") != UNDECODABLE).withColumn("day", F.lit(day)), path, entries, ledger, by=["day"])
+        done[day] = (entries.count(), broken.count())
+    return done
+
+
+def replayed_rows(spark: SparkSession, path: str, ledger: str) -> DataFrame:
+    """The entities of all loaded captures, each once."""
+    return visible(spark, path, ledger_of(spark, ledger, LOADED), CAPTURE).drop("day")

@@ -136,19 +136,6 @@ def test_shapefile(spark, tmp_path):
     assert [(r["stop_id"], r["matched_by"], r["points"][0]["lat"]) for r in shapefile.matched_stops(features, stops).collect()] == [("S1", "stop_code", 45.5)]
 
 
-def test_closed_days(spark, tmp_path):
-    fact, table, marks = T.fact(spark, FOLDER), f"{tmp_path}/spine", f"{tmp_path}/marks"
-    first, today = F.lit("2024-01-05").cast("date"), F.lit("2024-01-10").cast("date")
-    days = incremental.build_days(spark, fact, table, marks, "stop_spine", rollups.stop_delay_spine, first, today)
-    assert [d.day for d in days] == [5, 6, 7, 8, 9]
-    one = sorted(map(str, spark.read.parquet(table).drop("day").collect()))
-    assert incremental.build_days(spark, fact, table, marks, "stop_spine", rollups.stop_delay_spine, first, today) == []
-    incremental.rebuild_days(spark, fact, table, rollups.stop_delay_spine, F.lit("2024-01-06").cast("date"), F.lit("2024-01-07").cast("date"))
-    assert sorted(map(str, spark.read.parquet(table).drop("day").collect())) == one
-    assert incremental.dropped_partitions(spark, table, F.lit("2024-01-10").cast("date"), 2) == 3
-    assert sorted(r[0].day for r in spark.read.parquet(table).select("provider_local_date").distinct().collect()) == [8, 9]
-
-
 def test_editions(spark):
     t = lambda d: dt.datetime(2024, 1, d)
     ledger = spark.createDataFrame([("P1", "static", 1, "aa", True, t(1), t(1)), ("P2", "static", 4, "zz", True, t(1), t(1))], "provider_id string, dataset_kind string, dataset_version_id long, checksum string, is_current boolean, loaded_at_utc timestamp_ntz, last_seen_utc timestamp_ntz")
