@@ -26,7 +26,9 @@ vehicles AS (
   SELECT 'P1' AS provider_id, event_id // 10 AS realtime_snapshot_id, (event_id % 10)::INT AS entity_index, ts::TIMESTAMP AS captured_at_utc,
     CASE WHEN event_id % 37 <> 0 THEN 'V' || (user_id % 40) END AS vehicle_id, 'T' || (user_id % 60) AS trip_id, CASE WHEN event_id % 31 <> 0 THEN 'R' || (user_id % 12) END AS route_id,
     CASE WHEN event_id % 41 <> 0 THEN 45.0::DOUBLE + (event_id % 100) / 50.0::DOUBLE END AS latitude,
-    CASE WHEN event_id % 43 = 0 THEN 190.0::DOUBLE ELSE -74.0::DOUBLE + (event_id % 90) / 60.0::DOUBLE END AS longitude, (event_id % 8)::INT AS occupancy_status
+    CASE WHEN event_id % 43 = 0 THEN 190.0::DOUBLE ELSE -74.0::DOUBLE + (event_id % 90) / 60.0::DOUBLE END AS longitude, (event_id % 8)::INT AS occupancy_status,
+    CASE WHEN event_id % 19 <> 0 THEN 'S' || (event_id % 60) END AS stop_id, CASE WHEN event_id % 5 <> 0 THEN (event_id * 7 % 360)::DOUBLE END AS bearing, CASE WHEN event_id % 6 <> 0 THEN (event_id % 23) / 2.0::DOUBLE END AS speed,
+    CASE WHEN event_id % 9 <> 0 THEN date_trunc('second', ts)::TIMESTAMP - to_seconds(event_id % 30) END AS position_timestamp_utc
   FROM events
 )"""
 

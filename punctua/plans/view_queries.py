@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punctua.constants import BANDS
 from punctua.functions import kernel as K
 from punctua.operators import alerts as A
 from punctua.operators import client, facts, live, reads, rollups
@@ -16,11 +15,6 @@ from punctua.plans.rollup_queries import scheduled
 from punctua.sources import driver_tables as T
 
 BOX = (-74.0, 45.2, -73.2, 46.8)
-NOW = "2024-01-30 12:00:00"
-
-
-def now() -> F.Column:
-    return F.lit(NOW).cast("timestamp_ntz")
 
 
 def running(spark: SparkSession) -> DataFrame:
@@ -31,10 +25,6 @@ def timed(spark: SparkSession) -> DataFrame:
     return T.stop_times(spark).withColumn("secs", facts.service_seconds(F.col("departure_time")))
 
 
-def delays(spark: SparkSession, d: str) -> DataFrame:
-    return live.trip_delays(T.fact(spark, d), F.lit("2024-01-29").cast("date"))
-
-
 def updates(spark: SparkSession, d: str) -> DataFrame:
     """A predicted passage of a timetable stop for each event."""
     e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "ts")
@@ -64,14 +54,6 @@ def near(spark: SparkSession, d: str) -> DataFrame:
     return found.select("provider_id", "realtime_snapshot_id", "entity_index", "trip_id", "near_vehicle_id", "near_vehicle_seconds")
 
 
-def positions(spark: SparkSession, d: str) -> DataFrame:
-    return live.vehicle_map(T.vehicles(spark, d), BOX)
-
-
-def with_status(spark: SparkSession, d: str) -> DataFrame:
-    return live.vehicle_map_with_status(positions(spark, d), delays(spark, d))
-
-
 def shapes(spark: SparkSession, d: str) -> DataFrame:
     rows = T.stop_times(spark).join(T.trips(spark).where("direction_id = 0"), ["provider_id", "trip_id"])
     k = F.substring("stop_id", 2, 5).cast("int")
@@ -171,12 +153,7 @@ QUERIES = {
     "t28_scheduled_universe": lambda spark, d: scheduled(spark),
     "t29_representative_dates": lambda spark, d: facts.representative_dates(scheduled(spark), F.lit("2024-02-15").cast("date")),
     "t07_position_quality": lambda spark, d: T.vehicles(spark, d).groupBy("provider_id", live.position_quality(F.col("longitude"), F.col("latitude"), BOX).alias("quality")).agg(F.count(F.lit(1)).alias("n")),
-    "t61_vehicle_map": lambda spark, d: positions(spark, d).select("provider_id", "realtime_snapshot_id", "entity_index", "vehicle_id", "longitude", "latitude"),
-    "t62_vehicle_map_with_status": lambda spark, d: with_status(spark, d).groupBy("provider_id", "route_id", "delay_band").agg(F.count(F.lit(1)).alias("vehicle_count")),
-    "t63_trip_delays": delays,
     "t64_route_lines": shapes,
-    "t66_next_departures": lambda spark, d: live.next_departures(updates(spark, d), newest_feed(updates(spark, d))).select("provider_id", "stop_id", "route_id", "trip_id", "stop_sequence", "predicted_utc", "departure_rank"),
-    "t67_non_responding": lambda spark, d: live.non_responding(T.trips(spark), timed(spark), running(spark), T.vehicles(spark, d).select("provider_id", "trip_id"), F.lit("2024-01-16").cast("date"), F.lit(1170)),
     "t69_alert_history_reporting": alert_history,
     "t95_last_30_reliability": last_reliability,
     "t95_last_30_service_span": lambda spark, d: reads.last_days(rollups.route_service_span_daily(T.fact(spark, d)), ["provider_id", "route_id"]),
@@ -191,34 +168,16 @@ QUERIES = {
     "t108_alert_breakdown": lambda spark, d: A.breakdown(A.history(T.alerts(spark, d), F.lit("2024-01-10").cast("date"), F.lit("2024-01-25").cast("date"), T.TIME_ZONE)),
     "t109_archive_entries": lambda spark, d: A.archive_entries(T.alerts(spark, d)).drop("digest"),
     "t109_archive_merged": merged,
-    "t117_departures_board": lambda spark, d: live.departures_board(live.next_departures(updates(spark, d), newest_feed(updates(spark, d))), F.timestamp_add("MINUTE", F.lit(60), newest_feed(updates(spark, d)))).select("provider_id", "stop_id", "route_id", "trip_id", "stop_sequence", "predicted_utc", "k"),
-    "t118_live_network": lambda spark, d: live.live_network(facts.latest(T.fact(spark, d))),
     "t123_alert_versions": lambda spark, d: A.versions(T.alerts(spark, d)),
     "t124_feed_health": health,
-    "t126_kpis": lambda spark, d: live.kpis(T.vehicles(spark, d), T.fact(spark, d), shortly_after(T.fact(spark, d))),
     "t127_range_pool": lambda spark, d: client.range_pool(R.spine(spark, d), F.lit("2024-01-05").cast("date"), F.lit("2024-01-18").cast("date"), ["provider_id", "route_id"]),
     "t128_rate_change": lambda spark, d: client.rate_change(reads.windowed_folds(R.spine(spark, d))).select("provider_id", "route_id", "window_grain", "delta", "significant"),
     "t129_stop_range": lambda spark, d: client.stop_range(R.stops(spark, d), F.lit("2024-01-05").cast("date"), F.lit("2024-01-18").cast("date")),
-    "t130_client_aggregate": lambda spark, d: client_rows(spark, d),
     "t131_search": lambda spark, d: searched(spark, d),
     "t133_resolved_dates": lambda spark, d: client.resolved_dates(R.stops(spark, d).where("provider_local_date BETWEEN DATE '2024-01-03' AND DATE '2024-01-20'").select("provider_id", "stop_id", "provider_local_date").distinct(), asked(spark), ["provider_id", "stop_id"]),
 }
 
 
-def newest_feed(rows: DataFrame) -> F.Column:
-    """A clock at the newest feed's time."""
-    return F.lit(rows.agg(F.max("feed_timestamp_utc")).first()[0]).cast("timestamp_ntz")
-
-
-def shortly_after(fact: DataFrame) -> F.Column:
-    """A clock half a minute after the newest capture."""
-    return F.timestamp_add("SECOND", F.lit(30), F.lit(fact.agg(F.max("captured_at_utc")).first()[0]).cast("timestamp_ntz"))
-
-
-def client_rows(spark: SparkSession, d: str) -> DataFrame:
-    return live.client_aggregate(with_status(spark, d))
-
-
 def searched(spark: SparkSession, d: str) -> DataFrame:
     parts = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name")
     return parts.select("p_partkey", "p_name", client.search_tier(F.col("p_name"), "part 1").cast("int").alias("tier")).where("tier IS NOT NULL")
@@ -228,12 +187,6 @@ UPDATES = """updates AS (SELECT 'P1' AS provider_id, event_id // 10 AS rt_feed_s
     CASE WHEN event_id % 7 <> 0 THEN ts::DATE END AS start_date, (event_id % 8 + 1)::INT AS stop_sequence, 'S' || (event_id % 60) AS stop_id, CASE WHEN event_id % 3 <> 0 THEN t + to_minutes(event_id % 150 - 20) END AS arrival_utc,
     CASE WHEN event_id % 5 <> 0 THEN t + to_minutes(event_id % 150 - 20) + INTERVAL 20 SECOND END AS departure_utc, t AS feed_timestamp_utc
   FROM (SELECT *, date_trunc('second', ts)::TIMESTAMP AS t FROM events))"""
-DEPARTURES = f"departures AS (SELECT provider_id, stop_id, route_id, trip_id, stop_sequence, coalesce(departure_utc, arrival_utc) AS predicted_utc FROM updates WHERE rt_feed_snapshot_id = (SELECT max(rt_feed_snapshot_id) FROM updates) AND coalesce(departure_utc, arrival_utc) >= (SELECT max(feed_timestamp_utc) FROM updates))"
-POSITIONS = f"positions AS (SELECT * FROM vehicles WHERE longitude BETWEEN -180 AND 180 AND latitude BETWEEN -90 AND 90 AND longitude BETWEEN {BOX[0]}::DOUBLE AND {BOX[2]}::DOUBLE AND latitude BETWEEN {BOX[1]}::DOUBLE AND {BOX[3]}::DOUBLE)"
-DELAYS = f"delays AS (SELECT provider_id, trip_id, route_id, direction_id, {S.half(S.ratio('sum(delay_seconds)', 'count(*)'), 2)} AS avg_delay_seconds, max(delay_seconds) AS max_delay_seconds FROM fact WHERE {S.CLAMP} AND start_date >= DATE '2024-01-28' GROUP BY ALL)"
-STATUS = """worst AS (SELECT provider_id, trip_id, route_id, max(avg_delay_seconds) AS avg_delay_seconds FROM delays GROUP BY ALL),
-  status AS (SELECT p.*, w.avg_delay_seconds, CASE WHEN w.avg_delay_seconds IS NULL THEN 'unknown' WHEN w.avg_delay_seconds < -60 THEN 'early' WHEN w.avg_delay_seconds < 60 THEN 'on_time' WHEN w.avg_delay_seconds < 300 THEN 'late' ELSE 'severe' END AS delay_band
-    FROM positions p LEFT JOIN worst w USING (provider_id, trip_id, route_id))"""
 HOURLY = f"""hours AS (SELECT provider_id, date_trunc('hour', period_start_utc)::TIMESTAMP AS p, route_id, sum(observation_count) AS o, sum(delay_observation_count) AS n, sum(on_time_observation_count) AS good, sum(severe_delay_observation_count) AS bad,
     {S.half(S.ratio("sum(avg_delay_seconds_capped * (delay_observation_count - outlier_count))", "sum(delay_observation_count - outlier_count)"), 2)} AS a FROM summary_5m GROUP BY ALL)"""
 FRESH = """runs AS (SELECT event_id, 'feed' || (event_id // 10 % 4) AS endpoint_key, event_id % 3 = 0 AS load, CASE WHEN event_id % 70 = 0 THEN 'failed' ELSE 'succeeded' END AS status, date_trunc('second', ts)::TIMESTAMP AS ended FROM events),
@@ -261,8 +214,6 @@ def united(c: str) -> str:
 
 
 POOL = "sum(observation_count)::BIGINT AS obs, sum(severe_delay_count)::BIGINT AS severe, sum(sum_delay_seconds)::BIGINT AS total"
-LIVE_BAND = "CASE WHEN delay_seconds IS NULL THEN 'unknown' WHEN delay_seconds < -60 THEN 'early' WHEN delay_seconds < 60 THEN 'on_time' WHEN delay_seconds < 300 THEN 'late' ELSE 'severe' END"
-EDGES = ["-1e99", *map(str, live.LIVE_BINS), "1e99"]
 
 ROUTE_DAILY = S.query(S.FACT, S.SUMMARY_5M, HOURLY, select=f"""SELECT provider_id, (p - INTERVAL 5 HOUR)::DATE AS provider_local_date, route_id, sum(o)::BIGINT AS observation_count, sum(n)::BIGINT AS delay_observation_count, CASE WHEN count(*) = count(good) THEN sum(good)::BIGINT END AS on_time_observation_count,
       sum(bad)::BIGINT AS severe_delay_count, {S.half(S.ratio("round(sum(round(a * n, 4)), 2)", "sum(n) FILTER (a IS NOT NULL)"), 1)} AS avg_delay_seconds FROM hours GROUP BY ALL""")
@@ -343,16 +294,8 @@ ORACLE_SQL = {
       select="SELECT * FROM totals QUALIFY row_number() OVER (PARTITION BY day_type ORDER BY trip_count DESC, service_date) = 1"),
     "t07_position_quality": S.query(S.VEHICLES, select=f"""SELECT provider_id, CASE WHEN longitude IS NULL OR latitude IS NULL THEN 'missing' WHEN longitude NOT BETWEEN -180 AND 180 OR latitude NOT BETWEEN -90 AND 90 THEN 'invalid_wgs84'
       WHEN longitude BETWEEN {BOX[0]}::DOUBLE AND {BOX[2]}::DOUBLE AND latitude BETWEEN {BOX[1]}::DOUBLE AND {BOX[3]}::DOUBLE THEN 'valid_provider_bbox' ELSE 'outside_provider_bbox' END AS quality, count(*) AS n FROM vehicles GROUP BY ALL"""),
-    "t61_vehicle_map": S.query(S.VEHICLES, POSITIONS, select="SELECT provider_id, realtime_snapshot_id, entity_index, vehicle_id, longitude, latitude FROM positions"),
-    "t62_vehicle_map_with_status": S.query(S.FACT, S.VEHICLES, POSITIONS, DELAYS, STATUS, select="SELECT provider_id, route_id, delay_band, count(*) AS vehicle_count FROM status GROUP BY ALL"),
-    "t63_trip_delays": S.query(S.FACT, DELAYS, select="SELECT * FROM delays"),
     "t64_route_lines": S.query(S.SCHEDULE, select="""SELECT t.provider_id, t.route_id || '-' || t.trip_id AS shape_id, count(*) AS point_count, arg_min(-74.0::DOUBLE + substr(stop_id, 2)::INT / 64.0::DOUBLE, stop_sequence) AS first_lon, arg_max(45.0::DOUBLE + substr(stop_id, 2)::INT / 32.0::DOUBLE, stop_sequence) AS last_lat
       FROM trips t JOIN stop_times s USING (trip_id) WHERE direction_id = 0 GROUP BY ALL"""),
-    "t66_next_departures": S.query(UPDATES, DEPARTURES, select="SELECT *, row_number() OVER (PARTITION BY provider_id, stop_id ORDER BY predicted_utc, trip_id, stop_sequence)::INT AS departure_rank FROM departures"),
-    "t67_non_responding": S.query(S.SCHEDULE, S.VEHICLES, """near AS (SELECT service_id, (DATE '2024-01-16' - d) * 1440 AS m FROM running WHERE d IN (DATE '2024-01-16', DATE '2024-01-15')),
-      spans AS (SELECT trip_id, min(secs) // 60 AS a, max(secs) // 60 AS z FROM stop_times GROUP BY ALL),
-      due AS (SELECT DISTINCT t.provider_id, t.route_id, t.trip_id FROM trips t JOIN near USING (service_id) JOIN spans USING (trip_id) WHERE 1170 + m BETWEEN a AND z AND trip_id NOT IN (SELECT trip_id FROM vehicles))""",
-      select="SELECT provider_id, route_id, count(*) AS non_responding_count, string_agg(trip_id, ',' ORDER BY trip_id) AS trip_ids FROM due GROUP BY ALL"),
     "t69_alert_history_reporting": S.query(S.ALERTS, "l AS (SELECT *, captured_at_utc - INTERVAL 5 HOUR AS t FROM alerts)", select="""SELECT provider_id, alert_row, alert_id, header, description, severity, cause, effect, route_id, stop_id, t::DATE AS provider_local_date,
       date_trunc('hour', t)::TIMESTAMP AS hour_bucket_local, date_trunc('week', t)::TIMESTAMP AS week_bucket_local, date_trunc('month', t)::TIMESTAMP AS month_bucket_local, date_trunc('year', t)::TIMESTAMP AS year_bucket_local,
       active_start, active_end, captured_at_utc, md5(coalesce(description, '') || coalesce(severity, '') || coalesce(cause, '') || coalesce(effect, '')) AS effective_content_hash FROM l"""),
@@ -375,18 +318,10 @@ ORACLE_SQL = {
     "t109_archive_entries": S.query(S.ALERTS, entries("a", "true"), select="SELECT * FROM a"),
     "t109_archive_merged": S.query(S.ALERTS, entries("a", "captured_at_utc < TIMESTAMP '2024-01-15'"), entries("b", "captured_at_utc >= TIMESTAMP '2024-01-15'"),
       select=f"SELECT coalesce(a.provider_id, b.provider_id) AS provider_id, coalesce(a.stable_id, b.stable_id) AS stable_id, {', '.join(map(pick, ('header', 'description', 'severity', 'cause', 'effect')))}, coalesce(a.first_seen, b.first_seen) AS first_seen, greatest(a.last_seen, b.last_seen) AS last_seen, {united('routes')}, {united('periods')}, coalesce(a.archive_month, b.archive_month) AS archive_month FROM a FULL JOIN b ON a.stable_id = b.stable_id"),
-    "t117_departures_board": S.query(UPDATES, DEPARTURES, select=f"SELECT *, row_number() OVER (PARTITION BY stop_id, route_id ORDER BY predicted_utc, trip_id, stop_sequence)::INT AS k FROM departures WHERE predicted_utc < (SELECT max(feed_timestamp_utc) FROM updates) + INTERVAL 60 MINUTE QUALIFY k <= 2"),
-    "t118_live_network": S.query(S.FACT, select=f"""SELECT provider_id, count(*) AS trip_count, {", ".join(f"count(*) FILTER (band = '{b}') AS {b}_count" for b in ("early", "on_time", "late", "severe", "unknown"))},
-      {S.half(S.ratio("100.0::DOUBLE * count(*) FILTER (band IN ('on_time', 'late'))", "count(delay_seconds)"), 0)} AS on_time_pct, {S.half(S.ratio("100.0::DOUBLE * count(delay_seconds)", "count(*)"), 1)} AS coverage_pct,
-      {S.half("quantile_cont(delay_seconds::DOUBLE / 60.0, 0.5)", 1)} AS p50_min, {S.half("quantile_cont(delay_seconds::DOUBLE / 60.0, 0.9)", 1)} AS p90_min,
-      {", ".join(f"count(*) FILTER (delay_seconds::DOUBLE / 60.0 >= {a} AND delay_seconds::DOUBLE / 60.0 < {b}) AS bin{i}" for i, (a, b) in enumerate(zip(EDGES, EDGES[1:], strict=False)))} FROM (SELECT *, {LIVE_BAND} AS band FROM fact WHERE realtime_snapshot_id = (SELECT max(realtime_snapshot_id) FROM fact)) GROUP BY ALL"""),
     "t123_alert_versions": S.query(S.ALERTS, f"""h AS (SELECT DISTINCT provider_id, alert_id, {HASH} AS content_hash, captured_at_utc FROM alerts)""",
       select="""SELECT provider_id, alert_id, content_hash, min(captured_at_utc) AS first_seen, max(captured_at_utc) AS last_seen, (SELECT min(n.captured_at_utc) FROM h n WHERE n.alert_id = h.alert_id AND n.captured_at_utc > max(h.captured_at_utc)) AS valid_to FROM h GROUP BY provider_id, alert_id, content_hash"""),
     "t124_feed_health": S.query(FRESH, select="""SELECT 'P1' AS provider_id, 'feed' || k AS endpoint_key, age_seconds, greatest(900, 3 * (k * 20000 + 30))::INT AS threshold_seconds, CASE WHEN age_seconds IS NULL THEN 'missing' WHEN age_seconds > greatest(900, 3 * (k * 20000 + 30)) THEN 'stale' ELSE 'fresh' END AS state
       FROM range(5) t(k) LEFT JOIN fresh ON endpoint_key = 'feed' || k"""),
-    "t126_kpis": S.query(S.FACT, S.VEHICLES, """r AS (SELECT route_id, count(DISTINCT vehicle_id) AS n FROM vehicles WHERE route_id IS NOT NULL GROUP BY route_id ORDER BY n DESC, route_id LIMIT 5)""",
-      select=f"""SELECT 'P1' AS provider_id, CASE WHEN v THEN (SELECT count(DISTINCT vehicle_id) FROM vehicles) END AS vehicle_count, CASE WHEN v THEN (SELECT string_agg(route_id || ':' || n, ',' ORDER BY n DESC, route_id) FROM r) END AS top_routes,
-        CASE WHEN v THEN (SELECT {S.half(S.ratio("sum(delay_seconds)", "count(delay_seconds)"), 1)} FROM fact) END AS mean_delay_seconds FROM (SELECT epoch(max(captured_at_utc) + INTERVAL 30 SECOND - max(captured_at_utc)) <= 90 AS v FROM fact)"""),
     "t127_range_pool": S.query(*R.SPINES, f"""span AS (SELECT * FROM route_spine WHERE provider_local_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-18'), folded AS (SELECT provider_id, route_id, count(DISTINCT provider_local_date) AS days, {R.SUMS} FROM span GROUP BY ALL),
       every AS (SELECT DISTINCT provider_id, route_id FROM route_spine)""",
       select=f"SELECT e.provider_id, e.route_id, {R.RATES}, coalesce(days, 0) AS day_count, CASE WHEN coalesce(days, 0) = 0 THEN 'no_data' WHEN days < 14 THEN 'partial' ELSE 'complete' END AS state FROM every e LEFT JOIN folded USING (provider_id, route_id)"),
@@ -397,9 +332,6 @@ ORACLE_SQL = {
       select="SELECT provider_id, route_id, window_grain, delta, coalesce(n1 >= 30 AND n2 >= 30 AND se > 0 AND abs((k1 / n1 - k2 / n2) / nullif(se, 0)) >= 1.96::DOUBLE AND delta <> 0, false) AS significant FROM z"),
     "t129_stop_range": S.query(S.FACT, S.STOP_SPINE, f"folded AS (SELECT provider_id, stop_id, {POOL} FROM stop_spine WHERE provider_local_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-18' GROUP BY ALL), p AS (SELECT provider_id, stop_id, {R.POOLED} FROM folded)",
       select="SELECT * REPLACE (CASE WHEN obs >= 30 THEN otp_proxy_pct END AS otp_proxy_pct), obs < 30 AS withheld FROM p"),
-    "t130_client_aggregate": S.query(S.FACT, S.VEHICLES, POSITIONS, DELAYS, STATUS, f"b AS (SELECT *, {S.BAND} AS band FROM status)", select=f"""SELECT provider_id, count(*) AS vehicle_count, {S.half(S.ratio("100.0::DOUBLE * count(*) FILTER (delay_band = 'on_time')", "count(*) FILTER (delay_band <> 'unknown')"), 0)} AS on_time_pct,
-      count(*) FILTER (delay_band = 'unknown') AS non_responding, {S.half("quantile_cont(abs(avg_delay_seconds) / 60.0::DOUBLE, 0.5)", 1)} AS delay_p50_min, {S.half("quantile_cont(abs(avg_delay_seconds) / 60.0::DOUBLE, 0.9)", 1)} AS delay_p90_min,
-      {", ".join(f"{S.half(S.ratio(f'count(*) FILTER (band = {chr(39)}{b}{chr(39)})', 'count(band)'), 4)} AS {b}_share" for b in BANDS)} FROM b GROUP BY ALL"""),
     "t131_search": """WITH f AS (SELECT p_partkey, p_name, trim(regexp_replace(regexp_replace(lower(p_name), '[-_/.,''’]+', ' ', 'g'), '\\s+', ' ', 'g')) AS h FROM part),
       t AS (SELECT p_partkey, p_name, CASE WHEN h = 'part 1' THEN 0 WHEN starts_with(h, 'part 1') THEN 1 WHEN contains(h, 'part 1') THEN 2 WHEN contains(h, 'part') AND contains(h, '1') THEN 3 END::INT AS tier FROM f) SELECT * FROM t WHERE tier IS NOT NULL""",
     "t133_resolved_dates": S.query(S.FACT, S.STOP_SPINE, """a AS (SELECT DISTINCT stop_id, provider_local_date AS d FROM stop_spine WHERE provider_local_date BETWEEN DATE '2024-01-03' AND DATE '2024-01-20'), q AS (SELECT 'S' || k AS stop_id, DATE '2024-01-01' + (k % 35)::INT AS asked_date FROM range(60) t(k))""",

@@ -58,6 +58,10 @@ def vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(mod(41) != 0, 45.0 + mod(100) / 50.0).alias("latitude"),
         F.when(mod(43) == 0, 190.0).otherwise(-74.0 + mod(90) / 60.0).alias("longitude"),
         mod(8).cast("int").alias("occupancy_status"),
+        F.when(mod(19) != 0, name("S", mod(60))).alias("stop_id"),
+        F.when(mod(5) != 0, (F.col("event_id") * 7 % 360).cast("double")).alias("bearing"),
+        F.when(mod(6) != 0, mod(23) / 2.0).alias("speed"),
+        F.when(mod(9) != 0, F.timestamp_add("SECOND", -mod(30).cast("int"), F.date_trunc("SECOND", F.col("ts")).cast("timestamp_ntz"))).alias("position_timestamp_utc"),
     )
 
 
@@ -97,6 +101,11 @@ def trips(spark: SparkSession) -> DataFrame:
     )
 
 
+def routes(spark: SparkSession) -> DataFrame:
+    """The timetable's routes; one is a metro."""
+    return trips(spark).select("provider_id", "route_id").distinct().withColumn("route_type", F.when(F.col("route_id") == "R5", 1).otherwise(3))
+
+
 def stop_times(spark: SparkSession) -> DataFrame:
     """Eight stops a trip; times may pass 24 hours."""
     rows = spark.range(72).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("stop_sequence"))

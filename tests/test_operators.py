@@ -131,9 +131,12 @@ def test_alert_versions(spark):
 
 
 def test_live_bands_differ(spark, fact):
+    """The network file counts late vehicles as on time, a live client does not."""
     rows = fact([{"delay_seconds": d} for d in (-70, 0, 100, 400, None)])
-    assert live.live_network(rows).first()["on_time_pct"] == 50.0
-    cars = rows.select("provider_id", F.col("delay_seconds").cast("double").alias("avg_delay_seconds"), "occupancy_status").withColumn("delay_band", F.expr("'x'"))
     from punctua.functions import kernel as K
 
+    status = rows.select("provider_id", F.col("delay_seconds").cast("double").alias("avg_delay_seconds"), "occupancy_status").withColumn("delay_band", K.delay_band(F.col("avg_delay_seconds")))
+    silent, ages = spark.createDataFrame([], "provider_id string, route_id string, non_responding_count long"), spark.createDataFrame([], "provider_id string, age_seconds long")
+    assert live.live_network(status, status, silent, ages).first()["on_time_pct"] == 50
+    cars = rows.select("provider_id", F.col("delay_seconds").cast("double").alias("avg_delay_seconds"), "occupancy_status").withColumn("delay_band", F.expr("'x'"))
     assert live.client_aggregate(cars.withColumn("delay_band", K.delay_band(F.col("avg_delay_seconds")))).first()["on_time_pct"] == 25.0
