@@ -18,7 +18,7 @@ from punctua.session import shipped
 
 BINS = 4096
 #: Bytes of a slice of a batch that is encoded at a time; a document counts 20,000 besides its text for its row of counts.
-SLICE = 1_500_000
+SLICE = 500_000
 #: Bound of the training sample: documents of one language.
 SAMPLE_PER_LANGUAGE = 400
 #: Bound of the training sample: languages, the most frequent ones.
