@@ -154,7 +154,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bands = fresh.select("node", "n", F.explode(F.array(*(F.xxhash64(F.lit(i), F.substring("sketch", 2 * BAND * i + 1, 2 * BAND)) for i in range(REGISTERS // BAND)))).alias("sig"))
     lists = bands.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("size"))
     lists, _ = counted(lists.where("least <> most").select("sig", "size"), "lists")
-    found, n_found = counted(joined(bands, lists.withColumn("rows", F.col("size")), "sig", "rows", n_rows * (REGISTERS // BAND)), "found")
+    # a list holds a node once in each partition at most, one in 40 rows in all; adaptive execution splits a list that is large even so
+    found, n_found = counted(bands.join(lists, "sig"), "found")
     # a node that many others meet is the nearest to the common text of a group
     met = found.groupBy("node").agg(F.sum("size").alias("met"))
     nodes = fresh.groupBy("node").agg(F.min(F.struct("key", "n", "sketch", "parity")).alias("one")).select("node", "one.*")
