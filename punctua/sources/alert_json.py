@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +36,8 @@ ENRICHMENT = ("alert_header_text_en", "description_text_en", "header_text_en", "
 #: Our additions, asked last: names that other feeds use.
 MORE = {"alert_id": ("alert_id",), "header": ("header_text",), "description": ("description_text",), "severity": ("severity_level",), "entities": ("informed_entity", "informedEntity")}
 ENGLISH, FRENCH = ("en", "eng"), ("fr", "fra")
+#: Fields that hold texts in several languages.
+TEXTS = ("header", "description", "url")
 
 
 def at(row: Column, path: str, kind: str = "variant") -> Column:
@@ -53,13 +55,13 @@ def is_a(value: Column, kind: str) -> Column:
 
 def plain(value: Column) -> Column:
     """A string without outer white space, null if blank; a number as it is spelled."""
-    spelled = F.when(is_a(value, "STRING") | is_a(value, "BIGINT") | is_a(value, "D"), at(value, "$", "string"))
+    spelled = F.when(F.regexp_like(F.schema_of_variant(value), F.lit("^(STRING|BIGINT|D)")), at(value, "$", "string"))
     return F.nullif(F.regexp_replace(spelled, r"^\s+|\s+$", ""), F.lit(""))
 
 
-def said(value: Column) -> Column:
-    """plain(), or the text of an object that holds one."""
-    return F.coalesce(plain(value), *(plain(at(value, f"$.{n}")) for n in ("text", "value", "fr", "en")))
+def own_text(item: Column) -> Column:
+    """plain(), or that of an object's text or value."""
+    return F.coalesce(plain(item), plain(at(item, "$.text")), plain(at(item, "$.value")))
 
 
 def primary(language: Column) -> Column:
@@ -67,39 +69,44 @@ def primary(language: Column) -> Column:
     return F.substring_index(F.replace(F.lower(F.trim(language)), F.lit("_"), F.lit("-")), "-", 1)
 
 
-def marked(item: Column, codes: Sequence[str]) -> Column:
-    return is_a(item, "OBJECT") & F.coalesce(primary(at(item, "$.language", "string")).isin(*codes), F.lit(False))
-
-
 def listed(value: Column) -> Column:
     return F.coalesce(F.when(is_a(value, "ARRAY"), at(value, "$", "array<variant>")), F.array().cast("array<variant>"))
 
 
-def own_text(item: Column) -> Column:
-    return said(F.coalesce(F.when(plain(at(item, "$.text")).isNotNull(), at(item, "$.text")), at(item, "$.value")))
+def texts_of(value: Column) -> Column:
+    """All texts of a string, a number, an object or a list of these: where from (bare, mark: an object's text beside its language, or key: under a language's name), key, language, text."""
+    items = F.when(is_a(value, "ARRAY"), at(value, "$", "array<variant>")).otherwise(F.array(value))
+    entry = lambda by, key, language, text: F.struct(F.lit(by).alias("by"), key.cast("string").alias("key"), language.cast("string").alias("language"), text.alias("text"))
+    none = F.lit(None)
+
+    def of(item: Column) -> Column:
+        mark = primary(at(item, "$.language", "string"))
+        pairs = F.coalesce(F.map_entries(at(item, "$", "map<string,variant>")), F.map_entries(F.create_map().cast("map<string,variant>")))
+        own = F.array(entry("bare", none, none, plain(item)), entry("mark", none, mark, F.coalesce(plain(at(item, "$.text")), plain(at(item, "$.value")))))
+        pairs = F.filter(pairs, lambda p: ~p["key"].isin("language", "text", "value"))
+        return F.concat(own, F.transform(pairs, lambda p: entry("key", p["key"], primary(p["key"]), own_text(p["value"]))))
 
+    return F.filter(F.flatten(F.transform(items, of)), lambda t: t["text"].isNotNull())
 
-def text_of(value: Column) -> Column:
-    """The text of a string, a number, an object or a list of these, French first where items are marked."""
-    items = listed(value)
-    pick = lambda kept: F.get(F.filter(F.transform(kept, said), lambda t: t.isNotNull()), F.lit(0))
-    inner = F.coalesce(*(said(at(value, f"$.{n}")) for n in ("text", "value", "fr", "en")))
-    return F.coalesce(said(value), inner, pick(F.filter(items, lambda i: marked(i, FRENCH))), pick(items))
 
+def first_text(texts: Column, wanted: Callable[[Column], Column]) -> Column:
+    return F.get(F.filter(texts, wanted), F.lit(0))["text"]
 
-def english_of(value: Column) -> Column:
-    """The text that is marked as English; null without a mark, also of a bare string."""
-    items = F.transform(F.filter(listed(value), lambda i: marked(i, ENGLISH)), own_text)
-    keyed = at(value, "$.en")
-    return F.coalesce(F.get(F.filter(items, lambda t: t.isNotNull()), F.lit(0)), F.when(is_a(value, "OBJECT"), F.coalesce(own_text(keyed), text_of(keyed))))
 
+def chosen(texts: Column) -> Column:
+    """The text that counts: one that is marked as French before others, a key's only where there is no other."""
+    own = lambda t: t["by"] != "key"
+    return F.coalesce(first_text(texts, lambda t: own(t) & t["language"].isin(*FRENCH)), first_text(texts, own), first_text(texts, lambda t: t["key"] == "fr"), first_text(texts, lambda t: t["key"] == "en"))
 
-def explicit(value: Column, codes: Sequence[str]) -> Column:
-    """Whether a text is marked as of one of the languages: by an item's mark, by the object's, or by a key of the object."""
-    tagged = lambda i: marked(i, codes) & own_text(i).isNotNull()
-    pairs = F.map_entries(F.when(is_a(value, "OBJECT"), at(value, "$", "map<string,variant>")))
-    keyed = F.exists(pairs, lambda p: primary(p["key"]).isin(*codes) & said(p["value"]).isNotNull())
-    return F.coalesce(F.exists(listed(value), tagged), F.lit(False)) | F.coalesce(tagged(value), F.lit(False)) | F.coalesce(keyed, F.lit(False))
+
+def english(texts: Column, in_list: Column) -> Column:
+    """The text that a list's item marks as English, or that an object has under en; null without either, also of a bare string."""
+    return F.coalesce(first_text(texts, lambda t: in_list & (t["by"] == "mark") & t["language"].isin(*ENGLISH)), first_text(texts, lambda t: ~in_list & (t["key"] == "en")))
+
+
+def explicit(texts: Column, codes: Sequence[str]) -> Column:
+    """Whether a text is marked as of one of the languages: by an item, by the object itself, or by a key."""
+    return F.exists(texts, lambda t: F.coalesce(t["language"].isin(*codes), F.lit(False)))
 
 
 def instant(value: Column) -> Column:
@@ -109,25 +116,19 @@ def instant(value: Column) -> Column:
     return F.coalesce(F.timestamp_add("SECOND", word.try_cast("double").cast("long"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")), stamp)
 
 
-def without_english(value: Column) -> Column:
-    """The JSON of a text field without what is marked as English; null if nothing is left."""
-    kept = F.filter(listed(value), lambda i: ~marked(i, ENGLISH))
-    pairs = F.map_filter(F.when(is_a(value, "OBJECT") & ~marked(value, ENGLISH), at(value, "$", "map<string,variant>")), lambda k, v: ~primary(k).isin(*ENGLISH))
-    left = F.when(is_a(value, "ARRAY"), F.when(F.exists(kept, lambda i: said(i).isNotNull()), F.to_json(kept))).when(is_a(value, "OBJECT"), F.when(F.exists(F.map_values(pairs), lambda v: said(v).isNotNull()), F.to_json(pairs)))
-    return left.when(plain(value).isNotNull(), F.to_json(value))
-
-
-def logical_id(alert: Column, alert_id: Column) -> Column:
-    """The alert's id, or a digest of its content. English that is added to a text in another language leaves the digest as it is; where English is all, it counts."""
-    fields = at(alert, "$", "map<string,variant>")
-    texts = {n: without_english(at(alert, f"$.{n}")) for n in (*FIELDS["header"], *FIELDS["description"])}
-    other = F.lit(False)
-    for t in texts.values():
-        other = other | t.isNotNull()
-    rest = F.map_filter(fields, lambda k, v: ~k.isin(*ENRICHMENT, *texts))
-    whole = F.map_filter(fields, lambda k, v: ~k.isin(*ENRICHMENT))
-    spelled = lambda m: F.array_join(F.transform(F.array_sort(F.map_keys(m)), lambda k: F.concat(k, F.lit("\u001f"), F.to_json(F.element_at(m, k)))), "\u001e")
-    digest = F.sha2(F.concat_ws("\u001d", F.when(other, spelled(rest)).otherwise(spelled(whole)), *(F.when(other, F.coalesce(t, F.lit(""))) for t in texts.values())), 256)
+def logical_id(alert: Column, alert_id: Column, texts: dict[str, Column]) -> Column:
+    """The alert's id, or a digest of its content. English that is added to a text in another language leaves the digest as it is; where English is all, it counts.
+
+    texts: texts_of() the fields that hold texts, by name."""
+    other = {n: F.filter(t, lambda x: ~F.coalesce(x["language"].isin(*ENGLISH), F.lit(False))) for n, t in texts.items()}
+    has_other = F.lit(False)
+    for t in other.values():
+        has_other = has_other | (F.size(t) > 0)
+    names = [*FIELDS["header"], *FIELDS["description"]]
+    rest = F.map_filter(at(alert, "$", "map<string,variant>"), lambda k, v: ~k.isin(*ENRICHMENT, *names))
+    spelled = F.array_join(F.transform(F.array_sort(F.map_keys(rest)), lambda k: F.concat(k, F.lit("\u001f"), F.to_json(F.element_at(rest, k)))), "\u001e")
+    kept = [F.when(has_other, F.to_json(other[n])).otherwise(F.to_json(t)) for n, t in texts.items()]
+    digest = F.sha2(F.concat_ws("\u001d", spelled, *kept), 256)
     return F.coalesce(F.concat(F.lit("id:"), alert_id), F.concat(F.lit("content:"), digest))
 
 
@@ -144,18 +145,19 @@ def normalized(snapshots: DataFrame) -> DataFrame:
     active_start, active_end) and entities (route_id, stop_id, trip_id, area_id; of lists of routes and stops if there are none)."""
     rows = raw_alerts(snapshots).withColumns({f"__{f}": first_of(F.col("a"), names + MORE.get(f, ())) for f, names in FIELDS.items()})
     v = lambda f: F.col(f"__{f}")
+    rows = rows.withColumns({f"__{f}_texts": texts_of(v(f)) for f in TEXTS})
     as_list = lambda f: F.when(is_a(v(f), "OBJECT"), F.array(v(f))).otherwise(listed(v(f)))
-    periods = F.transform(as_list("periods"), lambda p: F.struct(instant(first_of(p, START)).alias("start"), instant(first_of(p, END)).alias("end")))
-    kind = ", ".join(f"{c}: string" for c in ENTITY)
-    of = lambda e: F.struct(*(plain(first_of(e, names)).alias(c) for c, names in ENTITY.items())).cast(f"struct<{kind}>")
-    alone = lambda c, i: F.struct(*((plain(i) if n == c else F.lit(None)).cast("string").alias(n) for n in ENTITY))
-    routes, stops = listed(v("routes")), listed(v("stops"))
-    both = F.transform(stops, lambda i: F.struct(plain(F.get(routes, F.lit(0))).alias("route_id"), plain(i).alias("stop_id"), F.lit(None).cast("string").alias("trip_id"), F.lit(None).cast("string").alias("area_id")))
-    derived = F.when((F.size(routes) > 0) & (F.size(stops) > 0), both).when(F.size(routes) > 0, F.transform(routes, lambda i: alone("route_id", i))).otherwise(F.transform(stops, lambda i: alone("stop_id", i)))
-    entities = F.when(is_a(v("entities"), "ARRAY"), F.transform(F.filter(listed(v("entities")), lambda e: is_a(e, "OBJECT")), of)).otherwise(derived)
+    rows = rows.withColumns({f"__{f}_list": as_list(f) for f in ("periods", "routes", "stops", "entities")})
+    periods = F.transform("__periods_list", lambda p: F.struct(instant(first_of(p, START)).alias("start"), instant(first_of(p, END)).alias("end")))
+    entity = lambda **of: F.struct(*(of.get(c, F.lit(None)).cast("string").alias(c) for c in ENTITY))
+    named = lambda e: entity(**{c: plain(first_of(e, names)) for c, names in ENTITY.items()})
+    routes, stops = F.col("__routes_list"), F.col("__stops_list")
+    of_stops = F.transform(stops, lambda i: entity(route_id=plain(F.get(routes, F.lit(0))), stop_id=plain(i)))
+    derived = F.when((F.size(routes) > 0) & (F.size(stops) == 0), F.transform(routes, lambda i: entity(route_id=plain(i)))).otherwise(of_stops)
+    entities = F.when(is_a(v("entities"), "ARRAY"), F.transform(F.filter("__entities_list", lambda e: is_a(e, "OBJECT")), named)).otherwise(derived)
     rows = rows.select(
-        "i3_alert_snapshot_id", "provider_id", "captured_at_utc", "alert_index", text_of(v("alert_id")).alias("alert_id"), *(text_of(v(c)).alias(c) for c in ("header", "description", "severity", "cause", "effect", "url")),
-        *(english_of(v(c)).alias(f"{c}_en") for c in ("header", "description", "url")), instant(v("published")).alias("published"), instant(v("updated")).alias("updated"), periods.alias("active_periods"), entities.alias("entities"),
+        "i3_alert_snapshot_id", "provider_id", "captured_at_utc", "alert_index", *(own_text(v(c)).alias(c) for c in ("alert_id", "severity", "cause", "effect")), *(chosen(F.col(f"__{c}_texts")).alias(c) for c in TEXTS),
+        *(english(F.col(f"__{c}_texts"), is_a(v(c), "ARRAY")).alias(f"{c}_en") for c in TEXTS), instant(v("published")).alias("published"), instant(v("updated")).alias("updated"), periods.alias("active_periods"), entities.alias("entities"),
     )
     first = lambda f: F.get("active_periods", F.lit(0))[f]
     return rows.withColumns({"active_start": first("start"), "active_end": first("end")})
@@ -171,11 +173,13 @@ def language_observations(snapshots: DataFrame, time_zone: str) -> DataFrame:
     """provider_id, alert_logical_id, observation_date, has_fr, has_en, undetermined, observed_at_utc: what marks of language an alert's texts carry.
 
     One row an alert and local day, of the latest capture; within a capture the last of the list. Bare texts are undetermined."""
-    rows = raw_alerts(snapshots)
-    header, description = (first_of(F.col("a"), FIELDS[c]) for c in ("header", "description"))
-    has = lambda codes: explicit(header, codes) | explicit(description, codes)
+    names = ("header", "description")
+    rows = raw_alerts(snapshots).withColumns({f"__{c}": first_of(F.col("a"), FIELDS[c]) for c in (*names, "alert_id")})
+    rows = rows.withColumns({f"__{c}_texts": texts_of(F.col(f"__{c}")) for c in names})
+    texts = {c: F.col(f"__{c}_texts") for c in names}
+    has = lambda codes: explicit(texts["header"], codes) | explicit(texts["description"], codes)
     day = F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(time_zone), F.col("captured_at_utc")))
-    rows = rows.select("provider_id", logical_id(F.col("a"), text_of(first_of(F.col("a"), FIELDS["alert_id"]))).alias("alert_logical_id"), day.alias("observation_date"), has(FRENCH).alias("has_fr"), has(ENGLISH).alias("has_en"), "captured_at_utc", "i3_alert_snapshot_id", "alert_index")
+    rows = rows.select("provider_id", logical_id(F.col("a"), own_text(F.col("__alert_id")), texts).alias("alert_logical_id"), day.alias("observation_date"), has(FRENCH).alias("has_fr"), has(ENGLISH).alias("has_en"), "captured_at_utc", "i3_alert_snapshot_id", "alert_index")
     latest = F.max_by(F.struct("has_fr", "has_en", "captured_at_utc"), F.struct("captured_at_utc", "i3_alert_snapshot_id", "alert_index")).alias("o")
     found = rows.groupBy("provider_id", "alert_logical_id", "observation_date").agg(latest)
     return found.select("provider_id", "alert_logical_id", "observation_date", "o.has_fr", "o.has_en", (~F.col("o.has_fr") & ~F.col("o.has_en")).alias("undetermined"), F.col("o.captured_at_utc").alias("observed_at_utc"))
