@@ -300,18 +300,47 @@ def hotspots_by_grain(spine: DataFrame, stop_spine: DataFrame, n: int = 50, tray
         return in_windows(rows, ["provider_id"]).where("period = 'current'").groupBy(*key).agg(F.sum(count).alias("obs"), F.sum("severe_delay_count").alias("severe"), F.sum("sum_delay_seconds").alias("total"))
 
     rows = of_kind(spine, "route", "route_id", "delay_observation_count").unionByName(of_kind(stop_spine.where(F.col("stop_id") != UNKNOWN_STOP), "stop", "stop_id", "observation_count"))
-    network = rows.groupBy("provider_id", "window_grain", "entity_kind").agg(K.half_away(K.ratio(100.0 * F.sum("severe"), F.sum("obs")), 1).alias("__network"))
+    return ladders(rows, ["provider_id", "window_grain"], n, tray)
+
+
+def ladders(rows: DataFrame, scope: Sequence[str], n: int, tray: int) -> DataFrame:
+    """scope, entity_kind, entity_id, obs, severe, total: the ranked entities of each scope, as hotspots_by_grain() says."""
+    network = rows.groupBy(*scope, "entity_kind").agg(K.half_away(K.ratio(100.0 * F.sum("severe"), F.sum("obs")), 1).alias("__network"))
     low, _ = K.wilson(F.col("obs") - F.col("severe"), F.col("obs"))
-    rows = rows.join(F.broadcast(network), ["provider_id", "window_grain", "entity_kind"])  # six rows a provider
+    rows = rows.join(network, [*scope, "entity_kind"])
     delta = K.half_away(K.ratio(100.0 * (F.col("obs") - F.col("severe")), F.col("obs")), 0) - (100 - F.col("__network"))
     is_tray = F.coalesce(F.col("obs"), F.lit(0)) < RATE_FLOOR
     rows = rows.select(
-        "provider_id", "window_grain", "entity_kind", "entity_id", "obs", "severe", K.half_away(K.ratio(100.0 * F.col("severe"), F.col("obs")), 1).alias("severe_pct"),
+        *scope, "entity_kind", "entity_id", "obs", "severe", K.half_away(K.ratio(100.0 * F.col("severe"), F.col("obs")), 1).alias("severe_pct"),
         K.half_away(K.ratio(F.col("total"), F.col("obs")) / 60.0, 1).alias("avg_delay_min"), low.alias("wilson_lo"), is_tray.alias("is_tray"), F.when(~is_tray, F.round(delta, 1)).alias("otp_delta_points"),
     )
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    ladder = top(rows.where("NOT is_tray"), ["provider_id", "window_grain", "entity_kind"], [F.asc("wilson_lo"), zero("avg_delay_min").desc(), F.asc("entity_id")], n)
-    return ladder.unionByName(top(rows.where("is_tray"), ["provider_id", "window_grain"], [zero("severe_pct").desc(), F.asc("entity_id"), F.asc("entity_kind")], tray))
+    ladder = top(rows.where("NOT is_tray"), [*scope, "entity_kind"], [F.asc("wilson_lo"), zero("avg_delay_min").desc(), F.asc("entity_id")], n)
+    return ladder.unionByName(top(rows.where("is_tray"), scope, [zero("severe_pct").desc(), F.asc("entity_id"), F.asc("entity_kind")], tray))
+
+
+#: The shifts of the peak, and the days it looks back on.
+PEAK, PEAK_DAYS = ("am_peak", "pm_peak"), 7
+
+
+def hotspots_as_of(spine: DataFrame, stop_shift_spine: DataFrame, names: DataFrame, time_zone: str, n: int = 50, tray: int = 60) -> DataFrame:
+    """The ladders and trays of routes and stops as they stood on each date with data: of the trailing day, week and month, and of the peak shifts of the trailing week (grain `shift`), with the name in force then.
+
+    A daily row counts for every date whose window holds it, also where its entity is not seen on that date. names: provider_id, entity_kind, entity_id, name, valid_from, valid_to."""
+    def daily(rows: DataFrame, kind: str, entity: str, count: str, peak: Column) -> DataFrame:
+        sums = {"obs": count, "severe": "severe_delay_count", "total": "sum_delay_seconds"}
+        found = rows.where(~F.col(entity).isin(UNROUTED, UNKNOWN_STOP)).groupBy("provider_id", F.lit(kind).alias("entity_kind"), F.col(entity).alias("entity_id"), DATE)
+        return found.agg(*(F.sum(v).alias(a) for a, v in sums.items()), *(F.sum(F.when(peak, F.col(v))).alias(f"peak_{a}") for a, v in sums.items()), K.count_if(peak).alias("peak_rows"))
+
+    routes = daily(spine, "route", "route_id", "delay_observation_count", K.shift(F.col("hour_of_day_local")).isin(*PEAK))
+    rows = routes.unionByName(daily(stop_shift_spine, "stop", "stop_id", "observation_count", F.col("shift").isin(*PEAK)))
+    dates = spine.select("provider_id", DATE).union(stop_shift_spine.select("provider_id", DATE)).distinct()
+    part = lambda grain, days, prefix: F.struct(F.lit(grain).alias("window_grain"), F.lit(days).alias("days"), *(F.col(f"{prefix}{c}").alias(c) for c in ("obs", "severe", "total")))
+    shift = F.when(F.col("peak_rows") > 0, part("shift", PEAK_DAYS, "peak_"))
+    each = rows.select("provider_id", "entity_kind", "entity_id", DATE, F.explode(F.array_compact(F.array(*(part(g, d, "") for g, d in WINDOW_DAYS.items()), shift))).alias("g"))
+    each = each.withColumn(DATE, F.explode(F.sequence(F.col(DATE), F.date_add(DATE, F.col("g.days") - 1)))).join(dates, ["provider_id", DATE], "left_semi")
+    sums = each.groupBy("provider_id", DATE, F.col("g.window_grain").alias("window_grain"), "entity_kind", "entity_id").agg(*(F.sum(f"g.{c}").alias(c) for c in ("obs", "severe", "total")))
+    return names_at(ladders(sums, ["provider_id", DATE, "window_grain"], n, tray), names, ["entity_kind", "entity_id"], time_zone)
 
 
 def offenders_by_grain(offender_spine: DataFrame, n: int = 50, tray: int = 60) -> DataFrame:
@@ -376,13 +405,14 @@ def scope_digest(rows: DataFrame, key: Sequence[str], values: Sequence[str]) ->
     return one.groupBy(*key, "month").agg(F.sha2(F.concat_ws("\u001e", F.sort_array(F.collect_list("__d"))), 256).alias("digest"), F.count(F.lit(1)).alias("row_count"))
 
 
-def names_at(rows: DataFrame, history: DataFrame, key: str, time_zone: str) -> DataFrame:
+def names_at(rows: DataFrame, history: DataFrame, key: str | Sequence[str], time_zone: str) -> DataFrame:
     """rows with the name in force just before the next local midnight of their date; the newest validity wins, without one NULL.
 
     history: provider_id, key, name, valid_from, valid_to (UTC)."""
-    dates = rows.select("provider_id", key, DATE).distinct()
+    keys = ["provider_id", *([key] if isinstance(key, str) else key)]
+    dates = rows.select(*keys, DATE).distinct()
     midnight = F.date_add(F.col(DATE), 1).cast("timestamp_ntz")
     close = F.convert_timezone(F.lit(time_zone), F.lit("UTC"), midnight)
-    held = dates.join(history, ["provider_id", key]).where((F.col("valid_from") < close) & (F.col("valid_to").isNull() | (F.col("valid_to") >= close)))
-    best = held.groupBy("provider_id", key, DATE).agg(F.max_by("name", "valid_from").alias("name"))
-    return rows.join(best, ["provider_id", key, DATE], "left")
+    held = dates.join(history, keys).where((F.col("valid_from") < close) & (F.col("valid_to").isNull() | (F.col("valid_to") >= close)))
+    best = held.groupBy(*keys, DATE).agg(F.max_by("name", "valid_from").alias("name"))
+    return rows.join(best, [*keys, DATE], "left")

@@ -139,10 +139,16 @@ def merged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def asked(spark: SparkSession) -> DataFrame:
-    return spark.range(60).select(F.lit("P1").alias("provider_id"), F.concat(F.lit("S"), F.col("id").cast("string")).alias("stop_id"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 35).cast("int")).alias("asked_date"))
+    return spark.range(60).select(F.lit("P1").alias("provider_id"), F.concat(F.lit("S"), F.col("id").cast("string")).alias("stop_id"), F.date_add(F.lit("2023-12-27").cast("date"), (F.col("id") % 43).cast("int")).alias("asked_date"))
+
+
+def ladders_as_of(spark: SparkSession, d: str) -> DataFrame:
+    entity = lambda kind, c: R.names(spark).select("provider_id", F.lit(kind).alias("entity_kind"), F.concat(F.lit(c), F.substring("route_id", 2, 9)).alias("entity_id"), "name", "valid_from", "valid_to")
+    return reads.hotspots_as_of(R.spine(spark, d), rollups.stop_delay_shift_daily(T.fact(spark, d)), entity("route", "R").unionByName(entity("stop", "S")), T.TIME_ZONE)
 
 
 QUERIES = {
+    "t111_hotspot_ladders": ladders_as_of,
     "t21_dim_date": lambda spark, d: facts.dim_date(T.calendar(spark), T.calendar_dates(spark)),
     "t23_schedule_summary": lambda spark, d: facts.schedule_summary(T.trips(spark), T.stop_times(spark), T.calendar(spark)),
     "t25_next_stop_delay": fact_delays,
@@ -174,7 +180,7 @@ QUERIES = {
     "t128_rate_change": lambda spark, d: client.rate_change(reads.windowed_folds(R.spine(spark, d))).select("provider_id", "route_id", "window_grain", "delta", "significant"),
     "t129_stop_range": lambda spark, d: client.stop_range(R.stops(spark, d), F.lit("2024-01-05").cast("date"), F.lit("2024-01-18").cast("date")),
     "t131_search": lambda spark, d: searched(spark, d),
-    "t133_resolved_dates": lambda spark, d: client.resolved_dates(R.stops(spark, d).where("provider_local_date BETWEEN DATE '2024-01-03' AND DATE '2024-01-20'").select("provider_id", "stop_id", "provider_local_date").distinct(), asked(spark), ["provider_id", "stop_id"]),
+    "t133_resolved_dates": lambda spark, d: client.resolved_dates(R.stops(spark, d).select("provider_id", "stop_id", "provider_local_date").distinct(), asked(spark), ["provider_id", "stop_id"]),
 }
 
 
@@ -225,23 +231,41 @@ WORST = f"""sr AS (SELECT provider_local_date, route_id AS worst_route_id, {S.ha
     QUALIFY row_number() OVER (PARTITION BY provider_local_date ORDER BY avg_delay_seconds DESC, stop_id) = 1),
   sv AS (SELECT provider_local_date, sum(scheduled_trip_days)::BIGINT AS scheduled_trip_days, sum(delivered_trip_days)::BIGINT AS delivered_trip_days, sum(canceled_trip_days)::BIGINT AS cancelled_trip_days, sum(silent_trip_days)::BIGINT AS silent_trip_days,
     count(*) FILTER (total_trip_days = 0 AND scheduled_trip_days > 0) AS not_reported_route_count FROM cancel WHERE scheduled_trip_days IS NOT NULL GROUP BY ALL)"""
-GRAINS = f"""w_route AS (SELECT * FROM (VALUES ('day', 1), ('week', 7), ('month', 30)) t(window_grain, days)),
+SPOTS = f"""w_route AS (SELECT * FROM (VALUES ('day', 1), ('week', 7), ('month', 30)) t(window_grain, days)),
   spots AS (
     SELECT provider_id, window_grain, 'route' AS entity_kind, route_id AS entity_id, sum(delay_observation_count)::BIGINT AS obs, sum(severe_delay_count)::BIGINT AS severe, sum(sum_delay_seconds)::BIGINT AS total
     FROM route_spine, w_route WHERE provider_local_date > (SELECT max(provider_local_date) FROM route_spine) - days GROUP BY ALL
     UNION ALL
     SELECT provider_id, window_grain, 'stop', stop_id, sum(observation_count)::BIGINT, sum(severe_delay_count)::BIGINT, sum(sum_delay_seconds)::BIGINT
     FROM stop_spine, w_route WHERE provider_local_date > (SELECT max(provider_local_date) FROM stop_spine) - days GROUP BY ALL
-  ), bounded AS (SELECT provider_id, window_grain, entity_kind, entity_id, obs, severe, {S.half(S.ratio("100.0::DOUBLE * severe", "obs"), 1)} AS severe_pct, {S.half(f"({S.ratio('total', 'obs')}) / 60.0::DOUBLE", 1)} AS avg_delay_min,
+  )"""
+
+
+def ladders_sql(scope: str) -> str:
+    return f"""bounded AS (SELECT {scope}, entity_kind, entity_id, obs, severe, {S.half(S.ratio("100.0::DOUBLE * severe", "obs"), 1)} AS severe_pct, {S.half(f"({S.ratio('total', 'obs')}) / 60.0::DOUBLE", 1)} AS avg_delay_min,
       {S.wilson("obs - severe", "obs", False)} AS wilson_lo, coalesce(obs, 0) < 30 AS is_tray,
-      {S.half(S.ratio("100.0::DOUBLE * (obs - severe)", "obs"), 0)} - (100 - {S.half(S.ratio("100.0::DOUBLE * sum(severe) OVER net", "sum(obs) OVER net"), 1)}) AS delta FROM spots WINDOW net AS (PARTITION BY provider_id, window_grain, entity_kind)),
+      {S.half(S.ratio("100.0::DOUBLE * (obs - severe)", "obs"), 0)} - (100 - {S.half(S.ratio("100.0::DOUBLE * sum(severe) OVER net", "sum(obs) OVER net"), 1)}) AS delta FROM spots WINDOW net AS (PARTITION BY {scope}, entity_kind)),
   ladders AS (
-    SELECT * EXCLUDE (delta), round(delta, 1) AS otp_delta_points, row_number() OVER (PARTITION BY window_grain, entity_kind ORDER BY wilson_lo, coalesce(avg_delay_min, 0) DESC, entity_id)::INT AS rank FROM bounded WHERE NOT is_tray QUALIFY rank <= 50
+    SELECT * EXCLUDE (delta), round(delta, 1) AS otp_delta_points, row_number() OVER (PARTITION BY {scope}, entity_kind ORDER BY wilson_lo, coalesce(avg_delay_min, 0) DESC, entity_id)::INT AS rank FROM bounded WHERE NOT is_tray QUALIFY rank <= 50
     UNION ALL
-    SELECT * EXCLUDE (delta), NULL::DOUBLE, row_number() OVER (PARTITION BY window_grain ORDER BY coalesce(severe_pct, 0) DESC, entity_id, entity_kind)::INT AS rank FROM bounded WHERE is_tray QUALIFY rank <= 60
+    SELECT * EXCLUDE (delta), NULL::DOUBLE, row_number() OVER (PARTITION BY {scope} ORDER BY coalesce(severe_pct, 0) DESC, entity_id, entity_kind)::INT AS rank FROM bounded WHERE is_tray QUALIFY rank <= 60
   )"""
 
+
+GRAINS = SPOTS + ", " + ladders_sql("provider_id, window_grain")
+PEAK = "('am_peak', 'pm_peak')"
+AS_OF = f"""w AS (SELECT * FROM (VALUES ('day', 1), ('week', 7), ('month', 30), ('shift', 7)) t(window_grain, days)),
+  dates AS (SELECT provider_local_date AS d FROM route_spine UNION SELECT provider_local_date FROM stop_spine),
+  every AS (SELECT provider_id, 'route' AS entity_kind, route_id AS entity_id, provider_local_date, {S.shift("hour_of_day_local")} AS shift, delay_observation_count AS n, severe_delay_count AS bad, sum_delay_seconds AS s FROM route_spine WHERE route_id <> '__unrouted__'
+    UNION ALL SELECT provider_id, 'stop', stop_id, provider_local_date, shift, observation_count, severe_delay_count, sum_delay_seconds FROM stop_spine),
+  spots AS (SELECT provider_id, d AS provider_local_date, window_grain, entity_kind, entity_id, sum(n)::BIGINT AS obs, sum(bad)::BIGINT AS severe, sum(s)::BIGINT AS total
+    FROM every JOIN dates ON provider_local_date <= d JOIN w ON provider_local_date > d - days AND (window_grain <> 'shift' OR shift IN {PEAK}) GROUP BY ALL)"""
+NAMED = """names AS (SELECT kind AS entity_kind, c || k AS entity_id, 'Line ' || k || v AS name, a, z FROM range(12) t(k), (VALUES ('a', TIMESTAMP '2023-12-01', TIMESTAMP '2024-01-10 05:00:00'), ('b', TIMESTAMP '2024-01-10 05:00:00', NULL)) u(v, a, z), (VALUES ('route', 'R'), ('stop', 'S')) e(kind, c) WHERE k <> 11 OR v = 'b'),
+  held AS (SELECT l.entity_kind, l.entity_id, l.provider_local_date, arg_max(n.name, n.a) AS name FROM (SELECT DISTINCT entity_kind, entity_id, provider_local_date FROM ladders) l
+    JOIN names n ON n.entity_kind = l.entity_kind AND n.entity_id = l.entity_id AND n.a < (l.provider_local_date + 1)::TIMESTAMP + INTERVAL 5 HOUR AND (n.z IS NULL OR n.z >= (l.provider_local_date + 1)::TIMESTAMP + INTERVAL 5 HOUR) GROUP BY ALL)"""
+
 ORACLE_SQL = {
+    "t111_hotspot_ladders": S.query(S.FACT, S.ROUTE_SPINE, S.STOP_SPINE, AS_OF, ladders_sql("provider_id, provider_local_date, window_grain"), NAMED, select="SELECT l.*, h.name FROM ladders l LEFT JOIN held h USING (entity_kind, entity_id, provider_local_date)"),
     "t101_receipts": S.query(S.FACT, S.ROUTE_SPINE, S.STOP_SPINE, S.STOP_HOURLY, S.ALERTS, S.SCHEDULE, R.CANCEL, WORST, f"""
       folded AS (SELECT provider_id, provider_local_date, {R.SUMS} FROM route_spine GROUP BY ALL), rates AS (SELECT provider_id, provider_local_date, {R.RATES} FROM folded),
       hit AS (SELECT provider_id, provider_local_date, count(DISTINCT route_id) FILTER (bad > 0 OR average > 300) AS r, sum(late) AS late, sum(bad) AS bad FROM (SELECT provider_id, provider_local_date, route_id, hour_of_day_local, sum(severe_delay_count) AS bad, sum(delayed_trip_count) AS late,
@@ -334,7 +358,7 @@ ORACLE_SQL = {
       select="SELECT * REPLACE (CASE WHEN obs >= 30 THEN otp_proxy_pct END AS otp_proxy_pct), obs < 30 AS withheld FROM p"),
     "t131_search": """WITH f AS (SELECT p_partkey, p_name, trim(regexp_replace(regexp_replace(lower(p_name), '[-_/.,''’]+', ' ', 'g'), '\\s+', ' ', 'g')) AS h FROM part),
       t AS (SELECT p_partkey, p_name, CASE WHEN h = 'part 1' THEN 0 WHEN starts_with(h, 'part 1') THEN 1 WHEN contains(h, 'part 1') THEN 2 WHEN contains(h, 'part') AND contains(h, '1') THEN 3 END::INT AS tier FROM f) SELECT * FROM t WHERE tier IS NOT NULL""",
-    "t133_resolved_dates": S.query(S.FACT, S.STOP_SPINE, """a AS (SELECT DISTINCT stop_id, provider_local_date AS d FROM stop_spine WHERE provider_local_date BETWEEN DATE '2024-01-03' AND DATE '2024-01-20'), q AS (SELECT 'S' || k AS stop_id, DATE '2024-01-01' + (k % 35)::INT AS asked_date FROM range(60) t(k))""",
+    "t133_resolved_dates": S.query(S.FACT, S.STOP_SPINE, """a AS (SELECT DISTINCT stop_id, provider_local_date AS d FROM stop_spine), q AS (SELECT 'S' || k AS stop_id, DATE '2023-12-27' + (k % 43)::INT AS asked_date FROM range(60) t(k))""",
       select="""SELECT 'P1' AS provider_id, stop_id, asked_date, (SELECT d FROM a WHERE a.stop_id = q.stop_id ORDER BY abs(d - asked_date), d LIMIT 1) AS nearest, (SELECT max(d) FROM a WHERE a.stop_id = q.stop_id AND d <= asked_date) AS previous,
         (SELECT min(d) FROM a WHERE a.stop_id = q.stop_id AND d >= asked_date) AS next, coalesce((SELECT count(*) FROM a WHERE a.stop_id = q.stop_id AND d = asked_date) = 0, true) AS corrected FROM q"""),
 }
