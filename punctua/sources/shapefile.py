@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import math
+import re
 import struct
 import zipfile
 from collections.abc import Iterator
@@ -18,22 +20,45 @@ from punctua.session import shipped
 FEATURES = 5_000
 
 
-def geometries(shp: bytes) -> list:
-    """Points of each record: one point, or those of all parts of a line; an empty record has none."""
-    found, at = [], 100
+#: Record kinds of the public format, with and without heights or measures.
+POINTS, LINES, AREAS = (1, 11, 21), (3, 13, 23), (5, 15, 25)
+#: Geometry types of well-known binary.
+POINT, LINE_STRING, MULTI_LINE = 1, 2, 5
+
+
+def geometries(shp: bytes) -> Iterator[tuple[int, list[list[tuple[float, float]]]]]:
+    """Kind and parts of each record: a point is one part of one point; an empty record has none. Heights and measures are left out."""
+    at = 100
     while at < len(shp):
-        size = struct.unpack(">i", shp[at + 4 : at + 8])[0] * 2
+        size = struct.unpack_from(">i", shp, at + 4)[0] * 2
         body = shp[at + 8 : at + 8 + size]
-        kind = struct.unpack("<i", body[:4])[0]
-        if kind == 1:
-            found.append([struct.unpack("<2d", body[4:20])])
-        elif kind in (3, 5):
-            parts, points = struct.unpack("<2i", body[36:44])
-            found.append([struct.unpack("<2d", body[44 + 4 * parts + 16 * i : 60 + 4 * parts + 16 * i]) for i in range(points)])
+        kind = struct.unpack_from("<i", body)[0]
+        if kind in POINTS:
+            yield kind, [[struct.unpack_from("<2d", body, 4)]]
+        elif kind in LINES + AREAS:
+            n_parts, n_points = struct.unpack_from("<2i", body, 36)
+            starts = [*struct.unpack_from(f"<{n_parts}i", body, 44), n_points]
+            points = list(struct.iter_unpack("<2d", body[44 + 4 * n_parts : 44 + 4 * n_parts + 16 * n_points]))
+            yield kind, [points[a:b] for a, b in zip(starts, starts[1:], strict=False)]
         else:
-            found.append([])
+            yield kind, []
         at += 8 + size
-    return found
+
+
+def line_binary(part: list[tuple[float, float]]) -> bytes:
+    return struct.pack(f"<BII{2 * len(part)}d", 1, LINE_STRING, len(part), *(c for point in part for c in point))
+
+
+def binary(kind: int, parts: list[list[tuple[float, float]]]) -> tuple[str | None, bytes | None]:
+    """Type and well-known binary (little-endian) of a point or line; parts of a line with fewer than two points go, and of one part the line is single. Areas have none."""
+    if kind in POINTS and parts:
+        return "Point", struct.pack("<BI2d", 1, POINT, *parts[0][0])
+    lines = [part for part in parts if len(part) > 1] if kind in LINES else []
+    if not lines:
+        return None, None
+    if len(lines) == 1:
+        return "LineString", line_binary(lines[0])
+    return "MultiLineString", struct.pack("<BII", 1, MULTI_LINE, len(lines)) + b"".join(map(line_binary, lines))
 
 
 def attributes(dbf: bytes) -> list[dict[str, str]]:
@@ -50,33 +75,64 @@ def attributes(dbf: bytes) -> list[dict[str, str]]:
     return rows
 
 
+#: Projections that are told by name and parameters where the text names no code.
+KNOWN = {
+    32188: ("nad1983mtm8", {"false_easting": 304800.0, "false_northing": 0.0, "central_meridian": -73.5, "scale_factor": 0.9999, "latitude_of_origin": 0.0}),
+}
+AUTHORITY, CODE = re.compile(r'AUTHORITY\["EPSG"\s*,\s*"?(\d+)"?\]', re.I), re.compile(r'EPSG["\]:, ]+(\d+)', re.I)
+PARAMETER, NAME = re.compile(r'PARAMETER\["([^"]+)"\s*,\s*(-?\d+(?:\.\d+)?)\]', re.I), re.compile(r'(?:PROJCS|GEOGCS)\["([^"]+)"', re.I)
+
+
 def epsg(prj: str) -> int | None:
-    """The code of a projection text for the two that feeds use, else None."""
-    return 4326 if "GCS_WGS_1984" in prj and "PROJCS" not in prj else 32188 if "MTM" in prj and "8" in prj else None
+    """The code of a projection text: that of its outermost authority, another mention of a code, or the known projection of its name and parameters; None if nothing tells it."""
+    named = AUTHORITY.findall(prj) or CODE.findall(prj)
+    if named:
+        return int(named[-1])
+    if "GCS_WGS_1984" in prj and "PROJCS" not in prj:
+        return 4326
+    name = "".join(c for c in (NAME.search(prj) or [None, ""])[1].lower() if c.isalnum())
+    given = {k.lower(): float(v) for k, v in PARAMETER.findall(prj)}
+    for code, (known, wanted) in KNOWN.items():
+        if name == known and "North_American" in prj and "1983" in prj and all(abs(given.get(k, math.inf) - v) <= 1e-6 for k, v in wanted.items()):
+            return code
+    return None
+
+
+def layers(names: list[str]) -> dict[str, dict[str, str]]:
+    """The members of each layer of an archive by their ending; a layer without shapes or attributes is none."""
+    found: dict[str, dict[str, str]] = {}
+    for name in names:
+        base, dot, end = name.rpartition(".")
+        if dot and end.lower() in ("shp", "dbf", "prj"):
+            found.setdefault(base, {})[end.lower()] = name
+    return {base: ends for base, ends in found.items() if {"shp", "dbf"} <= set(ends)}
 
 
 def features(content: bytes) -> Iterator[tuple]:
-    """The features of a zip: id, attributes, points, projection."""
+    """The features of a zip's layers: layer, id, attributes, points, projection, geometry type and binary."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        by_end = {n.rsplit(".", 1)[-1].lower(): archive.read(n) for n in archive.namelist()}
-    code, seen = epsg(by_end.get("prj", b"").decode()), {}
-    for i, (points, row) in enumerate(zip(geometries(by_end["shp"]), attributes(by_end["dbf"]), strict=True)):
-        key = row.get("stop_id") or row.get("shape_id") or row.get("route_id") or str(i)
-        seen[key] = seen.get(key, 0) + 1
-        yield key if seen[key] == 1 else f"{key}:{seen[key]}", row, [{"lon": x, "lat": y} for x, y in points], code
+        for layer, ends in sorted(layers(archive.namelist()).items()):
+            code, seen = epsg(archive.read(ends["prj"]).decode("utf-8", "replace") if "prj" in ends else ""), {}
+            for i, ((kind, parts), row) in enumerate(zip(geometries(archive.read(ends["shp"])), attributes(archive.read(ends["dbf"])), strict=True)):
+                key = row.get("stop_id") or row.get("shape_id") or row.get("route_id") or str(i)
+                seen[key] = seen.get(key, 0) + 1
+                yield layer, key if seen[key] == 1 else f"{key}:{seen[key]}", row, [{"lon": x, "lat": y} for part in parts for x, y in part], code, *binary(kind, parts)
+
+
+COLUMNS = ("layer", "feature_id", "attributes", "points", "epsg", "geometry_type", "wkb")
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """feature_id (a repeated id gets :n), attributes, points (lon, lat), epsg. A task for each archive parses it; the driver sees none of it."""
+    """layer, feature_id (a repeated id gets :n), attributes, points (lon, lat), epsg, geometry_type, wkb. A task for each archive parses it; the driver sees none of it."""
     shipped(spark)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
                 for some in batched(features(bytes(content)), FEATURES):
-                    yield pd.DataFrame(some, columns=["feature_id", "attributes", "points", "epsg"]).astype({"epsg": "Int32"})
+                    yield pd.DataFrame(some, columns=COLUMNS).astype({"epsg": "Int32"})
 
-    schema = "feature_id string, attributes map<string,string>, points array<struct<lon: double, lat: double>>, epsg int"
+    schema = "layer string, feature_id string, attributes map<string,string>, points array<struct<lon: double, lat: double>>, epsg int, geometry_type string, wkb binary"
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
 
 
