@@ -50,6 +50,25 @@ def history(alerts: DataFrame, first: Column, last: Column, time_zone: str, n: i
     return found.withColumn("rank", rank).where(F.col("rank") <= n).join(totals, "provider_id")
 
 
+def identified(state) -> DataFrame:
+    """Loaded alerts (alert_load.Loaded) by header and first period, with an id of their content, their duration in minutes (null of an end before the start) and all their periods: of each index that of the newest version."""
+    group = ["provider_id", "header", "active_start", "active_end"]
+    rows = state.alerts.groupBy(*group).agg(*(F.max(c).alias(c) for c in ("header_en", "description", "severity", "cause", "effect", "url")))
+    spelled = lambda t: F.coalesce(F.concat(F.date_format(t, "yyyy-MM-dd HH:mm:ss"), F.lit("+00:00")), F.lit(""))
+    basis = F.concat_ws("|", F.coalesce("header", F.lit("")), F.coalesce("severity", F.lit("")), spelled(F.col("active_start")), spelled(F.col("active_end")))
+    made = F.concat("provider_id", F.lit("-alert-"), F.substring(F.sha1(basis.cast("binary")), 1, 12))
+    seconds = F.timestamp_diff("SECOND", F.col("active_start"), F.col("active_end"))
+    key = ["provider_id", "i3_alert_snapshot_id", "alert_index"]
+    # a null is a value of the group, so groups meet by a digest
+    same = F.md5(F.concat_ws("\u001f", *(F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("-")) for c in group)))
+    periods = state.periods.join(state.alerts.select(*key, same.alias("__same")), key)
+    newest = periods.groupBy("__same", "period_index").agg(F.max_by(F.struct("start", "end"), F.struct("i3_alert_snapshot_id", "alert_index")).alias("p"))
+    one = F.concat(F.col("period_index").cast("string"), F.lit(":"), F.concat_ws("/", *(F.coalesce(F.date_format(f"p.{c}", "yyyy-MM-dd HH:mm:ss"), F.lit("")) for c in ("start", "end"))))
+    spans = newest.groupBy("__same").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("period_index", one.alias("s")))), lambda x: x["s"]), ",").alias("active_periods"))
+    rows = rows.withColumn("__same", same).join(spans, "__same", "left").drop("__same")
+    return rows.withColumns({"id": made, "duration_min": F.when(seconds >= 0, F.round(seconds / 60.0).cast("int")), "active_periods": F.coalesce("active_periods", F.lit(""))})
+
+
 def breakdown(found: DataFrame) -> DataFrame:
     """Cause x effect of alerts: count and median duration in minutes of those that ended."""
     minutes = F.timestamp_diff("SECOND", F.col("active_start"), F.col("active_end")) / 60.0

@@ -38,6 +38,16 @@ def pages(rows: DataFrame, key: Sequence[str], order: Sequence[Column], most_byt
     return rows.withColumn("page", (rank - 1).cast("int")).drop("__alone", "__block")
 
 
+def generations(found: DataFrame, published: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Payloads (key, content_hash) with generation_id, which stays until the content changes, previous_generation_id (null of a new key) and state: new, changed, kept, or gone of a key that was published and is no more.
+
+    published: key, content_hash. An id is made of the content, so a page that returns to an older content has its older id again."""
+    name = lambda c: F.substring(c, 1, 16)
+    rows = found.select(*key, "content_hash").join(published.select(*key, F.col("content_hash").alias("__old")), list(key), "full")
+    state = F.when(F.col("content_hash").isNull(), "gone").when(F.col("__old").isNull(), "new").when(F.col("content_hash") == F.col("__old"), "kept").otherwise("changed")
+    return rows.select(*key, name(F.col("content_hash")).alias("generation_id"), name(F.col("__old")).alias("previous_generation_id"), state.alias("state"))
+
+
 def gate(rates: DataFrame, previous_files: int, files: int, previous_ids: DataFrame, id_col: str) -> DataFrame:
     """check, failures: what forbids publication. rates: id_col, avg_delay_min, otp_pct, severe_pct, known_obs and shares that sum to 1 where given."""
     bad = rates.agg(
