@@ -93,16 +93,18 @@ def nearest_vehicle(trip_facts: DataFrame, vehicles: DataFrame, seconds: int = N
     """Each trip fact with the vehicle position nearest in time within the tolerance, on the same trip and (where known) route, and its occupancy (where the positions have one); facts without one stay. at: the column of time of both tables.
 
     An as-of join by time buckets: a fact meets the positions of its own bucket and the two beside it, so a busy trip is dealt out
-    over time; ties go to the newer snapshot, then the lower entity."""
+    over time; ties go to the newer snapshot, then the lower entity. Positions, which have few columns, are copied to the three
+    buckets; of facts only what the join needs is dealt out by bucket."""
     bucket = lambda ts: F.floor(F.timestamp_diff("SECOND", F.lit("2000-01-01 00:00:00").cast("timestamp_ntz"), ts) / seconds)
     key = ["provider_id", "realtime_snapshot_id", "entity_index"]
-    left = trip_facts.withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: bucket(F.col(at)) + i)))
+    left = trip_facts.select(*key, "trip_id", "route_id", F.col(at).alias("__at"), bucket(F.col(at)).alias("bucket"))
+    beside = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: bucket(F.col(at)) + i)
     occupancy = F.col("occupancy_status") if "occupancy_status" in vehicles.columns else F.lit(None).cast("int")
     right = vehicles.where("vehicle_id IS NOT NULL").select(
-        "provider_id", "trip_id", bucket(F.col(at)).alias("bucket"), F.col("vehicle_id").alias("near_vehicle_id"), F.col("route_id").alias("v_route"), F.col(at).alias("v_at"),
+        "provider_id", "trip_id", F.explode(beside).alias("bucket"), F.col("vehicle_id").alias("near_vehicle_id"), F.col("route_id").alias("v_route"), F.col(at).alias("v_at"),
         occupancy.alias("near_occupancy_status"), F.col("realtime_snapshot_id").alias("v_snapshot"), F.col("entity_index").alias("v_entity"),
     )
-    apart = F.abs(F.timestamp_diff("SECOND", F.col(at), F.col("v_at")))
+    apart = F.abs(F.timestamp_diff("SECOND", F.col("__at"), F.col("v_at")))
     same_route = F.col("route_id").isNull() | (F.col("route_id") == F.col("v_route"))
     near = left.join(right, ["provider_id", "trip_id", "bucket"]).where((apart <= seconds) & same_route)
     best = near.groupBy(*key).agg(F.min_by(F.struct("near_vehicle_id", "near_occupancy_status", apart.alias("apart")), F.struct(apart, -F.col("v_snapshot"), F.col("v_entity"))).alias("b"))

@@ -133,6 +133,18 @@ def top(rows: DataFrame, key: Sequence[str], order: Sequence[Column], n: int) ->
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("rank") <= n)
 
 
+def numbered(rows: DataFrame, key: Sequence[str], bucket: Column, order: Sequence[Column], name: str, descending: bool = False) -> DataFrame:
+    """rows with their place (from 1) within a key: the place in their own bucket after the sizes of all before. Only a bucket's rows meet in one task, so bucket must ascend (or descend) with the order."""
+    rows = rows.withColumn("__bucket", bucket)
+    sizes = rows.groupBy(*key, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    first = Window.partitionBy(*key).orderBy(F.desc("__bucket") if descending else F.asc("__bucket"))
+    sizes = sizes.select(*key, "__bucket", (F.sum("__n").over(first) - F.col("__n")).alias("__before"))
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in (*key, "__bucket")]
+    own = F.row_number().over(Window.partitionBy(*key, "__bucket").orderBy(*order))
+    placed = rows.withColumn("__own", own).alias("r").join(sizes.alias("s"), same)
+    return placed.select("r.*", (F.col("s.__before") + F.col("r.__own")).cast("int").alias(name)).drop("__bucket", "__own")
+
+
 def weak_stops(stop_spine: DataFrame, n: int = 15, floor: int = RATE_FLOOR) -> DataFrame:
     """Route x window: the stops of enough observations with the lowest bound of not-severe shares."""
     rows = in_windows(stop_spine.where((F.col("route_id") != UNROUTED) & (F.col("stop_id") != UNKNOWN_STOP)), ["provider_id", "route_id"]).where("period = 'current'")

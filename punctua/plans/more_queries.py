@@ -86,8 +86,8 @@ def alert_log(spark: SparkSession, d: str) -> DataFrame:
     """Alerts whose period meets a window, newest first, with their length in minutes."""
     a, z = (F.lit(x).cast("timestamp_ntz") for x in ("2024-01-12 00:00:00", "2024-01-15 00:00:00"))
     rows = T.alerts(spark, d).where((F.col("active_start") < z) & (F.col("active_end").isNull() | (F.col("active_end") > a)))
-    rank = F.row_number().over(Window.partitionBy("provider_id").orderBy(F.desc("active_start"), "alert_row"))
-    return rows.select("provider_id", "alert_row", "header", "active_start", (F.timestamp_diff("SECOND", F.col("active_start"), F.col("active_end")) / 60.0).alias("minutes"), rank.alias("rank"))
+    rows = reads.numbered(rows, ["provider_id"], F.to_date("active_start"), [F.desc("active_start"), F.asc("alert_row")], "rank", descending=True)
+    return rows.select("provider_id", "alert_row", "header", "active_start", (F.timestamp_diff("SECOND", F.col("active_start"), F.col("active_end")) / 60.0).alias("minutes"), "rank")
 
 
 def archive_pages(spark: SparkSession, d: str) -> DataFrame:
