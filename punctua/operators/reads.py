@@ -292,15 +292,26 @@ def all_routes(spine: DataFrame) -> DataFrame:
     return rated(found.withColumn("problem_score", F.when(F.col("section") == "habit", K.problem_score(F.col("severe"), average))))
 
 
-def hotspots(problems: DataFrame, route_rates: DataFrame, network_otp: DataFrame, n: int = 20) -> DataFrame:
-    """The newest week's worst routes and stops by issues, with each route's punctuality against the network's.
+def hotspots(problems: DataFrame, spine: DataFrame, stop_spine: DataFrame, n: int = 20) -> DataFrame:
+    """The worst routes and stops by issues of the newest week, or of the newest period of any grain where there is no week, each against the network of its kind in that week.
 
-    network_otp: provider_id, network_otp_pct."""
-    newest_week = problems.groupBy("provider_id").agg(F.max("period_start_local").alias("period_start_local"))
-    rows = problems.where(~F.col("entity_id").isin(UNROUTED, UNKNOWN_STOP)).join(newest_week, ["provider_id", "period_start_local"], "left_semi")
+    Routes by their punctuality; stops, of which none is known, by their share without severe delay, network and all. Of another period than a week no rates are given."""
+    newest = problems.groupBy("provider_id").agg(F.max(F.struct((F.col("period_grain") == "week").alias("is_week"), "period_start_local", "period_grain")).alias("t"))
+    target = F.broadcast(newest.select("provider_id", "t.period_start_local", "t.period_grain"))
+    rows = problems.where(~F.col("entity_id").isin(UNROUTED, UNKNOWN_STOP)).join(target, ["provider_id", "period_start_local", "period_grain"], "left_semi")
     ranked = top(rows, ["provider_id"], [F.desc("issue_count"), F.asc("entity_kind"), F.asc("entity_id"), F.asc("route_id")], n)
-    rates = route_rates.select("provider_id", F.col("route_id").alias("entity_id"), F.lit("route").alias("entity_kind"), "otp_pct")
-    out = ranked.join(rates, ["provider_id", "entity_kind", "entity_id"], "left").join(network_otp, "provider_id", "left")
+
+    def of_week(rows: DataFrame, kind: str, entity: str, good: Column, known: Column, network_known: Column) -> tuple[DataFrame, DataFrame]:
+        weeks = rows.withColumn("period_start_local", F.date_trunc("WEEK", DATE).cast("date")).join(target, ["provider_id", "period_start_local"], "left_semi")
+        sums = weeks.groupBy("provider_id", F.lit(kind).alias("entity_kind"), F.col(entity).alias("entity_id")).agg(F.sum(good).alias("good"), F.sum(known).alias("known"), F.sum(network_known).alias("of"))
+        network = sums.groupBy("provider_id", "entity_kind").agg(K.otp_pct(F.sum("good"), F.sum("of")).alias("network_otp_pct"))
+        return sums.select("provider_id", "entity_kind", "entity_id", K.otp_pct(F.col("good"), F.col("known")).alias("otp_pct")), network
+
+    known = F.col("delay_observation_count")
+    routes, network = of_week(spine, "route", "route_id", F.col("on_time_observation_count"), known, F.when(F.col("on_time_observation_count").isNotNull(), known))
+    seen = F.col("observation_count")
+    stops, stop_network = of_week(stop_spine, "stop", "stop_id", seen - F.col("severe_delay_count"), seen, seen)
+    out = ranked.join(routes.unionByName(stops), ["provider_id", "entity_kind", "entity_id"], "left").join(F.broadcast(network.unionByName(stop_network)), ["provider_id", "entity_kind"], "left")
     return out.withColumn("otp_delta_points", F.bround((F.col("otp_pct") - F.col("network_otp_pct")).cast("decimal(10,2)"), 0).cast("double"))
 
 

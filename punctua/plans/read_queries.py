@@ -54,9 +54,8 @@ def problems(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hotspots(spark: SparkSession, d: str) -> DataFrame:
-    s = spine(spark, d)
-    network = reads.rated(reads.project(s, ["provider_id"])).select("provider_id", F.col("otp_pct").alias("network_otp_pct"))
-    return reads.hotspots(problems(spark, d), reads.rated(reads.project(s, ["provider_id", "route_id"])), network).select("provider_id", "entity_kind", "entity_id", "route_id", "issue_count", "rank", "otp_pct", "network_otp_pct", "otp_delta_points")
+    found = reads.hotspots(problems(spark, d), spine(spark, d), stops(spark, d))
+    return found.select("provider_id", "entity_kind", "entity_id", "route_id", "issue_count", "severity_label", "rank", "otp_pct", "network_otp_pct", "otp_delta_points")
 
 
 def names(spark: SparkSession) -> DataFrame:

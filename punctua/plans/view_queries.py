@@ -281,9 +281,13 @@ ORACLE_SQL = {
       kept AS (SELECT * FROM problems WHERE (issue_count > 0 OR avg_delay_seconds > 300)),
       newest AS (SELECT * FROM kept WHERE period_start_local = (SELECT max(period_start_local) FROM kept) AND entity_id NOT IN ('__unrouted__', '__unknown_stop__')),
       ranked AS (SELECT *, row_number() OVER (ORDER BY issue_count DESC, entity_kind, entity_id, route_id)::INT AS rank FROM newest QUALIFY rank <= 20),
-      r AS (SELECT route_id AS entity_id, {S.half(S.ratio("100.0::DOUBLE * sum(on_time_observation_count)", "sum(delay_observation_count)"), 0)} AS otp_pct FROM route_spine GROUP BY route_id),
-      n AS (SELECT {S.half(S.ratio("100.0::DOUBLE * sum(on_time_observation_count)", "sum(delay_observation_count)"), 0)} AS network_otp_pct FROM route_spine)""",
-      select="SELECT k.provider_id, entity_kind, k.entity_id, k.route_id, issue_count, rank, r.otp_pct, network_otp_pct, r.otp_pct - network_otp_pct AS otp_delta_points FROM ranked k LEFT JOIN r ON r.entity_id = k.entity_id AND entity_kind = 'route', n"),
+      wr AS (SELECT * FROM route_spine WHERE date_trunc('week', provider_local_date)::DATE = (SELECT max(period_start_local) FROM kept)), ws AS (SELECT * FROM stop_spine WHERE date_trunc('week', provider_local_date)::DATE = (SELECT max(period_start_local) FROM kept)),
+      r AS (SELECT 'route' AS entity_kind, route_id AS entity_id, {S.half(S.ratio("100.0::DOUBLE * sum(on_time_observation_count)", "sum(delay_observation_count)"), 0)} AS otp_pct FROM wr GROUP BY route_id
+        UNION ALL SELECT 'stop', stop_id, {S.half(S.ratio("100.0::DOUBLE * (sum(observation_count) - sum(severe_delay_count))", "sum(observation_count)"), 0)} FROM ws GROUP BY stop_id),
+      n AS (SELECT 'route' AS entity_kind, {S.half(S.ratio("100.0::DOUBLE * sum(on_time_observation_count)", "sum(delay_observation_count) FILTER (on_time_observation_count IS NOT NULL)"), 0)} AS network_otp_pct FROM wr
+        UNION ALL SELECT 'stop', {S.half(S.ratio("100.0::DOUBLE * (sum(observation_count) - sum(severe_delay_count))", "sum(observation_count)"), 0)} FROM ws)""",
+      select="""SELECT k.provider_id, entity_kind, k.entity_id, k.route_id, issue_count, CASE WHEN issue_count >= 10 OR coalesce(avg_delay_seconds, 0) > 600 THEN 'critical' WHEN issue_count > 0 OR coalesce(avg_delay_seconds, 0) > 300 THEN 'high' ELSE 'watch' END AS severity_label, rank, r.otp_pct, network_otp_pct,
+        r.otp_pct - network_otp_pct AS otp_delta_points FROM ranked k LEFT JOIN r USING (entity_kind, entity_id) LEFT JOIN n USING (entity_kind)"""),
     "t105_hotspots_by_grain": S.query(S.FACT, S.ROUTE_SPINE, S.STOP_SPINE, GRAINS, select="SELECT * FROM ladders"),
     "t21_dim_date": S.query(S.SCHEDULE, select="""SELECT 'P1' AS provider_id, strftime(d, '%Y%m%d')::INT AS date_key, d AS date, year(d)::INT AS year, quarter(d)::INT AS quarter, month(d)::INT AS month, weekofyear(d)::INT AS iso_week, isodow(d)::INT AS iso_day,
       isodow(d) > 5 AS is_weekend, d = DATE '2024-01-15' AS has_added, d IN (DATE '2024-01-15', DATE '2024-01-20') AS has_removed FROM dates"""),

@@ -54,7 +54,7 @@ def test_departures_of_the_newest_snapshot(spark):
     at = lambda m: dt.datetime(2024, 1, 1, 12, m)
     rows = [("P1", 1, "S1", "R1", "T1", 1, at(5), at(6)), ("P1", 2, "S1", "R1", "T2", 1, at(9), None), ("P1", 2, "S1", "R1", "T3", 1, None, at(7)), ("P2", 1, "S1", "R1", "T4", 1, at(5), None)]
     updates = spark.createDataFrame(rows, "provider_id string, rt_feed_snapshot_id long, stop_id string, route_id string, trip_id string, stop_sequence int, arrival_utc timestamp_ntz, departure_utc timestamp_ntz")
-    got = live.next_departures(updates, F.lit("2024-01-01 12:00:00").cast("timestamp_ntz")).collect()
+    got = live.next_departures(updates.withColumn("feed_timestamp_utc", F.lit("2024-01-01 12:00:00").cast("timestamp_ntz"))).collect()
     assert {(r["trip_id"], r["departure_rank"]) for r in got} == {("T3", 1), ("T2", 2), ("T4", 1)}
 
 
@@ -85,3 +85,19 @@ def test_receipts(spark):
     got = reads.receipts(day([(1.0,)], "rider_impact_score double"), spine, routes, stops, trips).first()
     assert (got["worst_route_id"], got["otp_pct"], got["worst_route_otp_delta"], got["worst_stop_id"], got["worst_stop_delay_min"]) == ("R2", 80.0, -5.0, "S1", 2.0)
     assert [got[c] for c in ("scheduled_trip_days", "delivered_trip_days", "cancelled_trip_days", "silent_trip_days", "not_reported_route_count", "completeness_pct")] == [13, 7, 1, 5, 1, 53.85]
+
+
+def test_hotspots_against_the_network_of_their_week(spark):
+    """Routes against routes and stops against stops, both of the target week; without a week the newest period counts and has no rates."""
+    monday = dt.date(2024, 1, 8)
+    routes = [("P1", "R1", monday, 50, 100), ("P1", "R2", monday, 90, 100), ("P1", "R3", monday, None, 40), ("P1", "R1", dt.date(2024, 1, 1), 100, 100)]
+    spine = spark.createDataFrame(routes, "provider_id string, route_id string, provider_local_date date, on_time_observation_count long, delay_observation_count long")
+    stops = [("P1", "S1", "R1", monday, 100, 40), ("P1", "S1", "R2", monday, 100, 0), ("P1", "S2", "R2", monday, 100, 10), ("P1", "S1", "R1", dt.date(2024, 1, 1), 100, 100)]
+    stop_spine = spark.createDataFrame(stops, "provider_id string, stop_id string, route_id string, provider_local_date date, observation_count long, severe_delay_count long")
+    schema = "provider_id string, entity_kind string, entity_id string, route_id string, period_start_local date, period_grain string, issue_count long"
+    weekly = [("P1", "route", "R1", "R1", monday, "week", 9), ("P1", "stop", "S1", "R1", monday, "week", 40), ("P1", "route", "R3", "R3", monday, "week", 1), ("P1", "route", "__unrouted__", "__unrouted__", monday, "week", 99), ("P1", "route", "R2", "R2", dt.date(2024, 1, 1), "week", 500), ("P1", "route", "R2", "R2", dt.date(2024, 2, 1), "month", 500)]
+    got = [(r["rank"], r["entity_id"], r["otp_pct"], r["network_otp_pct"], r["otp_delta_points"]) for r in reads.hotspots(spark.createDataFrame(weekly, schema), spine, stop_spine).orderBy("rank").collect()]
+    assert got == [(1, "S1", 80.0, 83.0, -3.0), (2, "R1", 50.0, 70.0, -20.0), (3, "R3", None, 70.0, None)]
+    monthly = [("P1", "route", "R1", "R1", dt.date(2024, 2, 1), "month", 9), ("P1", "route", "R2", "R2", dt.date(2024, 1, 1), "month", 5)]
+    got = [(r["entity_id"], r["otp_pct"], r["otp_delta_points"]) for r in reads.hotspots(spark.createDataFrame(monthly, schema), spine, stop_spine).collect()]
+    assert got == [("R1", None, None)]
