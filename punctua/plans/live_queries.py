@@ -13,7 +13,7 @@ from punctua.plans import view_queries as V
 from punctua.sources import driver_tables as T
 
 #: The local date and minute of the clock.
-TODAY, MINUTE = "2024-01-29", 1140
+TODAY, MINUTE = "2024-01-29", 640
 BOX = V.BOX
 
 
