@@ -190,13 +190,16 @@ def source_lineage(versions: DataFrame, endpoints: DataFrame) -> DataFrame:
     return versions.join(endpoints.select("feed_endpoint_id", "endpoint_key"), "feed_endpoint_id").drop("feed_endpoint_id")
 
 
-def kpis(vehicles: DataFrame, delays: DataFrame, now: Column, stale_seconds: int = 90, n: int = 5) -> DataFrame:
-    """Vehicle count, busiest routes and mean delay of the newest snapshots, if fresh; a stale source gives NULL for its measures. now may name `at` and `late_at`, the sources' newest captures."""
-    cars = vehicles.groupBy("provider_id").agg(F.max("captured_at_utc").alias("at"), F.count_distinct("vehicle_id").alias("n"))
-    routes = vehicles.where("route_id IS NOT NULL").groupBy("provider_id", "route_id").agg(F.count_distinct("vehicle_id").alias("n"))
-    best = routes.withColumn("k", F.row_number().over(Window.partitionBy("provider_id").orderBy(F.desc("n"), "route_id"))).where(F.col("k") <= n)
-    tops = best.groupBy("provider_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "route_id", "n"))), lambda x: F.concat_ws(":", x["route_id"], x["n"].cast("string"))), ",").alias("tops"))
-    late = delays.groupBy("provider_id").agg(F.max("captured_at_utc").alias("late_at"), K.half_away(K.ratio(F.sum("delay_seconds"), F.count("delay_seconds")), 1).alias("mean"))
+def kpis(vehicles: DataFrame, delays: DataFrame, now: Column, stale_seconds: int = 90, n: int = 5, key: Sequence[str] = ("provider_id",)) -> DataFrame:
+    """Vehicle count, busiest routes and mean delay of the newest snapshots, if fresh; a stale source gives NULL for its measures. now may name `at` and `late_at`, the sources' newest captures.
+
+    With the snapshot in the key: what each snapshot showed."""
+    key = list(key)
+    cars = vehicles.groupBy(*key).agg(F.max("captured_at_utc").alias("at"), F.count_distinct("vehicle_id").alias("n"))
+    routes = vehicles.where("route_id IS NOT NULL").groupBy(*key, "route_id").agg(F.count_distinct("vehicle_id").alias("n"))
+    best = routes.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("n"), "route_id"))).where(F.col("k") <= n)
+    tops = best.groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "route_id", "n"))), lambda x: F.concat_ws(":", x["route_id"], x["n"].cast("string"))), ",").alias("tops"))
+    late = delays.groupBy(*key).agg(F.max("captured_at_utc").alias("late_at"), K.half_away(K.ratio(F.sum("delay_seconds"), F.count("delay_seconds")), 1).alias("mean"))
     fresh = lambda at: F.timestamp_diff("SECOND", F.col(at), now) <= stale_seconds
-    rows = cars.join(tops, "provider_id", "left").join(late, "provider_id", "full")
-    return rows.select("provider_id", F.when(fresh("at"), F.col("n")).alias("vehicle_count"), F.when(fresh("at"), F.col("tops")).alias("top_routes"), F.when(fresh("late_at"), F.col("mean")).alias("mean_delay_seconds"))
+    rows = cars.join(tops, key, "left").join(late, key, "full")
+    return rows.select(*key, F.when(fresh("at"), F.col("n")).alias("vehicle_count"), F.when(fresh("at"), F.col("tops")).alias("top_routes"), F.when(fresh("late_at"), F.col("mean")).alias("mean_delay_seconds"))

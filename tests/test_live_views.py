@@ -37,9 +37,16 @@ def test_newest_snapshot(spark, fact):
     assert {(r["provider_id"], r["vehicle_count"]) for r in live.client_aggregate(status).collect()} == {("P1", 1), ("P2", 1)}
 
 
-def test_maps_of_every_snapshot(spark):
+def test_maps_and_kpis_of_every_snapshot(spark):
+    """Rows of an old snapshot count for that snapshot, and for it alone."""
     count = spark.read.parquet(f"{FOLDER}/events.parquet").selectExpr("event_id DIV 10 AS s").distinct().count()
+    assert Q.QUERIES["t126_kpis"](spark, FOLDER).count() == count
     assert Q.QUERIES["t61_vehicle_map"](spark, FOLDER).select("realtime_snapshot_id").distinct().count() > count / 4
+    rows = [("P1", 1, 0, OLD, "V1", "T1", "R1", 45.0, -73.0, 1), ("P1", 1, 1, OLD, "V2", "T2", "R1", 45.0, -73.0, 1), ("P1", 2, 0, NEW, "V1", "T1", "R2", 45.0, -73.0, 0)]
+    cars = spark.createDataFrame(rows, VEHICLE)
+    late = cars.select("provider_id", "realtime_snapshot_id", "captured_at_utc", (F.col("realtime_snapshot_id") * 10).alias("delay_seconds"))
+    got = live.kpis(cars, late, F.greatest("at", "late_at"), key=("provider_id", "realtime_snapshot_id")).collect()
+    assert sorted(map(tuple, got)) == [("P1", 1, 2, "R1:2", 10.0), ("P1", 2, 1, "R2:1", 20.0)]
 
 
 def test_non_responding(spark):
