@@ -1,6 +1,7 @@
 """Golden cases of facts, rollups and reads on hand-built rows."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,6 +100,28 @@ def test_nearest_vehicle(spark, fact):
     assert got == {"T1": ("new", 300), "T2": (None, None)}
 
 
+def test_nearest_vehicle_by_a_plain_loop(spark, fact):
+    """Busy instants, parts of seconds, edges of chunks and tolerances, unknown routes; each fact and position is read once, without pairs."""
+    pick, at = random.Random(3), lambda s: dt.datetime(2024, 1, 10, 15) + dt.timedelta(seconds=s)
+    moments = [-0.5, 600.4, 0, 0.25, 0.75, 1, 1.5, 599, 600, 600.999999, 1200, 3599.9, 3600, 3600.2, 4200, 4201]
+    route = lambda: pick.choice(["R1", "R2", None])
+    rows = [{"captured_at_utc": at(pick.choice(moments)), "realtime_snapshot_id": i, "trip_id": pick.choice(["T1", "T2", "T3", None]), "route_id": route()} for i in range(150)]
+    rows.append({"captured_at_utc": at(-0.5), "realtime_snapshot_id": 150, "trip_id": "T4"})
+    cars = [("P1", pick.choice(["T1", "T2", None]), route(), pick.choice([f"V{i}", f"V{i}", None]), at(pick.choice(moments[2:12])), pick.randrange(9), i, i % 6) for i in range(60)]
+    cars.append(("P1", "T4", "R1", "edge", at(600.4), 1, 0, 2))  # 600.9 seconds count as 600
+    frame = spark.createDataFrame(cars, "provider_id string, trip_id string, route_id string, vehicle_id string, captured_at_utc timestamp_ntz, realtime_snapshot_id long, entity_index int, occupancy_status int")
+
+    def best(r):
+        seconds = lambda c: abs(c[4] - r["captured_at_utc"]) // dt.timedelta(seconds=1)
+        near = [c for c in cars if c[3] and c[1] and c[1] == r["trip_id"] and r.get("route_id", "R1") in (None, c[2]) and seconds(c) <= 600]
+        return min(((seconds(c), -c[5], c[6], c[3], c[7]) for c in near), default=None)
+
+    found = facts.nearest_vehicle(fact(rows), frame)
+    got = {r["realtime_snapshot_id"]: (r["near_vehicle_id"], r["near_occupancy_status"], r["near_vehicle_seconds"]) for r in found.collect()}
+    assert got == {r["realtime_snapshot_id"]: (b[3], b[4], b[0]) if (b := best(r)) else (None, None, None) for r in rows}
+    assert got[150] == ("edge", 2, 600) and "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_windows_and_gaps(spark):
     rows = spark.createDataFrame([("P1", dt.date(2024, 1, d), 1) for d in (1, 2, 5, 9, 10)], "provider_id string, provider_local_date date, n long")
     dealt = reads.in_windows(rows, ["provider_id"]).groupBy("window_grain", "period").agg(F.sum("n").alias("n")).collect()
