@@ -61,11 +61,11 @@ def identified(state) -> DataFrame:
     key = ["provider_id", "i3_alert_snapshot_id", "alert_index"]
     # a null is a value of the group, so groups meet by a digest
     same = F.md5(F.concat_ws("\u001f", *(F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("-")) for c in group)))
-    periods = state.periods.join(state.alerts.select(*key, same.alias("__same")), key)
+    periods = state.periods.join(state.alerts.select(*key, same.alias("__same")).hint("merge"), key)
     newest = periods.groupBy("__same", "period_index").agg(F.max_by(F.struct("start", "end"), F.struct("i3_alert_snapshot_id", "alert_index")).alias("p"))
     one = F.concat(F.col("period_index").cast("string"), F.lit(":"), F.concat_ws("/", *(F.coalesce(F.date_format(f"p.{c}", "yyyy-MM-dd HH:mm:ss"), F.lit("")) for c in ("start", "end"))))
     spans = newest.groupBy("__same").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("period_index", one.alias("s")))), lambda x: x["s"]), ",").alias("active_periods"))
-    rows = rows.withColumn("__same", same).join(spans, "__same", "left").drop("__same")
+    rows = rows.withColumn("__same", same).join(spans.hint("merge"), "__same", "left").drop("__same")
     return rows.withColumns({"id": made, "duration_min": F.when(seconds >= 0, F.round(seconds / 60.0).cast("int")), "active_periods": F.coalesce("active_periods", F.lit(""))})
 
 

@@ -37,7 +37,7 @@ def loaded_rows(spark: SparkSession, d: str) -> DataFrame:
     spelled = lambda c: F.coalesce(F.col(c), F.lit("-"))
     entities = state.entities.groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("entity_index", F.concat_ws("/", spelled("route_id"), spelled("stop_id")).alias("e")))), lambda x: x["e"]), ",").alias("entities"))
     periods = state.periods.groupBy(*key).agg(F.count(F.lit(1)).alias("period_count"))
-    rows = state.alerts.join(entities, key, "left").join(periods, key, "left")
+    rows = state.alerts.join(entities.hint("merge"), key, "left").join(periods.hint("merge"), key, "left")
     return rows.select(*key, "content_hash", "alert_id", "header", "header_en", "url", "active_start", "active_end", "first_seen", "last_seen", "valid_to", "entities", "period_count")
 
 

@@ -7,9 +7,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from punctua.operators import alert_load
+from punctua.operators import alert_load, alerts
+from punctua.plans import alert_queries as Q
 from punctua.session import stored
 from punctua.sources import alert_json
+from punctua.sources import driver_tables as T
+from tests.test_queries import FOLDER
 
 SCHEMA = "i3_alert_snapshot_id long, provider_id string, captured_at_utc timestamp_ntz, payload string"
 DAY = dt.datetime(2024, 1, 1)
@@ -130,6 +133,15 @@ def test_load(spark, monkeypatch, seed, stretch, cuts):
         assert state_of(alert_load.loaded(some(normal), some(whole).drop("payload"), state)) == want
 
 
+def test_nothing_that_grows_is_sent_to_the_driver(spark, monkeypatch):
+    """Tables of alerts, entities and periods meet by merges, however small they are packed."""
+    state = Q.load(spark, FOLDER, Q.BATCHES[:1])
+    monkeypatch.setattr(Q, "load", lambda *_: state)
+    later = alert_load.loaded(stored(alert_json.normalized(T.alert_snapshots(spark, FOLDER)), "test-again"), T.alert_snapshots(spark, FOLDER).drop("payload"), state)
+    for rows in (Q.loaded_rows(spark, FOLDER), alerts.identified(state), alert_load.current(state, F.lit(DAY)), later.entities, later.periods):
+        assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_current(spark):
     key = "provider_id string, i3_alert_snapshot_id long, alert_index int"
     texts = ", ".join(f"{c} string" for c in ("content_hash", "alert_id", "header", "description", "severity", "cause", "effect", "header_en", "description_en", "url", "url_en"))
