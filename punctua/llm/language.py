@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from punctua.llm.common import unit
 from punctua.llm.grams import gram_counts, joined, pieces_of
-from punctua.session import shipped
+from punctua.session import freed, shipped, trimmed
 
 BINS = 4096
 #: Bytes of a slice of a batch that is encoded at a time; a document counts 20,000 besides its text for its row of counts.
@@ -138,7 +138,7 @@ def learn(docs: DataFrame, held_out: Column) -> Model | None:
                 x = np.concatenate([features(list(values[part])).astype(np.float16) for part in pieces_of(np.array([len(v) + 20_000 for v in values]), SLICE)])
                 yield pd.DataFrame({"doc_id": usable["doc_id"].to_numpy(), "label": usable["__label"].to_numpy(), "x": [v.tobytes() for v in x]})
 
-    rows = chosen.mapInPandas(encode, "doc_id long, label string, x binary").toPandas().sort_values("doc_id")
+    rows = chosen.mapInPandas(trimmed(encode), "doc_id long, label string, x binary").toPandas().sort_values("doc_id")
     if rows.empty:
         return None
     return trained(np.stack([np.frombuffer(v, dtype=np.float16) for v in rows["x"]]).astype(np.float32), rows["label"].to_numpy())
@@ -158,6 +158,7 @@ def predicted(model: Model | None, texts: pd.Series) -> pd.DataFrame:
         out.loc[where[part], "lang_pred"] = names[best]
         out.loc[where[part], "score"] = score
         out.loc[where[part], "ambiguous"] = unsure
+    freed()
     return out
 
 

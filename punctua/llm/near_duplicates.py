@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from punctua.llm import common
 from punctua.llm.common import counted, dropped, hinted, looked_up, released, written
 from punctua.llm.shingles import in_slices, mixed, ordered, set_keys
-from punctua.session import shipped
+from punctua.session import shipped, trimmed
 
 #: Two sets link when SIMILAR percent of their union is shared.
 SIMILAR = 80
@@ -173,7 +173,7 @@ def described(docs: DataFrame) -> DataFrame:
                 region = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(take)]).astype(np.int32), pa.array(ordered(values[spot < np.repeat(take, n)])))
                 yield pa.RecordBatch.from_arrays([ids[part], digests[part], pa.array(n), pa.array(keys, mask=n == 0), region], ["doc_id", "digest", "n", "node", "region"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text").mapInArrow(trimmed(run), schema)
 
 
 def short_sets(table: DataFrame, frequent: Broadcast) -> DataFrame:
@@ -188,7 +188,7 @@ def short_sets(table: DataFrame, frequent: Broadcast) -> DataFrame:
             short = (rare < n * (100 - SIMILAR) // 100 + 1) & (held < n) & (held > 0)
             yield batch.select(["node"]).filter(pa.array(short))
 
-    return table.select("node", "n", "region").mapInArrow(run, "node long")
+    return table.select("node", "n", "region").mapInArrow(trimmed(run), "node long")
 
 
 def crowded_shingles(docs: DataFrame, frequent: Broadcast) -> DataFrame:
@@ -203,7 +203,7 @@ def crowded_shingles(docs: DataFrame, frequent: Broadcast) -> DataFrame:
             if len(short):
                 yield pa.RecordBatch.from_arrays([pa.array(ordered(np.concatenate([values[edges[i] : edges[i + 1]] for i in short])))], ["s"])
 
-    return docs.select("text").mapInArrow(run, "s long")
+    return docs.select("text").mapInArrow(trimmed(run), "s long")
 
 
 def frequent_shingles(docs: DataFrame, table: DataFrame, marks: Marks) -> Broadcast:
@@ -234,7 +234,7 @@ def signatures_of(docs: DataFrame, frequent: Broadcast) -> DataFrame:
             found = [signatures(values[edges[i] : edges[i + 1]], frequent.value)[0] for i in kept]
             yield pa.RecordBatch.from_arrays([pa.array(ordered(np.concatenate(found))), pa.array(np.repeat(keys[kept], [len(x) for x in found]))], ["sig", "node"])
 
-    return docs.select("text").mapInArrow(run, "sig long, node long")
+    return docs.select("text").mapInArrow(trimmed(run), "sig long, node long")
 
 
 def postings_of(docs: DataFrame, frequent: Broadcast, repeated: Broadcast) -> DataFrame:
@@ -261,7 +261,7 @@ def postings_of(docs: DataFrame, frequent: Broadcast, repeated: Broadcast) -> Da
                 low, sketch = pa.array(low, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n), low, sketch, postings], ["node", "n", "low", "sketch", "postings"])
 
-    return docs.select("text").mapInArrow(run, "node long, n long, low array<long>, sketch array<long>, postings array<struct<sig: long, most: long>>")
+    return docs.select("text").mapInArrow(trimmed(run), "node long, n long, low array<long>, sketch array<long>, postings array<struct<sig: long, most: long>>")
 
 
 def sets_of(docs: DataFrame, nodes: Broadcast) -> DataFrame:
@@ -274,7 +274,7 @@ def sets_of(docs: DataFrame, nodes: Broadcast) -> DataFrame:
                 rows = pa.array([ordered(values[edges[i] : edges[i + 1]]) for i in kept], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(keys[kept]), rows], ["node", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+    return docs.select("text").mapInArrow(trimmed(run), "node long, shingles array<long>").dropDuplicates(["node"])
 
 
 def labelled(links: DataFrame, n: int) -> DataFrame:

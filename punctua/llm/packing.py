@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from punctua.session import shipped
+from punctua.session import shipped, trimmed
 
 WINDOW = 1024
 END_ID = 0
@@ -53,6 +54,12 @@ class Encoder:
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
+@functools.cache
+def encoder(vocabulary: str) -> Encoder:
+    """One encoder in a worker: its next partitions take the same."""
+    return Encoder(vocabulary)
+
+
 class SumOfSquares:
     """Open windows by fill level. A piece goes to the level at which the sum of squared counts of open windows becomes least."""
 
@@ -109,7 +116,7 @@ def closed(windows: list[list], window: int) -> list[list]:
 
 def packed(batches: Iterator[pa.RecordBatch], window: int = WINDOW, vocabulary: str = VOCABULARY) -> Iterator[pa.RecordBatch]:
     """The pieces of one partition's documents. Full windows leave at once; only open ones are kept."""
-    encode, state = Encoder(vocabulary), SumOfSquares(window)
+    encode, state = encoder(vocabulary), SumOfSquares(window)
     sequence = TaskContext.get().partitionId() << 40
     out: list[tuple] = []
 
@@ -153,4 +160,4 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCA
     """
     shipped(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(lambda batches: packed(batches, window, vocabulary), PIECE_SCHEMA)
+    return rows.mapInArrow(trimmed(lambda batches: packed(batches, window, vocabulary)), PIECE_SCHEMA)

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -58,3 +59,33 @@ def test_stages(spark, corpus, tmp_path):
 
 def test_run(spark, corpus):
     assert corpus_pipeline.run(spark, corpus[0]).count() > 0
+
+
+def test_workers_give_memory_back(spark):
+    """What a partition took is not kept by the worker for the stages after it; the partitions' rows stay."""
+    from punctua.session import shipped, trimmed
+
+    shipped(spark)
+
+    def resident() -> int:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    def run(batches):
+        for batch in batches:
+            held = [bytes(1000) for _ in range(200_000)]
+            kept = bytes(1000)  # lies above what is freed, so that the heap cannot shrink from its end alone
+            del held
+            yield batch
+        del kept
+
+    def after(function):
+        def whole(batches):
+            before = resident()
+            n = sum(batch.num_rows for batch in function(batches))
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([resident() - before])], ["n", "more"])
+
+        return whole
+
+    got = spark.range(10, numPartitions=1).mapInArrow(after(trimmed(run)), "n long, more long").first()
+    assert got["n"] == 10 and got["more"] < 100_000_000
